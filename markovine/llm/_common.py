@@ -7,7 +7,9 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,10 +55,8 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa
 def chunks(batch: pa.RecordBatch, text_col: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` of about ``limit`` bytes of text, so that what a worker
     holds at once does not follow the batch's row count."""
-    import numpy as np
-
     col = batch.column(text_col)
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     total, start = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if i > start and total + n > limit:
