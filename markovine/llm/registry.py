@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, html_text
+from . import bpe_stream, html_text, simhash, token_files
 from ._common import table
 
 
@@ -17,6 +17,17 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.write_ids(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    docs = token_files.read_ids(spark, path)
+    return docs.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html_text.extract_pages(table(spark, sf_dir, "pages"))
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -34,7 +45,9 @@ def op6_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_files": op1_token_files,
         "op2_html_extraction": op2_html_extraction,
+        "op3_simhash": op3_simhash,
         "op6_bpe_stream": op6_bpe_stream,
     }
 
