@@ -1,15 +1,52 @@
-"""A training-data pipeline over ``documents``: stages applied in order."""
+"""A training-data pipeline over ``documents``.
+
+Language identification, toxicity, SimHash near-dedup and best-fit packing, each on
+all rows that the stage before it kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from markovine.llm import langid, packing, simhash, toxicity
+from markovine.llm._common import table, written
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the rows' own ``lang``; rows without a letter or without a clear
+    language go."""
+    return langid.keep_identified(docs, langid.train(docs, "lang"))
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from ``labels.toxic``; rows that score 0.3 or more go."""
+    return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of exact or near copies stays, that of the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The last stage: where each document's pieces lie in the packed sequences."""
+    return packing.pack(packing.with_keys(docs))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("toxicity", toxic),
+    ("near_dedup", near_dedup),
+    ("best_fit_packing", best_fit_packing),
+]
 
-#: The stages learn models, which SQL cannot express.
+#: The stages learn models, which SQL cannot express; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, each on what the one before wrote."""
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, html_text, simhash, token_files
-from ._common import table
+from . import bpe_stream, html_text, langid, packing, simhash, token_files, toxicity
+from ._common import crc_of_id, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -43,12 +43,34 @@ def op6_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_of_id("doc_id") % 4 == 2
+    model = langid.train(docs.where(~held_out), "lang")
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.with_keys(table(spark, sf_dir, "documents")))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_of_id("doc_id") % 4 == 2
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out), "toxic")
+    scored = toxicity.predict(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
         "op2_html_extraction": op2_html_extraction,
         "op3_simhash": op3_simhash,
         "op6_bpe_stream": op6_bpe_stream,
+        "op7_language_id": op7_language_id,
+        "op8_best_fit_packing": op8_best_fit_packing,
+        "op10_toxicity": op10_toxicity,
     }
 
 
