@@ -134,17 +134,20 @@ def train(df: DataFrame, label_col: str, text_col: str = "text", id_col: str = "
     langs = sorted(docs)
     top = per.where((F.col("item") != "") & (F.col("total") >= min_count)).orderBy(F.desc("total"), "item").limit(max_words).collect()
     words: dict[str, list[int]] = {}
-    grams: dict[str, np.ndarray] = {}
+    own_grams: list[Counter] = [Counter() for _ in langs]
     for r in top:
         by = dict(map(tuple, r["by"]))
         words[r["item"]] = own = [by.get(x, 0) for x in langs]
-        types = np.minimum(own, 1)  # n-grams are of word types: unseen words are new types
-        for order in orders:
-            for g in _grams(r["item"][:200], order):
-                grams[g] = grams[g] + types if g in grams else types
-    most = sorted(grams, key=lambda g: (-int(grams[g].sum()), g))[:max_grams]
+        found = [g for order in orders for g in _grams(r["item"][:200], order)]
+        for i, k in enumerate(own):
+            if k:  # n-grams are of word types: unseen words are new types
+                own_grams[i].update(found)
+    total: Counter = Counter()
+    for c in own_grams:
+        total.update(c)
+    grams = {g: [c[g] for c in own_grams] for g in sorted(total, key=lambda g: (-total[g], g))[:max_grams]}
     n = sum(docs.values())
-    return LanguageModel(langs, [math.log(docs[x] / n) for x in langs], words, {g: grams[g].tolist() for g in most}, orders)
+    return LanguageModel(langs, [math.log(docs[x] / n) for x in langs], words, grams, orders)
 
 
 def predictor(model_ref):

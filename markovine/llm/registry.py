@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, html_text, langid, packing, simhash, token_files, toxicity
+from . import bpe_stream, ctw, html_text, langid, packing, simhash, token_files, toxicity
 from ._common import crc_of_id, table
 
 
@@ -54,6 +54,13 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.with_keys(table(spark, sf_dir, "documents")))
 
 
+def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_of_id("doc_id") % 7 == 2
+    scored = ctw.score(docs, docs.where(~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_of_id("doc_id") % 4 == 2
@@ -70,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bpe_stream": op6_bpe_stream,
         "op7_language_id": op7_language_id,
         "op8_best_fit_packing": op8_best_fit_packing,
+        "op9_context_tree": op9_context_tree,
         "op10_toxicity": op10_toxicity,
     }
 
