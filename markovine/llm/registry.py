@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, ctw, html_text, langid, packing, simhash, token_files, toxicity
+from . import bpe_stream, ctw, hash_forest, html_text, langid, packing, pivot_topk, simhash, token_files, toxicity
 from ._common import crc_of_id, table
 
 
@@ -33,6 +33,14 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op4_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op5_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_forest.search(table(spark, sf_dir, "embeddings"))
+
+
 def op6_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe_stream.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return coded.select(
@@ -74,6 +82,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_files": op1_token_files,
         "op2_html_extraction": op2_html_extraction,
         "op3_simhash": op3_simhash,
+        "op4_pivot_topk": op4_pivot_topk,
+        "op5_hash_forest": op5_hash_forest,
         "op6_bpe_stream": op6_bpe_stream,
         "op7_language_id": op7_language_id,
         "op8_best_fit_packing": op8_best_fit_packing,
