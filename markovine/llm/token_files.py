@@ -23,6 +23,7 @@ an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,22 @@ LATIN = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 LATIN_PATTERN = rf"'(?:[stmd]|re|ve|ll)| ?[{LATIN}]+| ?[0-9]+| ?[^\s{LATIN}0-9]+|\s+(?!\S)|\s+"
 
 
+class _Pieces(dict):
+    """Ids of the pieces seen so far; a new piece is encoded when it is first asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encode(piece)
+        if len(piece) <= 64:
+            if len(self) >= CACHE_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class PieceEncoder:
     """The ids of a text from the tokenizers library.
 
@@ -73,16 +90,12 @@ class PieceEncoder:
         self.split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.general, self.latin = regex.compile(PATTERN), re.compile(LATIN_PATTERN)
         self.other = re.compile(rf"[^\x00-\x7f{LATIN}]")
-        self.known: dict[str, bytes] = {}
+        self.known = _Pieces(self._piece)
 
     def _piece(self, piece: str) -> bytes:
-        coded = piece.encode().decode("latin1").translate(self.symbols)
-        ids = np.array([t.id for t in self.tokenizer.model.tokenize(coded)], dtype="<u4").tobytes()
-        if len(piece) <= 64:
-            if len(self.known) >= CACHE_PIECES:
-                self.known.clear()
-            self.known[piece] = ids
-        return ids
+        coded = (piece if piece.isascii() else piece.encode().decode("latin1")).translate(self.symbols)
+        ids = [t.id for t in self.tokenizer.model.tokenize(coded)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -95,18 +108,16 @@ class PieceEncoder:
                 stretches.append((text[at : m.start()], self.special[m.group()]))
                 at = m.end()
         stretches.append((text[at:], None))
-        known, piece = self.known, self._piece
+        ids = self.known.__getitem__
         for stretch, special in stretches:
             find = self.general if self.other.search(stretch) else self.latin
-            for w in find.findall(stretch):
-                ids = known.get(w)
-                out.append(piece(w) if ids is None else ids)
+            out.extend(map(ids, find.findall(stretch)))
             if special is not None:
                 out.append(np.array([special], dtype="<u4").tobytes())
         return b"".join(out)
 
 
-def repair(ids: np.ndarray, ends: np.ndarray, least: int = 32, rounds: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def repair(ids: np.ndarray, ends: np.ndarray, least: int = 32, rounds: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Compress ``ids`` (documents end before the positions ``ends``).
 
     Returns the sequence, its document ends, the rules (left, right) and the number
@@ -132,7 +143,7 @@ def repair(ids: np.ndarray, ends: np.ndarray, least: int = 32, rounds: int = 6)
         most = int(counts.max())
         if most < least:
             break
-        chosen = pairs[counts >= max(least, most // 32)]
+        chosen = pairs[counts >= max(least, most // 48)]
         at = np.flatnonzero(often)
         place = np.searchsorted(chosen, code[at])
         place[place == len(chosen)] = 0
