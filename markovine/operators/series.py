@@ -159,6 +159,10 @@ def _log_weights(k: Kernels, y: np.ndarray, miss: np.ndarray) -> tuple[np.ndarra
     return logf, w
 
 
+def _no_rows(*names: str) -> pd.DataFrame:
+    return pd.DataFrame({c: pd.Series([], dtype=object) for c in names})
+
+
 def _compose(w: np.ndarray) -> np.ndarray:
     """Log product of transition matrices."""
     out = w[0]
@@ -194,7 +198,7 @@ def classify_blocks(df: DataFrame, model: Model, block: int = 8192) -> DataFrame
         first = k.initial(logf[:1])[0] if b == 0 else np.zeros(0)
         m = _compose(w) if len(w) else np.log(np.eye(model.K) + 1e-300)
         own = b * block <= pdf["n"].iloc[-1]
-        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "block": [b], "m": [m.reshape(-1)], "first": [first]}) if own else pd.DataFrame({"series_id": [], "block": [], "m": [], "first": []})
+        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "block": [b], "m": [m.reshape(-1)], "first": [first]}) if own else _no_rows("series_id", "block", "m", "first")
 
     mats = rows.groupBy("series_id", "block").applyInPandas(reduce, f"series_id {kind}, block long, m array<double>, first array<double>")
 
@@ -215,7 +219,7 @@ def classify_blocks(df: DataFrame, model: Model, block: int = 8192) -> DataFrame
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(right):
-            return pd.DataFrame({"series_id": [], "n": [], "x_hat": [], "gamma": []})
+            return _no_rows("series_id", "n", "x_hat", "gamma")
         pdf, y, miss = checked(left)
         _, w = _log_weights(Kernels(model), y, miss)
         a, b = [np.asarray(right["a"].iloc[0], float)], [np.asarray(right["b"].iloc[0], float)]

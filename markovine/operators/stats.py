@@ -105,7 +105,7 @@ def exchangeability_statistic(u, v) -> float:
 
 
 def radial_symmetry_statistic(u, v) -> float:
-    s = u + v - 1 + empirical_copula(u, v, 1 - u, 1 - v)
+    s = u + v - 1 + empirical_copula(u, v, 1 - u + 1e-12, 1 - v + 1e-12)  # ranks are on a lattice
     return float(len(u) * ((empirical_copula(u, v, u, v) - s) ** 2).mean())
 
 

@@ -1,11 +1,584 @@
-"""Registered queries and their SQL counterparts."""
+"""Registered queries over the synthetic tables, and their SQL counterparts.
+
+Series are the users' log values, pairs their consecutive values.  Results are rounded
+where two engines may add numbers in a different order.
+"""
 
 from __future__ import annotations
 
+from functools import cache
+
+import numpy as np
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import ops
+from ..functions.copulas import FAMILIES
+from ..functions.margins import Margin
+from ..functions.ops import Sql
+from ..operators import catalyst, estimate, grouped, image, missing, series
+from ..sources.tables import events_series, lag_pairs, table
+from .model import Copula, Missingness, Model, gaussian
+
+# ------------------------------------------------------------------ SQL sources
+
+EV = "SELECT user_id AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n, event_type AS kind, value, ln(value) AS y FROM events"
+PAIRS = f"SELECT series_id AS g, n, value AS x, z AS y, CAST(n % 3 + 1 AS DOUBLE) AS w FROM (SELECT *, lead(value) OVER (PARTITION BY series_id ORDER BY n) AS z FROM ({EV}) e) q WHERE z IS NOT NULL"
+RANKED = f"SELECT g, n, (rank() OVER (PARTITION BY g ORDER BY x) + (count(*) OVER (PARTITION BY g, x) - 1) / 2.0) / (count(*) OVER (PARTITION BY g) + 1.0) AS u, (rank() OVER (PARTITION BY g ORDER BY y) + (count(*) OVER (PARTITION BY g, y) - 1) / 2.0) / (count(*) OVER (PARTITION BY g) + 1.0) AS v, count(*) OVER (PARTITION BY g) AS m FROM ({PAIRS}) p"
+#: The first tenth of a series is protected, the next fifth is missing.
+GAPPED = f"SELECT series_id, n, value, y, n >= ceil(len * 0.1 - 1e-9) AND n < ceil(len * 0.1 - 1e-9) + floor(len * 0.2 + 1e-9) AS miss FROM (SELECT *, count(*) OVER (PARTITION BY series_id) AS len FROM ({EV}) e) q"
+
+
+# ------------------------------------------------------------------ models
+
+
+@cache
+def models() -> dict[str, Model]:
+    """One model per variant, for series of log values."""
+    n = lambda m, s: Margin("norm", {"loc": m, "scale": s})
+    p = np.array([[0.5, 0.05], [0.05, 0.4]])
+    pair = {(0, 0): n(2.4, 1.2), (0, 1): n(2.8, 1.3), (1, 0): n(3.6, 1.1), (1, 1): n(3.9, 0.8)}
+    copulas = {(0, 0): Copula("Clayton", 0.3), (0, 1): Copula("FGM", 0.1), (1, 0): Copula("Frank", 0.2), (1, 1): Copula("GH", 0.25)}
+    return {
+        "hmc_in": gaussian("HMC-IN", [2.4, 3.9], [1.2, 0.8]),
+        "hmc_dn": gaussian("HMC-DN", [2.4, 3.9], [1.2, 0.8], tau=0.4, family="Clayton"),
+        "pmc_in_pair": Model("PMC-IN", p, pair),
+        "pmc_state": Model("PMC", p, {(0,): n(2.4, 1.2), (1,): n(3.9, 0.8)}, copulas),
+        "pmc_pair": Model("PMC", p, pair, copulas),
+    }
+
+
+def _rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if c in cols else c for c in df.columns))
+
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql
+        return fn
+
+    return keep
+
+
+# ------------------------------------------------------------------ sequences
+
+
+def _classify_sql(m: Model) -> str:
+    return f"WITH RECURSIVE {catalyst.smooth_sql(m, EV)} SELECT series_id, n, round(g0, 4) AS gamma_0, round(g1, 4) AS gamma_1 FROM post"
+
+
+@query("classify_pmc", _classify_sql(models()["pmc_pair"]))
+def classify_pmc(spark, sf):
+    """Posterior state probabilities of the pairwise chain with pair margins."""
+    out = series.classify(events_series(spark, sf), models()["pmc_pair"])
+    return out.select("series_id", "n", F.round(F.col("gamma")[0], 4).alias("gamma_0"), F.round(F.col("gamma")[1], 4).alias("gamma_1"))
+
+
+@query("classify_blocks_hmc_dn", _classify_sql(models()["hmc_dn"]))
+def classify_blocks_hmc_dn(spark, sf):
+    """The same for a hidden chain with dependent noise, cut into blocks of 16 rows."""
+    out = series.classify_blocks(events_series(spark, sf), models()["hmc_dn"], 16)
+    return out.select("series_id", "n", F.round(F.col("gamma")[0], 4).alias("gamma_0"), F.round(F.col("gamma")[1], 4).alias("gamma_1"))
+
+
+def _forward_query(name: str):
+    m = models()[name]
+    sql = f"WITH RECURSIVE {catalyst.filter_sql(m, EV)} SELECT series_id, round(ll + ln(b0 + b1), 6) AS log_lik, round(b0 / (b0 + b1), 6) AS last_0 FROM fwd JOIN (SELECT series_id, max(n) AS n FROM fwd GROUP BY series_id) z USING (series_id, n)"
+
+    @query(f"forward_{name}", sql)
+    def run(spark, sf):
+        out = catalyst.forward(events_series(spark, sf).select("series_id", "n", "y"), m)
+        return out.select("series_id", F.round("log_lik", 6).alias("log_lik"), F.round(F.col("last")[0], 6).alias("last_0"))
+
+    return run
+
+
+for _name in models():
+    _forward_query(_name)
+
+
+def _xi_sql(m: Model) -> str:
+    w = [[catalyst.transition(m, i, j, "f", "s") for j in range(2)] for i in range(2)]
+    cell = {(i, j): f"f.b{i} * {w[i][j]} * s.e{j}" for i in range(2) for j in range(2)}
+    total = "(" + " + ".join(cell.values()) + ")"
+    sums = ", ".join(f"round(sum({c} / {total}), 5) AS xi_{i}{j}" for (i, j), c in cell.items())
+    return f"WITH RECURSIVE {catalyst.smooth_sql(m, EV)} SELECT f.series_id, {sums} FROM fwd f JOIN bwd s ON s.series_id = f.series_id AND s.n = f.n + 1 GROUP BY f.series_id"
+
+
+@query("pair_posteriors", _xi_sql(models()["pmc_state"]))
+def pair_posteriors(spark, sf):
+    xi = series.pair_posteriors(events_series(spark, sf), models()["pmc_state"])
+    return xi.groupBy("series_id").agg(*(F.round(F.sum(F.col("xi")[2 * i + j]), 5).alias(f"xi_{i}{j}") for i in range(2) for j in range(2)))
+
+
+def _pmm_sql(m: Model) -> str:
+    cols = catalyst.row_columns(m)
+    a = ", ".join(f"{s} AS {k}" for k, s in cols.items())
+    w = {(i, j): Sql.of(float(m.p[i, j])) + f" * l.f{i}{j} * r.f{j}{i}" + (f" * {ops.exp(m.copula(i, j).family.shape.log_pdf(Sql(f'l.u{i}{j}'), Sql(f'r.u{j}{i}'), m.copula(i, j).params))}" if m.uses_copula else "") for i in range(2) for j in range(2)}
+    z = "(" + " + ".join(f"({x})" for x in w.values()) + ")"
+    return f"WITH rws AS MATERIALIZED (SELECT series_id, n, {a} FROM ({EV}) q) SELECT l.series_id, CAST(floor(l.n / 2) AS BIGINT) AS pair, round((({w[0, 0]}) + ({w[0, 1]})) / {z}, 6) AS left_0, round((({w[0, 0]}) + ({w[1, 0]})) / {z}, 6) AS right_0, round(ln({z}), 6) AS log_lik FROM rws l JOIN rws r ON r.series_id = l.series_id AND r.n = l.n + 1 WHERE l.n % 2 = 0"
+
+
+@query("pmm_classify", _pmm_sql(models()["pmc_pair"]))
+def pmm_classify(spark, sf):
+    """Independent pairs (rows 2k and 2k + 1): joint posterior of both states."""
+    m = models()["pmc_pair"]
+    cols = catalyst.row_columns(m)
+    rows = events_series(spark, sf).select("series_id", "n", F.struct(*(F.expr(s).alias(k) for k, s in cols.items())).alias("r"))
+    both = rows.groupBy("series_id", F.floor(F.col("n") / 2).alias("pair")).agg(F.max(F.when(F.col("n") % 2 == 0, F.col("r"))).alias("l"), F.max(F.when(F.col("n") % 2 == 1, F.col("r"))).alias("r")).where("l IS NOT NULL AND r IS NOT NULL")
+    for i in range(2):
+        for j in range(2):
+            c = m.copula(i, j)
+            w = Sql(Sql.of(float(m.p[i, j]))) * Sql(f"l.f{i}{j}") * Sql(f"r.f{j}{i}") * ops.exp(c.family.shape.log_pdf(Sql(f"l.u{i}{j}"), Sql(f"r.u{j}{i}"), c.params))
+            both = both.withColumn(f"w{i}{j}", F.expr(str(w)))
+    z = F.col("w00") + F.col("w01") + F.col("w10") + F.col("w11")
+    return both.select("series_id", "pair", F.round((F.col("w00") + F.col("w01")) / z, 6).alias("left_0"), F.round((F.col("w00") + F.col("w10")) / z, 6).alias("right_0"), F.round(F.log(z), 6).alias("log_lik"))
+
+
+_IN = models()["hmc_in"]
+
+
+def _pit_terms(a: list[str], row: str) -> str:
+    cdf = [str(_IN.margin(j, 0).cdf(Sql(f"{row}.y"))) for j in range(2)]
+    return " + ".join(f"({' + '.join(f'{a[i]} * {float(_IN.A[i, j])!r}' for i in range(2))}) * {cdf[j]}" for j in range(2))
+
+
+_PIT = f"""{catalyst.filter_sql(_IN, EV)}, pit AS (SELECT r.series_id, r.n, CASE WHEN r.n = 0 THEN {' + '.join(f'{float(_IN.pi[j])!r} * {_IN.margin(j, 0).cdf(Sql("r.y"))}' for j in range(2))}
+ ELSE {_pit_terms(['p.b0 / (p.b0 + p.b1)', 'p.b1 / (p.b0 + p.b1)'], 'r')} END AS pit FROM rws r LEFT JOIN fwd p ON p.series_id = r.series_id AND p.n = r.n - 1)"""
+
+
+@query("predictive_pit", f"WITH RECURSIVE {_PIT} SELECT series_id, n, round(pit, 6) AS pit, round(2 * least(pit, 1 - pit), 6) AS p_value FROM pit")
+def predictive_pit(spark, sf):
+    return _rounded(series.predictive_pit(events_series(spark, sf), _IN).drop("log_predictive"), 6, "pit", "p_value")
+
+
+@query(
+    "outliers_bh",
+    f"""WITH RECURSIVE {_PIT}, p AS (SELECT series_id, n, 2 * least(pit, 1 - pit) AS p FROM pit), r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY p) AS k, count(*) OVER (PARTITION BY series_id) AS m FROM p),
+    t AS (SELECT series_id, max(CASE WHEN p <= 0.2 * k / m THEN p ELSE 0 END) AS cut FROM r GROUP BY series_id) SELECT series_id, CAST(sum(CASE WHEN p <= cut THEN 1 ELSE 0 END) AS BIGINT) AS flagged FROM p JOIN t USING (series_id) GROUP BY series_id""",
+)
+def outliers_bh(spark, sf):
+    f = series.outliers(events_series(spark, sf), _IN, 0.2, sequential=False, correction="bh")
+    return f.groupBy("series_id").agg(F.sum(F.col("outlier").cast("long")).alias("flagged"))
+
+
+@query("outliers_sequential")
+def outliers_sequential(spark, sf):
+    return series.outliers(events_series(spark, sf), models()["hmc_dn"], 0.01)
+
+
+# ------------------------------------------------------------------ missing data
+
+_MASKED = f"SELECT series_id, n, CASE WHEN NOT miss THEN y END AS y FROM ({GAPPED}) g"
+
+
+def _blank(cols_from: str) -> str:
+    """Densities of a missing row are one."""
+    return f"SELECT series_id, n, y FROM ({cols_from}) z"
+
+
+def _gap_sql(select: str) -> str:
+    sql = catalyst.smooth_sql(_IN, _blank(_MASKED))
+    for name, col in catalyst.row_columns(_IN).items():
+        sql = sql.replace(f"{col} AS {name}", f"CASE WHEN y IS NULL THEN 1 ELSE {col} END AS {name}", 1)
+    return f"WITH RECURSIVE {sql} {select}"
+
+
+def _gapped(spark, sf):
+    return missing.aligned(events_series(spark, sf), 0.2).withColumn("y", F.when(~F.col("miss"), F.col("y")))
+
+
+_M0, _M1 = _IN.margins[(0,)], _IN.margins[(1,)]
+
+
+@query(
+    "impute_hmc_in",
+    _gap_sql(
+        f"SELECT p.series_id, p.n, round(g0 * {_M0.loc!r} + g1 * {_M1.loc!r}, 6) AS mean, round(sqrt(g0 * {_M0.scale**2 + _M0.loc**2!r} + g1 * {_M1.scale**2 + _M1.loc**2!r} - power(g0 * {_M0.loc!r} + g1 * {_M1.loc!r}, 2)), 6) AS sd FROM post p JOIN rws r ON r.series_id = p.series_id AND r.n = p.n WHERE r.y IS NULL"
+    ),
+)
+def impute_hmc_in(spark, sf):
+    return _rounded(series.impute(_gapped(spark, sf), _IN).drop("quantiles"), 6, "mean", "sd")
+
+
+@query("impute_grid_hmc_dn")
+def impute_grid_hmc_dn(spark, sf):
+    """Gaps of a model with dependent noise, integrated on the quadrature grid."""
+    return series.impute(_gapped(spark, sf), models()["hmc_dn"])
+
+
+_A1, _A2 = _IN.A, _IN.A @ _IN.A
+
+
+@query(
+    "forecast_hmc_in",
+    f"WITH RECURSIVE {catalyst.filter_sql(_IN, EV)}, l AS (SELECT series_id, b0 / (b0 + b1) AS a0, b1 / (b0 + b1) AS a1 FROM fwd JOIN (SELECT series_id, max(n) AS n FROM fwd GROUP BY series_id) z USING (series_id, n)) "
+    + " UNION ALL ".join(
+        f"SELECT series_id, {k} AS step, round(a0 * {float(A[0, 0])!r} + a1 * {float(A[1, 0])!r}, 6) AS state_0, round((a0 * {float(A[0, 0])!r} + a1 * {float(A[1, 0])!r}) * {_M0.loc!r} + (a0 * {float(A[0, 1])!r} + a1 * {float(A[1, 1])!r}) * {_M1.loc!r}, 6) AS mean FROM l"
+        for k, A in ((1, _A1), (2, _A2))
+    ),
+)
+def forecast_hmc_in(spark, sf):
+    f = series.forecast(events_series(spark, sf), _IN, 2)
+    return f.select("series_id", "step", F.round(F.col("state")[0], 6).alias("state_0"), F.round("mean", 6).alias("mean"))
+
+
+@query(
+    "missingness_rates",
+    _gap_sql("SELECT round(sum(CASE WHEN y IS NULL THEN g0 ELSE 0 END) / sum(g0), 6) AS rate_0, round(sum(CASE WHEN y IS NULL THEN g1 ELSE 0 END) / sum(g1), 6) AS rate_1 FROM post p JOIN rws r USING (series_id, n)"),
+)
+def missingness_rates(spark, sf):
+    """M-step of a state-dependent mask from posteriors and mask."""
+    rows = _gapped(spark, sf)
+    g = series.classify(rows, _IN).join(rows.select("series_id", "n", "miss"), ["series_id", "n"])
+    parts = [F.round(F.sum(F.when(F.col("miss"), F.col("gamma")[i]).otherwise(0.0)) / F.sum(F.col("gamma")[i]), 6).alias(f"rate_{i}") for i in range(2)]
+    return g.agg(*parts)
+
+
+@query("classify_with_mask_evidence")
+def classify_with_mask_evidence(spark, sf):
+    """Posteriors when the mask itself tells about the state."""
+    m = _IN.with_missingness(Missingness("state_markov", onset=(0.05, 0.2), persistence=(0.6, 0.8)))
+    return series.classify(_gapped(spark, sf), m)
+
+
+@query("pattern_aligned", f"SELECT series_id, n, miss FROM ({GAPPED}) g")
+def pattern_aligned(spark, sf):
+    return missing.aligned(events_series(spark, sf), 0.2).select("series_id", "n", "miss")
+
+
+_LEN = f"SELECT *, count(*) OVER (PARTITION BY series_id) AS len FROM ({EV}) e"
+
+
+@query(
+    "pattern_staircase",
+    f"SELECT series_id, n, n >= h + c AND n < least(h + 2 * c, len) AS disjoint_1, n >= h + 2 * floor(len * 0.05 + 1e-9) AND n < least(h + 2 * floor(len * 0.05 + 1e-9) + c, len) AS overlap_2 FROM (SELECT *, ceil(len * 0.1 - 1e-9) AS h, floor(len * 0.15 + 1e-9) AS c FROM ({_LEN}) q) z",
+)
+def pattern_staircase(spark, sf):
+    """Second column of disjoint blocks and third of overlapping ones."""
+    s = events_series(spark, sf)
+    d = missing.staircase(s, 0.15, 1).withColumnRenamed("miss", "disjoint_1")
+    return missing.staircase(d, 0.15, 2, shift=0.05).select("series_id", "n", "disjoint_1", F.col("miss").alias("overlap_2"))
+
+
+_U = "(('0x' || substr(md5(concat_ws(':', {0})), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
+@query("pattern_state_dependent", f"SELECT series_id, n, {_U.format("'5', CAST(series_id AS VARCHAR), CAST(n AS VARCHAR)")} < CASE WHEN y > 3.3 THEN 0.4 ELSE 0.1 END AS miss FROM ({EV}) e")
+def pattern_state_dependent(spark, sf):
+    s = events_series(spark, sf).withColumn("x", (F.col("y") > 3.3).cast("int"))
+    return missing.state_dependent(s, [0.1, 0.4], seed=5).select("series_id", "n", "miss")
+
+
+@query("patterns_random")
+def patterns_random(spark, sf):
+    """Scattered, block, position-weighted and Markov masks: rows removed per series."""
+    s = events_series(spark, sf)
+    out = None
+    for name, d in (
+        ("scattered", missing.scattered(s, 0.2)),
+        ("mcar_blocks", missing.mcar_blocks(s, 0.3, 5)),
+        ("gaussian", missing.weighted_draw(s, 0.2, missing.gaussian_position())),
+        ("uniform", missing.weighted_draw(s, 0.2)),
+        ("state_markov", missing.state_markov(s.withColumn("x", (F.col("y") > 3.3).cast("int")), [0.05, 0.2], [0.5, 0.8])),
+    ):
+        part = d.groupBy("series_id").agg(F.sum(F.col("miss").cast("long")).alias("removed")).withColumn("pattern", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    "fill_locf_linear_mean",
+    f"""SELECT series_id, n, round(coalesce(b, a), 9) AS locf, round(CASE WHEN y IS NOT NULL THEN y WHEN b IS NULL THEN a WHEN a IS NULL THEN b ELSE b + (a - b) * (n - nb) / (na - nb) END, 9) AS linear, round(coalesce(y, m), 6) AS mean FROM (
+    SELECT *, last_value(y IGNORE NULLS) OVER w AS b, last_value(k IGNORE NULLS) OVER w AS nb, first_value(y IGNORE NULLS) OVER f AS a, first_value(k IGNORE NULLS) OVER f AS na, avg(y) OVER (PARTITION BY series_id) AS m FROM (SELECT *, CASE WHEN y IS NOT NULL THEN n END AS k FROM ({_MASKED}) z0) z1
+    WINDOW w AS (PARTITION BY series_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY series_id ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) z2""",
+)
+def fill_locf_linear_mean(spark, sf):
+    d = missing.locf(_gapped(spark, sf)).withColumnRenamed("filled", "locf")
+    d = missing.linear(d).withColumnRenamed("filled", "linear")
+    d = missing.mean_fill(d).withColumnRenamed("filled", "mean")
+    return d.select("series_id", "n", F.round("locf", 9).alias("locf"), F.round("linear", 9).alias("linear"), F.round("mean", 6).alias("mean"))
+
+
+_FILLED = f"SELECT g.series_id, g.n, g.miss, g.y AS truth, avg(CASE WHEN NOT miss THEN g.y END) OVER (PARTITION BY series_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS guess FROM ({GAPPED}) g"
+
+
+def _filled(spark, sf):
+    d = missing.aligned(events_series(spark, sf), 0.2).withColumnRenamed("y", "truth")
+    w = Window.partitionBy("series_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    return d.withColumn("guess", F.avg(F.when(~F.col("miss"), F.col("truth"))).over(w))
+
+
+@query("metrics_points", f"SELECT kind, round(sqrt(avg(d * d)), 6) AS rmse, round(avg(abs(d)), 6) AS mae, round(corr(truth, guess), 6) AS pearson, round(avg(CASE WHEN truth BETWEEN guess - 1 AND guess + 1 THEN 1.0 ELSE 0 END), 6) AS coverage FROM (SELECT f.*, e.kind, guess - truth AS d FROM ({_FILLED}) f JOIN ({EV}) e USING (series_id, n)) q WHERE guess IS NOT NULL GROUP BY kind")
+def metrics_points(spark, sf):
+    d = _filled(spark, sf).where("guess IS NOT NULL").withColumn("lo", F.col("guess") - 1).withColumn("hi", F.col("guess") + 1)
+    all_rows = F.lit(True)
+    a = missing.point_metrics(d, "truth", "guess", all_rows, ["kind"])
+    return _rounded(a.join(missing.coverage(d, "truth", "lo", "hi", all_rows, ["kind"]), "kind"), 6, "rmse", "mae", "pearson", "coverage")
+
+
+@query(
+    "metrics_mutual_information",
+    f"""WITH b AS (SELECT kind, floor((x - min(x) OVER (PARTITION BY kind)) / ((max(x) OVER (PARTITION BY kind) - min(x) OVER (PARTITION BY kind)) / 10)) AS i, floor((y - min(y) OVER (PARTITION BY kind)) / ((max(y) OVER (PARTITION BY kind) - min(y) OVER (PARTITION BY kind)) / 10)) AS j FROM (SELECT e.kind, p.x, p.y FROM ({PAIRS}) p JOIN ({EV}) e ON e.series_id = p.g AND e.n = p.n) q),
+    c AS (SELECT kind, i, j, CAST(count(*) AS DOUBLE) AS k FROM b GROUP BY ALL) SELECT kind, round(sum(k / t * ln(k * t / (ki * kj))), 6) AS mi FROM (SELECT *, sum(k) OVER (PARTITION BY kind, i) AS ki, sum(k) OVER (PARTITION BY kind, j) AS kj, sum(k) OVER (PARTITION BY kind) AS t FROM c) z GROUP BY kind""",
+)
+def metrics_mutual_information(spark, sf):
+    p = lag_pairs(spark, sf).join(events_series(spark, sf).select(F.col("series_id").alias("g"), "n", "kind"), ["g", "n"])
+    return _rounded(missing.mutual_information(p, "x", "y", ["kind"]), 6, "mi")
+
+
+_PHI = ops.norm_cdf(Sql("z"))
+
+
+@query("metrics_crps_gaussian", f"SELECT series_id, round(avg(1.2 * (z * (2 * {_PHI} - 1) + 2 * exp(-0.5 * z * z) / {float(np.sqrt(2 * np.pi))!r} - {float(1 / np.sqrt(np.pi))!r})), 6) AS crps FROM (SELECT series_id, (y - 3.0) / 1.2 AS z FROM ({EV}) e) q GROUP BY series_id")
+def metrics_crps_gaussian(spark, sf):
+    z = events_series(spark, sf).withColumn("z", (F.col("y") - 3.0) / 1.2)
+    c = F.expr(f"1.2D * (z * (2 * {_PHI} - 1) + 2 * exp(-0.5D * z * z) / {float(np.sqrt(2 * np.pi))!r}D - {float(1 / np.sqrt(np.pi))!r}D)")
+    return z.groupBy("series_id").agg(F.round(F.avg(c), 6).alias("crps"))
+
+
+@query(
+    "metrics_error_split",
+    f"SELECT series_id, round(CASE WHEN e > 0.5 THEN 1 - e ELSE e END, 6) AS error, round(CASE WHEN e > 0.5 THEN 1 - em ELSE em END, 6) AS error_missing, round(CASE WHEN e > 0.5 THEN 1 - eo ELSE eo END, 6) AS error_observed FROM (SELECT series_id, avg(w) AS e, avg(CASE WHEN miss THEN w END) AS em, avg(CASE WHEN NOT miss THEN w END) AS eo FROM (SELECT series_id, miss, CASE WHEN (y > 3.3) <> (n % 2 = 0) THEN 1.0 ELSE 0.0 END AS w FROM ({GAPPED}) g) q GROUP BY series_id) z",
+)
+def metrics_error_split(spark, sf):
+    d = missing.aligned(events_series(spark, sf), 0.2).withColumn("t", (F.col("y") > 3.3).cast("int")).withColumn("h", (F.col("n") % 2 == 0).cast("int"))
+    return _rounded(missing.error_split(d, "t", "h", "miss", ["series_id"]), 6, "error", "error_missing", "error_observed")
+
+
+@query("parse_cells", f"SELECT series_id, count(v) AS observed, round(sum(v), 6) AS total FROM (SELECT series_id, CASE WHEN lower(trim(c)) IN ('', 'nan', 'na') THEN NULL ELSE CAST(c AS DOUBLE) END AS v FROM (SELECT series_id, CASE n % 5 WHEN 0 THEN '' WHEN 1 THEN ' NaN' WHEN 2 THEN 'na ' ELSE CAST(value AS VARCHAR) END AS c FROM ({EV}) e) q) z GROUP BY series_id")
+def parse_cells(spark, sf):
+    c = F.expr("CASE n % 5 WHEN 0 THEN '' WHEN 1 THEN ' NaN' WHEN 2 THEN 'na ' ELSE CAST(value AS STRING) END")
+    d = events_series(spark, sf).withColumn("c", c).withColumn("v", F.expr("try_cast(CASE WHEN lower(trim(c)) IN ('', 'nan', 'na') THEN NULL ELSE c END AS double)"))
+    return d.groupBy("series_id").agg(F.count("v").alias("observed"), F.round(F.sum("v"), 6).alias("total"))
+
+
+# ------------------------------------------------------------------ dependence
+
+
+@query("pseudo_observations", f"SELECT g, n, round(u, 9) AS u, round(v, 9) AS v FROM ({RANKED}) r")
+def pseudo_observations(spark, sf):
+    return _rounded(grouped.pseudo_observations(lag_pairs(spark, sf)).select("g", "n", "u", "v"), 9, "u", "v")
+
+
+@query("weighted_ecdf", f"SELECT g, n, round(sum(w) OVER (PARTITION BY g ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / (sum(w) OVER (PARTITION BY g) + 1), 9) AS ecdf FROM ({PAIRS}) p")
+def weighted_ecdf(spark, sf):
+    return _rounded(grouped.weighted_ecdf(lag_pairs(spark, sf)).select("g", "n", "ecdf"), 9, "ecdf")
+
+
+def _tau_sql(w: str) -> str:
+    return f"SELECT a.g, sum({w} * sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(sum({w} * abs(sign(a.x - b.x))) * sum({w} * abs(sign(a.y - b.y)))) AS tau FROM ({PAIRS}) a JOIN ({PAIRS}) b ON a.g = b.g GROUP BY a.g"
+
+
+@query("kendall_tau", f"SELECT g, round(t.tau, 9) AS tau, round(tw.tau, 9) AS weighted_tau FROM ({_tau_sql('1.0')}) t JOIN ({_tau_sql('a.w * b.w')}) tw USING (g)")
+def kendall_tau(spark, sf):
+    p = lag_pairs(spark, sf)
+    both = grouped.kendall(p).join(grouped.kendall(p, "w").withColumnRenamed("tau", "weighted_tau"), "g")
+    return _rounded(both, 9, "tau", "weighted_tau")
+
+
+@query(
+    "copula_statistics",
+    f"""WITH r AS MATERIALIZED ({RANKED}), c AS (SELECT a.g, a.n, a.m, a.u, a.v, avg(CASE WHEN b.u <= a.u AND b.v <= a.v THEN 1.0 ELSE 0 END) AS c1, avg(CASE WHEN b.u <= a.v AND b.v <= a.u THEN 1.0 ELSE 0 END) AS c2, avg(CASE WHEN b.u <= 1 - a.u + 1e-12 AND b.v <= 1 - a.v + 1e-12 THEN 1.0 ELSE 0 END) AS c3 FROM r a JOIN r b ON a.g = b.g GROUP BY ALL)
+    SELECT g, round(sum(power(c1 - u * v, 2)), 4) AS cvm, round(sum(power(c1 - c2, 2)), 4) AS exchangeability, round(sum(power(c1 - (u + v - 1 + c3), 2)), 4) AS radial_symmetry, round(sum(power(c1 - u * v, 2)), 4) AS rosenblatt FROM c GROUP BY g""",
+)
+def copula_statistics(spark, sf):
+    return _rounded(grouped.copula_statistics(lag_pairs(spark, sf)), 4, "cvm", "exchangeability", "radial_symmetry", "rosenblatt")
+
+
+@query(
+    "tau_inversion",
+    f"WITH t AS ({_tau_sql('1.0')}) "
+    + " UNION ALL ".join(
+        f"SELECT g, '{f}' AS family, round(tau, 9) AS tau, round({th}, 6) AS theta FROM (SELECT g, tau, least(greatest(tau, {FAMILIES[f].clip_tau(-9)!r}), {FAMILIES[f].clip_tau(9)!r}) AS c FROM t) q"
+        for f, th in (("Gauss", "sin(pi() * c / 2)"), ("Clayton", "2 * c / (1 - c)"), ("GH", "1 / (1 - c)"), ("FGM", "4.5 * c"))
+    ),
+)
+def tau_inversion(spark, sf):
+    return _rounded(_rounded(grouped.tau_fits(lag_pairs(spark, sf)), 9, "tau"), 6, "theta")
+
+
+@query(
+    "ljung_box",
+    f"WITH z AS (SELECT g, n, x - avg(x) OVER (PARTITION BY g) AS z FROM ({PAIRS}) p), l AS (SELECT g, z, {', '.join(f'lag(z, {k}) OVER (PARTITION BY g ORDER BY n) AS z{k}' for k in range(1, 6))} FROM z), s AS (SELECT g, count(*) AS m, sum(z * z) AS s0, {', '.join(f'sum(z * z{k}) AS s{k}' for k in range(1, 6))} FROM l GROUP BY g) SELECT g, round(m * (m + 2.0) * ({' + '.join(f'power(s{k} / s0, 2) / (m - {k})' for k in range(1, 6))}), 6) AS q FROM s",
+)
+def ljung_box(spark, sf):
+    return _rounded(grouped.ljung_box(lag_pairs(spark, sf)), 6, "q")
+
+
+@query(
+    "neyman_components",
+    f"SELECT g, {', '.join(f'round(sum({p}) * {float(np.sqrt(2 * k + 1))!r} / sqrt(count(*)), 6) AS v{k}' for k, p in enumerate(('z', '(3 * z * z - 1) / 2', '(5 * z * z * z - 3 * z) / 2', '(35 * z * z * z * z - 30 * z * z + 3) / 8'), 1))} FROM (SELECT g, 2 * (1 - exp(-x / 49)) - 1 AS z FROM ({PAIRS}) p) q GROUP BY g",
+)
+def neyman_components(spark, sf):
+    d = lag_pairs(spark, sf).withColumn("u", 1 - F.exp(-F.col("x") / 49))
+    return _rounded(grouped.neyman(d), 6, "v1", "v2", "v3", "v4")
+
+
+# ------------------------------------------------------------------ kernels
+
+_GRID = [("Prod", 0.0), ("FGM", 0.15), ("CubSec", 0.1), ("Clayton", 0.5), ("GH", 0.5), ("Frank", 0.4), ("Joe", 0.5), ("A12", 0.6), ("A14", 0.6), ("AMH", 0.2), ("Plackett", 0.4), ("Galambos", 0.5), ("Tawn1", 0.3), ("Tawn2", 0.3), ("Tawn3", 0.3), ("BB1", 0.6), ("BB6", 0.6), ("BB7", 0.6), ("BB8", 0.5), ("SClayton", 0.5), ("SGH", 0.5), ("SJoe", 0.5), ("SBB1", 0.6), ("Clayton90", -0.5), ("Clayton270", -0.5), ("GH90", -0.5), ("GH270", -0.5), ("Joe90", -0.5), ("Joe270", -0.5), ("BB190", -0.6), ("BB1270", -0.6), ("A1290", -0.6), ("A12270", -0.6), ("A1490", -0.6), ("A14270", -0.6), ("SBB190", -0.6), ("SBB1270", -0.6)]
+_EXTRA = {"Tawn1": {"psi": 0.7}, "Tawn2": {"psi": 0.7}, "Tawn3": {"psi_u": 0.8, "psi_v": 0.6}}
+_LATTICE = "SELECT CAST(a.{0} + 1 AS DOUBLE) / 12 AS u, CAST(b.{0} + 1 AS DOUBLE) / 12 AS v FROM range(11) a CROSS JOIN range(11) b"
+
+
+@cache
+def _kernel_rows() -> list[tuple[str, str, str, str]]:
+    out = []
+    for name, tau in _GRID:
+        f = FAMILIES[name]
+        p = f.params(tau, _EXTRA.get(name))
+        u, v = Sql("u"), Sql("v")
+        out.append((name, *(str(x) for x in (f.shape.log_pdf(u, v, p), f.shape.h(v, u, p), f.shape.cdf(u, v, p)))))
+    return out
+
+
+#: Families whose kernels are short enough to be compiled next to each other.
+_SHORT = ("Prod", "FGM", "CubSec", "Clayton", "GH", "Frank", "AMH", "Plackett", "SClayton", "Clayton90", "GH270")
+
+
+def _kernel_sql(lattice: str, names) -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS family, round(u, 6) AS u, round(v, 6) AS v, round({a}, 4) AS log_pdf, round({h}, 4) AS h, round({c}, 4) AS cdf FROM ({lattice}) q" for n, a, h, c in _kernel_rows() if n in names)
+
+
+@query("copula_kernels", _kernel_sql(_LATTICE.format("range"), _SHORT))
+def copula_kernels(spark, sf):
+    """Log density, conditional and joint distribution as Catalyst expressions."""
+    return spark.sql(_kernel_sql(_LATTICE.format("id"), _SHORT))
+
+
+@query("copula_kernels_numpy", _kernel_sql(_LATTICE.format("range"), {n for n, _ in _GRID}))
+def copula_kernels_numpy(spark, sf):
+    """All families with an elementary form, from the numpy form of the kernels."""
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            for name, tau in zip(pdf["family"], pdf["tau"], strict=True):
+                f = FAMILIES[name]
+                p = f.params(tau, _EXTRA.get(name))
+                u, v = (z.reshape(-1) for z in np.meshgrid(np.arange(1, 12) / 12, np.arange(1, 12) / 12))
+                yield pd.DataFrame({"family": name, "u": np.round(u, 6), "v": np.round(v, 6), "log_pdf": np.round(f.log_pdf(u, v, p), 4) + 0.0, "h": np.round(f.h(v, u, p), 4), "cdf": np.round(f.cdf(u, v, p), 4)})
+
+    return spark.createDataFrame(_GRID, "family string, tau double").repartition(8, "family").mapInPandas(run, "family string, u double, v double, log_pdf double, h double, cdf double")
+
+
+_LAW = {"left": Margin("norm", {"loc": 25.5, "scale": 14.43}), "right": Margin("norm", {"loc": 35000.0, "scale": 22000.0})}
+
+
+def _law_sql(of: str) -> str:
+    f = FAMILIES[of]
+    return f"{f.shape.log_pdf(Sql('u'), Sql('v'), f.params(0.5))}"
+
+
+@query(
+    "bivariate_law_lineitem",
+    f"SELECT l_returnflag, round(avg({_law_sql('GH')} + a + b), 6) AS mean_log_pdf, round(avg({FAMILIES['GH'].shape.h(Sql('v'), Sql('u'), FAMILIES['GH'].params(0.5))}), 6) AS mean_conditional FROM (SELECT l_returnflag, {ops.clamp(_LAW['left'].cdf(Sql('l_quantity')))} AS u, {ops.clamp(_LAW['right'].cdf(Sql('l_extendedprice')))} AS v, {_LAW['left'].logpdf(Sql('l_quantity'))} AS a, {_LAW['right'].logpdf(Sql('l_extendedprice'))} AS b FROM lineitem) q GROUP BY l_returnflag",
+)
+def bivariate_law_lineitem(spark, sf):
+    """Joint log density and conditional law of quantity and price."""
+    d = table(spark, sf, "lineitem").select(
+        "l_returnflag",
+        F.expr(str(ops.clamp(_LAW["left"].cdf(Sql("l_quantity"))))).alias("u"),
+        F.expr(str(ops.clamp(_LAW["right"].cdf(Sql("l_extendedprice"))))).alias("v"),
+        F.expr(str(_LAW["left"].logpdf(Sql("l_quantity")))).alias("a"),
+        F.expr(str(_LAW["right"].logpdf(Sql("l_extendedprice")))).alias("b"),
+    )
+    h = FAMILIES["GH"].shape.h(Sql("v"), Sql("u"), FAMILIES["GH"].params(0.5))
+    return d.groupBy("l_returnflag").agg(F.round(F.avg(F.expr(_law_sql("GH")) + F.col("a") + F.col("b")), 6).alias("mean_log_pdf"), F.round(F.avg(F.expr(str(h))), 6).alias("mean_conditional"))
+
+
+_MARGINS = {"norm": Margin("norm", {"loc": 40.0, "scale": 30.0}), "expon": Margin("expon", {"scale": 49.0}), "logistic": Margin("logistic", {"loc": 40.0, "scale": 20.0}), "lognorm": Margin("lognorm", {"s": 1.2, "scale": 28.0}), "weibull_min": Margin("weibull_min", {"c": 1.1, "scale": 50.0}), "uniform": Margin("uniform", {"loc": 0.0, "scale": 600.0})}
+_MARGIN_AGGS = {f"{k}_{part}": str(getattr(m, part)(Sql("value"))) for k, m in _MARGINS.items() for part in ("logpdf", "cdf")}
+
+
+@query("margin_kernels", f"SELECT event_type, {', '.join(f'round(avg({s}), 6) AS {k}' for k, s in _MARGIN_AGGS.items())} FROM events GROUP BY event_type")
+def margin_kernels(spark, sf):
+    return table(spark, sf, "events").groupBy("event_type").agg(*(F.round(F.avg(F.expr(s)), 6).alias(k) for k, s in _MARGIN_AGGS.items()))
+
+
+# ------------------------------------------------------------------ fitting
+
+
+@query("fit_best")
+def fit_best(spark, sf):
+    return grouped.fit_best(lag_pairs(spark, sf))
+
+
+@query("vuong_clarke")
+def vuong_clarke(spark, sf):
+    return grouped.vuong(lag_pairs(spark, sf), "Gauss", "Frank")
+
+
+@query("gof_bootstrap")
+def gof_bootstrap(spark, sf):
+    """Goodness of fit of a Gauss copula per event type of the first state of orders."""
+    o = table(spark, sf, "orders")
+    p = o.groupBy(F.col("o_custkey").alias("g0")).agg(F.count(F.lit(1)).cast("double").alias("x"), F.sum("o_totalprice").alias("y"))
+    return grouped.gof_bootstrap(p.select((F.col("g0") % F.greatest(F.lit(1), F.lit(16))).alias("g"), "x", "y"), "Gauss", 19)
+
+
+@query("ice_pmc")
+def ice_pmc(spark, sf):
+    """Unsupervised estimation over all series: the trace of log-likelihoods."""
+    est = estimate.ice(events_series(spark, sf), models()["hmc_dn"], max_iter=4, candidates=("Gauss", "Clayton"))
+    return spark.createDataFrame([(t["iter"], float(t["log_lik"])) for t in est.trace], "iter int, log_lik double")
+
+
+@query("sem_hmc_in")
+def sem_hmc_in(spark, sf):
+    est = estimate.sem(events_series(spark, sf), _IN, max_iter=3)
+    return spark.createDataFrame([(t["iter"], float(t["log_lik"])) for t in est.trace], "iter int, log_lik double")
+
+
+@query(
+    "m_step_margins",
+    f"WITH RECURSIVE {catalyst.smooth_sql(_IN, EV)} SELECT round(sum(g0 * y) / sum(g0), 6) AS mean_0, round(sum(g1 * y) / sum(g1), 6) AS mean_1, round(sqrt(sum(g0 * y * y) / sum(g0) - power(sum(g0 * y) / sum(g0), 2)), 5) AS sd_0, round(sqrt(sum(g1 * y * y) / sum(g1) - power(sum(g1 * y) / sum(g1), 2)), 5) AS sd_1 FROM post JOIN rws USING (series_id, n)",
+)
+def m_step_margins(spark, sf):
+    """One estimation step of the state margins."""
+    m = estimate.m_step(_IN, estimate.e_step(events_series(spark, sf), _IN, ()), ())
+    row = [round(m.margins[(i,)].params[k], d) for k, d in (("loc", 6), ("scale", 5)) for i in range(2)]
+    return spark.createDataFrame([tuple(row)], "mean_0 double, mean_1 double, sd_0 double, sd_1 double")
+
+
+# ------------------------------------------------------------------ simulation and images
+
+
+@query("simulate_series")
+def simulate_series(spark, sf):
+    return series.simulate_series(spark, models()["pmc_pair"], 8, 100)
+
+
+@query("sample_posterior")
+def sample_posterior(spark, sf):
+    return series.sample_posterior(_gapped(spark, sf), models()["hmc_dn"], seed=3)
+
+
+@query("image_path", "SELECT CAST(count(*) AS BIGINT) AS cells, CAST(sum(r * 37 + c) AS BIGINT) AS checksum FROM (SELECT a.range AS r, b.range AS c FROM range(24) a CROSS JOIN range(37) b) q")
+def image_path(spark, sf):
+    """Every cell of a 24 x 37 image is on the curve once."""
+    p = image.path_table(spark, 24, 37).select("row", "col").distinct()
+    return p.agg(F.count(F.lit(1)).alias("cells"), F.sum(F.col("row") * 37 + F.col("col")).alias("checksum"))
+
+
+@query("classify_image")
+def classify_image(spark, sf):
+    """A synthetic image of two regions, labelled along the curve."""
+    px = spark.range(24 * 37).select(F.lit("a").alias("image_id"), F.floor(F.col("id") / 37).cast("int").alias("row"), (F.col("id") % 37).cast("int").alias("col"))
+    px = px.withColumn("y", F.when(F.col("col") > 18, 3.9).otherwise(2.4) + F.sin(F.col("row") * 7 + F.col("col") * 3))
+    return image.classify_image(px, _IN, 24, 37)
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
