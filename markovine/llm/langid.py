@@ -100,7 +100,7 @@ class Scorer:
         return m.langs[best], float(1.0 / np.exp(total - total[best]).sum())
 
 
-def train(df: DataFrame, label_col: str, text_col: str = "text", id_col: str = "doc_id", max_docs: int = 6000, max_words: int = 40_000, max_grams: int = 60_000, min_count: int = 2, orders: tuple[int, ...] = (5, 4, 3, 2, 1)) -> LanguageModel:
+def train(df: DataFrame, label_col: str, text_col: str = "text", id_col: str = "doc_id", max_docs: int = 6000, max_words: int = 30_000, max_grams: int = 60_000, min_count: int = 2, orders: tuple[int, ...] = (4, 3, 2, 1)) -> LanguageModel:
     """Fit on at most ``max_docs`` labelled rows of ``df``."""
     ids = df.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id")).orderBy(F.xxhash64("__id"), "__id").limit(max_docs)
     rows = df.where(F.col(label_col).isNotNull()).join(F.broadcast(ids.distinct()), F.expr(f"`{id_col}` <=> __id"), "left_semi").select(F.col(label_col).cast("string").alias("lang"), F.col(text_col).alias("text"))

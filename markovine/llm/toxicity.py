@@ -23,6 +23,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +47,10 @@ def terms(text: str | None) -> set[str]:
 def slots(text: str | None, bits: int) -> np.ndarray:
     """The sorted distinct slots of a text's words."""
     if not text:
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.int32)
     mask = (1 << bits) - 1
     digest = xxhash.xxh32_intdigest
-    return np.unique(np.fromiter((digest(w) & mask for w in terms(text)), dtype=np.int64))
+    return np.unique(np.fromiter((digest(w) & mask for w in terms(text)), dtype=np.int32))
 
 
 class FactorizationMachine:
@@ -95,10 +96,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, bits: i
     if not 0 < prior < 1:
         return none
     items = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     used, place, docs = np.unique(items, return_inverse=True, return_counts=True)
-    y = labels[owner]
-    pos = np.bincount(place, weights=y, minlength=len(used))
+    place = place.astype(np.int32)
+    pos = np.bincount(place[labels[owner] > 0], minlength=len(used))
     neg = docs - pos
     n_pos, n_neg = labels.sum(), len(labels) - labels.sum()
     odds = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
@@ -142,9 +143,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, bits: i
     return FactorizationMachine(bits, used[kept], float(w0), w, v)
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", max_per_class: int = 6000, bits: int = 20) -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", max_per_class: int = 3000, bits: int = 20) -> FactorizationMachine:
     """Fit on at most ``max_per_class`` labelled rows of each class."""
-    spark = docs.sparkSession
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     marked = marked.withColumn("y", (F.col("y") > 0).cast("int"))
     totals = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -160,12 +160,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
                 yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(rows, pa.binary())], names=["y", "row"])
 
     rows = docs.join(F.broadcast(sample), docs[id_col] == sample["__id"]).select("y", F.col(text_col).alias("text"))
-    got = rows.mapInArrow(featurize, "y int, row binary").orderBy("row", "y").collect()  # at most 2 * max_per_class short rows
-    y = np.array([r["y"] for r in got], dtype=np.float64)
+    # at most 2 * max_per_class short rows, in an order that does not depend on the tasks
+    got = sorted(((bytes(r["row"]), r["y"]) for r in rows.mapInArrow(featurize, "y int, row binary").collect()), key=lambda r: (zlib.crc32(r[0]), r))
+    y = np.array([k for _, k in got], dtype=np.float64)
     found = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     weights = np.array([totals.get(int(k), 0) / found[int(k)] for k in y], dtype=np.float64)
-    del spark
-    return fit([np.frombuffer(r["row"], dtype=np.int64) for r in got], y, weights, bits)
+    return fit([np.frombuffer(r, dtype=np.int32) for r, _ in got], y, weights, bits)
 
 
 def predict(df: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
