@@ -526,7 +526,14 @@ class Family:
     def log_pdf(self, u, v, p):
         u, v = self._num(u, v)
         with np.errstate(all="ignore"):
-            return self.shape.log_pdf(u, v, p)
+            z = np.asarray(self.shape.log_pdf(u, v, p), float)
+            # where powers overflow at the edge, the nearest point at which they do not
+            for edge in (1e-10, 1e-7, 1e-5, 1e-3):
+                bad = np.isnan(z) | np.isposinf(z)
+                if not bad.any():
+                    break
+                z = np.where(bad, self.shape.log_pdf(np.clip(u, edge, 1 - edge), np.clip(v, edge, 1 - edge), p), z)
+        return z
 
     def inv_h(self, w, u, p):
         """v with h(v | u) = w, by bisection."""

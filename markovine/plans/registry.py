@@ -425,7 +425,8 @@ def neyman_components(spark, sf):
 
 _GRID = [("Prod", 0.0), ("FGM", 0.15), ("CubSec", 0.1), ("Clayton", 0.5), ("GH", 0.5), ("Frank", 0.4), ("Joe", 0.5), ("A12", 0.6), ("A14", 0.6), ("AMH", 0.2), ("Plackett", 0.4), ("Galambos", 0.5), ("Tawn1", 0.3), ("Tawn2", 0.3), ("Tawn3", 0.3), ("BB1", 0.6), ("BB6", 0.6), ("BB7", 0.6), ("BB8", 0.5), ("SClayton", 0.5), ("SGH", 0.5), ("SJoe", 0.5), ("SBB1", 0.6), ("Clayton90", -0.5), ("Clayton270", -0.5), ("GH90", -0.5), ("GH270", -0.5), ("Joe90", -0.5), ("Joe270", -0.5), ("BB190", -0.6), ("BB1270", -0.6), ("A1290", -0.6), ("A12270", -0.6), ("A1490", -0.6), ("A14270", -0.6), ("SBB190", -0.6), ("SBB1270", -0.6)]
 _EXTRA = {"Tawn1": {"psi": 0.7}, "Tawn2": {"psi": 0.7}, "Tawn3": {"psi_u": 0.8, "psi_v": 0.6}}
-_LATTICE = "SELECT CAST(a.{0} + 1 AS DOUBLE) / 12 AS u, CAST(b.{0} + 1 AS DOUBLE) / 12 AS v FROM range(11) a CROSS JOIN range(11) b"
+#: Points off the simple fractions, where values would sit on rounding ties.
+_LATTICE = "SELECT (CAST(a.{0} AS DOUBLE) + CAST(0.77 AS DOUBLE)) / CAST(11.83 AS DOUBLE) AS u, (CAST(b.{0} AS DOUBLE) + CAST(0.77 AS DOUBLE)) / CAST(11.83 AS DOUBLE) AS v FROM range(11) a CROSS JOIN range(11) b"
 
 
 @cache
@@ -444,7 +445,7 @@ _SHORT = ("Prod", "FGM", "CubSec", "Clayton", "GH", "Frank", "AMH", "Plackett",
 
 
 def _kernel_sql(lattice: str, names) -> str:
-    return " UNION ALL ".join(f"SELECT '{n}' AS family, round(u, 6) AS u, round(v, 6) AS v, round({a}, 4) AS log_pdf, round({h}, 4) AS h, round({c}, 4) AS cdf FROM ({lattice}) q" for n, a, h, c in _kernel_rows() if n in names)
+    return " UNION ALL ".join(f"SELECT '{n}' AS family, round(u, 6) AS u, round(v, 6) AS v, round({a}, 6) AS log_pdf, round({h}, 6) AS h, round({c}, 6) AS cdf FROM ({lattice}) q" for n, a, h, c in _kernel_rows() if n in names)
 
 
 @query("copula_kernels", _kernel_sql(_LATTICE.format("range"), _SHORT))
@@ -463,8 +464,8 @@ def copula_kernels_numpy(spark, sf):
             for name, tau in zip(pdf["family"], pdf["tau"], strict=True):
                 f = FAMILIES[name]
                 p = f.params(tau, _EXTRA.get(name))
-                u, v = (z.reshape(-1) for z in np.meshgrid(np.arange(1, 12) / 12, np.arange(1, 12) / 12))
-                yield pd.DataFrame({"family": name, "u": np.round(u, 6), "v": np.round(v, 6), "log_pdf": np.round(f.log_pdf(u, v, p), 4) + 0.0, "h": np.round(f.h(v, u, p), 4), "cdf": np.round(f.cdf(u, v, p), 4)})
+                u, v = (z.reshape(-1) for z in np.meshgrid((np.arange(11) + 0.77) / 11.83, (np.arange(11) + 0.77) / 11.83))
+                yield pd.DataFrame({"family": name, "u": np.round(u, 6), "v": np.round(v, 6), "log_pdf": np.round(f.log_pdf(u, v, p), 6) + 0.0, "h": np.round(f.h(v, u, p), 6), "cdf": np.round(f.cdf(u, v, p), 6)})
 
     return spark.createDataFrame(_GRID, "family string, tau double").repartition(8, "family").mapInPandas(run, "family string, u double, v double, log_pdf double, h double, cdf double")
 
@@ -518,10 +519,10 @@ def vuong_clarke(spark, sf):
 
 @query("gof_bootstrap")
 def gof_bootstrap(spark, sf):
-    """Goodness of fit of a Gauss copula per event type of the first state of orders."""
-    o = table(spark, sf, "orders")
-    p = o.groupBy(F.col("o_custkey").alias("g0")).agg(F.count(F.lit(1)).cast("double").alias("x"), F.sum("o_totalprice").alias("y"))
-    return grouped.gof_bootstrap(p.select((F.col("g0") % F.greatest(F.lit(1), F.lit(16))).alias("g"), "x", "y"), "Gauss", 19)
+    """Goodness of fit of a Gauss copula to customers' order counts and totals, per nation."""
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).cast("double").alias("x"), F.sum("o_totalprice").alias("y"))
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("g"))
+    return grouped.gof_bootstrap(o.join(c, "c_custkey").select("g", "x", "y"), "Gauss", 19)
 
 
 @query("ice_pmc")
