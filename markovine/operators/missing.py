@@ -17,7 +17,7 @@ TOL = 1e-9
 def parse_cell(cell: Column) -> Column:
     """A CSV cell: empty, ``nan`` and ``na`` (any case, trimmed) are missing."""
     c = F.lower(F.trim(cell))
-    return F.when(c.isin("", "nan", "na"), F.lit(None).cast("double")).otherwise(F.expr("1D") * c.cast("double"))
+    return F.when(c.isin("", "nan", "na"), F.lit(None).cast("double")).otherwise(c.cast("double"))
 
 
 def canonical(y: Column) -> Column:
