@@ -5,8 +5,8 @@ Rows are range-partitioned and sorted by id, encoded, and cut into shards of abo
 nonterminals, round after round, until no pair is frequent; pairs never cross a
 document's end, so each document has its own stretch of the compressed sequence.
 A round replaces all pairs above a count at once (left to right inside overlapping
-runs), which is the grammar that one-pair-at-a-time replacement builds up to ties,
-in a few sorted passes.  A shard stores the rules, the expansion length of every
+runs) instead of one pair at a time; it finds them with a hash table of counts, in
+passes over the sequence without a sort.  A shard stores the rules, the expansion length of every
 nonterminal, the compressed sequence and where each document starts in it, so one
 document, or one position in it, is decoded without the rest.
 
@@ -27,6 +27,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,12 +40,19 @@ SHARD = 1 << 20
 CACHE_PIECES = 400_000
 MAGIC = b"RPG1"
 NO_ID = np.iinfo(np.int64).min
-
-# The pre-tokenisation pattern of byte-level vocabularies, and the same
-# for texts of ASCII and Latin letters alone, where the standard matcher is faster.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Slots of the table that finds frequent pairs, and its odd hash multipliers.
+SLOTS = 1 << 18
+MULTIPLIERS = (0x1E3779B97F4A7C15, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85)
+
+# The pre-tokenisation pattern of byte-level vocabularies (white space as
+# Unicode defines it), and the same for texts of ASCII and Latin letters alone, where
+# the standard matcher is faster.
+SPACES = "\t-\r \x85\xa0  -     　"
+PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 LATIN = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
-LATIN_PATTERN = rf"'(?:[stmd]|re|ve|ll)| ?[{LATIN}]+| ?[0-9]+| ?[^\s{LATIN}0-9]+|\s+(?!\S)|\s+"
+LATIN_PATTERN = rf"'(?:[stmd]|re|ve|ll)| ?[{LATIN}]+| ?[0-9]+| ?[^{SPACES}{LATIN}0-9]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
+#: ``encode_batch`` cuts texts before these characters.
+CUTS, MARK = " \n.,", "\x01"
 
 
 class _Pieces(dict):
@@ -63,6 +71,22 @@ class _Pieces(dict):
         return ids
 
 
+def _borders(entries: pa.Array, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Per string: 0 if it is empty or ends with a letter or digit, 1 with white space, 2
+    with anything else; and whether it starts with a full stop or comma."""
+    lengths = pc.binary_length(entries).to_numpy()
+    ends = np.cumsum(lengths, dtype=np.int64)
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    some = lengths > 0
+    last, head = np.zeros(len(words), np.uint8), np.zeros(len(words), np.uint8)
+    last[some], head[some] = data[ends[some] - 1], data[(ends - lengths)[some]]
+    table = np.array([0 if chr(c).isalnum() else 1 if chr(c).isspace() else 2 for c in range(128)] + [2] * 128, np.int8)
+    kind = np.where(some, table[last], 0).astype(np.int8)
+    for k in np.flatnonzero(last >= 128).tolist():
+        kind[k] = 0 if words[k][-1].isalnum() else 1 if words[k][-1].isspace() else 2
+    return kind, (head == ord(".")) | (head == ord(","))
+
+
 class PieceEncoder:
     """The ids of a text from the tokenizers library.
 
@@ -90,18 +114,81 @@ class PieceEncoder:
         self.split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.general, self.latin = regex.compile(PATTERN), re.compile(LATIN_PATTERN)
         self.other = re.compile(rf"[^\x00-\x7f{LATIN}]")
+        self.by_word = self.by_piece and not any(c in t for t in self.special for c in CUTS + MARK)
         self.known = _Pieces(self._piece)
+        self.words: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        coded = (piece if piece.isascii() else piece.encode().decode("latin1")).translate(self.symbols)
+        if piece.isascii() and piece.isprintable():  # of these the space alone has another symbol
+            coded = piece.replace(" ", self.symbols[32])
+        else:
+            coded = (piece if piece.isascii() else piece.encode().decode("latin1")).translate(self.symbols)
         ids = [t.id for t in self.tokenizer.model.tokenize(coded)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _word(self, word: str) -> bytes:
+        """The ids of a stretch between cuts."""
+        body = word[1:] if word[:1] == " " else word
+        if body.isascii() and body.isalpha():
+            return self._piece(word)
+        find = self.latin if word.isascii() or not self.other.search(word) else self.general
+        pieces = find.findall(word)
+        return self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self.known.__getitem__, pieces))
+
+    def _words(self, words: list[str], counts: list[int]) -> list[bytes]:
+        """The ids of every stretch; those that occur once are not remembered."""
+        got = list(map(self.words.get, words))
+        if len(self.words) >= CACHE_PIECES:
+            self.words.clear()
+        for k, ids in enumerate(got):
+            if ids is None:
+                got[k] = ids = self._word(words[k])
+                if counts[k] > 1 and len(words[k]) <= 64:
+                    self.words[words[k]] = ids
+        return got
+
+    def encode_batch(self, texts: pa.Array) -> list[bytes]:
+        """``encode`` of every text (without nulls).
+
+        Texts are cut before spaces, line ends, full stops and commas, each distinct
+        stretch of the batch is encoded once, and the ids are put together again.  The
+        pre-tokeniser cuts there too unless white space precedes a space or line end, or
+        anything but a letter or digit precedes a full stop or comma; texts in which
+        that happens, or which hold special tokens, are encoded by themselves.
+        """
+        if not self.by_word or not len(texts):
+            return [self.encode(t) for t in texts.to_pylist()]
+        alone = pc.match_substring(texts, MARK).to_numpy(zero_copy_only=False)
+        for t in self.special:
+            alone = alone | pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
+        cut = texts
+        for c in CUTS:
+            cut = pc.replace_substring(cut, c, MARK + c)
+        lists = pc.split_pattern(cut, MARK)
+        coded = lists.flatten().dictionary_encode()
+        place, entries = coded.indices.to_numpy(), coded.dictionary
+        words = entries.to_pylist()
+        got = self._words(words, np.bincount(place, minlength=len(words)).tolist())
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        flat = np.frombuffer(b"".join(got), "<u4")
+        kind, stop_mark = _borders(entries, words)
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        before = np.concatenate([kind[:1], kind[place[:-1]]])
+        before[bounds[:-1]] = 0  # nothing precedes a text's first stretch
+        joined = (before == 1) | ((before == 2) & stop_mark[place])
+        alone = alone | np.logical_or.reduceat(joined, bounds[:-1])
+        n = sizes[place]
+        stop = np.cumsum(n)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[place] - (stop - n), n) + np.arange(int(stop[-1]))]
+        stop = np.concatenate([[0], stop])[bounds].tolist()
+        return [self.encode(texts[k].as_py()) if by_itself else ids[stop[k] : stop[k + 1]].tobytes() for k, by_itself in enumerate(alone.tolist())]
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not self.by_piece:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        out, at = [], 0
+        out: list[bytes] = []
+        at = 0
         stretches: list[tuple[str, int | None]] = []
         if self.split is not None:
             for m in self.split.finditer(text):
@@ -111,7 +198,7 @@ class PieceEncoder:
         ids = self.known.__getitem__
         for stretch, special in stretches:
             find = self.general if self.other.search(stretch) else self.latin
-            out.extend(map(ids, find.findall(stretch)))
+            out.append(b"".join(map(ids, find.findall(stretch))))
             if special is not None:
                 out.append(np.array([special], dtype="<u4").tobytes())
         return b"".join(out)
@@ -129,41 +216,44 @@ def repair(ids: np.ndarray, ends: np.ndarray, least: int = 32, rounds: int = 5)
     last[ends[ends > 0] - 1] = True
     rules: list[np.ndarray] = []
     symbols = base
-    for _ in range(rounds):
+    for r in range(rounds):
         if len(seq) < 2:
             break
-        code = seq[:-1] * symbols + seq[1:]
+        code = seq[:-1] * symbols
+        code += seq[1:]
+        # one pair stands for each slot of a table and is counted exactly; a pair that
+        # another one hides meets another hash in the next round
+        slot = code * MULTIPLIERS[r % len(MULTIPLIERS)]
+        slot >>= 40
+        slot &= SLOTS - 1
         code[last[:-1]] = -1
-        # pairs in a rare bucket are rare; the others are counted exactly
-        slot = (code * 0x9E3779B1 >> 7) & 0xFFFFF
-        often = (np.bincount(slot, minlength=1 << 20) >= least)[slot] & (code >= 0)
-        pairs, counts = np.unique(code[often], return_counts=True)
-        if not len(pairs):
-            break
+        stand = np.full(SLOTS, -1, dtype=np.int64)
+        stand[slot] = code
+        counted = stand[slot] == code
+        counted &= ~last[:-1]
+        counts = np.bincount(slot[counted], minlength=SLOTS)
         most = int(counts.max())
         if most < least:
             break
-        chosen = pairs[counts >= max(least, most // 48)]
-        at = np.flatnonzero(often)
-        place = np.searchsorted(chosen, code[at])
-        place[place == len(chosen)] = 0
-        hit = chosen[place] == code[at]
-        at, place = at[hit], place[hit]
+        frequent = counts >= max(least, most // 48)
+        at = np.flatnonzero(counted & frequent[slot])
         # of overlapping occurrences every second one of a run is taken
         starts = np.empty(len(at), dtype=bool)
         starts[0] = True
         starts[1:] = np.diff(at) != 1
         run = np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - run) % 2 == 0
-        at, place = at[take], place[take]
-        used, place = np.unique(place, return_inverse=True)
-        rules.append(np.stack([chosen[used] // symbols, chosen[used] % symbols], axis=1))
-        seq[at] = symbols + place
+        at = at[(np.arange(len(at)) - run) & 1 == 0]
+        place = slot[at]
+        used = np.zeros(SLOTS, dtype=bool)
+        used[place] = True
+        pairs = stand[used]
+        rules.append(np.stack([pairs // symbols, pairs % symbols], axis=1))
+        seq[at] = symbols + (np.cumsum(used) - 1)[place]
         last[at] |= last[at + 1]
         stay = np.ones(len(seq), dtype=bool)
         stay[at + 1] = False
         seq, last = seq[stay], last[stay]
-        symbols += len(used)
+        symbols += len(pairs)
     table = np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.int64)
     empty_ends = ends.copy()
     empty_ends[ends > 0] = np.flatnonzero(last)[np.searchsorted(np.unique(ends[ends > 0]), ends[ends > 0])] + 1 if len(seq) else 0
@@ -196,10 +286,10 @@ class Shard:
         starts = np.concatenate([[0], np.cumsum(counts)]).astype("<i8")
         ids = np.frombuffer(b"".join(arrays), "<u4")
         seq, ends, rules, base = repair(ids, starts[1:])
-        lengths = np.zeros(len(rules), dtype="<u4")
-        size = lambda s: 1 if s < base else int(lengths[s - base])
-        for i, (a, b) in enumerate(rules.tolist()):
-            lengths[i] = size(a) + size(b)
+        sizes: list[int] = []
+        for a, b in rules.tolist():
+            sizes.append((1 if a < base else sizes[a - base]) + (1 if b < base else sizes[b - base]))
+        lengths = np.array(sizes, dtype="<u4")
         head = np.array([len(doc_ids), len(seq), len(rules), base, len(ids)], dtype="<i8")
         names = np.array([NO_ID if d is None else d for d in doc_ids], dtype="<i8")
         return b"".join([MAGIC, *(x.tobytes() for x in (head, names, starts, ends.astype("<i8"), rules, lengths, seq))])
@@ -274,9 +364,9 @@ def write_ids(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([first], pa.int64()), pa.array([held], pa.int64()), pa.array([blob], pa.binary())], names=["part", "seq", "first", "n_ids", "blob"])
 
         for whole in batches:
-            for b in chunks(whole, "text"):
-                for doc, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    one = encoder.encode(text or "") + end
+            for b in chunks(whole, "text", 8 << 20):
+                for doc, one in zip(b.column("id").to_pylist(), encoder.encode_batch(b.column("text")), strict=True):
+                    one += end
                     names.append(doc)
                     arrays.append(one)
                     held += len(one) // 4
