@@ -22,6 +22,7 @@ an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 
@@ -36,8 +37,10 @@ from ._common import chunks, new_path
 
 #: Ids in a shard, about.
 SHARD = 1 << 20
-#: Most pieces of text that a worker remembers; beyond it the memory starts anew.
-CACHE_PIECES = 400_000
+#: Most recurring stretches of text that a worker remembers, and most pieces of stretches
+#: of several pieces; beyond it the memory starts anew.
+CACHE_WORDS = 400_000
+CACHE_PIECES = 100_000
 MAGIC = b"RPG1"
 NO_ID = np.iinfo(np.int64).min
 #: Slots of the table that finds frequent pairs, and its odd hash multipliers.
@@ -138,7 +141,7 @@ class PieceEncoder:
     def _words(self, words: list[str], counts: list[int]) -> list[bytes]:
         """The ids of every stretch; those that occur once are not remembered."""
         got = list(map(self.words.get, words))
-        if len(self.words) >= CACHE_PIECES:
+        if len(self.words) >= CACHE_WORDS:
             self.words.clear()
         for k, ids in enumerate(got):
             if ids is None:
@@ -342,7 +345,10 @@ class Shard:
         raise IndexError(position)
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+@functools.cache
+def encoder_of(tokenizer: str) -> PieceEncoder:
+    """The worker's encoder; tasks that follow one another share what it remembers."""
+    return PieceEncoder(tokenizer)
 
 
 def write_ids(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shard: int = SHARD, path: str | None = None) -> str:
@@ -354,7 +360,7 @@ def write_ids(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder = _ENCODERS.get(tokenizer) or _ENCODERS.setdefault(tokenizer, PieceEncoder(tokenizer))
+        encoder = encoder_of(tokenizer)
         names: list[int | None] = []
         arrays: list[bytes] = []
         held = first = seq = 0

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -423,3 +424,14 @@ def test_pipeline(spark, sf):
     packed = cp.STAGES[-1][1](spark, d, sf)
     assert packed.select("doc_id").distinct().count() == kept[3]
     assert packed.agg(F.sum("piece_length")).first()[0] == d.agg(F.sum(F.octet_length("text"))).first()[0]
+
+
+def test_batches_equal_the_library():
+    parts = ["a", "foo", "don", "'s", "'t", ".", ",", "12", "é", "日本", "\n", "\n\n", " ", "  ", "\t", "\x01", "\x1c", "\x85", "\xa0", "<|endoftext|>", "😀", "²", "\x00", "_", "?"]
+    draw = np.random.default_rng(7)
+    texts = ["".join(draw.choice(parts, draw.integers(0, 14))) for _ in range(5000)] + ["", " ", ".", "x" * 70]
+    encoder = token_files.PieceEncoder(registry.tokenizer_path("byte_bpe_50k.json"))
+    whole = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    for _ in range(2):  # the second time from memory
+        assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode_batch(pa.array(texts))] == [e.ids for e in whole]
+    assert encoder.encode_batch(pa.array([], pa.string())) == []
