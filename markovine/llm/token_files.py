@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 from ._common import chunks, new_path
 
 #: Ids in a shard, about.
-SHARD = 1 << 20
+SHARD = 1 << 19
 #: Most recurring stretches of text that a worker remembers, and most pieces of stretches
 #: of several pieces; beyond it the memory starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 CACHE_PIECES = 100_000
 MAGIC = b"RPG1"
 NO_ID = np.iinfo(np.int64).min
@@ -182,7 +182,14 @@ class PieceEncoder:
         alone = alone | np.logical_or.reduceat(joined, bounds[:-1])
         n = sizes[place]
         stop = np.cumsum(n)
-        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[place] - (stop - n), n) + np.arange(int(stop[-1]))]
+        total = int(stop[-1])
+        shift = (np.cumsum(sizes) - sizes)[place]
+        shift -= stop - n
+        narrow = np.int32 if total < 1 << 31 and len(flat) < 1 << 31 else np.int64
+        at = np.repeat(shift.astype(narrow), n)
+        at += np.arange(total, dtype=narrow)
+        ids = flat[at]
+        del at, shift, cut, lists, coded
         stop = np.concatenate([[0], stop])[bounds].tolist()
         return [self.encode(texts[k].as_py()) if by_itself else ids[stop[k] : stop[k + 1]].tobytes() for k, by_itself in enumerate(alone.tolist())]
 
@@ -370,7 +377,7 @@ def write_ids(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([first], pa.int64()), pa.array([held], pa.int64()), pa.array([blob], pa.binary())], names=["part", "seq", "first", "n_ids", "blob"])
 
         for whole in batches:
-            for b in chunks(whole, "text", 8 << 20):
+            for b in chunks(whole, "text", 5 << 20):
                 for doc, one in zip(b.column("id").to_pylist(), encoder.encode_batch(b.column("text")), strict=True):
                     one += end
                     names.append(doc)
