@@ -44,7 +44,7 @@ CACHE_PIECES = 100_000
 MAGIC = b"RPG1"
 NO_ID = np.iinfo(np.int64).min
 #: Slots of the table that finds frequent pairs, and its odd hash multipliers.
-SLOTS = 1 << 18
+SLOTS = 1 << 17
 MULTIPLIERS = (0x1E3779B97F4A7C15, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85)
 
 # The pre-tokenisation pattern of byte-level vocabularies (white space as
@@ -377,7 +377,7 @@ def write_ids(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([first], pa.int64()), pa.array([held], pa.int64()), pa.array([blob], pa.binary())], names=["part", "seq", "first", "n_ids", "blob"])
 
         for whole in batches:
-            for b in chunks(whole, "text", 5 << 20):
+            for b in chunks(whole, "text", 8 << 20):
                 for doc, one in zip(b.column("id").to_pylist(), encoder.encode_batch(b.column("text")), strict=True):
                     one += end
                     names.append(doc)
