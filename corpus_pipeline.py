@@ -24,8 +24,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of exact or near copies stays, that of the smallest id."""
-    return simhash.keep_one(docs)
+    """One row of each group of exact or near copies stays, that of the smallest id; copies
+    share 0.8 or more of their five-word shingles."""
+    return simhash.keep_dissimilar(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

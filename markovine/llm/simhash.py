@@ -18,6 +18,12 @@ Cases: null or word-free text has fingerprint zero and is linked like any other;
 rows with a null id get a fingerprint and their group's smallest non-null id (null
 if there is none); repeated rows give repeated results; an empty table gives an
 empty result; extra columns are ignored.
+
+``keep_dissimilar`` is for corpora, where copies count from a Jaccard similarity of 0.8
+of their shingle sets on.  At 0.8 two fingerprints differ in about ten of 64 bits, a
+radius at which the blocks have some six bits and no longer tell texts apart; so the
+fingerprint's groups are joined by buckets of min-hashes over the same shingles, and
+every link of either kind is verified on the shingle sets.
 """
 
 from __future__ import annotations
@@ -31,21 +37,35 @@ from pyspark.sql import functions as F
 from ._common import chunks, written
 
 BITS = 64
+#: Buckets of min-hashes per text, and min-hashes per bucket: a pair of similarity 0.8
+#: shares one with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.9997.
+BANDS, ROWS = 20, 5
 #: Largest bucket whose pairs are verified in one go; larger ones are refined.
 BUCKET = 512
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """The fingerprint of one text as an unsigned 64-bit number."""
+def shingle_hashes(text: str | None, width: int = 3, seed: int = 42) -> np.ndarray:
+    """A hash for each shingle of a text; a text shorter than ``width`` is one shingle."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     if len(words) < width:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, seed) for s in shingles], dtype="<u8")
+    return np.array([digest(s, seed) for s in shingles], dtype="<u8")
+
+
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    """The fingerprint of one text as an unsigned 64-bit number."""
+    return fingerprint_of(shingle_hashes(text, width, seed))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The fingerprint of a text's shingle hashes."""
+    if not len(hashes):
+        return 0
     ones = np.zeros(BITS, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = hashes[i : i + (1 << 16)]
@@ -205,3 +225,117 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     if not best.where("n > 1").isEmpty():
         kept = kept.dropDuplicates(["root"])
     return kept.select(*df.columns)
+
+
+_RNG = np.random.default_rng(11)
+_MULTIPLY = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+_ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """The signed keys of the buckets a set of shingle hashes falls into."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(hashes), 1 << 12):
+        x = hashes[i : i + (1 << 12), None].astype(np.uint64)
+        x = (x ^ x >> np.uint64(29)) * _MULTIPLY + _ADD
+        least = np.minimum(least, (x ^ x >> np.uint64(32)).min(axis=0))
+    digest = xxhash.xxh64_intdigest
+    return [_signed(digest(part.tobytes(), b)) for b, part in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted arrays of distinct hashes."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    both = int((a[at] == b).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def _leader_links(rows, similarity: float):
+    """Links ``(leader, member)`` of a stream of ``(bucket, key, set)`` sorted by bucket and
+    rank.  A row that is similar to no leader of its bucket becomes one, so that only the
+    leaders of one bucket are held and large groups of copies take linear time."""
+    now, leaders = None, []
+    for bucket, key, own in rows:
+        if bucket != now:
+            now, leaders = bucket, []
+        n, new = len(own), True
+        for lead, other in leaders:
+            if similarity * max(n, len(other)) <= min(n, len(other)) and jaccard(other, own) >= similarity:
+                new = False
+                yield lead, key
+        if new:
+            leaders.append((key, own))
+
+
+def keep_dissimilar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, distance: int = 3) -> DataFrame:
+    """The rows of ``df`` without those that have a copy of ``similarity`` or more, exact or
+    near, of a smaller id (or of the same id and an earlier row).
+
+    Groups are components of the verified links.  Two rows of one bucket that are similar
+    never both stay: the later one is a leader that was compared with the earlier one, or
+    is linked to an earlier leader.  Texts are joined by merging at every size.
+    """
+    cols = df.columns
+    rows = written(df.withColumn("__key", F.monotonically_increasing_id()), "near-rows")
+
+    def features(batches):
+        for whole in batches:
+            for b in chunks(whole, "text"):
+                same, fps, keys = [], [], []
+                for t in b.column("text").to_pylist():
+                    h = shingle_hashes(t, width)
+                    fps.append(_signed(fingerprint_of(h)))
+                    h = np.unique(h)
+                    same.append(_signed(xxhash.xxh64_intdigest(h.tobytes())))
+                    keys.append(bands(h))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("id"), b.column("key"), pa.array(same, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "key", "same", "fp", "bands"]
+                )
+
+    kind = df.schema[id_col].dataType.simpleString()
+    texts = rows.select(F.col(id_col).alias("id"), F.col("__key").alias("key"), F.col(text_col).alias("text"))
+    found = written(texts.mapInArrow(features, f"id {kind}, key long, same long, fp long, bands array<long>"), "near-features")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    # equal shingle sets are one text from here on
+    first = found.groupBy("same").agg(F.min(F.struct(rank.alias("rank"), "fp", "bands")).alias("z"))
+    first = written(first.select("z.rank.id", "z.rank.key", "z.fp", "z.bands"), "near-texts")
+    near = groups(first.select(F.col("key").alias("doc_id"), "fp"), distance=distance).select("fp", F.xxhash64(F.lit("fp"), "root").alias("bucket"))
+    # a text's buckets; those with the same members are one
+    held = first.select(F.explode("bands").alias("bucket"), "key").union(first.join(near, "fp").select("bucket", "key"))
+    sizes = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("m"), F.bit_xor(F.xxhash64("key")).alias("x")).where("n > 1")
+    held = held.join(sizes.groupBy("n", "m", "x").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket").distinct()
+    held = written(held, "near-buckets")
+
+    def sets(batches):
+        for whole in batches:
+            for b in chunks(whole, "text"):
+                out = [np.unique(shingle_hashes(t, width)).tobytes() for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), pa.array(out, pa.binary())], names=["id", "key", "hashes"])
+
+    def verify(batches):
+        stream = ((k, i, np.frombuffer(h, "<u8")) for b in batches for k, i, h in zip(*(b.column(c).to_pylist() for c in ("bucket", "key", "hashes")), strict=True))
+        src, dst = [], []
+        for x, y in _leader_links(stream, similarity):
+            src += (x, y)
+            dst += (y, x)
+            if len(src) >= 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["a", "b"])
+                src, dst = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["a", "b"])
+
+    members = texts.join(held.select("key").distinct().hint("merge"), "key", "left_semi").select("id", "key", "text").mapInArrow(sets, f"id {kind}, key long, hashes binary")
+    # ranked rows of a bucket in one task
+    members = held.join(members, "key").repartition("bucket").sortWithinPartitions("bucket", F.col("id").asc_nulls_last(), "key").select("bucket", "key", "hashes")
+    edges = written(members.mapInArrow(verify, "a long, b long").distinct(), "near-edges")
+    best = first.select("key")
+    if not edges.isEmpty():
+        linked = first.join(components(edges), F.col("key") == F.col("node"))
+        later = linked.join(linked.groupBy("root").agg(F.min(rank).alias("best")).select("root", F.col("best.key").alias("best")), "root").where("key <> best")
+        best = best.join(later.select("key"), "key", "left_anti")
+    out = written(found.select("key").join(best, "key", "left_anti"), "near-dropped")
+    return rows.join(out.withColumnRenamed("key", "__key").hint("merge"), "__key", "left_anti").select(*cols)

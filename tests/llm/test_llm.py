@@ -157,6 +157,32 @@ def test_near_duplicates_edge_cases(spark):
     assert simhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_keep_dissimilar_reaches_the_threshold(spark):
+    """No two rows of similarity 0.8 or more stay, and none goes without a copy."""
+    rng = np.random.default_rng(3)
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(3, "one"), (None, "null id")]
+    for _ in range(40):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+        rows.append((len(rows) + 1000, " ".join(base)))
+        for edits in (1, 2, 3, 6):
+            own = list(base)
+            for at in rng.integers(0, len(own), edits):
+                own[at] = f"e{rng.integers(0, 10**9)}"
+            rows.append((len(rows) + 1000, " ".join(own)))
+    df = docs(spark, rows)
+    out = simhash.keep_dissimilar(df)
+    assert out.columns == df.columns and simhash.keep_dissimilar(df.limit(0)).count() == 0
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for _, t in rows]
+    kept = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert len(kept) == len(set(kept))
+    alive = [rows.index(r) for r in kept]
+    for n, i in enumerate(alive):
+        assert all(simhash.jaccard(sets[i], sets[j]) < 0.8 for j in alive[:n])
+    for i in set(range(len(rows))) - set(alive):
+        assert any(simhash.jaccard(sets[i], sets[j]) >= 0.8 for j in range(len(rows)) if j != i)
+    assert {i for i, _ in kept} >= {0, 3, 4}
+
+
 # ------------------------------------------------------------------ op4, op5
 
 
