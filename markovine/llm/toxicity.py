@@ -10,8 +10,9 @@ Training takes a bounded sample (``max_per_class`` labelled rows of each class,
 with the smallest hash of their id) and keeps the terms that ``min_docs`` of its rows
 hold; examples are weighted back to the classes' true shares, so that the score is a
 probability.  Optimisation is Adagrad on shuffled mini-batches with a fixed seed.
-Long texts hold most common words, which carry no signal: each term's starting weight
-is its smoothed log odds, and terms whose log odds are within the noise stay out.
+Long texts hold most common words, which carry no signal: a term's starting weight is
+half of its smoothed log odds if they are beyond the noise and 0 otherwise.  Every term
+takes part in training, as terms that are neutral alone may mean something together.
 
 Cases: null and empty text gets the score of the bias alone; a null label takes no
 part in training; if the training rows have one class or none the score is that
@@ -104,7 +105,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, bits: i
     n_pos, n_neg = labels.sum(), len(labels) - labels.sum()
     odds = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
     noise = np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    kept = (docs >= min_docs) & (np.abs(odds) >= least_z * noise)
+    start = np.where(np.abs(odds) >= least_z * noise, 0.5 * odds, 0.0)
+    kept = docs >= min_docs
     if not kept.any():
         return none
     renumber = np.cumsum(kept) - 1
@@ -113,7 +115,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, bits: i
     size = int(kept.sum())
     starts = np.searchsorted(owner, np.arange(len(rows) + 1))
     rng = np.random.default_rng(seed)
-    w0, w, v = float(limit), 0.5 * odds[kept], rng.normal(0, 0.01, (size, rank))
+    w0, w, v = float(limit), start[kept], rng.normal(0, 0.01, (size, rank))
     g0, gw, gv = 1e-2, np.full(size, 1e-2), np.full((size, rank), 1e-2)
     scaled = weights / weights.mean()
     for _ in range(epochs):

@@ -304,6 +304,25 @@ def test_machine_learns_interactions():
     assert z[0] == pytest.approx(by_pairs)
 
 
+def test_machine_learns_pairs_of_neutral_terms():
+    """Each of two terms is as frequent in both classes; together they tell."""
+    rng = np.random.default_rng(4)
+
+    def draw(n):
+        rows, y = [], []
+        for _ in range(n):
+            a, b = rng.random(2) < 0.5
+            rows.append(np.array(sorted({*(rng.integers(10, 60, 5)), *([1] if a else []), *([2] if b else [])})))
+            y.append(float(a == b))
+        return rows, np.array(y)
+
+    rows, y = draw(4000)
+    m = toxicity.fit(rows, y, np.ones(len(y)), epochs=40)
+    rows, y = draw(500)
+    z = np.array([m.margin([m.place[t] for t in r.tolist()]) for r in rows])
+    assert np.mean((z > 0) == y) > 0.9
+
+
 def test_toxicity_edge_cases(spark):
     df = docs(spark)
     labels = spark.createDataFrame([(3, 1), (3, 0), (4, 0), (None, 1), (5, None)], "doc_id long, toxic int")
