@@ -77,8 +77,7 @@ def main(argv: list[str] | None = None) -> int:
         for what, key, value in estimate.degenerate_states(est.model):
             print(f"degenerate {what} at {key}: {value:.4g}")
         return 0
-    share = [0.5 * (k + 1) / model.K for k in range(model.K)]
-    print(estimate.missingness_lr_test(rows, model, share))
+    print(estimate.missingness_lr_test(rows, model))
     return 0
 
 

@@ -4,6 +4,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from markovine.functions.margins import Margin
 from markovine.operators import catalyst, estimate, image, missing, series, stats
@@ -236,3 +237,16 @@ def test_queries_run_and_agree_with_sql(spark, sf):
         a, b = (pd.DataFrame(x[cols]).sort_values(cols).reset_index(drop=True) for x in (a, b))
         for c in cols:
             assert (a[c] == b[c]).all() if a[c].dtype == object else np.allclose(a[c].astype(float), b[c].astype(float), equal_nan=True)
+
+
+def test_missingness_test_fits_the_rates(spark):
+    """Low rates that differ by state; a common rate that does not."""
+    m = gaussian("HMC-IN", [-2, 2], [1, 1])
+    df = series.simulate_series(spark, m, 4, 500, 3).cache()
+    y = F.when(~F.col("miss"), F.col("y"))
+    got = []
+    for rates in ([0.02, 0.10], [0.05, 0.05]):
+        rows = missing.state_dependent(df, rates).select("series_id", "n", y.alias("y"))
+        got.append(estimate.missingness_lr_test(rows, m, max_iter=12))
+    assert got[0]["p_value"] < 1e-4 and np.allclose(got[0]["rates"], [0.02, 0.10], atol=0.03)
+    assert got[1]["p_value"] > 0.01
