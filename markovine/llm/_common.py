@@ -1,11 +1,15 @@
-"""Shared helpers: table access, shared-folder tables, Arrow row mapping."""
+"""Shared helpers: table access, shared-folder tables, slices of Arrow batches.
+
+Cases: null texts count zero bytes and null ids the empty text; an empty table is written
+and read back empty; a batch with one very long text is a slice of its own.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (local tests) a temporary folder is set.
+    Where a local session names none a temporary folder is set; a cluster must name one.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        current = spark.sparkContext.getCheckpointDir()
-        path = current or tempfile.mkdtemp(prefix="shared-")
-        if not current:
-            spark.sparkContext.setCheckpointDir(path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="shared-")
+        spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
@@ -47,9 +51,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow``; the only Python boundary the map operators use."""
-    return df.mapInArrow(fn, schema)
+class Scratch:
+    """Tables of one job in a folder of their own, removed when the job is done; what is
+    returned from inside must have been written elsewhere."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, new_path(spark, name)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *error) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def chunks(batch: pa.RecordBatch, text_col: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

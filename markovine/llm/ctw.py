@@ -9,41 +9,51 @@ weighted probability is the mean of its own estimate's and of the product of its
 children's, so all depths and all prunings of the tree are weighed by how well they
 code the training texts.  A text's score is the log10 of the product over its bytes.
 
-All training texts are counted: a partition counts its byte strings of ``depth + 1``
-by sorting, the counts are summed over the cluster, and shorter contexts are sums of
-the longer ones'.  The model that is sent to the executors keeps the ``max_strings``
-most frequent strings (others fall back to their shorter contexts, as strings never
-seen do), so its size has a bound; within the bound nothing is left out.
-
-The unigram base score of a text needs the exact count of each of its words in all
-training texts.  The ``hot`` most frequent words' counts go to the executors, and the
-other words are joined to the full count table.
+Every context of the training texts is in the model, however rare, and the model never
+stands in one place.  Texts are packed into chunks of about ``chunk`` bytes.  A chunk
+asks once for each of its distinct byte strings and words, with their training counts;
+requests are split into buckets by the ``TOP`` nearest context bytes, so a bucket holds
+whole subtrees, builds them, and answers each chunk with the strings' probabilities.
+Only sums over the nodes nearest the root (contexts of less than ``TOP`` bytes: at most
+``255 * 2 ** 16`` nodes, whatever the corpus; some hundred thousand for text) go to the
+driver, which weighs them and sends them out.  Strings of texts outside the training
+set are requested with count zero: they form nodes without counts, which change nothing.
+
+Words for the unigram base score go the same way: one request per chunk and distinct
+word, counts summed by word, answers joined back.
 
 Cases: null text is the empty text, whose only token is the end; without training
 rows every bit has probability one half and the base is uniform over nothing,
-``log10(1 / (0 + 1))`` a token; rows that repeat an id are scored each; null ids are
-kept; an empty table gives an empty result; extra columns are ignored.
+``log10(1 / (0 + 1))`` a token; a null ``learn`` condition is false; rows that repeat an
+id are scored each; null ids are kept; an empty table gives an empty result; extra
+columns are ignored; very long texts are chunks of their own.  Probabilities of byte
+strings travel as 32-bit floats.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, written
+from ._common import Scratch, chunks, written
 
 END = 0xFF  # never part of UTF-8
 DEPTH = 5
-#: Most byte strings in the model.
-MAX_STRINGS = 1 << 19
-#: Most frequent words whose counts are sent to the executors.
-HOT_WORDS = 1 << 16
+#: Nearest context bytes that decide a string's bucket.
+TOP = 3
+#: Bytes of text in a chunk, about.
+CHUNK = 16 << 20
+#: Distinct words and strings that a task holds before it sends them off.
+WORDS, STRINGS = 400_000, 4_000_000
 END_TOKEN = ""  # no word is empty
+LN2 = math.log(2.0)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -59,8 +69,10 @@ def byte_strings(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np
     n = len(flat) - depth
     code = np.zeros(max(n, 0), dtype=np.uint64)
     for d in range(1, depth + 1):
-        code = code << np.uint64(8) | flat[depth - d : depth - d + n]
-    code = code << np.uint64(8) | flat[depth : depth + n]
+        code <<= np.uint64(8)
+        code |= flat[depth - d : depth - d + n]
+    code <<= np.uint64(8)
+    code |= flat[depth : depth + n]
     own = np.ones(len(code), dtype=bool)
     starts = np.cumsum(sizes + depth)[:-1] - depth  # pads of the texts after the first
     for d in range(depth):
@@ -68,11 +80,6 @@ def byte_strings(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np
     return code[own], sizes
 
 
-def log_pe(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Log of the Krichevsky-Trofimov block probability of ``a`` zeros and ``b`` ones."""
-    return _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1.0) - math.log(math.pi)
-
-
 def _lgamma(x: np.ndarray) -> np.ndarray:
     """Log gamma for positive numbers: Stirling's series after a shift by eight."""
     shift = np.ones_like(x)
@@ -84,228 +91,440 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - np.log(shift)
 
 
-class ContextTree:
-    """Node tables per bit position and depth: sorted keys (context, bits so far), the
-    estimate of a one and the weight of the node's own estimate.
+_SMALL = 1 << 12
+_HALF, _ONE = _lgamma(np.arange(_SMALL) + 0.5), _lgamma(np.arange(_SMALL) + 1.0)
 
-    The eight bit positions of a byte are trees of their own, built one after the other.
-    """
 
-    def __init__(self, leaves: list[tuple[np.ndarray, np.ndarray]], depth: int = DEPTH):
-        """``leaves``: codes and counts per depth, deepest first; a count is in one of them."""
-        self.depth = depth
-        none = (np.zeros(0, dtype=np.uint64), np.zeros(0))
-        leaves = [(c.astype(np.uint64), n.astype(np.float64)) for c, n in leaves] + [none] * (depth + 1 - len(leaves))
-        self.codes = np.sort(leaves[0][0])
-        self.nodes = [self._tree(k, leaves) for k in range(8)]
-        self.logs = np.concatenate([self._evaluate(self.codes[i : i + (1 << 18)]) for i in range(0, max(len(self.codes), 1), 1 << 18)])
-
-    @staticmethod
-    def _prefix(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The bits of the byte before bit ``k`` behind a leading one, and bit ``k``."""
-        byte = codes & np.uint64(0xFF)
-        return byte >> np.uint64(8 - k) | np.uint64(1 << k), byte >> np.uint64(7 - k) & np.uint64(1)
+def _of_count(n: np.ndarray, table: np.ndarray, shift: float) -> np.ndarray:
+    out = table[np.minimum(n, _SMALL - 1).astype(np.int64)]
+    large = np.flatnonzero(n >= _SMALL)
+    if len(large):
+        out[large] = _lgamma(n[large] + shift)
+    return out
 
-    def _tree(self, k: int, leaves) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        levels = []
-        key, zeros, ones = np.zeros(0, dtype=np.uint64), np.zeros(0), np.zeros(0)
-        for codes, counts in leaves:
-            prefix, bit = self._prefix(codes, k)
-            own_zeros, own_ones = counts * (bit == 0), counts * (bit == 1)
-            children = len(key)
-            keys, place = np.unique(np.concatenate([key, codes >> np.uint64(8) << np.uint64(8) | prefix]), return_inverse=True)
-            n = len(keys)
-            pooled = [np.bincount(place[children:], weights=x, minlength=n) for x in (own_zeros, own_ones)]
-            zeros, ones = (np.bincount(place[:children], weights=x, minlength=n) + y for x, y in zip((zeros, ones), pooled, strict=True))
-            levels.append((keys, zeros, ones, place[:children], pooled))
-            # one context byte shorter: the farthest byte goes
-            key = keys >> np.uint64(16) << np.uint64(8) | (keys & np.uint64(0xFF))
-        out, weighted = [], None
-        for i, (keys, zeros, ones, place, pooled) in enumerate(levels):
-            own = log_pe(zeros, ones)
+
+def log_pe(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Log of the Krichevsky-Trofimov block probability of ``a`` zeros and ``b`` ones."""
+    return _of_count(a, _HALF, 0.5) + _of_count(b, _HALF, 0.5) - _of_count(a + b, _ONE, 1.0) - math.log(math.pi)
+
+
+def _weigh(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A node's log weighted probability and the weight of its own estimate."""
+    own = log_pe(zeros, ones)
+    weighted = np.logaddexp(own, below) - LN2
+    return weighted, np.exp(own - LN2 - weighted)
+
+
+def grow(codes: np.ndarray, counts: np.ndarray, depth: int, top: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """The subtrees below the contexts of ``top`` bytes.
+
+    ``codes`` are sorted and distinct.  Returns the mixed probability of each code's bits
+    over the depths ``top .. depth`` (8 x codes), and per node one byte nearer the root the
+    sums over its children here: ``(keys, zeros, ones, log weighted)``, a key being the
+    context and the bits so far behind a one.
+    """
+    levels = [(codes, counts.astype(np.float64), None)]
+    while len(levels) <= depth - top:
+        c, n, _ = levels[-1]
+        c, up = np.unique(c >> np.uint64(16) << np.uint64(8) | c & np.uint64(0xFF), return_inverse=True)  # the farthest byte goes
+        levels.append((c, np.bincount(up, weights=n, minlength=len(c)), up))
+    mixed = np.empty((8, len(codes)))
+    sums = []
+    for k in range(8):
+        at = np.arange(len(codes))  # each code's place on the level
+        weighted = heads = None
+        for i, (c, n, up) in enumerate(levels):
+            key = c >> np.uint64(8 - k)
+            new = np.ones(len(c), dtype=bool)
+            new[1:] = key[1:] != key[:-1]
+            node = np.cumsum(new) - 1
+            first = np.flatnonzero(new)
+            bit = (c >> np.uint64(7 - k) & np.uint64(1)).astype(bool)
+            both = np.bincount(node, weights=n, minlength=len(first))
+            ones = np.bincount(node, weights=n * bit, minlength=len(first))
+            zeros = both - ones
+            q = (np.where(bit, ones[node], zeros[node]) + 0.5) / (both[node] + 1.0)
             if i == 0:
-                weighted, weight = own, np.ones(len(own), dtype=np.float32)
+                weighted, p = log_pe(zeros, ones), q
             else:
-                below = np.bincount(place, weights=weighted, minlength=len(keys)) + np.where(pooled[0] + pooled[1] > 0, log_pe(*pooled), 0.0)
-                weighted = np.logaddexp(own, below) - math.log(2.0)
-                weight = np.exp(own - math.log(2.0) - weighted).astype(np.float32)
-            out.append((keys, (ones + 0.5) / (ones + zeros + 1.0), weight))
-        return out  # deepest first
-
-    def _evaluate(self, codes: np.ndarray) -> np.ndarray:
-        """log10 of each code's last byte given its context."""
+                below = np.bincount(node[up[heads]], weights=weighted, minlength=len(first))
+                weighted, w = _weigh(zeros, ones, below)
+                at = up[at]
+                w = w[node[at]]
+                p = w * q[at] + (1 - w) * p
+            heads = first
+        mixed[k] = p
+        c = levels[-1][0][first]
+        keys = c >> np.uint64(16) << np.uint64(8) | np.uint64(1 << k) | (c & np.uint64(0xFF)) >> np.uint64(8 - k)
+        keys, place = np.unique(keys, return_inverse=True)
+        sums.append((keys, *(np.bincount(place, weights=x, minlength=len(keys)) for x in (zeros, ones, weighted))))
+    return mixed, tuple(np.concatenate(x) for x in zip(*sums, strict=True))
+
+
+class Crown:
+    """The nodes nearest the root: the probability of a one is ``alpha + beta * p`` where the
+    subtrees below say ``p``."""
+
+    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray, top: int):
+        order = np.argsort(keys)
+        self.top, self.keys = top, keys[order]
+        levels = []
+        key, zeros, ones, below = self.keys, zeros[order], ones[order], below[order]
+        for d in range(top - 1, -1, -1):
+            weighted, w = _weigh(zeros, ones, below)
+            levels.append((w, (ones + 0.5) / (zeros + ones + 1.0)))
+            if d:
+                key, up = np.unique(key >> np.uint64(16) << np.uint64(8) | key & np.uint64(0xFF), return_inverse=True)
+                zeros, ones, below = (np.bincount(up, weights=x, minlength=len(key)) for x in (zeros, ones, weighted))
+                levels[-1] += (up,)
+        self.alpha, self.beta = np.zeros(len(self.keys)), np.ones(len(self.keys))
+        at = np.arange(len(self.keys))
+        for w, one, *up in levels:
+            self.alpha = w[at] * one[at] + (1 - w[at]) * self.alpha
+            self.beta = (1 - w[at]) * self.beta
+            if up:
+                at = up[0][at]
+
+    def log10(self, codes: np.ndarray, mixed: np.ndarray, depth: int) -> np.ndarray:
+        """log10 of each code's last byte."""
         out = np.zeros(len(codes))
+        context = codes >> np.uint64(8 * (depth + 2 - self.top)) << np.uint64(8)
+        byte = codes & np.uint64(0xFF)
         for k in range(8):
-            prefix, bit = self._prefix(codes, k)
-            p = np.full(len(codes), 0.5)  # what a node without counts says
-            for i, (keys, one, weight) in enumerate(self.nodes[k]):
-                if not len(keys):
-                    continue
-                key = codes >> np.uint64(8 * (i + 1)) << np.uint64(8) | prefix
-                at = np.searchsorted(keys, key)
-                at[at == len(keys)] = 0
-                w, q = weight[at].astype(np.float64), np.where(bit == 1, one[at], 1 - one[at])
-                p = np.where(keys[at] == key, w * q + (1 - w) * p, 0.5)
-            out += np.log10(p)
+            at = np.searchsorted(self.keys, context | np.uint64(1 << k) | byte >> np.uint64(8 - k))
+            one = (byte >> np.uint64(7 - k) & np.uint64(1)).astype(bool)
+            a, b = self.alpha[at], self.beta[at]
+            out += np.log10(np.where(one, a, 1 - a - b) + b * mixed[k])
         return out
 
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 of each code's last byte; strings of the training texts are looked up."""
-        if not len(self.codes):
-            return self._evaluate(codes)
-        at = np.searchsorted(self.codes, codes)
-        at[at == len(self.codes)] = 0
-        out = self.logs[at]
-        miss = np.flatnonzero(self.codes[at] != codes)
-        if len(miss):
-            new, place = np.unique(codes[miss], return_inverse=True)
-            out[miss] = self._evaluate(new)[place]
-        return out
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        codes, sizes = byte_strings(texts, self.depth)
-        return np.add.reduceat(self.log10(codes), np.concatenate([[0], np.cumsum(sizes)[:-1]])) if len(texts) else np.zeros(0)
+def string_logs(codes: np.ndarray, counts: np.ndarray, depth: int = DEPTH, top: int = TOP) -> np.ndarray:
+    """log10 of the last byte of each of the sorted ``codes``, in one place."""
+    top = min(top, depth)
+    mixed, sums = grow(codes, counts, depth, top)
+    keys, place = np.unique(sums[0], return_inverse=True)
+    return Crown(keys, *(np.bincount(place, weights=x, minlength=len(keys)) for x in sums[1:]), top).log10(codes, mixed, depth)
 
 
-def count(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Counts over all ``text`` of ``rows``: ``word`` or ``code`` (as long) and ``n``."""
+# ------------------------------------------------------------------ what travels
 
-    def run(batches):
-        words: Counter = Counter()
-        codes, sums, held = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), []
-
-        def settle():
-            nonlocal codes, sums, held
-            if held:
-                all_codes = np.concatenate([codes, *(c for c, _ in held)])
-                all_sums = np.concatenate([sums, *(n for _, n in held)])
-                codes, place = np.unique(all_codes, return_inverse=True)
-                sums = np.bincount(place, weights=all_sums, minlength=len(codes)).astype(np.int64)
-                held = []
+_CODEC = pa.Codec("zstd", 1)
 
-        def flush():
-            nonlocal codes, sums
-            settle()
-            n, m = len(words), len(codes)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([w.decode() for w in words] + [None] * m, pa.string()),
-                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(codes.view(np.int64))]),
-                    pa.concat_arrays([pa.array(list(words.values()), pa.int64()), pa.array(sums)]),
-                ],
-                names=["word", "code", "n"],
-            )
-            words.clear()
-            codes, sums = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
 
-        for whole in batches:
-            for b in chunks(whole, "text"):
-                texts = [(t or "").encode().lower() for t in b.column("text").to_pylist()]
-                for t in texts:
-                    words.update(words_of(t))
-                words[END_TOKEN.encode()] += len(texts)
-                found, _ = byte_strings(texts, depth)
-                found.sort()
-                cut = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, dtype=np.int64)
-                held.append((found[cut], np.diff(np.concatenate([cut, [len(found)]]))))
-                if len(held) >= 8:
-                    settle()
-                if len(words) > 300_000 or len(codes) > 4_000_000:
-                    yield from flush()
-        yield from flush()
+def _squeeze(x: np.ndarray) -> bytes:
+    """Bytes of equal weight next to each other, compressed."""
+    return _CODEC.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), asbytes=True) if len(x) else b""
 
-    parts = rows.mapInArrow(run, "word string, code long, n long")
-    return parts.groupBy("word", "code").agg(F.sum("n").alias("n"))
 
+def _restore(raw: bytes, kind: str, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    flat = np.frombuffer(_CODEC.decompress(raw, n * size, asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(flat.T).reshape(-1).view(kind)
 
-def _leaves(strings: DataFrame, depth: int, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each depth the strings of the most frequent contexts, at most ``most`` strings;
-    the other contexts' strings go one depth up.
 
-    Whole contexts are kept or pooled, as a context without its rare bytes would be too
-    sure of the others.  The least count of a context kept is one of a few hundred steps
-    of a geometric scale, so only a short histogram reaches the driver.
-    """
-    out = []
-    for d in range(depth, -1, -1):
-        step = F.floor(F.log2("total") * 8).cast("int")
-        contexts = strings.groupBy(F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k"))
-        sizes = contexts.groupBy(step.alias("step")).agg(F.sum("k").alias("k")).orderBy(F.desc("step")).collect()
-        held, least = 0, None
-        for r in sizes:
-            held += r["k"]
-            if held > most:
+def pack_strings(codes: np.ndarray, values: np.ndarray) -> bytes:
+    """Sorted codes and a 32-bit value of each."""
+    left, right = _squeeze(np.diff(codes, prepend=np.uint64(0))), _squeeze(values)
+    return struct.pack("<qq", len(codes), len(left)) + left + right
+
+
+def unpack_strings(raw: bytes, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    n, size = struct.unpack_from("<qq", raw)
+    return np.cumsum(_restore(raw[16 : 16 + size], "<u8", n), dtype=np.uint64), _restore(raw[16 + size :], kind, n)
+
+
+def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes of several lists and their summed counts."""
+    codes, place = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    return codes, np.bincount(place, weights=np.concatenate([n for _, n in parts]), minlength=len(codes)).astype(np.int64)
+
+
+def bucket_of(codes: np.ndarray, depth: int, top: int, buckets: int) -> np.ndarray:
+    context = codes >> np.uint64(8 * (depth + 1 - top))
+    return ((context * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16)
+
+
+class Lookup:
+    """Values of known codes by hashing: slots that several codes share are left to a
+    smaller table with another hash, so no code need be compared."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        self.tables: list[tuple[np.uint64, np.uint64, np.ndarray]] = []
+        multiplier = 0x9E3779B97F4A7C15
+        while len(codes):
+            bits = max(8, (4 * len(codes)).bit_length())
+            m, shift = np.uint64(multiplier), np.uint64(64 - bits)
+            slot = codes * m >> shift
+            alone = np.bincount(slot.astype(np.int64), minlength=1 << bits)[slot] == 1
+            table = np.full(1 << bits, np.nan, dtype=np.float32)
+            table[slot[alone]] = values[alone]
+            self.tables.append((m, shift, table))
+            codes, values = codes[~alone], values[~alone]
+            multiplier = multiplier * 0xD1342543DE82EF95 + 2 & 0xFFFFFFFFFFFFFFFF | 1
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        m, shift, table = self.tables[0]
+        out = table[codes * m >> shift]
+        left = np.flatnonzero(np.isnan(out))
+        for m, shift, table in self.tables[1:]:
+            if not len(left):
                 break
-            least = r["step"]
-        whole = held <= most or not d
-        kept = strings
-        if not whole:
-            strings = strings.withColumn("context", F.shiftright("code", 8)).join(contexts.select("context", step.alias("step")), "context")
-            kept = strings.where(F.col("step") >= (least if least is not None else 1 << 20))
-        top = kept.select("code", "n").toPandas()
-        out.append((top["code"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.float64)))
-        if whole:
-            break
-        rest = strings.where(F.col("step") < (least if least is not None else 1 << 20))
-        shorter = F.shiftleft(F.shiftright("code", 16), 8).bitwiseOR(F.col("code").bitwiseAND(F.lit(0xFF)))
-        strings = written(rest.select(shorter.alias("code"), "n").groupBy("code").agg(F.sum("n").alias("n")), "ctw-shorter")
-    return out
+            got = table[codes[left] * m >> shift]
+            out[left] = got
+            left = left[np.isnan(got)]
+        return out
 
 
-def score(df: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, max_strings: int = MAX_STRINGS, hot: int = HOT_WORDS) -> DataFrame:
-    """``id_col``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``
-    for each row of ``df``, learning from the rows of ``learn``."""
-    spark = df.sparkSession
-    kind = df.schema[id_col].dataType.simpleString()
-    counts = written(count(learn.select(F.col(text_col).alias("text")), depth), "ctw-counts")
-    tree = ContextTree(_leaves(counts.where("code IS NOT NULL").select("code", "n"), depth, max_strings), depth)
-    words = counts.where("word IS NOT NULL").select("word", "n")
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("types")).first()
-    tokens, types = int(total["tokens"]), int(total["types"])
-    frequent = words.orderBy(F.desc("n"), "word").limit(hot).collect()
-    known = {r["word"].encode(): r["n"] for r in frequent}
-    rest = words
-    if frequent:
-        last = frequent[-1]
-        rest = words.where((F.col("n") < last["n"]) | (F.col("n") == last["n"]) & (F.col("word") > last["word"]))
-    ref = spark.sparkContext.broadcast((tree, known))
+# ------------------------------------------------------------------ passes
+
+
+def _packed(rows: DataFrame, kind: str, chunk: int) -> DataFrame:
+    """``rows`` (``id, text, learn``) as lower-case bytes: a row per stretch of texts, numbered
+    by chunk."""
 
     def run(batches):
-        tree, known = ref.value
-        weight = {w: math.log10(n + 1) for w, n in known.items()}
-        end = known.get(END_TOKEN.encode(), 0)
-        get = weight.get
+        from pyspark import TaskContext
+
+        number, held, seq = TaskContext.get().partitionId() << 24, 0, 0
         for whole in batches:
             for b in chunks(whole, "text"):
-                texts = [(t or "").encode().lower() for t in b.column("text").to_pylist()]
-                scores = tree.score(texts)
-                tokens, found, sums, rare = [], [], [], []
-                for t in texts:
-                    own = words_of(t)
-                    values = list(map(get, own))
-                    new = Counter(w for w, v in zip(own, values, strict=True) if v is None)
-                    missing = sum(new.values())
-                    tokens.append(len(own) + 1)
-                    found.append(len(own) - missing + (end > 0))
-                    sums.append(math.fsum(v for v in values if v is not None) + math.log10(end + 1))
-                    rare.append([(w.decode(), n) for w, n in new.items()])
+                low = pc.ascii_lower(pc.fill_null(b.column("text"), ""))
+                sizes = pc.binary_length(low).to_numpy().astype("<i8")
+                raw = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(low)], pa.int32()), low), "")[0].as_py().encode()
+                ids = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column("id"))
+                learn = b.column("learn").to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id"), pa.array(tokens, pa.int64()), pa.array(found, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores, pa.float64()), pa.array(rare, pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())])))],
-                    names=["id", "n_tokens", "found", "sums", "score", "rare"],
+                    [pa.array([number], pa.int64()), pa.array([seq], pa.int32()), pa.array([len(raw)], pa.int64()), ids, pa.array([learn], pa.binary()), pa.array([sizes.tobytes()], pa.binary()), pa.array([raw], pa.binary())],
+                    names=["chunk", "seq", "bytes", "ids", "learn", "sizes", "raw"],
                 )
+                seq, held = seq + 1, held + len(raw)
+                if held >= chunk:
+                    number, held = number + 1, 0
+
+    return rows.mapInArrow(run, f"chunk long, seq int, bytes long, ids array<{kind}>, learn binary, sizes binary, raw binary")
+
+
+def _texts(raw: bytes, sizes: bytes) -> list[bytes]:
+    stops = np.cumsum(np.frombuffer(sizes, "<i8")).tolist()
+    return [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
+
+def _requests(packs: DataFrame, depth: int, top: int, buckets: int) -> DataFrame:
+    """What each chunk asks for: ``chunk, word, n`` and ``chunk, bucket, data``."""
+
+    def run(batches):
+        learned: Counter = Counter()
+        other: set[bytes] = set()
+        merged: list[tuple[np.ndarray, np.ndarray]] = []
+        now = None
+
+        def flush():
+            if now is None:
+                return
+            other.difference_update(learned)
+            m = len(learned) + len(other)
+            words = pa.array([w.decode() for w in learned] + [w.decode() for w in other], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([now] * m, pa.int64()), words, pa.array([*learned.values(), *([0] * len(other))], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
+            learned.clear()
+            other.clear()
+            codes, counts = _merge(merged)
+            merged.clear()
+            home = bucket_of(codes, depth, top, buckets)
+            order = np.argsort(home, kind="stable")
+            cuts = np.searchsorted(home[order], np.arange(buckets + 1, dtype=np.int64))
+            blobs = [(i, pack_strings(codes[at], counts[at].astype("<u4"))) for i in range(buckets) if len(at := order[cuts[i] : cuts[i + 1]])]
+            m = len(blobs)
+            yield pa.RecordBatch.from_arrays([pa.array([now] * m, pa.int64()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64()), pa.array([i for i, _ in blobs], pa.int32()), pa.array([x for _, x in blobs], pa.binary())], names=names)
+
+        names = ["chunk", "word", "n", "bucket", "data"]
+        for b in batches:
+            for i in range(b.num_rows):
+                chunk = b.column("chunk")[i].as_py()
+                if chunk != now or len(learned) + len(other) > WORDS:
+                    yield from flush()
+                    now = chunk
+                texts = _texts(b.column("raw")[i].as_py(), b.column("sizes")[i].as_py())
+                learn = np.frombuffer(b.column("learn")[i].as_py(), np.uint8)
+                for trained in (1, 0):
+                    own = [t for t, x in zip(texts, learn.tolist(), strict=True) if x == trained]
+                    if not own:
+                        continue
+                    if trained:
+                        for t in own:
+                            learned.update(words_of(t))
+                        learned[END_TOKEN.encode()] += len(own)
+                    else:
+                        for t in own:
+                            other.update(words_of(t))
+                        other.add(END_TOKEN.encode())
+                    codes, _ = byte_strings(own, depth)
+                    codes.sort()
+                    cut = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+                    counts = np.diff(np.append(cut, len(codes)))
+                    merged.append((codes[cut], counts * trained))
+                if sum(len(c) for c, _ in merged) > STRINGS:
+                    merged[:] = [_merge(merged)]
+        yield from flush()
+
+    return packs.select("chunk", "learn", "sizes", "raw").mapInArrow(run, "chunk long, word string, n long, bucket int, data binary")
+
+
+def _trees(blobs: DataFrame, depth: int, top: int) -> DataFrame:
+    """Per bucket its strings and their mixed probabilities (``data``, ``mixed``), and rows of
+    sums for the nodes nearer the root."""
+
+    def run(batches):
+        now, parts, held = None, [], 0
+        names = ["bucket", "data", "mixed", "node", "zeros", "ones", "below"]
+
+        def build():
+            codes, counts = _merge(parts)
+            for i in _cuts(codes, depth, top):
+                c = codes[i]
+                mixed, sums = grow(c, counts[i], depth, top)
+                n = len(sums[0])
+                blank = [pa.array([None], pa.int64()), *(pa.array([None], pa.float64()) for _ in range(3))]
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([pack_strings(c, np.zeros(len(c), "<u4"))], pa.binary()), pa.array([mixed.astype("<f4").tobytes()], pa.binary()), *blank], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(sums[0].astype(np.int64)), *map(pa.array, sums[1:])], names=names)
+
+        for b in batches:
+            for bucket, data in zip(b.column("bucket").to_pylist(), b.column("data").to_pylist(), strict=True):
+                if bucket != now:
+                    if parts:
+                        yield from build()
+                    now, parts, held = bucket, [], 0
+                codes, counts = unpack_strings(data, "<u4")
+                parts.append((codes, counts.astype(np.int64)))
+                held += len(codes)
+                if held > STRINGS:
+                    parts = [_merge(parts)]
+                    held = 0
+        if parts:
+            yield from build()
+
+    ordered = blobs.repartition("bucket").sortWithinPartitions("bucket")
+    return ordered.mapInArrow(run, "bucket int, data binary, mixed binary, node long, zeros double, ones double, below double")
+
+
+def _cuts(codes: np.ndarray, depth: int, top: int, size: int = 1 << 19):
+    """Slices of about ``size`` codes that hold whole contexts of ``top`` bytes."""
+    context = codes >> np.uint64(8 * (depth + 1 - top))
+    starts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+    at = 0
+    while at < len(codes):
+        k = np.searchsorted(starts, at + size)
+        end = int(starts[k]) if k < len(starts) else len(codes)
+        yield slice(at, end)
+        at = end
+
+
+def _answers(blobs: DataFrame, trees: DataFrame, crown, depth: int) -> DataFrame:
+    """``chunk, data``: each chunk's strings and their log10 probabilities."""
+
+    def run(batches):
+        known, now = [], None
+        for b in batches:
+            out = []
+            for bucket, chunk, data, mixed in zip(*(b.column(c).to_pylist() for c in ("bucket", "chunk", "data", "mixed")), strict=True):
+                if bucket != now:
+                    now, known = bucket, []
+                if mixed is not None:
+                    codes, _ = unpack_strings(data, "<u4")
+                    known.append((codes, crown.value.log10(codes, np.frombuffer(mixed, "<f4").reshape(8, -1), depth).astype("<f4")))
+                    continue
+                if len(known) > 1:
+                    known.sort(key=lambda x: int(x[0][0]))
+                    known = [tuple(np.concatenate(x) for x in zip(*known, strict=True))]
+                codes, _ = unpack_strings(data, "<u4")
+                out.append((chunk, pack_strings(codes, known[0][1][np.searchsorted(known[0][0], codes)])))
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([d for _, d in out], pa.binary())], names=["chunk", "data"])
+
+    asked = blobs.select("bucket", "chunk", "data", F.lit(None).cast("binary").alias("mixed"))
+    said = trees.where("bucket IS NOT NULL").select("bucket", F.lit(None).cast("long").alias("chunk"), "data", "mixed")
+    rows = said.unionAll(asked).repartition("bucket").sortWithinPartitions("bucket", F.col("chunk").asc_nulls_first())
+    return rows.mapInArrow(run, "chunk long, data binary")
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.mapInArrow(run, f"id {kind}, n_tokens long, found long, sums double, score double, rare array<struct<word:string,k:bigint>>")
-    # a key per row, so that rows that repeat an id stay apart
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "ctw-scores")
-    links = rows.select("row", F.inline("rare")).join(rest, "word")
-    extra = links.groupBy("row").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("add"))
-    whole = rows.select("row", "id", "n_tokens", "found", "sums", "score").join(extra, "row", "left")
-    return whole.select(
-        F.col("id").alias(id_col),
-        "n_tokens",
-        (F.col("found") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("sums") + F.coalesce("add", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(tokens + types + 1))).alias("base_score"),
-        "score",
-    )
+
+def score(df: DataFrame, learn: Column | str, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, chunk: int = CHUNK) -> DataFrame:
+    """``id_col``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``
+    for each row of ``df``, learning from its rows for which ``learn`` holds."""
+    spark = df.sparkSession
+    kind = df.schema[id_col].dataType.simpleString()
+    top = min(TOP, depth)
+    condition = F.expr(learn) if isinstance(learn, str) else learn
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(condition, F.lit(False)).alias("learn"))
+    with Scratch(spark, "ctw") as scratch:
+        packs = scratch.written(_packed(rows, kind, chunk), "texts")
+        size = packs.agg(F.sum("bytes")).first()[0] or 0
+        buckets = min(max(8, -(-size // chunk)), 1 << 15)
+        requests = scratch.written(_requests(packs, depth, top, buckets), "requests")
+        blobs = requests.where("bucket IS NOT NULL").select("bucket", "chunk", "data")
+        trees = scratch.written(_trees(blobs, depth, top), "trees")
+
+        def gather(batches):
+            cols = [[] for _ in range(4)]
+            for b in batches:
+                for held, c in zip(cols, ("node", "zeros", "ones", "below"), strict=True):
+                    held.append(b.column(c).to_numpy(zero_copy_only=False))
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(c).astype(t).tobytes()], pa.binary()) for c, t in zip(cols, ("<u8", "<f8", "<f8", "<f8"), strict=True)], names=["node", "zeros", "ones", "below"])
+
+        sums = trees.where("node IS NOT NULL").groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below")))
+        # at most 255 * 2 ** 16 nodes, packed
+        got = sums.mapInArrow(gather, "node binary, zeros binary, ones binary, below binary").collect()
+        arrays = [np.concatenate([np.frombuffer(r[i], t) for r in got] or [np.zeros(0, t)]) for i, t in enumerate(("<u8", "<f8", "<f8", "<f8"))]
+        crown = spark.sparkContext.broadcast(Crown(*arrays, top))
+        answers = _answers(blobs, trees, crown, depth)
+        words = requests.where("word IS NOT NULL").select("chunk", "word", "n")
+        counts = scratch.written(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
+        total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count(F.when(F.col("c") > 0, 1)).alias("types")).first()
+        tokens, types = int(total["tokens"]), int(total["types"])
+        said = words.select("chunk", "word").join(counts, "word").groupBy("chunk", F.pmod(F.xxhash64("word"), F.lit(16)).alias("part"))
+        said = said.agg(F.collect_list("word").alias("words"), F.collect_list(F.log10(F.col("c") + 1.0)).alias("logs"))
+        null = lambda t: F.lit(None).cast(t)
+        texts, doubles = "array<string>", "array<double>"
+        parts = [
+            said.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("seq"), null("binary").alias("data"), "words", "logs", null(f"array<{kind}>").alias("ids"), null("binary").alias("sizes"), null("binary").alias("raw")),
+            answers.select("chunk", F.lit(1), F.lit(0), "data", null(texts), null(doubles), null(f"array<{kind}>"), null("binary"), null("binary")),
+            packs.select("chunk", F.lit(2), "seq", null("binary"), null(texts), null(doubles), "ids", "sizes", "raw"),
+        ]
+        stream = parts[0].unionAll(parts[1]).unionAll(parts[2]).repartition("chunk").sortWithinPartitions("chunk", "kind", "seq")
+        per_token = math.log10(tokens + types + 1)
+
+        def run(batches):
+            now, weight, held, lookup = None, {}, [], None
+            for b in batches:
+                for i in range(b.num_rows):
+                    chunk, what = b.column("chunk")[i].as_py(), b.column("kind")[i].as_py()
+                    if chunk != now:
+                        now, weight, held, lookup = chunk, {}, [], None
+                    if what == 0:
+                        weight.update(zip(map(str.encode, b.column("words")[i].as_py()), b.column("logs")[i].as_py(), strict=True))
+                        continue
+                    if what == 1:
+                        held.append(unpack_strings(b.column("data")[i].as_py(), "<f4"))
+                        continue
+                    if lookup is None:
+                        codes, first = np.unique(np.concatenate([c for c, _ in held]), return_index=True)
+                        lookup = Lookup(codes, np.concatenate([v for _, v in held])[first])
+                        held = []
+                    own = _texts(b.column("raw")[i].as_py(), b.column("sizes")[i].as_py())
+                    codes, sizes = byte_strings(own, depth)
+                    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                    scores = np.add.reduceat(lookup(codes).astype(np.float64), starts)
+                    end = weight[b""]
+                    n_tokens, known, base = [], [], []
+                    for t in own:
+                        values = list(map(weight.__getitem__, words_of(t)))
+                        n_tokens.append(len(values) + 1)
+                        known.append(len(values) - values.count(0.0) + (end > 0))
+                        base.append(math.fsum(values) + end - per_token * (len(values) + 1))
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("ids").slice(i, 1).flatten(), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array([tokens] * len(own), pa.int64()), pa.array(base, pa.float64()), pa.array(scores)],
+                        names=[id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                    )
+
+        result = stream.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        return written(result, "ctw-scores")

@@ -382,74 +382,98 @@ def test_packing_query(spark):
 
 
 def test_base_score_by_brute_force(spark):
-    df = docs(spark, list(enumerate(TEXTS)) + [(3, "one")])
-    learn = df.where("doc_id % 2 = 1")
-    got = ctw.score(df, learn, hot=3).collect()
+    rows = list(enumerate(TEXTS)) + [(3, "one"), (None, "null id")]
+    df = docs(spark, rows)
+    got = ctw.score(df, "doc_id % 2 = 1").collect()
     tok = lambda t: (t or "").encode().lower().split() + [b""]
-    c = Counter(w for i, t in list(enumerate(TEXTS)) + [(3, "one")] if i % 2 for w in tok(t))
+    c = Counter(w for i, t in rows if i is not None and i % 2 for w in tok(t))
     n, v = sum(c.values()), len(c)
-    assert len(got) == len(TEXTS) + 1
+    text = dict(rows)
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows)
     for r in got:
-        w = tok(TEXTS[r["doc_id"]])
+        w = tok(text[r["doc_id"]])
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(c[x] > 0 for x in w), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w))
         assert r["score"] < 0
-    assert ctw.score(df.limit(0), learn).count() == 0
-    blank = ctw.score(df, df.limit(0)).collect()
-    assert all(r["score"] == pytest.approx(8 * math.log10(0.5) * (len((TEXTS[r["doc_id"]] or "").encode()) + 1)) for r in blank)
+    assert ctw.score(df.limit(0), "true").count() == 0
+    blank = ctw.score(df, "doc_id < 0").collect()
+    assert all(r["score"] == pytest.approx(8 * math.log10(0.5) * (len((text[r["doc_id"]] or "").encode()) + 1), rel=1e-6) for r in blank)
 
 
-def test_context_tree_by_recursion():
-    """The mixture computed node by node with dictionaries."""
-    texts, depth = [b"abracadabra", b"abba", b""], 2
-    counts: dict = {}
+def tree_by_recursion(texts, depth):
+    """The mixture computed node by node with dictionaries: a function of past, byte."""
+    counts, children = {}, {}
     for t in texts:
-        s = b"\0\0" + t + b"\xff"
-        for p in range(2, len(s)):
+        s = b"\0" * depth + t + b"\xff"
+        for p in range(depth, len(s)):
             for k in range(8):
                 for d in range(depth + 1):
                     key = (s[p - d : p], (s[p] >> (8 - k)) | 1 << k)
                     z = counts.setdefault(key, [0, 0])
                     z[s[p] >> (7 - k) & 1] += 1
+                    if d:
+                        children.setdefault((key[0][1:], key[1]), set()).add(key)
     pe = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    memo = {}
 
-    def weighted(ctx, pre):
-        own = pe(*counts[ctx, pre])
-        if len(ctx) == depth:
-            return own
-        below = sum(weighted(c, q) for c, q in counts if len(c) == len(ctx) + 1 and q == pre and c[1:] == ctx)
-        return math.log(0.5) + np.logaddexp(own, below)
+    def weighted(key):
+        if key not in memo:
+            own = pe(*counts[key])
+            memo[key] = own if len(key[0]) == depth else math.log(0.5) + np.logaddexp(own, sum(map(weighted, children[key])))
+        return memo[key]
 
     def predict(past, pre, bit, d=0):
-        ctx = past[len(past) - d :]
-        if (ctx, pre) not in counts:
+        key = (past[len(past) - d :], pre)
+        if key not in counts:
             return 0.5
-        z = counts[ctx, pre]
+        z = counts[key]
         kt = (z[bit] + 0.5) / (sum(z) + 1)
         if d == depth:
             return kt
-        w = math.exp(math.log(0.5) + pe(*z) - weighted(ctx, pre))
+        w = math.exp(math.log(0.5) + pe(*z) - weighted(key))
         return w * kt + (1 - w) * predict(past, pre, bit, d + 1)
 
-    codes, _ = ctw.byte_strings(texts, depth)
-    u, n = np.unique(codes, return_counts=True)
-    tree = ctw.ContextTree([(u, n)], depth)
-    for t in (b"abra", b"zzz", b"", b"caddy"):
-        s, total = b"\0\0" + t + b"\xff", 0.0
-        for p in range(2, len(s)):
+    def log10(t):
+        s, total = b"\0" * depth + t + b"\xff", 0.0
+        for p in range(depth, len(s)):
             for k in range(8):
-                total += math.log10(predict(s[p - 2 : p], (s[p] >> (8 - k)) | 1 << k, s[p] >> (7 - k) & 1))
-        assert tree.score([t])[0] == pytest.approx(total)
-
-
-def test_rare_contexts_are_pooled(spark):
-    texts = ["abcabcabd xyz " * 3, "the cat sat", "the dog sat"] * 5
-    rows = spark.createDataFrame([(t,) for t in texts], "text string")
-    counts = ctw.count(rows, 3).where("code IS NOT NULL").select("code", "n")
-    whole, cut = ctw._leaves(counts, 3, 1 << 20), ctw._leaves(counts, 3, 20)
-    assert len(whole) == 1 and len(cut) > 1
-    assert sum(n.sum() for _, n in whole) == sum(n.sum() for _, n in cut) == sum(len(t) + 1 for t in texts)
-    assert np.isfinite(ctw.ContextTree(cut, 3).score([b"the cat", b"??"])).all()
+                total += math.log10(predict(s[p - depth : p], (s[p] >> (8 - k)) | 1 << k, s[p] >> (7 - k) & 1))
+        return total
+
+    return log10
+
+
+@pytest.mark.parametrize("depth", [1, 2, 4, 5])
+def test_context_tree_by_recursion(depth):
+    texts = [b"abracadabra", b"abba", b"", b"the cat sat on the mat"]
+    log10 = tree_by_recursion(texts, depth)
+    for t in (b"abra", b"zzz", b"", b"caddy", b"the hat"):
+        own, sizes = ctw.byte_strings([t], depth)
+        u, n = np.unique(np.concatenate([ctw.byte_strings(texts, depth)[0], own]), return_counts=True)
+        n -= np.bincount(np.searchsorted(u, own), minlength=len(u))
+        logs = ctw.string_logs(u, n, depth)
+        assert logs[np.searchsorted(u, own)].sum() == pytest.approx(log10(t))
+
+
+def test_context_tree_query_by_recursion(spark):
+    """Many chunks and buckets give what one tree gives."""
+    rng = np.random.default_rng(3)
+    words = ["the", "cat", "dög", "sat", "on", "mat", "xyz"]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 30)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["score"] for r in ctw.score(df, "doc_id % 3 <> 0", chunk=500).collect()}
+    log10 = tree_by_recursion([t.encode() for i, t in rows if i % 3], 5)
+    assert all(got[i] == pytest.approx(log10(t.encode()), rel=1e-6) for i, t in rows)
+
+
+def test_lookup_and_packing_of_strings():
+    rng = np.random.default_rng(2)
+    codes = np.unique(rng.integers(0, 1 << 48, 5000, dtype=np.uint64))
+    values = rng.random(len(codes)).astype("<f4")
+    assert (ctw.Lookup(codes, values)(codes[::-1]) == values[::-1]).all()
+    c, v = ctw.unpack_strings(ctw.pack_strings(codes, values), "<f4")
+    assert (c == codes).all() and (v == values).all()
+    assert len(ctw.unpack_strings(ctw.pack_strings(codes[:0], values[:0]), "<f4")[0]) == 0
 
 
 # ------------------------------------------------------------------ pipeline
