@@ -8,12 +8,15 @@ query for other engines.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ops
 from ..functions.ops import Sql
 from ..plans.model import Model
+from .engine import Chain
+from .series import per_series
 
 
 def row_columns(model: Model, y: str = "y") -> dict[str, str]:
@@ -50,17 +53,37 @@ def initial(model: Model, i: int, row: str) -> str:
 
 
 def forward(df: DataFrame, model: Model) -> DataFrame:
-    """``series_id, log_lik, last`` (the last filtered state probabilities)."""
+    """``series_id, log_lik, last`` (the last filtered state probabilities).
+
+    A missing row has density one where that integrates it out; series with missing rows
+    under other models, and series whose densities underflow, go through the numpy engine.
+    """
     cols = row_columns(model)
-    rows = df.select("series_id", F.struct("n", *(F.expr(sql).alias(name) for name, sql in cols.items())).alias("r"))
+    seen = F.col("y").isNotNull() & ~F.isnan("y") & (F.abs("y") != float("inf"))
+    parts = ((F.when(seen, F.expr(sql)).otherwise(1.0) if name[0] == "f" else F.expr(sql)).alias(name) for name, sql in cols.items())
+    rows = df.select("series_id", F.struct("n", *parts, "y", (~seen).alias("miss")).alias("r"))
     arrays = rows.groupBy("series_id").agg(F.array_sort(F.collect_list("r")).alias("rs"))
     K = model.K
     c = "(" + " + ".join(f"s.b{i}" for i in range(K)) + ")"
     step = ", ".join(f"'b{j}', (" + " + ".join(f"s.b{i} * {transition(model, i, j, 's.r', 'r')}" for i in range(K)) + f") / {c}" for j in range(K))
     start = ", ".join(f"'b{i}', {initial(model, i, 'rs[0]')}" for i in range(K))
     fold = f"aggregate(slice(rs, 2, size(rs)), named_struct('r', rs[0], {start}, 'll', 0D), (s, r) -> named_struct('r', r, {step}, 'll', s.ll + ln({c})))"
-    out = arrays.select("series_id", F.expr(fold).alias("s"))
-    return out.select("series_id", F.expr(f"s.ll + ln({c})").alias("log_lik"), F.array(*(F.expr(f"s.b{i} / {c}") for i in range(K))).alias("last"))
+    whole = F.exists("rs", lambda r: r["miss"]) & F.lit(model.needs_grid)
+    out = arrays.select("series_id", "rs", F.when(~whole, F.expr(fold)).alias("s"))
+    out = out.select("series_id", "rs", F.expr(f"s.ll + ln({c})").alias("log_lik"), F.array(*(F.expr(f"s.b{i} / {c}") for i in range(K))).alias("last"))
+    fine = F.col("log_lik").isNotNull() & ~F.isnan("log_lik")
+    rest = out.where(~fine).select("series_id", F.inline("rs")).select("series_id", "n", "y")
+    return out.where(fine).select("series_id", "log_lik", "last").unionByName(filtered(rest, model))
+
+
+def filtered(df: DataFrame, model: Model) -> DataFrame:
+    """``forward`` by the numpy engine."""
+
+    def one(pdf, y):
+        chain = Chain(model, y)
+        return pd.DataFrame({"log_lik": [chain.log_lik], "last": [chain.filtered()[-1]]})
+
+    return per_series(df, one, "log_lik double, last array<double>")
 
 
 def filter_sql(model: Model, source: str) -> str:

@@ -95,8 +95,11 @@ class Row:
 class Chain:
     """A model bound to one series."""
 
-    def __init__(self, model: Model, y: np.ndarray, nodes: int = NODES, miss: np.ndarray | None = None, evidence: bool = True):
+    def __init__(self, model: Model, y: np.ndarray, nodes: int = NODES, miss: np.ndarray | None = None, evidence: bool = True, before: np.ndarray | None = None, after: np.ndarray | None = None):
+        """``before`` and ``after`` are log messages ``(K,)`` that a stretch of a longer series
+        gets at its first and last row, both observed, instead of a chain's own ends."""
         self.model, self.k = model, Kernels(model)
+        self.before, self.after = before, after
         self.y = np.asarray(y, float)
         self.N = len(self.y)
         self.miss = missing_mask(self.y) if miss is None else miss
@@ -156,6 +159,8 @@ class Chain:
 
     def first(self) -> np.ndarray:
         """Log of the first row's message ``(a, K)``."""
+        if self.before is not None:
+            return np.asarray(self.before, float)[None]
         row = self.rows[0]
         out = self.k.initial(row.logf)
         if row.logw is not None:
@@ -183,7 +188,7 @@ class Chain:
 
     def backward(self) -> list[np.ndarray]:
         if getattr(self, "_bwd", None) is None:
-            b = np.zeros((len(self.rows[-1].y), self.model.K))
+            b = np.zeros((len(self.rows[-1].y), self.model.K)) if self.after is None else np.asarray(self.after, float)[None]
             betas = [b]
             for n in range(self.N - 2, -1, -1):
                 w = self.step(n)
@@ -192,6 +197,15 @@ class Chain:
             self._bwd = betas[::-1]
         return self._bwd
 
+    def transfer(self) -> np.ndarray:
+        """Log weights ``(K, K)`` from the first row to the last, both observed."""
+        K = self.model.K
+        out = np.where(np.eye(K, dtype=bool), 0.0, -np.inf)[:, None, :]  # start, nodes, states
+        for n in range(self.N - 1):
+            w = self.step(n)
+            out = _logsumexp((out[:, :, :, None, None] + w[None]).reshape(K, -1, w.shape[2], w.shape[3]), 1)
+        return out[:, 0]
+
     def node_posteriors(self) -> list[np.ndarray]:
         alphas, _ = self.forward()
         out = []

@@ -1,9 +1,9 @@
 """Sequence operators over a table ``series_id, n, y`` (vectors: ``y array<double>``).
 
 Series are the parallel dimension: each is sorted and handled in one task by the numpy
-engine.  A series that is too long for one task goes through ``classify_blocks``,
-which cuts it into blocks, reduces every block to a K x K transfer matrix, scans the
-short list of matrices per series, and finishes the blocks in parallel.
+engine.  A series that is too long for one task goes through ``classify_blocks``, which
+cuts it into stretches at observed rows, reduces each to a K x K transfer matrix, scans
+the short list of matrices per series, and finishes the stretches in parallel.
 
 A null, NaN or infinite ``y`` is a missing observation.
 """
@@ -14,11 +14,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.model import Model
-from .engine import Chain, Kernels, _logsumexp, flag_outliers, simulate
+from .engine import Chain, _logsumexp, flag_outliers, simulate
 
 
 def values(pdf: pd.DataFrame) -> np.ndarray:
@@ -146,94 +146,84 @@ def simulate_series(spark, model: Model, series: int, n: int, seed: int = 0) ->
 # ---------------------------------------------------------------- long series
 
 
-def _log_weights(k: Kernels, y: np.ndarray, miss: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log densities ``(n, K, K)`` (zero where missing) and log transition weights."""
-    logf = k.logf(np.where(miss, 0.0, y))
-    logf[miss] = 0.0
-    w = k.state(logf[:-1]) + np.swapaxes(logf[1:], 1, 2)
-    if k.cop:
-        c = k.cdf(np.where(miss, 0.0, y))
-        for (i, j), (fam, p) in k.cop.items():
-            if not fam.independent:
-                w[:, i, j] += fam.log_pdf(c[:-1, i, j], c[1:, j, i], p)
-    return logf, w
-
-
 def _no_rows(*names: str) -> pd.DataFrame:
     return pd.DataFrame({c: pd.Series([], dtype=object) for c in names})
 
 
-def _compose(w: np.ndarray) -> np.ndarray:
-    """Log product of transition matrices."""
-    out = w[0]
-    for m in w[1:]:
-        out = _logsumexp(out[:, :, None] + m[None], 1)
-    return out
+def blocks(df: DataFrame, block: int) -> DataFrame:
+    """``series_id, n, y, block, last``: stretches of about ``block`` rows that begin at an
+    observed row (the first one at row 0), each holding the next one's first row too.
+
+    Only one row per ``block`` rows of a series goes through the window.
+    """
+    y = F.col("y")
+    if df.schema["y"].dataType.simpleString() == "array<double>":
+        seen = y.isNotNull() & ~F.exists(y, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    else:
+        seen = y.isNotNull() & ~F.isnan(y) & (F.abs(y) != float("inf"))
+    rows = df.select("series_id", F.col("n").cast("long").alias("n"), "y", F.floor(F.col("n") / block).alias("part"))
+    # a part without any observed row belongs to the stretch before it
+    start = F.when(F.col("part") == 0, F.lit(0)).otherwise(F.min(F.when(seen, F.col("n"))))
+    parts = rows.groupBy("series_id", "part").agg(start.cast("long").alias("start"))
+    order = Window.partitionBy("series_id").orderBy("part")
+    parts = parts.select("series_id", "part", "start", F.last("start", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"), F.max("start").over(Window.partitionBy("series_id")).alias("final"))
+    rows = rows.join(parts, ["series_id", "part"])
+    own = F.when(F.col("n") >= F.col("start"), F.col("start")).otherwise(F.col("earlier"))
+    shared = (F.col("n") == F.col("start")) & F.col("earlier").isNotNull()
+    rows = rows.withColumn("block", F.explode(F.when(shared, F.array("earlier", "start")).otherwise(F.array(own))))
+    return rows.select("series_id", "n", "y", "block", (F.col("block") == F.col("final")).alias("last"))
 
 
 def classify_blocks(df: DataFrame, model: Model, block: int = 8192) -> DataFrame:
     """``classify`` for series of any length; ``n`` must count from 0 without holes.
 
-    Models that need a grid must have no missing rows here.
+    Stretches meet at observed rows, where a message has K numbers whatever lies between,
+    so gaps, masks and vectors are served as in ``classify``.
     """
-    if model.missingness is not None or model.d > 1:
-        raise ValueError("blocks serve scalar observations without a mask model")
     kind = df.schema["series_id"].dataType.simpleString()
-    # a block also holds the last row of the block before it
-    cut = F.when((F.col("n") % block == block - 1), F.array((F.col("n") / block).cast("long"), (F.col("n") / block).cast("long") + 1)).otherwise(F.array((F.col("n") / block).cast("long")))
-    rows = df.select("series_id", "n", "y", F.explode(cut).alias("block"))
+    rows = blocks(df, block)
 
-    def checked(pdf):
+    def chain(pdf: pd.DataFrame, before=None, after=None) -> tuple[pd.DataFrame, Chain]:
         pdf = pdf.sort_values("n", kind="stable")
-        y = pdf["y"].to_numpy(float)
-        miss = ~np.isfinite(y)
-        if model.needs_grid and miss.any():
-            raise ValueError("this model integrates missing rows on a grid; use classify")
-        return pdf, y, miss
+        return pdf, Chain(model, values(pdf), before=before, after=after)
 
     def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, y, miss = checked(pdf)
-        k, b = Kernels(model), int(pdf["block"].iloc[0])
-        logf, w = _log_weights(k, y, miss)
-        first = k.initial(logf[:1])[0] if b == 0 else np.zeros(0)
-        m = _compose(w) if len(w) else np.log(np.eye(model.K) + 1e-300)
-        own = b * block <= pdf["n"].iloc[-1]
-        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "block": [b], "m": [m.reshape(-1)], "first": [first]}) if own else _no_rows("series_id", "block", "m", "first")
+        pdf, c = chain(pdf)
+        first, last, none = int(pdf["block"].iloc[0]) == 0, bool(pdf["last"].iloc[0]), np.zeros(0)
+        # ends of a series may be missing, so they send a message, not a matrix
+        a = c.forward()[0][-1][0] if first and not last else none
+        b = _logsumexp((c.step(0) + c.backward()[1][None, None]).reshape(model.K, -1), 1) if last and not first and c.N > 1 else none
+        m = none if first or last else c.transfer().reshape(-1)
+        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "block": [int(pdf["block"].iloc[0])], "m": [m], "a": [a], "b": [b]})
 
-    mats = rows.groupBy("series_id", "block").applyInPandas(reduce, f"series_id {kind}, block long, m array<double>, first array<double>")
+    mats = rows.groupBy("series_id", "block").applyInPandas(reduce, f"series_id {kind}, block long, m array<double>, a array<double>, b array<double>")
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        K = model.K
-        ms = [np.asarray(m, float).reshape(K, K) for m in pdf["m"]]
-        a = [np.asarray(pdf["first"].iloc[0], float)]
-        for m in ms:
-            a.append(_logsumexp(a[-1][:, None] + m, 0))
-        b = [np.zeros(K)]
-        for m in ms[::-1]:
-            b.append(_logsumexp(m + b[-1][None], 1))
-        b = b[::-1]
-        return pd.DataFrame({"series_id": pdf["series_id"], "block": pdf["block"], "a": a[:-1], "b": b[1:]})
+        pdf, K = pdf.sort_values("block"), model.K
+        ms = [np.asarray(m, float).reshape(K, K) for m in pdf["m"].iloc[1:-1]]
+        a, b = [np.zeros(0)], [np.zeros(0)]
+        if len(pdf) > 1:
+            a.append(np.asarray(pdf["a"].iloc[0], float))
+            end = np.asarray(pdf["b"].iloc[-1], float)
+            b.append(end if len(end) else np.zeros(K))
+            for m in ms:
+                z = _logsumexp(a[-1][:, None] + m, 0)
+                a.append(z - z.max())
+            for m in ms[::-1]:
+                z = _logsumexp(m + b[-1][None], 1)
+                b.append(z - z.max())
+        return pd.DataFrame({"series_id": pdf["series_id"], "block": pdf["block"], "a": a, "b": b[::-1]})
 
     ends = mats.groupBy("series_id").applyInPandas(scan, f"series_id {kind}, block long, a array<double>, b array<double>")
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(right):
+        if not len(right) or not len(left):
             return _no_rows("series_id", "n", "x_hat", "gamma")
-        pdf, y, miss = checked(left)
-        _, w = _log_weights(Kernels(model), y, miss)
-        a, b = [np.asarray(right["a"].iloc[0], float)], [np.asarray(right["b"].iloc[0], float)]
-        a[0] = a[0] - a[0].max()
-        for m in w:
-            z = _logsumexp(a[-1][:, None] + m, 0)
-            a.append(z - z.max())
-        for m in w[::-1]:
-            z = _logsumexp(m + b[-1][None], 1)
-            b.append(z - z.max())
-        g = np.array(a) + np.array(b[::-1])
-        g = np.exp(g - g.max(axis=1, keepdims=True))
-        g /= g.sum(axis=1, keepdims=True)
-        own = (pdf["n"].to_numpy() // block) == pdf["block"].iloc[0]
+        a, b = (np.asarray(right[c].iloc[0], float) for c in "ab")
+        pdf, c = chain(left, a if len(a) else None, b if len(b) else None)
+        g = c.gamma()
+        own = np.ones(len(pdf), bool)
+        own[-1] = bool(pdf["last"].iloc[0])  # else the next stretch's first row
         return pd.DataFrame({"series_id": pdf["series_id"], "n": pdf["n"], "x_hat": g.argmax(axis=1), "gamma": list(g)})[own]
 
     return rows.groupBy("series_id", "block").cogroup(ends.groupBy("series_id", "block")).applyInPandas(finish, f"series_id {kind}, n long, x_hat int, gamma array<double>")
