@@ -61,6 +61,8 @@ def test_shard_random_access():
 
 # ------------------------------------------------------------------ op2
 
+PROSE = " ".join(["The cat is on the mat and it is in the house."] * 6)
+
 
 @pytest.mark.parametrize(
     "page,text",
@@ -73,6 +75,17 @@ def test_shard_random_access():
         ("<article><p>One the of.</p><div class='ad'>Buy</div><aside>Side</aside><form>Name <input></form><section id='comments'><p>First!</p></section></article>", "One the of."),
         ("<div class='cookie-notice'>We use cookies</div><article><header><h1>Title</h1></header><p>Text.</p></article><div id='sidebar'>more</div>", "Title\nText."),
         ("<article><p>unclosed <b>bold<p>second</article>", "unclosed bold\nsecond"),
+        ('<article><p>text <span class="ad">Buy now</span> end.</p>', "text end."),
+        ('<article><p>text <span class="ad">Buy <span>it</span> now</span> end.</p>', "text end."),
+        ('<div class="layout has-sidebar"><article><p>It is a text.</p></article></div>', "It is a text."),
+        ('<div class="sidebar-right"><article><p>It is a text.</p></article></div>', "It is a text."),
+        ('<section class="market-share"><p>' + PROSE + "</p></section>", PROSE),
+        ('<section class="share-bar"><p>' + PROSE + "</p></section>", ""),
+        ('<article><p>Body of the text.</p></article><section class="related"><article><p>Other text.</p></article></section>', "Body of the text."),
+        (f"<article><p>{PROSE}</p><a href=x><div>all of it is a link of the page</div></a></article>", PROSE),
+        ("<article><p>One of the.<ul><li class=ad>Buy<li>point</ul><p>Two of the.</article>", "One of the.\npoint\nTwo of the."),
+        ("<article><p>One of the.</p><p>cut <b", "One of the.\ncut"),
+        ("<article><p>a &lt;b&gt; &copy; &#x41;&amp;amp;</p></article>", "a <b> © A&amp;"),
         ("<p>" + "The cat is on the mat and it is in the house. " * 6 + "</p><p><a href=x>all of the links in the menu are linked</a></p>", " ".join(["The cat is on the mat and it is in the house."] * 6)),
     ],
 )
@@ -87,9 +100,46 @@ def test_second_pass_takes_the_nearest_label():
     assert html_text.second_pass([O, O]) == [O, O] and html_text.second_pass([]) == []
 
 
+def test_second_pass_by_brute_force():
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        labels = rng.integers(-1, 2, rng.integers(0, 12)).tolist()
+        want = []
+        for i, x in enumerate(labels):
+            near = sorted((abs(i - j), -y) for j, y in enumerate(labels) if y)
+            want.append(x if x or not near else -near[0][1])
+        assert html_text.second_pass(labels) == want
+
+
+@pytest.mark.parametrize("unit", ["<button>", "<svg>x", "<li><div>", "<b>x", "<a href=x>", '<a "', "<i><b></i>", "<ul><li></li>", "</p>", "&amp;<", "<!-", "<td><div>"])
+def test_html_work_is_linear(unit):
+    import time
+
+    began = time.process_time()
+    html_text.extract("<article><p>It is a text.</p>" + unit * 60_000)
+    assert time.process_time() - began < 5
+
+
+def by_reading(page):
+    """The article of the synthetic pages by their plain markup."""
+    import html as h
+    import re
+
+    body = re.search(r"<article>(.*?)</article>", page, re.S).group(1)
+    body = re.sub(r"<!--.*?-->|<(script|style|aside|form|nav|footer|section|div)\b.*?</\1>", " ", body, flags=re.S)
+    body = re.sub(r"</?(p|h[1-6]|ul|ol|li|blockquote|pre|table|tr|td)\b[^>]*>", "\n", body)
+    lines = (" ".join(h.unescape(re.sub(r"<[^>]*>", lambda m: " " if m.group().startswith("<br") else "", x)).split()) for x in body.split("\n"))
+    return "\n".join(x for x in lines if x)
+
+
 def test_html_query(spark, sf):
-    rows = registry.op2_html_extraction(spark, sf).collect()
-    assert len(rows) == 50 and all(r["n_chars"] == len(r["text"]) for r in rows)
+    rows = {r["page_id"]: r for r in registry.op2_html_extraction(spark, sf).collect()}
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    assert len(rows) == len(pages) == 50 and all(r["n_chars"] == len(r["text"]) for r in rows.values())
+    assert all(rows[p["page_id"]]["text"] == by_reading(p["html"].replace("\n", " ")) for p in pages)
+    odd = spark.createDataFrame([(None, "u", "<p>" + PROSE), (1, None, None), (1, None, None), (2, "v", "<article>" + f"<p>{PROSE}</p>" * 9000 + "</article>")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = html_text.extract_pages(odd).orderBy("page_id", "text").collect()
+    assert [(r["page_id"], r["url"], r["text"]) for r in got[:3]] == [(None, "u", PROSE), (1, None, ""), (1, None, "")] and got[3]["text"].count("\n") == 8999
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_text.extract_pages(empty).count() == 0
 
