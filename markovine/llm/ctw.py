@@ -19,8 +19,9 @@ Only sums over the nodes nearest the root (contexts of less than ``TOP`` bytes:
 driver, which weighs them and sends them out.  Strings of texts outside the training
 set are requested with count zero: they form nodes without counts, which change nothing.
 
-Words for the unigram base score go the same way: one request per chunk and distinct
-word, counts summed by word, answers joined back.
+Words for the unigram base score go the same way: a chunk asks once for each distinct
+word, a bucket of words sums their counts and answers.  Requests and answers are sorted,
+compressed lists, so what is shuffled is a fraction of the text.
 
 Cases: null text is the empty text, whose only token is the end; without training
 rows every bit has probability one half and the base is uniform over nothing,
@@ -34,6 +35,7 @@ from __future__ import annotations
 
 import math
 import struct
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -51,8 +53,8 @@ TOP = 3
 #: Bytes of text in a chunk, about.
 CHUNK = 16 << 20
 #: Distinct words and strings that a task holds before it sends them off.
-WORDS, STRINGS = 400_000, 4_000_000
-END_TOKEN = ""  # no word is empty
+WORDS, STRINGS = 1_000_000, 4_000_000
+END_TOKEN = b""  # no word is empty
 LN2 = math.log(2.0)
 
 
@@ -211,6 +213,25 @@ def string_logs(codes: np.ndarray, counts: np.ndarray, depth: int = DEPTH, top:
 _CODEC = pa.Codec("zstd", 1)
 
 
+def pack_text(raw: bytes) -> bytes:
+    return struct.pack("<q", len(raw)) + _CODEC.compress(raw, asbytes=True)
+
+
+def unpack_text(raw: bytes) -> bytes:
+    return _CODEC.decompress(raw[8:], struct.unpack_from("<q", raw)[0], asbytes=True)
+
+
+def pack_words(words: list[bytes], counts: list[int]) -> bytes:
+    """Words (without white space, in order) and a count of each."""
+    left = pack_text(b"\n".join(words))
+    return struct.pack("<qq", len(words), len(left)) + left + _squeeze(np.array(counts, dtype="<i8"))
+
+
+def unpack_words(raw: bytes) -> tuple[list[bytes], list[int]]:
+    n, size = struct.unpack_from("<qq", raw)
+    return unpack_text(raw[16 : 16 + size]).split(b"\n"), _restore(raw[16 + size :], "<i8", n).tolist()
+
+
 def _squeeze(x: np.ndarray) -> bytes:
     """Bytes of equal weight next to each other, compressed."""
     return _CODEC.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), asbytes=True) if len(x) else b""
@@ -296,7 +317,7 @@ def _packed(rows: DataFrame, kind: str, chunk: int) -> DataFrame:
                 ids = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column("id"))
                 learn = b.column("learn").to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number], pa.int64()), pa.array([seq], pa.int32()), pa.array([len(raw)], pa.int64()), ids, pa.array([learn], pa.binary()), pa.array([sizes.tobytes()], pa.binary()), pa.array([raw], pa.binary())],
+                    [pa.array([number], pa.int64()), pa.array([seq], pa.int32()), pa.array([len(raw)], pa.int64()), ids, pa.array([learn], pa.binary()), pa.array([sizes.tobytes()], pa.binary()), pa.array([pack_text(raw)], pa.binary())],
                     names=["chunk", "seq", "bytes", "ids", "learn", "sizes", "raw"],
                 )
                 seq, held = seq + 1, held + len(raw)
@@ -307,12 +328,13 @@ def _packed(rows: DataFrame, kind: str, chunk: int) -> DataFrame:
 
 
 def _texts(raw: bytes, sizes: bytes) -> list[bytes]:
+    raw = unpack_text(raw)
     stops = np.cumsum(np.frombuffer(sizes, "<i8")).tolist()
     return [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
 
 
 def _requests(packs: DataFrame, depth: int, top: int, buckets: int) -> DataFrame:
-    """What each chunk asks for: ``chunk, word, n`` and ``chunk, bucket, data``."""
+    """What each chunk asks each bucket for: ``kind`` 0 for words, 1 for byte strings."""
 
     def run(batches):
         learned: Counter = Counter()
@@ -320,25 +342,33 @@ def _requests(packs: DataFrame, depth: int, top: int, buckets: int) -> DataFrame
         merged: list[tuple[np.ndarray, np.ndarray]] = []
         now = None
 
+        def rows(kind, blobs):
+            m = len(blobs)
+            return pa.RecordBatch.from_arrays([pa.array([now] * m, pa.int64()), pa.array([kind] * m, pa.int32()), pa.array([i for i, _ in blobs], pa.int32()), pa.array([x for _, x in blobs], pa.binary())], names=["chunk", "kind", "bucket", "data"])
+
         def flush():
             if now is None:
                 return
             other.difference_update(learned)
-            m = len(learned) + len(other)
-            words = pa.array([w.decode() for w in learned] + [w.decode() for w in other], pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([now] * m, pa.int64()), words, pa.array([*learned.values(), *([0] * len(other))], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
+            home: list[list[bytes]] = [[] for _ in range(buckets)]
+            for group in (learned, other):
+                for w in group:
+                    home[zlib.crc32(w) % buckets].append(w)
+            blobs = []
+            for i, words in enumerate(home):
+                if words:
+                    words.sort()
+                    blobs.append((i, pack_words(words, [learned[w] for w in words])))  # a missing word counts zero
+            yield rows(0, blobs)
             learned.clear()
             other.clear()
             codes, counts = _merge(merged)
             merged.clear()
-            home = bucket_of(codes, depth, top, buckets)
-            order = np.argsort(home, kind="stable")
-            cuts = np.searchsorted(home[order], np.arange(buckets + 1, dtype=np.int64))
-            blobs = [(i, pack_strings(codes[at], counts[at].astype("<u4"))) for i in range(buckets) if len(at := order[cuts[i] : cuts[i + 1]])]
-            m = len(blobs)
-            yield pa.RecordBatch.from_arrays([pa.array([now] * m, pa.int64()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64()), pa.array([i for i, _ in blobs], pa.int32()), pa.array([x for _, x in blobs], pa.binary())], names=names)
+            place = bucket_of(codes, depth, top, buckets)
+            order = np.argsort(place, kind="stable")
+            cuts = np.searchsorted(place[order], np.arange(buckets + 1, dtype=np.int64))
+            yield rows(1, [(i, pack_strings(codes[at], counts[at].astype("<u4"))) for i in range(buckets) if len(at := order[cuts[i] : cuts[i + 1]])])
 
-        names = ["chunk", "word", "n", "bucket", "data"]
         for b in batches:
             for i in range(b.num_rows):
                 chunk = b.column("chunk")[i].as_py()
@@ -354,11 +384,11 @@ def _requests(packs: DataFrame, depth: int, top: int, buckets: int) -> DataFrame
                     if trained:
                         for t in own:
                             learned.update(words_of(t))
-                        learned[END_TOKEN.encode()] += len(own)
+                        learned[END_TOKEN] += len(own)
                     else:
                         for t in own:
                             other.update(words_of(t))
-                        other.add(END_TOKEN.encode())
+                        other.add(END_TOKEN)
                     codes, _ = byte_strings(own, depth)
                     codes.sort()
                     cut = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
@@ -368,7 +398,41 @@ def _requests(packs: DataFrame, depth: int, top: int, buckets: int) -> DataFrame
                     merged[:] = [_merge(merged)]
         yield from flush()
 
-    return packs.select("chunk", "learn", "sizes", "raw").mapInArrow(run, "chunk long, word string, n long, bucket int, data binary")
+    return packs.select("chunk", "learn", "sizes", "raw").mapInArrow(run, "chunk long, kind int, bucket int, data binary")
+
+
+def _word_answers(blobs: DataFrame) -> DataFrame:
+    """``chunk, data``: each chunk's words and their counts in all training texts; and rows
+    without a chunk that hold a bucket's ``tokens`` and ``types``."""
+
+    def run(batches):
+        now, held = None, []
+        total: Counter = Counter()
+
+        def answer():
+            for chunk, data in held:
+                words, _ = unpack_words(data)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([pack_words(words, [total[w] for w in words])], pa.binary()), pa.array([None], pa.int64()), pa.array([None], pa.int64())], names=names)
+            sums = pa.array([sum(total.values())], pa.int64()), pa.array([sum(n > 0 for n in total.values())], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), *sums], names=names)
+            held.clear()
+            total.clear()
+
+        names = ["chunk", "data", "tokens", "types"]
+        for b in batches:
+            for bucket, chunk, data in zip(*(b.column(c).to_pylist() for c in ("bucket", "chunk", "data")), strict=True):
+                if bucket != now and held:
+                    yield from answer()
+                now = bucket
+                held.append((chunk, data))
+                for w, n in zip(*unpack_words(data), strict=True):
+                    if n:
+                        total[w] += n
+        if held:
+            yield from answer()
+
+    ordered = blobs.repartition("bucket").sortWithinPartitions("bucket")
+    return ordered.mapInArrow(run, "chunk long, data binary, tokens long, types long")
 
 
 def _trees(blobs: DataFrame, depth: int, top: int) -> DataFrame:
@@ -460,7 +524,7 @@ def score(df: DataFrame, learn: Column | str, id_col: str = "doc_id", text_col:
         size = packs.agg(F.sum("bytes")).first()[0] or 0
         buckets = min(max(8, -(-size // chunk)), 1 << 15)
         requests = scratch.written(_requests(packs, depth, top, buckets), "requests")
-        blobs = requests.where("bucket IS NOT NULL").select("bucket", "chunk", "data")
+        blobs = requests.where("kind = 1").select("bucket", "chunk", "data")
         trees = scratch.written(_trees(blobs, depth, top), "trees")
 
         def gather(batches):
@@ -477,20 +541,13 @@ def score(df: DataFrame, learn: Column | str, id_col: str = "doc_id", text_col:
         arrays = [np.concatenate([np.frombuffer(r[i], t) for r in got] or [np.zeros(0, t)]) for i, t in enumerate(("<u8", "<f8", "<f8", "<f8"))]
         crown = spark.sparkContext.broadcast(Crown(*arrays, top))
         answers = _answers(blobs, trees, crown, depth)
-        words = requests.where("word IS NOT NULL").select("chunk", "word", "n")
-        counts = scratch.written(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
-        total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count(F.when(F.col("c") > 0, 1)).alias("types")).first()
+        words = scratch.written(_word_answers(requests.where("kind = 0").select("bucket", "chunk", "data")), "words")
+        total = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first()
         tokens, types = int(total["tokens"]), int(total["types"])
-        said = words.select("chunk", "word").join(counts, "word").groupBy("chunk", F.pmod(F.xxhash64("word"), F.lit(16)).alias("part"))
-        said = said.agg(F.collect_list("word").alias("words"), F.collect_list(F.log10(F.col("c") + 1.0)).alias("logs"))
-        null = lambda t: F.lit(None).cast(t)
-        texts, doubles = "array<string>", "array<double>"
-        parts = [
-            said.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("seq"), null("binary").alias("data"), "words", "logs", null(f"array<{kind}>").alias("ids"), null("binary").alias("sizes"), null("binary").alias("raw")),
-            answers.select("chunk", F.lit(1), F.lit(0), "data", null(texts), null(doubles), null(f"array<{kind}>"), null("binary"), null("binary")),
-            packs.select("chunk", F.lit(2), "seq", null("binary"), null(texts), null(doubles), "ids", "sizes", "raw"),
-        ]
-        stream = parts[0].unionAll(parts[1]).unionAll(parts[2]).repartition("chunk").sortWithinPartitions("chunk", "kind", "seq")
+        none = [F.lit(None).cast(t) for t in (f"array<{kind}>", "binary")]
+        said = words.where("chunk IS NOT NULL").select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("seq"), "data", none[0].alias("ids"), none[1].alias("sizes"))
+        parts = said.unionAll(answers.select("chunk", F.lit(1), F.lit(0), "data", *none)).unionAll(packs.select("chunk", F.lit(2), "seq", "raw", "ids", "sizes"))
+        stream = parts.repartition("chunk").sortWithinPartitions("chunk", "kind", "seq")
         per_token = math.log10(tokens + types + 1)
 
         def run(batches):
@@ -501,7 +558,8 @@ def score(df: DataFrame, learn: Column | str, id_col: str = "doc_id", text_col:
                     if chunk != now:
                         now, weight, held, lookup = chunk, {}, [], None
                     if what == 0:
-                        weight.update(zip(map(str.encode, b.column("words")[i].as_py()), b.column("logs")[i].as_py(), strict=True))
+                        own, counts = unpack_words(b.column("data")[i].as_py())
+                        weight.update(zip(own, np.log10(np.array(counts) + 1.0).tolist(), strict=True))
                         continue
                     if what == 1:
                         held.append(unpack_strings(b.column("data")[i].as_py(), "<f4"))
@@ -510,11 +568,11 @@ def score(df: DataFrame, learn: Column | str, id_col: str = "doc_id", text_col:
                         codes, first = np.unique(np.concatenate([c for c, _ in held]), return_index=True)
                         lookup = Lookup(codes, np.concatenate([v for _, v in held])[first])
                         held = []
-                    own = _texts(b.column("raw")[i].as_py(), b.column("sizes")[i].as_py())
+                    own = _texts(b.column("data")[i].as_py(), b.column("sizes")[i].as_py())
                     codes, sizes = byte_strings(own, depth)
                     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                     scores = np.add.reduceat(lookup(codes).astype(np.float64), starts)
-                    end = weight[b""]
+                    end = weight[END_TOKEN]
                     n_tokens, known, base = [], [], []
                     for t in own:
                         values = list(map(weight.__getitem__, words_of(t)))
