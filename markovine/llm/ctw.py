@@ -401,7 +401,7 @@ def _requests(packs: DataFrame, depth: int, top: int, buckets: int) -> DataFrame
     return packs.select("chunk", "learn", "sizes", "raw").mapInArrow(run, "chunk long, kind int, bucket int, data binary")
 
 
-def _word_answers(blobs: DataFrame) -> DataFrame:
+def _word_answers(blobs: DataFrame, parts: int) -> DataFrame:
     """``chunk, data``: each chunk's words and their counts in all training texts; and rows
     without a chunk that hold a bucket's ``tokens`` and ``types``."""
 
@@ -431,11 +431,11 @@ def _word_answers(blobs: DataFrame) -> DataFrame:
         if held:
             yield from answer()
 
-    ordered = blobs.repartition("bucket").sortWithinPartitions("bucket")
+    ordered = blobs.repartition(parts, "bucket").sortWithinPartitions("bucket")
     return ordered.mapInArrow(run, "chunk long, data binary, tokens long, types long")
 
 
-def _trees(blobs: DataFrame, depth: int, top: int) -> DataFrame:
+def _trees(blobs: DataFrame, depth: int, top: int, parts: int) -> DataFrame:
     """Per bucket its strings and their mixed probabilities (``data``, ``mixed``), and rows of
     sums for the nodes nearer the root."""
 
@@ -468,7 +468,7 @@ def _trees(blobs: DataFrame, depth: int, top: int) -> DataFrame:
         if parts:
             yield from build()
 
-    ordered = blobs.repartition("bucket").sortWithinPartitions("bucket")
+    ordered = blobs.repartition(parts, "bucket").sortWithinPartitions("bucket")
     return ordered.mapInArrow(run, "bucket int, data binary, mixed binary, node long, zeros double, ones double, below double")
 
 
@@ -484,7 +484,7 @@ def _cuts(codes: np.ndarray, depth: int, top: int, size: int = 1 << 19):
         at = end
 
 
-def _answers(blobs: DataFrame, trees: DataFrame, crown, depth: int) -> DataFrame:
+def _answers(blobs: DataFrame, trees: DataFrame, crown, depth: int, parts: int) -> DataFrame:
     """``chunk, data``: each chunk's strings and their log10 probabilities."""
 
     def run(batches):
@@ -507,7 +507,7 @@ def _answers(blobs: DataFrame, trees: DataFrame, crown, depth: int) -> DataFrame
 
     asked = blobs.select("bucket", "chunk", "data", F.lit(None).cast("binary").alias("mixed"))
     said = trees.where("bucket IS NOT NULL").select("bucket", F.lit(None).cast("long").alias("chunk"), "data", "mixed")
-    rows = said.unionAll(asked).repartition("bucket").sortWithinPartitions("bucket", F.col("chunk").asc_nulls_first())
+    rows = said.unionAll(asked).repartition(parts, "bucket").sortWithinPartitions("bucket", F.col("chunk").asc_nulls_first())
     return rows.mapInArrow(run, "chunk long, data binary")
 
 
@@ -525,7 +525,7 @@ def score(df: DataFrame, learn: Column | str, id_col: str = "doc_id", text_col:
         buckets = min(max(8, -(-size // chunk)), 1 << 15)
         requests = scratch.written(_requests(packs, depth, top, buckets), "requests")
         blobs = requests.where("kind = 1").select("bucket", "chunk", "data")
-        trees = scratch.written(_trees(blobs, depth, top), "trees")
+        trees = scratch.written(_trees(blobs, depth, top, buckets), "trees")
 
         def gather(batches):
             cols = [[] for _ in range(4)]
@@ -540,14 +540,14 @@ def score(df: DataFrame, learn: Column | str, id_col: str = "doc_id", text_col:
         got = sums.mapInArrow(gather, "node binary, zeros binary, ones binary, below binary").collect()
         arrays = [np.concatenate([np.frombuffer(r[i], t) for r in got] or [np.zeros(0, t)]) for i, t in enumerate(("<u8", "<f8", "<f8", "<f8"))]
         crown = spark.sparkContext.broadcast(Crown(*arrays, top))
-        answers = _answers(blobs, trees, crown, depth)
-        words = scratch.written(_word_answers(requests.where("kind = 0").select("bucket", "chunk", "data")), "words")
+        answers = _answers(blobs, trees, crown, depth, buckets)
+        words = scratch.written(_word_answers(requests.where("kind = 0").select("bucket", "chunk", "data"), buckets), "words")
         total = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first()
         tokens, types = int(total["tokens"]), int(total["types"])
         none = [F.lit(None).cast(t) for t in (f"array<{kind}>", "binary")]
         said = words.where("chunk IS NOT NULL").select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("seq"), "data", none[0].alias("ids"), none[1].alias("sizes"))
         parts = said.unionAll(answers.select("chunk", F.lit(1), F.lit(0), "data", *none)).unionAll(packs.select("chunk", F.lit(2), "seq", "raw", "ids", "sizes"))
-        stream = parts.repartition("chunk").sortWithinPartitions("chunk", "kind", "seq")
+        stream = parts.repartition(buckets, "chunk").sortWithinPartitions("chunk", "kind", "seq")
         per_token = math.log10(tokens + types + 1)
 
         def run(batches):
