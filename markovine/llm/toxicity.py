@@ -6,9 +6,9 @@ is the logistic of ``w0 + sum w_i + sum_{i<j} <v_i, v_j>``, the pair sum compute
 half of the squared sum less the sum of squares, so that pairs such as an insult with
 a mention of a group get a weight that a linear model cannot give them.
 
-Training takes a bounded sample (``max_per_class`` labelled rows of each class, those
-with the smallest hash of their id) and keeps the terms that ``min_docs`` of its rows
-hold; examples are weighted back to the classes' true shares, so that the score is a
+Training takes a bounded sample (``max_per_class`` labelled ids of each class, those
+with the smallest hash; of rows that repeat an id one) and the terms that ``min_docs``
+of its rows hold, as a rarer one only learns its rows by heart; examples are weighted back to the classes' true shares, so that the score is a
 probability.  Optimisation is Adagrad on shuffled mini-batches with a fixed seed.
 Long texts hold most common words, which carry no signal: a term's starting weight is
 half of its smoothed log odds if they are beyond the noise and 0 otherwise.  Every term
@@ -111,11 +111,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, bits: i
         return none
     renumber = np.cumsum(kept) - 1
     stay = kept[place]
-    place, owner = renumber[place[stay]], owner[stay]
-    size = int(kept.sum())
+    place, owner, used, start = renumber[place[stay]], owner[stay], used[kept], start[kept]
+    size = len(used)
     starts = np.searchsorted(owner, np.arange(len(rows) + 1))
     rng = np.random.default_rng(seed)
-    w0, w, v = float(limit), start[kept], rng.normal(0, 0.01, (size, rank))
+    w0, w, v = float(limit), start, rng.normal(0, 0.01, (size, rank))
     g0, gw, gv = 1e-2, np.full(size, 1e-2), np.full((size, rank), 1e-2)
     scaled = weights / weights.mean()
     for _ in range(epochs):
@@ -126,44 +126,47 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, bits: i
             own = np.repeat(np.arange(len(batch)), sizes)
             idx = place[np.repeat(starts[batch] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(int(sizes.sum()))]
             vi = v[idx]
-            total = np.zeros((len(batch), rank))
-            np.add.at(total, own, vi)
+            total = np.stack([np.bincount(own, weights=vi[:, r], minlength=len(batch)) for r in range(rank)], axis=1)
             square = np.bincount(own, weights=(vi * vi).sum(axis=1), minlength=len(batch))
             z = w0 + np.bincount(own, weights=w[idx], minlength=len(batch)) + 0.5 * ((total * total).sum(axis=1) - square)
             err = scaled[batch] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[batch]) / len(batch)
             d0 = float(err.sum())
-            dw = np.bincount(idx, weights=err[own], minlength=size) + decay * w / 10
-            dv = np.zeros((size, rank))
-            np.add.at(dv, idx, err[own][:, None] * (total[own] - vi))
-            dv += decay * v
+            # only the batch's terms move
+            held, spot = np.unique(idx, return_inverse=True)
+            dw = np.bincount(spot, weights=err[own], minlength=len(held)) + decay * w[held] / 10
+            pull = err[own][:, None] * (total[own] - vi)
+            dv = np.stack([np.bincount(spot, weights=pull[:, r], minlength=len(held)) for r in range(rank)], axis=1) + decay * v[held]
             g0 += d0 * d0
-            gw += dw * dw
-            gv += dv * dv
+            gw[held] += dw * dw
+            gv[held] += dv * dv
             w0 -= rate * d0 / g0**0.5
-            w -= rate * dw / np.sqrt(gw)
-            v -= rate * dv / np.sqrt(gv)
-    return FactorizationMachine(bits, used[kept], float(w0), w, v)
+            w[held] -= rate * dw / np.sqrt(gw[held])
+            v[held] -= rate * dv / np.sqrt(gv[held])
+    return FactorizationMachine(bits, used, float(w0), w, v)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", max_per_class: int = 3000, bits: int = 20) -> FactorizationMachine:
     """Fit on at most ``max_per_class`` labelled rows of each class."""
-    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     marked = marked.withColumn("y", (F.col("y") > 0).cast("int"))
     totals = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = []
     for y in (0, 1):
-        picked.append(marked.where(F.col("y") == y).orderBy(F.xxhash64("__id"), "__id").limit(max_per_class))
+        picked.append(marked.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(max_per_class))
     sample = picked[0].union(picked[1])
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def featurize(batches):
         for whole in batches:
             for b in chunks(whole, "text"):
                 rows = [slots(t, bits).tobytes() for t in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(rows, pa.binary())], names=["y", "row"])
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array(rows, pa.binary())], names=["id", "y", "row"])
 
-    rows = docs.join(F.broadcast(sample), docs[id_col] == sample["__id"]).select("y", F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(sample), "id").select("id", "y", "text").mapInArrow(featurize, f"id {kind}, y int, row binary")
+    one = rows.groupBy("id").agg(F.min(F.struct("row", "y")).alias("z")).select("z.row", "z.y")
     # at most 2 * max_per_class short rows, in an order that does not depend on the tasks
-    got = sorted(((bytes(r["row"]), r["y"]) for r in rows.mapInArrow(featurize, "y int, row binary").collect()), key=lambda r: (zlib.crc32(r[0]), r))
+    got = sorted(((bytes(r["row"]), r["y"]) for r in one.collect()), key=lambda r: (zlib.crc32(r[0]), r))
     y = np.array([k for _, k in got], dtype=np.float64)
     found = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     weights = np.array([totals.get(int(k), 0) / found[int(k)] for k in y], dtype=np.float64)
@@ -178,15 +181,16 @@ def predict(df: DataFrame, model: FactorizationMachine, id_col: str = "doc_id",
     def run(batches):
         model = ref.value
         for whole in batches:
-            for b in chunks(whole, "__text"):
-                out = [model.score(t) for t in b.column("__text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(out, pa.float64())], names=[id_col, "score"])
+            for b in chunks(whole, "text"):
+                out = [model.score(t) for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.float64())], names=[id_col, "score"])
 
-    return df.select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, score double")
 
 
 def keep_clean(df: DataFrame, model: FactorizationMachine, text_col: str = "text", below: float = 0.3) -> DataFrame:
-    """The rows of ``df`` that score less than ``below``."""
+    """The rows of ``df`` that score less than ``below``, with all their columns; a null or
+    empty text has the score of the bias."""
     ref = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
