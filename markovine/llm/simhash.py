@@ -17,7 +17,9 @@ in the shared folder.
 Cases: null or word-free text has fingerprint zero and is linked like any other;
 rows with a null id get a fingerprint and their group's smallest non-null id (null
 if there is none); repeated rows give repeated results; an empty table gives an
-empty result; extra columns are ignored.
+empty result; extra columns are ignored, whatever their names.  A fingerprint that more
+than ``HOT`` rows share (at most one in ``HOT`` rows is such a fingerprint) is joined by
+broadcast, so that no task gets all its rows.
 
 ``keep_dissimilar`` is for corpora, where copies count from a Jaccard similarity of 0.8
 of their shingle sets on.  At 0.8 two fingerprints differ in about ten of 64 bits, a
@@ -42,6 +44,8 @@ BITS = 64
 BANDS, ROWS = 20, 5
 #: Largest bucket whose pairs are verified in one go; larger ones are refined.
 BUCKET = 512
+#: Rows from which on a key's rows are not brought together to be joined.
+HOT = 1 << 18
 
 
 def shingle_hashes(text: str | None, width: int = 3, seed: int = 42) -> np.ndarray:
@@ -73,19 +77,29 @@ def fingerprint_of(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, keep: list[str] | None = None) -> DataFrame:
-    """``id_col``, the columns named in ``keep`` and ``fp long`` for each row."""
-    keep = [c for c in keep or [] if c != id_col]
-    cols = [id_col, *keep]
-    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols] + ["`fp` bigint"]
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, keep: bool = False) -> DataFrame:
+    """``id`` and ``fp long`` for each row, and the whole row as ``row`` if ``keep``."""
+    kind = df.schema[id_col].dataType.simpleString()
+    cols = [F.col(id_col).alias("id"), F.col(text_col).alias("text")] + ([F.struct(*df.columns).alias("row")] if keep else [])
 
     def run(batches):
         for whole in batches:
-            for b in chunks(whole, "__text"):
-                fps = np.array([fingerprint(t, width, seed) for t in b.column("__text").to_pylist()], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(fps)], names=[*cols, "fp"])
+            for b in chunks(whole, "text"):
+                fps = np.array([fingerprint(t, width, seed) for t in b.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps), *([b.column("row")] if keep else [])], names=["id", "fp", *(["row"] if keep else [])])
+
+    return df.select(*cols).mapInArrow(run, f"id {kind}, fp bigint" + (f", row {df.select(cols[2]).schema['row'].dataType.simpleString()}" if keep else ""))
 
-    return df.select(*cols, F.col(text_col).alias("__text")).mapInArrow(run, ", ".join(fields))
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, hot: int = HOT) -> DataFrame:
+    """``rows`` joined with ``table`` on ``key``; ``n`` of ``table`` is how many of ``rows`` a key
+    has.  Keys of more than ``hot`` rows are few (one in ``hot`` rows) and are broadcast."""
+    heavy = table.where(F.col("n") > hot).drop("n")
+    light = table.where(F.col("n") <= hot).drop("n")
+    if heavy.isEmpty():
+        return rows.join(light, key)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(heavy), key).unionByName(rest.join(light, key))
 
 
 def split_mask(mask: int, parts: int) -> list[int]:
@@ -158,11 +172,11 @@ def block_links(fps: DataFrame, distance: int = 3, bucket: int = BUCKET) -> Data
         small = sized.where(F.col("n") <= bucket).groupBy("mask", "value").agg(F.collect_list("fp").alias("fps"))
         found.append(written(small.select("fps").mapInArrow(verify, "a long, b long"), "simhash-links"))
         rows = sized.where(F.col("n") > bucket).select("mask", "fp")
-        masks = [m & (1 << BITS) - 1 for m in masks]
-        free = BITS - min(m.bit_count() for m in masks)
-        if free <= distance or rows.isEmpty():
+        # masks that still have rows: they are few after a level or two
+        masks = [r["mask"] & (1 << BITS) - 1 for r in rows.select("mask").distinct().collect()]
+        if not masks or BITS - min(m.bit_count() for m in masks) <= distance:
             break
-    if not rows.isEmpty():  # nothing but the last free bits differ, so all of a bucket is linked
+    if masks:  # nothing but the last free bits differ, so all of a bucket is linked
         rest = rows.withColumn("value", F.expr("fp & mask"))
         hubs = rest.groupBy("mask", "value").agg(F.min("fp").alias("hub"))
         star = rest.join(hubs, ["mask", "value"]).where("fp <> hub")
@@ -193,38 +207,47 @@ def components(edges: DataFrame) -> DataFrame:
         total = now
 
 
-def groups(fps: DataFrame, id_col: str = "doc_id", distance: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """For each distinct ``fp`` of ``fps`` its group: ``fp``, ``root`` (a fingerprint that
-    names the group) and ``component`` (the group's smallest id)."""
-    distinct = written(fps.groupBy("fp").agg(F.min(id_col).alias("first")), "simhash-distinct")
+def groups(fps: DataFrame, distance: int = 3, bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
+    """For each distinct ``fp`` of ``fps`` (``id``, ``fp``) its group: ``fp``, ``root`` (a
+    fingerprint that names the group), ``component`` (the group's smallest id) and ``n``
+    (rows of the fingerprint)."""
+    distinct = written(fps.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     edges = block_links(distinct, distance, bucket)
     if edges is None:
-        return distinct.select("fp", F.col("fp").alias("root"), F.col("first").alias("component"))
+        return distinct.select("fp", F.col("fp").alias("root"), F.col("first").alias("component"), "n")
     linked = components(edges)
     member = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    member = written(member, "simhash-members")
-    least = member.groupBy("root").agg(F.min("first").alias("component"))
-    return written(member.select("fp", "root").join(least, "root").select("fp", "root", "component"), "simhash-groups")
+    member = written(member.withColumnRenamed("n", "rows"), "simhash-members")
+    least = written(member.groupBy("root").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("n")), "simhash-roots")
+    return written(spread_join(member, least, "root", hot).select("fp", "root", "component", F.col("rows").alias("n")), "simhash-groups")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3, hot: int = HOT) -> DataFrame:
     """``id_col``, ``fp long`` and ``component`` for each row."""
     fps = written(fingerprints(df, id_col, text_col, width), "simhash-fingerprints")
-    return fps.join(groups(fps, id_col, distance).select("fp", "component"), "fp").select(id_col, "fp", "component")
+    found = spread_join(fps, groups(fps, distance, hot=hot).drop("root"), "fp", hot)
+    return found.select(F.col("id").alias(id_col), "fp", "component")
+
+
+def with_component(df: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3, hot: int = HOT) -> DataFrame:
+    """``df`` with the component of each row as a column ``name``."""
+    fps = written(fingerprints(df, id_col, text_col, width, keep=True), "simhash-rows")
+    found = spread_join(fps, groups(fps, distance, hot=hot).drop("root"), "fp", hot)
+    return found.select(*(F.col("row")[c].alias(c) for c in df.columns if c != name), F.col("component").alias(name))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3) -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3, hot: int = HOT) -> DataFrame:
     """The rows of ``df`` with one row of each group: that of its smallest id (a group
     without any id keeps one row; of rows that repeat that id one stays)."""
-    fps = written(fingerprints(df, id_col, text_col, width, keep=df.columns), "simhash-rows")
-    ids = fps.groupBy("fp", id_col).agg(F.count(F.lit(1)).alias("n"))
-    rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("fp"), F.col("n"))
-    best = ids.join(groups(fps, id_col, distance).select("fp", "root"), "fp").groupBy("root").agg(F.min(rank).alias("best"))
-    best = written(best.select("root", "best.id", "best.fp", "best.n"), "simhash-best")
-    kept = fps.withColumnRenamed("fp", "__fp").join(best, F.expr(f"__fp = fp AND `{id_col}` <=> id"))
-    if not best.where("n > 1").isEmpty():
+    fps = written(fingerprints(df, id_col, text_col, width, keep=True), "simhash-rows")
+    ids = fps.groupBy("fp", "id").agg(F.count(F.lit(1)).alias("copies"))
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "fp", "copies")
+    best = ids.join(groups(fps, distance, hot=hot).select("fp", "root"), "fp").groupBy("root").agg(F.min(rank).alias("best"))
+    best = written(best.select("root", "best.id", "best.fp", "best.copies"), "simhash-best")
+    kept = fps.join(best.select("root", F.col("id").alias("best_id"), F.col("fp").alias("best_fp")), F.expr("fp = best_fp AND id <=> best_id"))
+    if not best.where("copies > 1").isEmpty():
         kept = kept.dropDuplicates(["root"])
-    return kept.select(*df.columns)
+    return kept.select(*(F.col("row")[c].alias(c) for c in df.columns))
 
 
 _RNG = np.random.default_rng(11)
@@ -280,8 +303,7 @@ def keep_dissimilar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     never both stay: the later one is a leader that was compared with the earlier one, or
     is linked to an earlier leader.  Texts are joined by merging at every size.
     """
-    cols = df.columns
-    rows = written(df.withColumn("__key", F.monotonically_increasing_id()), "near-rows")
+    rows = written(df.select(F.struct(*df.columns).alias("row"), F.monotonically_increasing_id().alias("key")), "near-rows")
 
     def features(batches):
         for whole in batches:
@@ -298,13 +320,13 @@ def keep_dissimilar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 )
 
     kind = df.schema[id_col].dataType.simpleString()
-    texts = rows.select(F.col(id_col).alias("id"), F.col("__key").alias("key"), F.col(text_col).alias("text"))
+    texts = rows.select(F.col("row")[id_col].alias("id"), "key", F.col("row")[text_col].alias("text"))
     found = written(texts.mapInArrow(features, f"id {kind}, key long, same long, fp long, bands array<long>"), "near-features")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     # equal shingle sets are one text from here on
     first = found.groupBy("same").agg(F.min(F.struct(rank.alias("rank"), "fp", "bands")).alias("z"))
     first = written(first.select("z.rank.id", "z.rank.key", "z.fp", "z.bands"), "near-texts")
-    near = groups(first.select(F.col("key").alias("doc_id"), "fp"), distance=distance).select("fp", F.xxhash64(F.lit("fp"), "root").alias("bucket"))
+    near = groups(first.select(F.col("key").alias("id"), "fp"), distance).select("fp", F.xxhash64(F.lit("fp"), "root").alias("bucket"))
     # a text's buckets; those with the same members are one
     held = first.select(F.explode("bands").alias("bucket"), "key").union(first.join(near, "fp").select("bucket", "key"))
     sizes = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("m"), F.bit_xor(F.xxhash64("key")).alias("x")).where("n > 1")
@@ -338,4 +360,4 @@ def keep_dissimilar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         later = linked.join(linked.groupBy("root").agg(F.min(rank).alias("best")).select("root", F.col("best.key").alias("best")), "root").where("key <> best")
         best = best.join(later.select("key"), "key", "left_anti")
     out = written(found.select("key").join(best, "key", "left_anti"), "near-dropped")
-    return rows.join(out.withColumnRenamed("key", "__key").hint("merge"), "__key", "left_anti").select(*cols)
+    return rows.join(out.hint("merge"), "key", "left_anti").select(*(F.col("row")[c].alias(c) for c in df.columns))
