@@ -190,8 +190,8 @@ def test_groups_against_brute_force(spark, bucket):
         fps.append(base - 2**64 if base >= 2**63 else base + 2**64 if base < -(2**63) else base)
     fps += [0, 0, -1]
     ids = [int(i) for i in rng.permutation(len(fps))]
-    df = spark.createDataFrame(list(zip(ids, fps, strict=True)), "doc_id long, fp long")
-    g = {r["fp"]: r["component"] for r in simhash.groups(df, bucket=bucket).collect()}
+    df = spark.createDataFrame(list(zip(ids, fps, strict=True)), "id long, fp long")
+    g = {r["fp"]: r["component"] for r in simhash.groups(df, bucket=bucket, hot=2 if bucket == 3 else 1 << 18).collect()}
     assert [g[f] for f in fps] == brute_groups(fps, ids)
 
 
@@ -207,6 +207,25 @@ def test_near_duplicates_edge_cases(spark):
     assert simhash.keep_one(df.limit(0)).count() == 0
 
 
+CLASH = "id fp root n row key text_ rows none best first component mask sub value same bands bucket hashes lang_ y z place draw item at data chunk seq kind shard bin pieces tokens length cluster start".split()
+
+
+def clashing(spark, rows):
+    """Texts with columns named like everything that operators use inside."""
+    return docs(spark, rows).select("*", *(F.lit(i).alias(c) for i, c in enumerate(CLASH)))
+
+
+def test_names_inside_operators_do_not_clash(spark):
+    df = clashing(spark, list(enumerate(TEXTS)) + [(0, None), (None, "one")])
+    labels = spark.createDataFrame([(3, 1), (4, 0), (5, 0)], "doc_id long, toxic int").withColumn("y", F.lit(1)).withColumn("id", F.lit(2))
+    for out in (simhash.keep_one(df), simhash.keep_dissimilar(df), langid.keep_identified(df, langid.train(df, "lang")), toxicity.keep_clean(df, toxicity.train(df, labels, "toxic"), below=1.1)):
+        assert out.columns == df.columns and out.count() > 0 and out.agg(F.max("best")).first()[0] == CLASH.index("best")
+    assert simhash.near_duplicates(df, hot=1).count() == langid.predict(df, langid.train(df, "lang")).count() == toxicity.predict(df, toxicity.train(df, labels, "toxic")).count() == len(TEXTS) + 2
+    marked = simhash.with_component(df, "cluster")
+    assert sorted(marked.columns) == sorted(df.columns) and marked.where("doc_id = 11").first()["cluster"] == 3
+    assert ctw.score(df, "doc_id < 5").count() == bpe_stream.encode_decode(df, registry.tokenizer_path("word_bpe_49k.json")).count() == len(TEXTS) + 2
+
+
 def test_keep_dissimilar_reaches_the_threshold(spark):
     """No two rows of similarity 0.8 or more stay, and none goes without a copy."""
     rng = np.random.default_rng(3)
@@ -320,13 +339,37 @@ def test_language_id_edge_cases(spark):
     model = langid.train(df, "lang")
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(df, model).collect()}
     assert got[0] == got[1] == got[2] == ("und", 0.0) and got[3] == ("en", 1.0)
+    odd = docs(spark, [(1, "½ ² Ⅷ 12"), (None, "word"), (2, "½a")])
+    assert [r["lang_pred"] for r in langid.predict(odd, model).orderBy("doc_id").collect()] == ["en", "und", "en"]
     empty = langid.train(df.limit(0), "lang")
     assert {r["lang_pred"] for r in langid.predict(df, empty).collect()} == {"und"}
     assert langid.keep_identified(df, model).columns == df.columns and langid.keep_identified(df.limit(0), model).count() == 0
-    two = langid.LanguageModel(["a", "b"], [math.log(0.5)] * 2, {"x": [1, 0], "y": [0, 1]}, {"zz": [0, 3], "aa": [3, 0]}, (2, 1))
+    two = langid.LanguageModel(["a", "b"], [math.log(0.5)] * 2, (["x", "y"], np.eye(2)), (["zz", "aa"], np.array([[0, 3], [3, 0]])), (2, 1))
     assert langid.Scorer(two).predict("x")[0] == "a" and langid.Scorer(two).predict("qzzq")[0] == "b" and langid.Scorer(two).predict("x y")[0] == "a"
 
 
+def test_language_model_by_definition(spark):
+    """Counts, smoothing and backoff written out for a small table."""
+    rows = [(1, "a b b", "x"), (2, "b cd", "y"), (3, "ef", "y"), (4, None, "x"), (5, "zz", None)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "lang")
+    assert model.langs == ["x", "y"] and model.prior.tolist() == pytest.approx([math.log(0.5)] * 2)
+    n = {"a": (1, 0), "b": (2, 1), "cd": (0, 1), "ef": (0, 1)}
+    for w, c in n.items():
+        want = [math.log((c[i] + 0.5) / (3 + 2)) for i in range(2)]
+        assert model.table[model.row[w]].tolist() == pytest.approx([v - max(want) for v in want], abs=1e-6)
+    grams = Counter()
+    for w, c in n.items():
+        for g in {1: w, 2: [f" {w} "[i : i + 2] for i in range(len(w) + 1)], 3: [f" {w} "[i : i + 3] for i in range(len(w))], 4: [f" {w} "] if len(w) == 2 else []}.items():
+            for x in g[1]:
+                for i in range(2):
+                    grams[x, i] += c[i] > 0
+    assert set(model.gram_row) == {g for g, _ in grams}
+    total = [sum(k for (_, i), k in grams.items() if i == j) for j in range(2)]
+    rows = [[math.log((grams[g, i] + 0.5) / (total[i] + 0.5 * len(model.gram_row))) for i in range(2)] for g in ("c", "b")]
+    want = 0.5**4 * np.mean([[v - max(r) for v in r] for r in rows], axis=0)
+    assert model.backoff("qcbq").tolist() == pytest.approx(want.tolist(), abs=1e-6)
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = {r["doc_id"]: r for r in registry.op10_toxicity(spark, sf).collect()}
@@ -354,6 +397,24 @@ def test_machine_learns_interactions():
     assert z[0] == pytest.approx(by_pairs)
 
 
+def test_terms_reach_inflected_words():
+    train = [("you are a scumbag", 1), ("what a scumbag he is", 1), ("a nice day", 0), ("he is a good man", 0)] * 20
+    m = toxicity.fit([toxicity.slots(t, 20) for t, _ in train], np.array([float(y) for _, y in train]), np.ones(len(train)))
+    assert m.score("those scumbags") > 0.5 > m.score("those good men")
+    assert toxicity.terms("Scumbags ½") == {"scumbags", "^scumb", "½"} and toxicity.terms(None) == set()
+    by_pairs = lambda r: m.bias + m.linear[r].sum() + sum(m.factors[a] @ m.factors[b] for i, a in enumerate(r) for b in r[:i])
+    rows = m.rows("what a good scumbag")
+    assert m.margin(rows) == pytest.approx(by_pairs(rows))
+
+
+def test_rare_terms_and_noise_do_not_decide():
+    rng = np.random.default_rng(1)
+    rows = [np.array(sorted({*rng.integers(10, 40, 4), *([1] if k % 2 else [])})) for k in range(200)]
+    rows[1] = np.append(rows[1], 99)  # in one row only
+    m = toxicity.fit(rows, np.arange(200) % 2.0, np.ones(200))
+    assert 99 not in m.place and abs(m.linear[m.place[1]]) > 5 * np.abs(np.delete(m.linear, m.place[1])).max()
+
+
 def test_machine_learns_pairs_of_neutral_terms():
     """Each of two terms is as frequent in both classes; together they tell."""
     rng = np.random.default_rng(4)
