@@ -311,6 +311,149 @@ class Chain:
         return np.array([math.nan if self.miss[n] else self.predictive_cdf(n, alphas[n - 1] if n else None) for n in range(self.N)])
 
 
+class Batch:
+    """Many series at once, one step over all of them per position.
+
+    Serves series that need no quadrature (``served``); the others, and those whose
+    probabilities underflow, are left to ``Chain``.  Rows of all series follow each other.
+    """
+
+    def __init__(self, model: Model, y: np.ndarray, sizes: np.ndarray):
+        self.model, self.k = model, Kernels(model)
+        self.y, self.sizes = np.asarray(y, float), np.asarray(sizes, dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.N = len(self.y)
+        self.miss = missing_mask(self.y)
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        gaps = np.bincount(owner[self.miss], minlength=len(self.sizes)) > 0
+        self.served = ~gaps if model.needs_grid else np.ones(len(self.sizes), bool)
+        safe = np.where(self.miss[:, None] if self.y.ndim == 2 else self.miss, 0.0, self.y)
+        self.logf = self.k.logf(safe)
+        self.logf[self.miss] = 0.0
+        self.cdf = self.k.cdf(safe) if self.y.ndim == 1 else None
+        first = self.k.initial(self.logf[self.starts])
+        w = self.k.state(self.logf[:-1]) + np.swapaxes(self.logf[1:], 1, 2) if self.N > 1 else np.zeros((0, model.K, model.K))
+        for (i, j), (fam, p) in self.k.cop.items():
+            if not fam.independent:
+                c = fam.log_pdf(self.cdf[:-1, i, j], self.cdf[1:, j, i], p)
+                w[:, i, j] += np.where(np.isnan(c), -np.inf, c)
+        if model.missingness is not None:
+            e = np.concatenate([model.missingness.log_evidence(self.miss[a : a + n]) for a, n in zip(self.starts, self.sizes, strict=True)])
+            first, w = first + e[self.starts], w + e[1:, None, :]
+        self.first = first
+        with np.errstate(invalid="ignore"):
+            self.scale = w.max(axis=(1, 2)) if len(w) else np.zeros(0)
+            self.w = np.exp(w - self.scale[:, None, None])
+        self.order = np.argsort(-self.sizes, kind="stable")
+
+    def _active(self, t: int) -> np.ndarray:
+        """Rows at position ``t`` of the series that reach it, longest series first."""
+        some = np.searchsorted(-self.sizes[self.order], -t, "left")
+        return self.starts[self.order[:some]] + t
+
+    def forward(self) -> tuple[np.ndarray, np.ndarray]:
+        """Filtered state probabilities ``(N, K)`` and log predictive densities."""
+        if getattr(self, "_fwd", None) is None:
+            alpha, logc = np.empty((self.N, self.model.K)), np.empty(self.N)
+            with np.errstate(all="ignore"):
+                for t in range(int(self.sizes.max(initial=0))):
+                    at = self._active(t)
+                    if t:
+                        a, top = np.einsum("si,sij->sj", alpha[at - 1], self.w[at - 1]), self.scale[at - 1]
+                    else:
+                        m = self.first[self.order[: len(at)]]
+                        top = m.max(axis=1)
+                        a = np.exp(m - top[:, None])
+                    c = a.sum(axis=1)
+                    alpha[at], logc[at] = a / c[:, None], np.log(c) + top
+            bad = np.add.reduceat((~np.isfinite(logc)).astype(int), self.starts) > 0 if self.N else np.zeros(0, bool)
+            self.served = self.served & ~bad
+            self._fwd = alpha, logc
+        return self._fwd
+
+    def backward(self) -> np.ndarray:
+        if getattr(self, "_bwd", None) is None:
+            beta = np.ones((self.N, self.model.K))
+            with np.errstate(all="ignore"):
+                for t in range(int(self.sizes.max(initial=0)) - 2, -1, -1):
+                    at = self._active(t + 1) - 1
+                    b = np.einsum("sij,sj->si", self.w[at], beta[at + 1])
+                    beta[at] = b / b.max(axis=1, keepdims=True)
+            self._bwd = beta
+        return self._bwd
+
+    def rest(self):
+        """Series that are not served: their rows and chains."""
+        self.forward()
+        for s in np.flatnonzero(~self.served).tolist():
+            at = slice(int(self.starts[s]), int(self.starts[s] + self.sizes[s]))
+            yield at, Chain(self.model, self.y[at])
+
+    def gamma(self) -> np.ndarray:
+        with np.errstate(all="ignore"):
+            g = self.forward()[0] * self.backward()
+            g /= g.sum(axis=1, keepdims=True)
+        bad = ~np.isfinite(g).all(axis=1)
+        if bad.any():
+            self.served &= np.add.reduceat(bad.astype(int), self.starts) == 0
+        for at, chain in self.rest():
+            g[at] = chain.gamma()
+        return g
+
+    def xi(self) -> np.ndarray:
+        """Pair probabilities of each row and the next one (meaningless at a series' end)."""
+        self.gamma()
+        with np.errstate(all="ignore"):
+            z = self.forward()[0][:-1, :, None] * self.w * self.backward()[1:, None, :]
+            z /= z.sum(axis=(1, 2), keepdims=True)
+        for at, chain in self.rest():
+            z[at.start : at.stop - 1] = chain.xi()
+        return z
+
+    def log_liks(self) -> np.ndarray:
+        """Log-likelihood of each series."""
+        out = np.add.reduceat(self.forward()[1], self.starts) if self.N else np.zeros(0)
+        for at, chain in self.rest():
+            out[np.searchsorted(self.starts, at.start)] = chain.log_lik
+        return out
+
+    def pit(self) -> tuple[np.ndarray, np.ndarray]:
+        """Predictive probability integral transforms (NaN at missing rows) and log predictive
+        densities."""
+        alpha, logc = self.forward()
+        m, f = self.model, self.cdf
+        out = np.empty(self.N)
+        start = np.zeros(self.N, bool)
+        start[self.starts] = True
+        out[start] = (m.p[None] * f[start]).sum(axis=(1, 2)) if m.is_pair else f[start][:, :, 0] @ m.pi
+        at = np.flatnonzero(~start)
+        q = np.exp(self.k.state(self.logf[at - 1])) * alpha[at - 1][:, :, None]
+        total = np.zeros(len(at))
+        for i in range(m.K):
+            for j in range(m.K):
+                fam, p = self.k.cop.get((i, j), (None, None))
+                part = f[at, j, i] if fam is None or fam.independent else fam.h(f[at, j, i], f[at - 1, i, j], p)
+                total += q[:, i, j] * part
+        out[at] = np.clip(total, 0.0, 1.0)
+        out[self.miss] = np.nan
+        logc = logc.copy()
+        for rows, chain in self.rest():
+            out[rows], logc[rows] = chain.pit(), chain.forward()[1]
+        return out, logc
+
+
+def mixture_summary(model: Model, w: np.ndarray, quantiles) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, sd and quantiles of state mixtures with weights ``w`` (rows x K)."""
+    laws = [model.margin(i, 0) for i in range(model.K)]
+    mom = np.array([f.moments() for f in laws])
+    mean = w @ mom[:, 0]
+    sd = np.sqrt(np.maximum(w @ (mom[:, 1] ** 2 + mom[:, 0] ** 2) - mean**2, 0.0))
+    lo, hi = min(f.ppf(1e-12).item() for f in laws), max(f.ppf(1 - 1e-12).item() for f in laws)
+    targets = np.tile(np.asarray(quantiles, float), (len(w), 1))
+    qs = numerics.invert(lambda t: sum(w[:, i, None] * f.cdf(t) for i, f in enumerate(laws)), targets, lo, hi)
+    return mean, sd, qs
+
+
 def bh_threshold(p: np.ndarray, alpha: float) -> float:
     """Benjamini-Hochberg step-up threshold (0 if nothing is rejected)."""
     p = np.sort(p)
@@ -318,6 +461,13 @@ def bh_threshold(p: np.ndarray, alpha: float) -> float:
     return float(p[ok[-1]]) if len(ok) else 0.0
 
 
+def flag_all(p: np.ndarray, miss: np.ndarray, alpha: float, correction: str | None) -> np.ndarray:
+    """Flags of a series' p-values taken together."""
+    seen = p[~miss]
+    cut = {None: alpha, "none": alpha, "bonferroni": alpha / max(len(seen), 1), "bh": bh_threshold(seen, alpha)}[correction]
+    return np.where(miss, False, p <= cut if correction == "bh" else p < cut)
+
+
 def flag_outliers(model: Model, y: np.ndarray, alpha: float = 0.01, sequential: bool = True, correction: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Two-sided predictive p-values and flags.  A sequential run takes a flagged row
     out of what later rows are predicted from."""
@@ -326,9 +476,7 @@ def flag_outliers(model: Model, y: np.ndarray, alpha: float = 0.01, sequential:
     if not sequential:
         pit = Chain(model, y).pit()
         p = 2 * np.minimum(pit, 1 - pit)
-        seen = p[~miss]
-        cut = {None: alpha, "none": alpha, "bonferroni": alpha / max(len(seen), 1), "bh": bh_threshold(seen, alpha)}[correction]
-        return p, np.where(miss, False, p <= cut if correction == "bh" else p < cut)
+        return p, flag_all(p, miss, alpha, correction)
     flags, p = np.zeros(len(y), bool), np.full(len(y), np.nan)
     cut = alpha / max((~miss).sum(), 1) if correction == "bonferroni" else alpha
     gated, a = y.copy(), None

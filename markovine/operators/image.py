@@ -1,15 +1,18 @@
 """Images as series along a space-filling curve.
 
-The curve visits every cell of any rectangle once: the longer side is halved until a
-strip is thin, as in Hilbert's construction generalised to rectangles.  Each block
-``(corner, major axis, minor axis)`` is split into an entry part along the minor axis,
-a middle along the major axis and an exit part walked backwards; a block much longer
-than wide is split in two along its length.
+The curve visits every cell of any rectangle once and steps to a neighbour wherever the
+sides' parity allows it.  A block has a corner, two unit directions and a length along
+each.  A block much longer than wide is two blocks one after the other; any other block
+is three: across its near part, along its far part, and back across the rest of the near
+part.  Where a cell comes in the order follows from the sizes of the blocks it does not
+lie in, so cells and positions are translated one by one, many at a time, without a
+table of the whole curve.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,57 +20,103 @@ from ..plans.model import Model
 from . import series
 
 
+class _Blocks:
+    """One block per cell looked for: what is known of each narrows step by step."""
+
+    def __init__(self, count: int, height: int, width: int):
+        along = width >= height  # the first block runs along its longer side
+        fill = lambda *v: np.tile(np.array(v, dtype=np.int64), (count, 1))
+        self.corner = fill(0, 0)  # row, column
+        self.u, self.v = (fill(0, 1), fill(1, 0)) if along else (fill(1, 0), fill(0, 1))
+        self.long = np.full(count, max(height, width), dtype=np.int64)
+        self.wide = np.full(count, min(height, width), dtype=np.int64)
+        self.before = np.zeros(count, dtype=np.int64)  # cells visited before the block
+
+    def cuts(self, at: np.ndarray):
+        """For the blocks ``at``: whether they split in two, and the lengths at which they split."""
+        long, wide = self.long[at], self.wide[at]
+        two = 2 * long > 3 * wide
+        # the first half of an odd length is the shorter one where the direction ascends
+        h = (long + (self.u[at].sum(axis=1) < 0)) // 2
+        k = (wide + (self.v[at].sum(axis=1) < 0)) // 2
+        h = h + (two & (h % 2 == 1) & (long > 2))
+        k = k + (~two & (k % 2 == 1) & (wide > 2))
+        return two, h, k
+
+    def enter(self, at: np.ndarray, two: np.ndarray, h: np.ndarray, k: np.ndarray, part: np.ndarray) -> None:
+        """Go on to sub-block ``part`` (0, 1, 2) of each."""
+        u, v, long, wide = self.u[at], self.v[at], self.long[at], self.wide[at]
+        cases = [two & (part == 0), two & (part == 1), ~two & (part == 0), ~two & (part == 1), ~two & (part == 2)]
+        pick = lambda *xs: np.select([c[:, None] if xs[0].ndim == 2 else c for c in cases], xs)
+        none = np.zeros_like(h)
+        ahead = pick(none, h, none, none, long - 1)  # from corner to corner
+        aside = pick(none, none, none, k, k - 1)
+        self.before[at] += pick(none, h * wide, none, h * k, h * k + long * (wide - k))
+        self.corner[at] += ahead[:, None] * u + aside[:, None] * v
+        self.u[at], self.v[at] = pick(u, u, v, u, -v), pick(v, v, u, v, -u)
+        self.long[at], self.wide[at] = pick(h, long - h, k, long, k), pick(wide, wide, h, wide - k, long - h)
+
+
+def position_of(row: np.ndarray, col: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Where cells come in the order."""
+    cell = np.stack([row, col], axis=1).astype(np.int64)
+    b = _Blocks(len(cell), height, width)
+    at = np.arange(len(cell))
+    while True:
+        at = at[(b.long[at] > 1) & (b.wide[at] > 1)]
+        off = cell - b.corner
+        if not len(at):
+            return b.before + np.where(b.wide == 1, (off * b.u).sum(axis=1), (off * b.v).sum(axis=1))
+        s, t = (off[at] * b.u[at]).sum(axis=1), (off[at] * b.v[at]).sum(axis=1)
+        two, h, k = b.cuts(at)
+        b.enter(at, two, h, k, np.where(two, s >= h, np.where(t >= k, 1, np.where(s < h, 0, 2))))
+
+
+def cell_of(position: np.ndarray, height: int, width: int) -> np.ndarray:
+    """``(n, 2)`` rows and columns of positions in the order."""
+    position = np.asarray(position, dtype=np.int64)
+    b = _Blocks(len(position), height, width)
+    at = np.arange(len(position))
+    while True:
+        at = at[(b.long[at] > 1) & (b.wide[at] > 1)]
+        left = position - b.before
+        if not len(at):
+            return b.corner + left[:, None] * np.where((b.wide == 1)[:, None], b.u, b.v)
+        two, h, k = b.cuts(at)
+        first, second = np.where(two, h * b.wide[at], h * k), np.where(two, 1 << 62, h * k + b.long[at] * (b.wide[at] - k))
+        b.enter(at, two, h, k, (left[at] >= first).astype(int) + (left[at] >= second))
+
+
 def curve(height: int, width: int) -> np.ndarray:
     """``(height * width, 2)`` rows and columns in visiting order."""
-    path: list[tuple[int, int]] = []
-    unit = lambda p: (int(np.sign(p[0])), int(np.sign(p[1])))
-    todo = [((0, 0), (width, 0), (0, height)) if width >= height else ((0, 0), (0, height), (width, 0))]
-    while todo:
-        at, major, minor = todo.pop()
-        long, wide = abs(major[0] + major[1]), abs(minor[0] + minor[1])
-        step, side = unit(major), unit(minor)
-        if wide == 1:
-            path += [(at[0] + k * step[0], at[1] + k * step[1]) for k in range(long)]
-            continue
-        if long == 1:
-            path += [(at[0] + k * side[0], at[1] + k * side[1]) for k in range(wide)]
-            continue
-        half = (int(major[0] / 2), int(major[1] / 2))
-        rise = (int(minor[0] / 2), int(minor[1] / 2))
-        n_half, n_rise = abs(half[0] + half[1]), abs(rise[0] + rise[1])
-        if 2 * long > 3 * wide:
-            if n_half % 2 and long > 2:  # even halves join without a diagonal
-                half = (half[0] + step[0], half[1] + step[1])
-            parts = [(at, half, minor), ((at[0] + half[0], at[1] + half[1]), (major[0] - half[0], major[1] - half[1]), minor)]
-        else:
-            if n_rise % 2 and wide > 2:
-                rise = (rise[0] + side[0], rise[1] + side[1])
-            end = (at[0] + major[0] - step[0] + rise[0] - side[0], at[1] + major[1] - step[1] + rise[1] - side[1])
-            parts = [
-                (at, rise, half),
-                ((at[0] + rise[0], at[1] + rise[1]), major, (minor[0] - rise[0], minor[1] - rise[1])),
-                (end, (-rise[0], -rise[1]), (-(major[0] - half[0]), -(major[1] - half[1]))),
-            ]
-        todo += parts[::-1]
-    return np.array(path)[:, ::-1]
-
-
-def path_table(spark, height: int, width: int) -> DataFrame:
-    """``n, row, col``."""
-    p = curve(height, width)
-    return spark.createDataFrame([(k, int(r), int(c)) for k, (r, c) in enumerate(p.tolist())], "n long, row int, col int")
+    return cell_of(np.arange(height * width), height, width)
+
+
+def place(height: int, width: int):
+    """Where the cell ``row, col`` comes, as a Column."""
+
+    @F.pandas_udf("long")
+    def at(row: pd.Series, col: pd.Series) -> pd.Series:
+        return pd.Series(position_of(row.to_numpy(), col.to_numpy(), height, width))
+
+    return at("row", "col")
 
 
 def unfold(pixels: DataFrame, height: int, width: int) -> DataFrame:
     """``image_id, row, col, y`` to series ``series_id, n, y``."""
-    path = path_table(pixels.sparkSession, height, width)
-    return pixels.join(F.broadcast(path), ["row", "col"]).select(F.col("image_id").alias("series_id"), "n", "y")
+    inside = (F.col("row") >= 0) & (F.col("row") < height) & (F.col("col") >= 0) & (F.col("col") < width)
+    return pixels.where(inside).select(F.col("image_id").alias("series_id"), place(height, width).alias("n"), "y")
 
 
 def fold(rows: DataFrame, height: int, width: int) -> DataFrame:
     """Series rows back to cells, other columns kept."""
-    path = path_table(rows.sparkSession, height, width)
-    return rows.join(F.broadcast(path), "n").withColumnRenamed("series_id", "image_id").drop("n")
+
+    @F.pandas_udf("row int, col int")
+    def cell(n: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(cell_of(n.to_numpy(), height, width), columns=["row", "col"])
+
+    others = [c for c in rows.columns if c not in ("series_id", "n")]
+    return rows.withColumn("__cell", cell("n")).select(F.col("series_id").alias("image_id"), "__cell.row", "__cell.col", *others)
 
 
 def classify_image(pixels: DataFrame, model: Model, height: int, width: int) -> DataFrame:

@@ -1,7 +1,7 @@
 """Sequence operators over a table ``series_id, n, y`` (vectors: ``y array<double>``).
 
-Series are the parallel dimension: each is sorted and handled in one task by the numpy
-engine.  A series that is too long for one task goes through ``classify_blocks``, which
+Series are the parallel dimension: a task gets whole series in order and steps through
+many of them at once.  A series that is too long for one task goes through ``classify_blocks``, which
 cuts it into stretches at observed rows, reduces each to a K x K transfer matrix, scans
 the short list of matrices per series, and finishes the stretches in parallel.
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.model import Model
-from .engine import Chain, _logsumexp, flag_outliers, simulate
+from .engine import Batch, Chain, _logsumexp, flag_all, flag_outliers, mixture_summary, simulate
 
 
 def values(pdf: pd.DataFrame) -> np.ndarray:
@@ -43,29 +43,67 @@ def per_series(df: DataFrame, fn: Callable[[pd.DataFrame, np.ndarray], pd.DataFr
     return df.groupBy("series_id").applyInPandas(run, f"series_id {kind}, {schema}")
 
 
+#: Rows that a task steps through together.
+ROWS = 1 << 16
+
+
+def in_batches(df: DataFrame, model: Model, fn: Callable[[pd.DataFrame, Batch], pd.DataFrame], schema: str) -> DataFrame:
+    """Apply ``fn(rows of whole series in order, their batch)``; it returns ``series_id`` too."""
+    kind = df.schema["series_id"].dataType.simpleString()
+
+    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = pd.factorize(pdf["series_id"], use_na_sentinel=False)[0]
+        starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+        return fn(pdf, Batch(model, values(pdf), np.diff(np.append(starts, len(pdf)))))
+
+    def run(batches):
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            names = pd.factorize(pdf["series_id"], use_na_sentinel=False)[0]
+            cut = int(np.flatnonzero(names == names[-1])[0])  # where the last series begins
+            key = pdf["series_id"].iloc[0]
+            if held and sum(map(len, held)) >= ROWS:
+                same = held[-1]["series_id"].iloc[-1] == key or pd.isna(key) and pd.isna(held[-1]["series_id"].iloc[-1])
+                if not same or cut:
+                    # the first series of this piece may go on from what is held
+                    end = 0 if not same else int(np.flatnonzero(names != names[0])[0])
+                    yield apply(pd.concat([*held, pdf.iloc[:end]], ignore_index=True))
+                    held, pdf = [], pdf.iloc[end:]
+            held.append(pdf)
+        if held:
+            yield apply(pd.concat(held, ignore_index=True))
+
+    rows = df.select("series_id", F.col("n").cast("long").alias("n"), "y").repartition("series_id").sortWithinPartitions("series_id", "n")
+    return rows.mapInPandas(run, f"series_id {kind}, {schema}")
+
+
 def classify(df: DataFrame, model: Model) -> DataFrame:
     """``n, x_hat, gamma``: posterior marginal and its most probable state (ties to the
     lowest)."""
 
-    def one(pdf, y):
-        g = Chain(model, y).gamma()
-        return pd.DataFrame({"n": pdf["n"].to_numpy(), "x_hat": g.argmax(axis=1), "gamma": list(g)})
+    def batch(pdf, b):
+        g = b.gamma()
+        return pd.DataFrame({"series_id": pdf["series_id"], "n": pdf["n"], "x_hat": g.argmax(axis=1), "gamma": list(g)})
 
-    return per_series(df, one, "n long, x_hat int, gamma array<double>")
+    return in_batches(df, model, batch, "n long, x_hat int, gamma array<double>")
 
 
 def log_likelihood(df: DataFrame, model: Model) -> DataFrame:
-    return per_series(df, lambda pdf, y: pd.DataFrame({"log_lik": [Chain(model, y).log_lik]}), "log_lik double")
+    return in_batches(df, model, lambda pdf, b: pd.DataFrame({"series_id": pdf["series_id"].iloc[b.starts].to_numpy(), "log_lik": b.log_liks()}), "log_lik double")
 
 
 def pair_posteriors(df: DataFrame, model: Model) -> DataFrame:
     """``n, xi``: row-major K x K posterior of the states at n and n+1."""
 
-    def one(pdf, y):
-        xi = Chain(model, y).xi()
-        return pd.DataFrame({"n": pdf["n"].to_numpy()[:-1], "xi": [x.reshape(-1) for x in xi]})
+    def batch(pdf, b):
+        xi = b.xi().reshape(-1, model.K**2)
+        inner = np.ones(len(pdf), bool)
+        inner[b.starts + b.sizes - 1] = False
+        return pd.DataFrame({"series_id": pdf["series_id"][inner], "n": pdf["n"][inner], "xi": list(xi[inner[:-1]])})
 
-    return per_series(df, one, "n long, xi array<double>")
+    return in_batches(df, model, batch, "n long, xi array<double>")
 
 
 def sample_posterior(df: DataFrame, model: Model, seed: int = 0) -> DataFrame:
@@ -88,12 +126,24 @@ def rng_of(seed: int, key) -> np.random.Generator:
 def impute(df: DataFrame, model: Model, quantiles: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """``n, mean, sd, quantiles`` of each missing observation."""
 
-    def one(pdf, y):
-        n = pdf["n"].to_numpy()
-        rows = Chain(model, y).impute(quantiles)
-        return pd.DataFrame({"n": [n[i] for i, *_ in rows], "mean": [r[1] for r in rows], "sd": [r[2] for r in rows], "quantiles": [r[3] for r in rows]})
-
-    return per_series(df, one, "n long, mean double, sd double, quantiles array<double>")
+    def batch(pdf, b):
+        at, mean, sd, qs = [np.zeros(0, int)], [np.zeros(0)], [np.zeros(0)], []
+        if model.d == 1 and not model.needs_grid:
+            rows = np.flatnonzero(b.miss)
+            m, s, q = mixture_summary(model, b.gamma()[rows], quantiles)
+            at, mean, sd, qs = [rows], [m], [s], list(q)
+        else:
+            for s in np.flatnonzero(np.add.reduceat(b.miss.astype(int), b.starts)).tolist():
+                first = int(b.starts[s])
+                for i, *r in Chain(model, b.y[first : first + b.sizes[s]]).impute(quantiles):
+                    at.append([first + i])
+                    mean.append([r[0]])
+                    sd.append([r[1]])
+                    qs.append(r[2])
+        rows = np.concatenate(at).astype(int)
+        return pd.DataFrame({"series_id": pdf["series_id"].to_numpy()[rows], "n": pdf["n"].to_numpy()[rows], "mean": np.concatenate(mean), "sd": np.concatenate(sd), "quantiles": qs})
+
+    return in_batches(df, model, batch, "n long, mean double, sd double, quantiles array<double>")
 
 
 def forecast(df: DataFrame, model: Model, h: int, quantiles: tuple[float, ...] = (0.05, 0.5, 0.95)) -> DataFrame:
@@ -112,12 +162,11 @@ def forecast(df: DataFrame, model: Model, h: int, quantiles: tuple[float, ...] =
 def predictive_pit(df: DataFrame, model: Model) -> DataFrame:
     """``n, pit, p_value, log_predictive``."""
 
-    def one(pdf, y):
-        chain = Chain(model, y)
-        pit = chain.pit()
-        return pd.DataFrame({"n": pdf["n"].to_numpy(), "pit": pit, "p_value": 2 * np.minimum(pit, 1 - pit), "log_predictive": chain.forward()[1]})
+    def batch(pdf, b):
+        pit, log_predictive = b.pit()
+        return pd.DataFrame({"series_id": pdf["series_id"], "n": pdf["n"], "pit": pit, "p_value": 2 * np.minimum(pit, 1 - pit), "log_predictive": log_predictive})
 
-    return per_series(df, one, "n long, pit double, p_value double, log_predictive double")
+    return in_batches(df, model, batch, "n long, pit double, p_value double, log_predictive double")
 
 
 def outliers(df: DataFrame, model: Model, alpha: float = 0.01, sequential: bool = True, correction: str | None = None) -> DataFrame:
@@ -127,6 +176,16 @@ def outliers(df: DataFrame, model: Model, alpha: float = 0.01, sequential: bool
         p, flag = flag_outliers(model, y, alpha, sequential, correction)
         return pd.DataFrame({"n": pdf["n"].to_numpy(), "p_value": p, "outlier": flag})
 
+    def batch(pdf, b):
+        pit, _ = b.pit()
+        p = 2 * np.minimum(pit, 1 - pit)
+        flag = np.zeros(len(p), bool)
+        for a, n in zip(b.starts, b.sizes, strict=True):
+            flag[a : a + n] = flag_all(p[a : a + n], b.miss[a : a + n], alpha, correction)
+        return pd.DataFrame({"series_id": pdf["series_id"], "n": pdf["n"], "p_value": p, "outlier": flag})
+
+    if not sequential:
+        return in_batches(df, model, batch, "n long, p_value double, outlier boolean")
     return per_series(df, one, "n long, p_value double, outlier boolean")
 
 

@@ -562,11 +562,20 @@ def sample_posterior(spark, sf):
     return series.sample_posterior(_gapped(spark, sf), models()["hmc_dn"], seed=3)
 
 
-@query("image_path", "SELECT CAST(count(*) AS BIGINT) AS cells, CAST(sum(r * 37 + c) AS BIGINT) AS checksum FROM (SELECT a.range AS r, b.range AS c FROM range(24) a CROSS JOIN range(37) b) q")
+#: Blocks with corner (r, c), directions (ur, uc) and (vr, vc), lengths p and q, split until one cell wide.
+_CURVE_SQL = """WITH RECURSIVE b AS (SELECT 0 AS r, 0 AS c, 0 AS ur, 1 AS uc, 1 AS vr, 0 AS vc, 37 AS p, 24 AS q, 0 AS o UNION ALL
+ SELECT r + CASE WHEN two AND k = 1 THEN h * ur WHEN NOT two AND k = 1 THEN g * vr WHEN k = 2 THEN (p - 1) * ur + (g - 1) * vr ELSE 0 END, c + CASE WHEN two AND k = 1 THEN h * uc WHEN NOT two AND k = 1 THEN g * vc WHEN k = 2 THEN (p - 1) * uc + (g - 1) * vc ELSE 0 END,
+ CASE WHEN two OR k = 1 THEN ur WHEN k = 0 THEN vr ELSE -vr END, CASE WHEN two OR k = 1 THEN uc WHEN k = 0 THEN vc ELSE -vc END, CASE WHEN two OR k = 1 THEN vr WHEN k = 0 THEN ur ELSE -ur END, CASE WHEN two OR k = 1 THEN vc WHEN k = 0 THEN uc ELSE -uc END,
+ CASE WHEN two THEN (CASE k WHEN 0 THEN h ELSE p - h END) WHEN k = 1 THEN p ELSE g END, CASE WHEN two THEN q WHEN k = 0 THEN h WHEN k = 1 THEN q - g ELSE p - h END, o + CASE WHEN k = 0 THEN 0 WHEN two THEN h * q WHEN k = 1 THEN h * g ELSE h * g + p * (q - g) END
+ FROM (SELECT *, CASE WHEN two AND h0 % 2 = 1 AND p > 2 THEN h0 + 1 ELSE h0 END AS h, CASE WHEN NOT two AND g0 % 2 = 1 AND q > 2 THEN g0 + 1 ELSE g0 END AS g FROM (SELECT *, 2 * p > 3 * q AS two, CASE WHEN ur + uc < 0 THEN (p + 1) // 2 ELSE p // 2 END AS h0, CASE WHEN vr + vc < 0 THEN (q + 1) // 2 ELSE q // 2 END AS g0 FROM b WHERE p > 1 AND q > 1) x) y CROSS JOIN (VALUES (0), (1), (2)) z(k) WHERE k < 2 OR NOT two)
+ SELECT CAST(o + i AS BIGINT) AS n, CAST(r + i * CASE WHEN q = 1 THEN ur ELSE vr END AS INTEGER) AS "row", CAST(c + i * CASE WHEN q = 1 THEN uc ELSE vc END AS INTEGER) AS col FROM (SELECT *, unnest(range(p * q)) AS i FROM b WHERE p = 1 OR q = 1) w"""
+
+
+@query("image_path", _CURVE_SQL)
 def image_path(spark, sf):
-    """Every cell of a 24 x 37 image is on the curve once."""
-    p = image.path_table(spark, 24, 37).select("row", "col").distinct()
-    return p.agg(F.count(F.lit(1)).alias("cells"), F.sum(F.col("row") * 37 + F.col("col")).alias("checksum"))
+    """Where every cell of a 24 x 37 image comes on the curve."""
+    px = spark.range(24 * 37).select(F.lit("a").alias("image_id"), F.floor(F.col("id") / 37).cast("int").alias("row"), (F.col("id") % 37).cast("int").alias("col"), F.lit(0.0).alias("y"))
+    return image.fold(image.unfold(px, 24, 37), 24, 37).select("row", "col").join(px.select("row", "col"), ["row", "col"]).select(image.place(24, 37).alias("n"), "row", "col")
 
 
 @query("classify_image")

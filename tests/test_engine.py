@@ -86,6 +86,63 @@ def test_catalyst_filter_and_blocks_agree_with_the_engine(spark, name):
         assert np.allclose(g, c.gamma(), atol=1e-9)
 
 
+@pytest.mark.parametrize("name", MODELS)
+def test_gaps_in_batches_blocks_and_the_catalyst_filter(spark, name):
+    """Leading, inner and trailing gaps; series in one batch are those of one chain each."""
+    m, rows, want = MODELS[name], [], {}
+    for s in range(5):
+        _, y = simulate(m, 3 + 9 * s, np.random.default_rng(s))
+        if s:
+            y[[0, 1, 7, 8, 9, -1]] = np.nan if s < 4 else np.inf
+        want[s] = Chain(m, y)
+        rows += [(s, n, None if s == 3 and np.isnan(v) else float(v)) for n, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "series_id long, n long, y double").repartition(3)
+    got = {r["series_id"]: r for r in catalyst.forward(df, m).collect()}
+    for s, c in want.items():
+        assert got[s]["log_lik"] == pytest.approx(c.log_lik, abs=1e-7) and np.allclose(got[s]["last"], c.filtered()[-1], atol=1e-8)
+    lik = {r["series_id"]: r["log_lik"] for r in series.log_likelihood(df, m).collect()}
+    assert all(lik[s] == pytest.approx(c.log_lik, abs=1e-9) for s, c in want.items())
+    for out in (series.classify(df, m), series.classify_blocks(df, m, 4), series.classify_blocks(df, m, 1000)):
+        out = out.toPandas()
+        assert len(out) == len(rows)
+        for s, c in want.items():
+            assert np.allclose(np.array(out[out.series_id == s].sort_values("n")["gamma"].tolist()), c.gamma(), atol=1e-8)
+    xi, pit, imp = (f(df, m).toPandas() for f in (series.pair_posteriors, series.predictive_pit, series.impute))
+    for s, c in want.items():
+        assert np.allclose(np.array(xi[xi.series_id == s].sort_values("n")["xi"].tolist()).reshape(-1, 2, 2), c.xi(), atol=1e-8)
+        assert np.allclose(pit[pit.series_id == s].sort_values("n")["pit"], c.pit(), atol=1e-8, equal_nan=True)
+        own = imp[imp.series_id == s].sort_values("n")
+        assert own["n"].tolist() == [r[0] for r in c.impute()] and np.allclose(own["mean"], [r[1] for r in c.impute()], atol=1e-7)
+        assert not len(own) or np.allclose(own["quantiles"].tolist(), [r[3] for r in c.impute()], atol=1e-6)
+
+
+def test_blocks_with_a_mask_model(spark):
+    m = MODELS["hmc_dn"].with_missingness(Missingness("state_markov", onset=(0.05, 0.2), persistence=(0.6, 0.8)))
+    _, y = simulate(m, 60, np.random.default_rng(2))
+    y[[5, 6, 7, 20, 40, 41, 59]] = np.nan
+    df = spark.createDataFrame([(1, n, float(v)) for n, v in enumerate(y)], "series_id long, n long, y double")
+    g = np.array(series.classify_blocks(df, m, 8).toPandas().sort_values("n")["gamma"].tolist())
+    assert np.allclose(g, Chain(m, y).gamma(), atol=1e-8)
+
+
+def test_batches_of_long_series_and_underflow(spark, monkeypatch):
+    monkeypatch.setattr(series, "ROWS", 50)
+    m = gaussian("HMC-IN", [0, 400], [0.01, 0.01], stay=1 - 1e-12)
+    rng = np.random.default_rng(0)
+    rows, want = [], {}
+    for s, n in enumerate((3, 200, 1, 49, 60, 2)):
+        y = np.where(rng.random(n) < 0.5, 0.0, 400.0)
+        want[s] = Chain(m, y)
+        rows += [(s, k, float(v)) for k, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "series_id long, n long, y double").coalesce(1)
+    lik = {r["series_id"]: r["log_lik"] for r in series.log_likelihood(df, m).collect()}
+    assert lik == pytest.approx({s: c.log_lik for s, c in want.items()})
+    out = series.classify(df, m).toPandas()
+    for s, c in want.items():
+        assert np.allclose(np.array(out[out.series_id == s].sort_values("n")["gamma"].tolist()), c.gamma(), atol=1e-9)
+    assert series.classify(df.limit(0), m).isEmpty()
+
+
 def test_streaming_steps_are_the_forward_filter():
     m = MODELS["hmc_dn"]
     _, y = simulate(m, 30, np.random.default_rng(5))
@@ -221,6 +278,12 @@ def test_curve_visits_every_cell_once_through_neighbours(h, w):
     p = image.curve(h, w)
     assert len({tuple(x) for x in p.tolist()}) == h * w == len(p)
     assert np.abs(np.diff(p, axis=0)).max() <= 1
+    assert (image.position_of(p[:, 0], p[:, 1], h, w) == np.arange(h * w)).all()
+
+
+def test_curve_of_small_squares():
+    assert image.curve(2, 2).tolist() == [[0, 0], [1, 0], [1, 1], [0, 1]]
+    assert image.curve(1, 3).tolist() == [[0, 0], [0, 1], [0, 2]]
 
 
 def test_queries_run_and_agree_with_sql(spark, sf):
