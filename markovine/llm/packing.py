@@ -1,35 +1,41 @@
 """Best-fit packing of documents into sequences under conflict constraints.
 
-Documents longer than ``capacity`` are cut into full sequences and a remainder, so
-nothing is lost.  Remainders are packed longest first: bins are ordered by what is
-left in them, and each bin carries a bitmap of the sources and one of the duplicate
-clusters it holds.  A piece takes the successor of its length in that order (the
-tightest bin it fits in); if a bitmap shares a bit with the piece, the search goes on
-to the next bin until one is compatible, and a new bin opens only if there is none.
-So no sequence holds two pieces of one source or two copies of one document.
-
-Packing is sequential, so rows are dealt by the hash of their id into shards of about
-``shard`` rows that are packed independently; a shard's last bins are its only loss.
-Only ids, lengths and keys are shuffled, not texts.
+Texts become tokens: their bytes, or the ids of a tokenizer.  Documents longer than
+``capacity`` tokens are cut into full sequences and a remainder, so nothing is lost.
+Remainders are packed longest first: bins are ordered by what is left in them, and each
+bin carries a bitmap of the sources and one of the duplicate clusters it holds.  A piece
+takes the successor of its length in that order (the tightest bin it fits in); if a
+bitmap shares a bit with the piece, the search goes on to the next bin until one is
+compatible, and a new bin opens only if there is none.  So no sequence holds two pieces
+of one source or two documents of one cluster.
+
+Packing is sequential, so rows are dealt by hash into shards of about ``shard`` rows that
+are packed independently; a shard's last bins are its only loss.  A shard's full
+sequences stream through its task and only remainders are held.  The sequences are
+written as Parquet files: ``shard``, ``bin``, ``tokens`` (little-endian, one or four bytes
+each) and the pieces in them.
 
 Bin search: bins are kept in one list per state of the hot source, so that a source
 that holds a third of all rows does not make every search walk past the bins it
 already sits in.
 
-Cases: null text has length 0 and null sources and clusters conflict with nothing;
-length-0 rows get a piece of length 0; null ids are dealt like any other; ties are
-broken by id, then order; rows that repeat an id are packed as rows of their own;
-an empty table gives an empty result; extra columns are ignored.
+Cases: null text is the empty text; null sources and clusters conflict with nothing;
+empty texts get a piece of length 0; null ids are dealt like any other; ties are broken
+by id, then text; rows that repeat an id, or an id and its text, are packed as rows of
+their own and are dealt apart; an empty table gives no sequences and an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import chunks, new_path
+
 
 class _Bins:
     """Open bins ordered by residual, with bitmaps of what they hold."""
@@ -105,30 +111,98 @@ def pack_rows(ids: list, lengths: list[int], sources: list, clusters: list, capa
     return out
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", length: str = "length", source_col: str = "source", cluster_col: str = "cluster", capacity: int = 16_384, shard: int = 2048) -> DataFrame:
-    """``id_col``, ``piece``, ``piece_start``, ``piece_length``, ``shard``, ``bin`` and
-    ``bin_offset``; ``(shard, bin)`` names a sequence."""
+def write_sequences(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None, tokenizer: str | None = None, capacity: int = 16_384, shard: int = 4096, path: str | None = None
+) -> str:
+    """Pack every row and write the sequences; returns the path.  Without ``tokenizer`` (a
+    tokenizer file) a text's tokens are its bytes."""
+    spark = df.sparkSession
+    path = path or new_path(spark, "sequences")
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(length).cast("long"), F.lit(0)).alias("length"), F.col(source_col).cast("string").alias("source"), F.col(cluster_col).alias("cluster"))
+    width = 4 if tokenizer else 1
+    cluster = F.col(cluster_col).cast("string") if cluster_col else F.lit(None).cast("string")
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(source_col).cast("string").alias("source"), cluster.alias("cluster"))
     shards = max(1, -(-rows.count() // shard))
-    # rows that repeat an id are spread too
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "cluster", "length"), F.lit(shards)).cast("int"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "length"], kind="stable", na_position="first")
-        ids = pdf["id"].tolist()
-        none = lambda xs: [None if pd.isna(x) else x for x in xs]
-        got = pack_rows(ids, pdf["length"].tolist(), none(pdf["source"]), none(pdf["cluster"]), capacity)
-        out = pd.DataFrame(got, columns=["row", "piece", "piece_start", "piece_length", "bin", "bin_offset"])
-        out[id_col] = pdf["id"].iloc[out["row"]].to_numpy()
-        out["shard"] = int(pdf["shard"].iloc[0])
-        return out[[id_col, "piece", "piece_start", "piece_length", "shard", "bin", "bin_offset"]]
-
-    return rows.groupBy("shard").applyInPandas(run, f"`{id_col}` {kind}, piece int, piece_start long, piece_length long, shard int, bin int, bin_offset long")
-
-
-def with_keys(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``length`` (bytes of the text) and ``cluster``, the hash of the text with case
-    and white space levelled: copies share a cluster."""
-    level = F.regexp_replace(F.lower(F.trim(F.col(text_col))), r"\s+", " ")
-    return df.withColumn("length", F.octet_length(text_col).cast("long")).withColumn("cluster", F.when(F.col(text_col).isNotNull(), F.xxhash64(level)))
+    # rows that repeat each other are spread too
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "text", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
+
+    def cut(batches):
+        if tokenizer:
+            from .token_files import encoder_of
+
+            encode = encoder_of(tokenizer).encode_batch
+        for whole in batches:
+            for b in chunks(whole, "text"):
+                texts = encode(b.column("text")) if tokenizer else [t.encode() for t in b.column("text").to_pylist()]
+                own, piece, start, length, tokens = [], [], [], [], []
+                for r, t in enumerate(texts):
+                    n = len(t) // width
+                    for p in range(max(1, -(-n // capacity))):
+                        own.append(r)
+                        piece.append(p)
+                        start.append(p * capacity)
+                        length.append(min(capacity, n - p * capacity))
+                        tokens.append(t[p * capacity * width : (p + 1) * capacity * width])
+                cols = [b.column(c).take(pa.array(own, pa.int64())) for c in ("shard", "id", "source", "cluster")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(tokens, pa.binary())], names=["shard", "id", "source", "cluster", "piece", "start", "length", "tokens"])
+
+    def fill(batches):
+        now, first, held = None, 0, []
+        id_type = None
+
+        def sequence(bins):
+            """Bins of ``(id, piece, start, length, tokens)``."""
+            ids = pa.array([x[0] for _, group in bins for x in group], id_type)
+            stops = [0]
+            for _, group in bins:
+                stops.append(stops[-1] + len(group))
+            flat = [x for _, group in bins for x in group]
+            at = [sum(y[3] for y in group[:i]) for _, group in bins for i in range(len(group))]
+            cols = [ids, pa.array([x[1] for x in flat], pa.int32()), pa.array([x[2] for x in flat], pa.int64()), pa.array([x[3] for x in flat], pa.int64()), pa.array(at, pa.int64())]
+            pieces = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.StructArray.from_arrays(cols, names=["id", "piece", "start", "length", "offset"]))
+            tokens = pa.array([b"".join(x[4] for x in group) for _, group in bins], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(bins), pa.int32()), pa.array([b for b, _ in bins], pa.int32()), tokens, pieces], names=["shard", "bin", "tokens", "pieces"])
+
+        def pack():
+            got = pack_rows([x[0] for x, _, _ in held], [x[3] for x, _, _ in held], [s for _, s, _ in held], [c for _, _, c in held], capacity)
+            bins: dict[int, list] = {}
+            for r, _, _, _, b, _ in got:  # in the order of their offsets
+                bins.setdefault(first + b, []).append(held[r][0])
+            numbers = sorted(bins)
+            for i in range(0, len(numbers), 256):
+                yield sequence([(b, bins[b]) for b in numbers[i : i + 256]])
+
+        for batch in batches:
+            id_type = batch.schema.field("id").type
+            full = []
+            for shard_, *x, source, c in zip(*(batch.column(c).to_pylist() for c in ("shard", "id", "piece", "start", "length", "tokens", "source", "cluster")), strict=True):
+                if shard_ != now:
+                    if full:
+                        yield sequence(full)
+                        full = []
+                    if held:
+                        yield from pack()
+                    now, first, held = shard_, 0, []
+                if x[3] == capacity:
+                    full.append((first, [x]))
+                    first += 1
+                else:
+                    held.append((x, source, c))
+            if full:
+                yield sequence(full)
+        if held:
+            yield from pack()
+
+    pieces = rows.mapInArrow(cut, f"shard int, id {kind}, source string, cluster string, piece int, start long, length long, tokens binary")
+    pieces = pieces.repartition(min(shards, 1 << 15), "shard").sortWithinPartitions("shard", F.col("length") < capacity, F.col("id").asc_nulls_first(), "tokens")
+    pieces.mapInArrow(fill, f"shard int, bin int, tokens binary, pieces array<struct<id:{kind},piece:int,start:bigint,length:bigint,offset:bigint>>").write.parquet(path)
+    return path
+
+
+def read_pieces(spark, path: str, width: int = 1, id_col: str = "doc_id") -> DataFrame:
+    """From the files, a row per piece: ``id_col``, ``piece``, ``piece_start``, ``piece_length``,
+    ``shard``, ``bin``, ``bin_offset`` and ``piece_crc32`` of its tokens; ``(shard, bin)`` names a
+    sequence."""
+    rows = spark.read.parquet(path).select("shard", "bin", "tokens", F.explode("pieces").alias("p"))
+    own = F.crc32(F.expr(f"substring(tokens, CAST(p.offset * {width} + 1 AS INT), CAST(p.length * {width} AS INT))"))
+    return rows.select(F.col("p.id").alias(id_col), F.col("p.piece").alias("piece"), F.col("p.start").alias("piece_start"), F.col("p.length").alias("piece_length"), "shard", "bin", F.col("p.offset").cast("int").alias("bin_offset"), own.alias("piece_crc32"))

@@ -479,14 +479,59 @@ def test_packing_by_brute_force():
     assert all(cover[r] == x for r, x in enumerate(lengths))
 
 
-def test_packing_query(spark):
-    df = docs(spark, list(enumerate(TEXTS)) + [(3, "one"), (None, "x")])
-    rows = packing.pack(packing.with_keys(df), capacity=1000, shard=4).collect()
-    assert sum(r["piece_length"] for r in rows) == sum(len((t or "").encode()) for t in TEXTS) + 4
-    assert packing.pack(packing.with_keys(df.limit(0))).count() == 0
-    src = {i: f"s{i % 3}" for i in range(len(TEXTS))}
-    seen = Counter((r["shard"], r["bin"], src[r["doc_id"]]) for r in rows if r["doc_id"] is not None and r["piece_length"] < 1000 and r["doc_id"] != 3)
-    assert max(seen.values()) == 1
+@pytest.mark.parametrize("tokenizer", [None, "byte_bpe_50k.json"])
+def test_sequences_hold_every_text(spark, tokenizer):
+    """Pieces put together are the texts; no sequence holds a source or a cluster twice."""
+    rows = [(i, t) for i, t in enumerate(TEXTS) if t != LONG] + [(50, LONG[:9000]), (3, "one"), (3, "one"), (None, "x"), (None, "x")]
+    df = clashing(spark, rows).withColumn("source", F.when(F.col("doc_id") != 4, F.concat(F.lit("s"), F.pmod("doc_id", F.lit(5))))).withColumn("cluster", F.when(F.col("doc_id") < 3, 1))
+    path = registry.tokenizer_path(tokenizer) if tokenizer else None
+    width, cap = (4, 700) if tokenizer else (1, 1000)
+    files = packing.write_sequences(df, cluster_col="cluster", tokenizer=path, capacity=cap, shard=8)
+    if tokenizer:
+        from tokenizers import Tokenizer
+
+        tk = Tokenizer.from_file(path)
+        coded = lambda t: np.array(tk.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
+    else:
+        coded = lambda t: (t or "").encode()
+    found, names = Counter(), set()
+    docs_of: dict = {}
+    for r in spark.read.parquet(files).collect():
+        assert (r["shard"], r["bin"]) not in names and len(r["tokens"]) <= cap * width and len(r["tokens"]) == width * sum(p["length"] for p in r["pieces"])
+        names.add((r["shard"], r["bin"]))
+        ids = [p["id"] for p in r["pieces"] if p["id"] is not None]
+        own = [i % 5 for i in ids if i != 4]
+        assert len(own) == len(set(own)) and sum(i < 3 for i in ids) <= 1
+        for p in r["pieces"]:
+            docs_of.setdefault(p["id"], []).append((p["start"], bytes(r["tokens"][p["offset"] * width : (p["offset"] + p["length"]) * width])))
+    for i, t in rows:
+        found[i, coded(t)] += 1
+    for i, parts in docs_of.items():
+        whole = [t for (k, t), n in found.items() for _ in range(n) if k == i]
+        if len(whole) == 1:
+            assert b"".join(x for _, x in sorted(parts)) == whole[0]
+        else:
+            assert sorted(x for _, x in parts) == sorted(whole)
+    assert set(docs_of) == {i for i, _ in rows}
+    assert packing.read_pieces(spark, files, width).where("piece_length >= 0").count() == sum(map(len, docs_of.values()))
+    assert packing.read_pieces(spark, packing.write_sequences(df.limit(0))).count() == 0
+
+
+def test_packing_query(spark, sf):
+    """The whole table: pieces cover every text, and sequences respect both bitmaps."""
+    rows = registry.op8_best_fit_packing(spark, sf).collect()
+    docs_ = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    group = {r["doc_id"]: r["component_id"] for r in registry.op3_simhash(spark, sf).collect()}
+    cover, used, seen = Counter(), Counter(), Counter()
+    for r in rows:
+        text = (docs_[r["doc_id"]]["text"] or "").encode()
+        assert zlib.crc32(text[r["piece_start"] : r["piece_start"] + r["piece_length"]]) == r["piece_crc32"]
+        cover[r["doc_id"]] += r["piece_length"]
+        used[r["shard"], r["bin"]] += r["piece_length"]
+        for what in (docs_[r["doc_id"]]["source"], group[r["doc_id"]]):
+            seen[r["shard"], r["bin"], type(what), what] += what is not None
+    assert all(cover[i] == len((r["text"] or "").encode()) for i, r in docs_.items()) and set(cover) == set(docs_)
+    assert max(used.values()) <= 16_384 and max(seen.values()) == 1
 
 
 # ------------------------------------------------------------------ op9
@@ -603,7 +648,14 @@ def test_pipeline(spark, sf):
     assert len({hashlib.md5((r["text"] or "").encode()).hexdigest() for r in d.collect()}) == kept[3]
     packed = cp.STAGES[-1][1](spark, d, sf)
     assert packed.select("doc_id").distinct().count() == kept[3]
-    assert packed.agg(F.sum("piece_length")).first()[0] == d.agg(F.sum(F.octet_length("text"))).first()[0]
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(registry.tokenizer_path("byte_bpe_50k.json"))
+    assert packed.agg(F.sum("piece_length")).first()[0] == sum(len(tk.encode(r["text"] or "", add_special_tokens=False).ids) for r in d.collect())
+    empty = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for _, stage in cp.STAGES:
+        empty = stage(spark, empty, sf)
+        assert empty.count() == 0
 
 
 def test_batches_equal_the_library():
