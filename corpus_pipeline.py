@@ -2,13 +2,18 @@
 
 Language identification, toxicity, SimHash near-dedup and best-fit packing, each on
 all rows that the stage before it kept.
+
+Cases: null and empty texts have no language and go in the first stage, as do all rows if
+none is labelled; null labels teach nothing; rows that repeat an id count one by one until
+near-dedup keeps one of them; without labels nothing is toxic; empty tables pass through;
+extra columns stay until the last stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from markovine.llm import langid, packing, simhash, toxicity
+from markovine.llm import langid, packing, registry, simhash, toxicity
 from markovine.llm._common import table, written
 
 
@@ -30,8 +35,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: where each document's pieces lie in the packed sequences."""
-    return packing.pack(packing.with_keys(docs))
+    """The last stage: token ids in packed sequences, no two documents of one source or of one
+    group of alike fingerprints in a sequence; returns where each document's pieces lie."""
+    grouped = simhash.with_component(docs, "cluster")
+    path = packing.write_sequences(grouped, cluster_col="cluster", tokenizer=registry.tokenizer_path("byte_bpe_50k.json"))
+    return packing.read_pieces(spark, path, width=4)
 
 
 STAGES = [
