@@ -2,17 +2,18 @@
 
 Rows are range-partitioned and sorted by id, encoded, and cut into shards of about
 ``shard`` ids.  In each shard frequent pairs of neighbouring ids are replaced by new
-nonterminals, round after round, until no pair is frequent; pairs never cross a
+nonterminals, round after round, until no pair occurs twice; pairs never cross a
 document's end, so each document has its own stretch of the compressed sequence.
-A round replaces all pairs above a count at once (left to right inside overlapping
-runs) instead of one pair at a time; it finds them with a hash table of counts, in
-passes over the sequence without a sort.  A shard stores the rules, the expansion length of every
-nonterminal, the compressed sequence and where each document starts in it, so one
-document, or one position in it, is decoded without the rest.
+A round takes all pairs near the highest count at once; where two of them overlap the more
+frequent one goes first and the other waits.  A pair that occurs once can only be repeated
+after one of its symbols has changed, so a round looks at pairs that were repeated or have
+a new symbol, and the rounds become short.  A shard stores the rules, the expansion length
+of every nonterminal, the compressed sequence and where each document starts in it, so
+one document, or one position in it, is decoded without the rest.
 
 The file format: parquet files, one row per shard, ``part`` and ``seq`` giving the
 order, ``first`` the number of ids before the shard inside its part, and ``blob`` the
-shard itself (magic ``RPG1``, five little-endian 64-bit counts, then the arrays).
+shard itself (magic ``RPG2``, six little-endian 64-bit counts, then the arrays).
 Spark's committer makes a file visible only when its task has succeeded.
 
 Cases: null text is the empty text, which holds the end id alone; null ids come
@@ -25,6 +26,7 @@ from __future__ import annotations
 import functools
 import re
 import struct
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +43,8 @@ SHARD = 1 << 19
 #: of several pieces; beyond it the memory starts anew.
 CACHE_WORDS = 300_000
 CACHE_PIECES = 100_000
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 NO_ID = np.iinfo(np.int64).min
-#: Slots of the table that finds frequent pairs, and its odd hash multipliers.
-SLOTS = 1 << 17
-MULTIPLIERS = (0x1E3779B97F4A7C15, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85)
-
 # The pre-tokenisation pattern of byte-level vocabularies (white space as
 # Unicode defines it), and the same for texts of ASCII and Latin letters alone, where
 # the standard matcher is faster.
@@ -55,7 +53,9 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p
 LATIN = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 LATIN_PATTERN = rf"'(?:[stmd]|re|ve|ll)| ?[{LATIN}]+| ?[0-9]+| ?[^{SPACES}{LATIN}0-9]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 #: ``encode_batch`` cuts texts before these characters.
-CUTS, MARK = " \n.,", "\x01"
+CUTS = " \n.,"
+_CUT = np.isin(np.arange(256), list(CUTS.encode()))
+_ID = attrgetter("id")
 
 
 class _Pieces(dict):
@@ -75,18 +75,16 @@ class _Pieces(dict):
 
 
 def _borders(entries: pa.Array, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Per string: 0 if it is empty or ends with a letter or digit, 1 with white space, 2
+    """Per string (none is empty): 0 if it ends with a letter or digit, 1 with white space, 2
     with anything else; and whether it starts with a full stop or comma."""
-    lengths = pc.binary_length(entries).to_numpy()
-    ends = np.cumsum(lengths, dtype=np.int64)
+    stops = np.cumsum(pc.binary_length(entries).to_numpy(), dtype=np.int64)
     data = np.frombuffer("".join(words).encode(), np.uint8)
-    some = lengths > 0
-    last, head = np.zeros(len(words), np.uint8), np.zeros(len(words), np.uint8)
-    last[some], head[some] = data[ends[some] - 1], data[(ends - lengths)[some]]
+    last, head = data[stops - 1], data[np.append(0, stops[:-1])]
     table = np.array([0 if chr(c).isalnum() else 1 if chr(c).isspace() else 2 for c in range(128)] + [2] * 128, np.int8)
-    kind = np.where(some, table[last], 0).astype(np.int8)
+    kind = table[last]
     for k in np.flatnonzero(last >= 128).tolist():
-        kind[k] = 0 if words[k][-1].isalnum() else 1 if words[k][-1].isspace() else 2
+        end = words[k][-1]
+        kind[k] = 0 if end.isalnum() else 1 if end.isspace() else 2
     return kind, (head == ord(".")) | (head == ord(","))
 
 
@@ -117,7 +115,7 @@ class PieceEncoder:
         self.split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.general, self.latin = regex.compile(PATTERN), re.compile(LATIN_PATTERN)
         self.other = re.compile(rf"[^\x00-\x7f{LATIN}]")
-        self.by_word = self.by_piece and not any(c in t for t in self.special for c in CUTS + MARK)
+        self.by_word = self.by_piece and not any(c in t for t in self.special for c in CUTS)
         self.known = _Pieces(self._piece)
         self.words: dict[str, bytes] = {}
 
@@ -131,23 +129,43 @@ class PieceEncoder:
 
     def _word(self, word: str) -> bytes:
         """The ids of a stretch between cuts."""
-        body = word[1:] if word[:1] == " " else word
-        if body.isascii() and body.isalpha():
-            return self._piece(word)
         find = self.latin if word.isascii() or not self.other.search(word) else self.general
         pieces = find.findall(word)
         return self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self.known.__getitem__, pieces))
 
-    def _words(self, words: list[str], counts: list[int]) -> list[bytes]:
+    def _simple(self, words: list[str]) -> list[bytes]:
+        """The ids of stretches that are one piece."""
+        blob = "\n".join(words)  # no stretch of letters holds a line end
+        blob = blob.replace(" ", self.symbols[32]) if blob.isascii() else blob.encode().decode("latin1").translate(self.symbols | {10: "\n"})
+        flat: list[int] = []
+        stops = [0]
+        tokenize = self.tokenizer.model.tokenize
+        for coded in blob.split("\n"):
+            flat += map(_ID, tokenize(coded))
+            stops.append(4 * len(flat))
+        raw = np.array(flat, dtype="<u4").tobytes()
+        return [raw[a:b] for a, b in zip(stops, stops[1:], strict=False)]
+
+    def _words(self, entries: pa.Array, words: list[str], counts: list[int]) -> list[bytes]:
         """The ids of every stretch; those that occur once are not remembered."""
         got = list(map(self.words.get, words))
         if len(self.words) >= CACHE_WORDS:
             self.words.clear()
-        for k, ids in enumerate(got):
-            if ids is None:
-                got[k] = ids = self._word(words[k])
-                if counts[k] > 1 and len(words[k]) <= 64:
-                    self.words[words[k]] = ids
+        new = [k for k, ids in enumerate(got) if ids is None]
+        if not new:
+            return got
+        single = pc.match_substring_regex(entries, f"^ ?[{LATIN}]+$").to_numpy(zero_copy_only=False)
+        plain = pc.string_is_ascii(entries).to_numpy(zero_copy_only=False)
+        for group in ([k for k in new if single[k] and plain[k]], [k for k in new if single[k] and not plain[k]]):
+            if group:
+                for k, ids in zip(group, self._simple([words[k] for k in group]), strict=True):
+                    got[k] = ids
+        remember = self.words
+        for k in new:
+            if got[k] is None:
+                got[k] = self._word(words[k])
+            if counts[k] > 1 and len(words[k]) <= 64:
+                remember[words[k]] = got[k]
         return got
 
     def encode_batch(self, texts: pa.Array) -> list[bytes]:
@@ -161,37 +179,35 @@ class PieceEncoder:
         """
         if not self.by_word or not len(texts):
             return [self.encode(t) for t in texts.to_pylist()]
-        alone = pc.match_substring(texts, MARK).to_numpy(zero_copy_only=False)
+        alone = np.zeros(len(texts), dtype=bool)
         for t in self.special:
-            alone = alone | pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
-        cut = texts
-        for c in CUTS:
-            cut = pc.replace_substring(cut, c, MARK + c)
-        lists = pc.split_pattern(cut, MARK)
-        coded = lists.flatten().dictionary_encode()
+            alone |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
+        _, offsets, buffer = texts.buffers()
+        offsets = np.frombuffer(offsets, "<i4")[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(buffer, np.uint8)[: offsets[-1]] if buffer is not None else np.zeros(0, np.uint8)
+        cut = _CUT[data]
+        cut[offsets[:-1][np.diff(offsets) > 0]] = True
+        cut[: offsets[0]] = False
+        starts = np.flatnonzero(cut)
+        del cut
+        if not len(starts):
+            return [self.encode(t) for t in texts.to_pylist()]
+        bounds = np.searchsorted(starts, offsets)
+        edges = pa.py_buffer(np.append(starts, offsets[-1]).astype("<i4").tobytes())
+        coded = pa.StringArray.from_buffers(len(starts), edges, buffer).dictionary_encode()
         place, entries = coded.indices.to_numpy(), coded.dictionary
-        words = entries.to_pylist()
-        got = self._words(words, np.bincount(place, minlength=len(words)).tolist())
-        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
-        flat = np.frombuffer(b"".join(got), "<u4")
-        kind, stop_mark = _borders(entries, words)
-        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
-        before = np.concatenate([kind[:1], kind[place[:-1]]])
-        before[bounds[:-1]] = 0  # nothing precedes a text's first stretch
-        joined = (before == 1) | ((before == 2) & stop_mark[place])
-        alone = alone | np.logical_or.reduceat(joined, bounds[:-1])
-        n = sizes[place]
-        stop = np.cumsum(n)
-        total = int(stop[-1])
-        shift = (np.cumsum(sizes) - sizes)[place]
-        shift -= stop - n
-        narrow = np.int32 if total < 1 << 31 and len(flat) < 1 << 31 else np.int64
-        at = np.repeat(shift.astype(narrow), n)
-        at += np.arange(total, dtype=narrow)
-        ids = flat[at]
-        del at, shift, cut, lists, coded
-        stop = np.concatenate([[0], stop])[bounds].tolist()
-        return [self.encode(texts[k].as_py()) if by_itself else ids[stop[k] : stop[k + 1]].tobytes() for k, by_itself in enumerate(alone.tolist())]
+        words = entries.to_numpy(zero_copy_only=False).tolist()
+        kind, stop_mark = (x[place] for x in _borders(entries, words))
+        joined = np.zeros(len(starts), dtype=bool)
+        joined[1:] = (kind[:-1] == 1) | ((kind[:-1] == 2) & stop_mark[1:])
+        some = bounds[:-1] < bounds[1:]
+        joined[bounds[:-1][some]] = False  # nothing precedes a text's first stretch
+        alone[some] |= np.logical_or.reduceat(joined, bounds[:-1][some])
+        del kind, stop_mark, joined
+        got = self._words(entries, words, np.bincount(place, minlength=len(words)).tolist())
+        bounds = bounds.tolist()
+        own = got.__getitem__
+        return [self.encode(texts[k].as_py()) if by_itself else b"".join(map(own, place[bounds[k] : bounds[k + 1]].tolist())) for k, by_itself in enumerate(alone.tolist())]
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -214,60 +230,96 @@ class PieceEncoder:
         return b"".join(out)
 
 
-def repair(ids: np.ndarray, ends: np.ndarray, least: int = 32, rounds: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Compress ``ids`` (documents end before the positions ``ends``).
+#: A round takes the pairs whose count is at least this part of the highest one.
+SHARE = 64
+
 
-    Returns the sequence, its document ends, the rules (left, right) and the number
-    of the first nonterminal.
+def _by_pair(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts ``code``, and ``code`` sorted."""
+    bits = len(code).bit_length()
+    if int(code.max()).bit_length() + bits < 63:  # one sort of both is faster than a sort of places
+        key = np.sort(code << bits | np.arange(len(code)))
+        return key & ((1 << bits) - 1), key >> bits
+    order = np.argsort(code)
+    return order, code[order]
+
+
+def repair(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], int]:
+    """Compress ``ids`` (documents end before the positions ``ends``) until no pair has two
+    occurrences that do not overlap.
+
+    Returns the sequence, its document ends, the rules (left, right) of every round and the
+    number of the first nonterminal.
     """
-    base = int(ids.max()) + 1 if len(ids) else 1
-    seq = ids.astype(np.int64)
-    last = np.zeros(len(seq), dtype=bool)
-    last[ends[ends > 0] - 1] = True
+    n = len(ids)
+    base = symbols = int(ids.max()) + 1 if n else 1
+    number = np.int32 if 4 * n + base < 1 << 31 else np.int64  # small arrays stay in the cache
+    seq = np.append(ids, 0).astype(number)
+    after, before = np.arange(1, n + 2, dtype=number), np.arange(-1, n, dtype=number)  # neighbours; n is none
+    stops = ends[ends > 0]
+    after[stops - 1] = n
+    before[0] = n
+    before[stops] = n
+    alive, live = np.ones(n, dtype=bool), np.flatnonzero(after[:n] < n)
+    rank, mark = np.zeros(n + 1, dtype=number), np.zeros(n + 1, dtype=bool)
     rules: list[np.ndarray] = []
-    symbols = base
-    for r in range(rounds):
-        if len(seq) < 2:
-            break
-        code = seq[:-1] * symbols
-        code += seq[1:]
-        # one pair stands for each slot of a table and is counted exactly; a pair that
-        # another one hides meets another hash in the next round
-        slot = code * MULTIPLIERS[r % len(MULTIPLIERS)]
-        slot >>= 40
-        slot &= SLOTS - 1
-        code[last[:-1]] = -1
-        stand = np.full(SLOTS, -1, dtype=np.int64)
-        stand[slot] = code
-        counted = stand[slot] == code
-        counted &= ~last[:-1]
-        counts = np.bincount(slot[counted], minlength=SLOTS)
-        most = int(counts.max())
-        if most < least:
+    while len(live):
+        order, code = _by_pair(seq[live].astype(np.int64) * symbols + seq[after[live]])
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        counts = np.diff(np.append(first, len(code)))
+        repeated = counts >= 2
+        if not repeated.any():
             break
-        frequent = counts >= max(least, most // 48)
-        at = np.flatnonzero(counted & frequent[slot])
-        # of overlapping occurrences every second one of a run is taken
-        starts = np.empty(len(at), dtype=bool)
-        starts[0] = True
-        starts[1:] = np.diff(at) != 1
-        run = np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - run) & 1 == 0]
-        place = slot[at]
-        used = np.zeros(SLOTS, dtype=bool)
-        used[place] = True
-        pairs = stand[used]
-        rules.append(np.stack([pairs // symbols, pairs % symbols], axis=1))
-        seq[at] = symbols + (np.cumsum(used) - 1)[place]
-        last[at] |= last[at + 1]
-        stay = np.ones(len(seq), dtype=bool)
-        stay[at + 1] = False
-        seq, last = seq[stay], last[stay]
-        symbols += len(pairs)
-    table = np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.int64)
-    empty_ends = ends.copy()
-    empty_ends[ends > 0] = np.flatnonzero(last)[np.searchsorted(np.unique(ends[ends > 0]), ends[ends > 0])] + 1 if len(seq) else 0
-    return seq.astype("<u4"), empty_ends, table.astype("<u4"), base
+        # positions grouped by their pair; those of pairs that occur once drop out
+        live = live[order[np.repeat(repeated, counts)]]
+        codes, counts = code[first[repeated]], counts[repeated]
+        taken = counts >= max(2, int(counts.max()) // SHARE)
+        at = live[np.repeat(taken, counts)]
+        codes, some = codes[taken], counts[taken]
+        pair = np.repeat(np.arange(len(some)), some)
+        # the more frequent of two overlapping pairs goes first, the smaller code on a tie
+        place = np.empty(len(some), dtype=number)
+        place[np.argsort(-some, kind="stable")] = np.arange(len(some), 0, -1)
+        own = place[pair]
+        rank[at] = own
+        right, left = rank[after[at]], rank[before[at]]
+        wins = (own >= right) & (own >= left)
+        run = (own == right) | (own == left)
+        if run.any():  # of a run of one symbol every second pair
+            spot = np.flatnonzero(run)
+            spot = spot[np.argsort(at[spot])]
+            opens = rank[before[at[spot]]] != own[spot]
+            step = np.arange(len(spot))
+            wins[spot] &= (step - np.maximum.accumulate(np.where(opens, step, 0))) & 1 == 0
+        rank[at] = 0
+        wins &= (np.bincount(pair[wins], minlength=len(some)) >= 2)[pair]
+        mark[live] = True
+        if not wins.any():  # occurrences of the most frequent pair overlap one another
+            mark[at[own == own.max()]] = False
+            live = np.flatnonzero(mark)
+            mark[live] = False
+            continue
+        at, pair = at[wins], pair[wins]
+        used = np.zeros(len(some), dtype=bool)
+        used[pair] = True
+        codes = codes[used]
+        rules.append(np.stack([codes // symbols, codes % symbols], axis=1))
+        gone = after[at]
+        seq[at] = symbols + (np.cumsum(used) - 1)[pair]
+        symbols += len(codes)
+        alive[gone] = False
+        beyond = after[gone]
+        after[at] = beyond
+        before[beyond] = at
+        before[n] = n
+        mark[before[at]] = True
+        mark[at] = beyond < n
+        mark[gone] = False
+        mark[n] = False
+        live = np.flatnonzero(mark)
+        mark[live] = False
+    kept = np.concatenate([[0], np.cumsum(alive)])
+    return seq[:n][alive].astype("<u4"), kept[ends], rules, base
 
 
 class Shard:
@@ -276,14 +328,16 @@ class Shard:
     def __init__(self, blob: bytes):
         if blob[:4] != MAGIC:
             raise ValueError("not a shard of token ids")
-        docs, length, rules, self.base, self.total = np.frombuffer(blob, "<i8", 5, 4).tolist()
-        at = 44
+        docs, length, rules, rounds, self.base, self.total = np.frombuffer(blob, "<i8", 6, 4).tolist()
+        at = 52
         self.ids = np.frombuffer(blob, "<i8", docs, at)
         at += 8 * docs
         self.starts = np.frombuffer(blob, "<i8", docs + 1, at)  # in ids
         at += 8 * (docs + 1)
         self.ends = np.frombuffer(blob, "<i8", docs, at)  # in the sequence
         at += 8 * docs
+        self.rounds = np.frombuffer(blob, "<i8", rounds, at)  # rules of each round
+        at += 8 * rounds
         self.rules = np.frombuffer(blob, "<u4", 2 * rules, at).reshape(rules, 2)
         at += 8 * rules
         self.lengths = np.frombuffer(blob, "<u4", rules, at)
@@ -295,14 +349,15 @@ class Shard:
         counts = np.array([len(a) // 4 for a in arrays], dtype="<i8")
         starts = np.concatenate([[0], np.cumsum(counts)]).astype("<i8")
         ids = np.frombuffer(b"".join(arrays), "<u4")
-        seq, ends, rules, base = repair(ids, starts[1:])
-        sizes: list[int] = []
-        for a, b in rules.tolist():
-            sizes.append((1 if a < base else sizes[a - base]) + (1 if b < base else sizes[b - base]))
-        lengths = np.array(sizes, dtype="<u4")
-        head = np.array([len(doc_ids), len(seq), len(rules), base, len(ids)], dtype="<i8")
+        seq, ends, rounds, base = repair(ids, starts[1:])
+        lengths = np.ones(base, dtype=np.int64)
+        for r in rounds:  # a rule's parts are older than its round
+            lengths = np.concatenate([lengths, lengths[r].sum(axis=1)])
+        rules = np.concatenate(rounds) if rounds else np.zeros((0, 2), dtype=np.int64)
+        head = np.array([len(doc_ids), len(seq), len(rules), len(rounds), base, len(ids)], dtype="<i8")
         names = np.array([NO_ID if d is None else d for d in doc_ids], dtype="<i8")
-        return b"".join([MAGIC, *(x.tobytes() for x in (head, names, starts, ends.astype("<i8"), rules, lengths, seq))])
+        sizes = np.array([len(r) for r in rounds], dtype="<i8")
+        return b"".join([MAGIC, *(x.tobytes() for x in (head, names, starts, ends.astype("<i8"), sizes, rules.astype("<u4"), lengths[base:].astype("<u4"), seq))])
 
     def _flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Every symbol's expansion, concatenated, with its start and length."""
@@ -311,11 +366,13 @@ class Shard:
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             flat = np.empty(int(lengths.sum()), dtype="<u4")
             flat[: self.base] = np.arange(self.base)
-            for i, (a, b) in enumerate(self.rules.tolist()):
-                s, m = starts[self.base + i], lengths[a]
-                flat[s : s + m] = flat[starts[a] : starts[a] + m]
-                flat[s + m : s + m + lengths[b]] = flat[starts[b] : starts[b] + lengths[b]]
             self._memo = flat, starts, lengths
+            at = 0
+            for n in self.rounds.tolist():
+                parts = self.expand(self.rules[at : at + n].reshape(-1))
+                begin = starts[self.base + at]
+                flat[begin : begin + len(parts)] = parts
+                at += n
         return self._memo
 
     def expand(self, seq: np.ndarray) -> np.ndarray:

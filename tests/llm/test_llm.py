@@ -55,10 +55,52 @@ def test_shard_random_access():
         assert [s.token(k, p) for p in (0, len(ids) // 2, len(ids) - 1)] == [ids[0], ids[len(ids) // 2], ids[-1]]
     with pytest.raises(IndexError):
         s.token(1, 2)
+    assert token_files.Shard(token_files.Shard.pack([], [])).decode().tolist() == []
     with pytest.raises(ValueError):
         token_files.Shard(b"nothing to see here")
 
 
+def repeats(seq, ends):
+    """The most occurrences of a pair inside documents that do not overlap."""
+    counts: Counter = Counter()
+    start = 0
+    for end in ends:
+        last: dict = {}
+        for k in range(start, end - 1):
+            pair = (seq[k], seq[k + 1])
+            if last.get(pair, -2) < k - 1:
+                counts[pair] += 1
+                last[pair] = k
+        start = end
+    return max(counts.values(), default=0)
+
+
+@pytest.mark.parametrize("kind", ["random", "runs", "copies", "words"])
+def test_no_pair_repeats_after_repair(kind):
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 3, 50, 3000):
+        if kind == "random":
+            ids = rng.integers(0, 7, n)
+        elif kind == "runs":
+            ids = np.repeat(rng.integers(0, 3, n), rng.integers(1, 9, n))[:n]
+        elif kind == "copies":
+            ids = np.tile(rng.integers(0, 500, max(n // 8, 1)), 8)[:n]
+        else:
+            ids = np.array([x for w in rng.integers(0, 40, n) for x in (w % 7, 50 + w, 9)][:n], dtype=np.int64)
+        n = len(ids)
+        ends = np.sort(np.append(rng.integers(0, n + 1, 5), n))
+        seq, cut, rounds, base = token_files.repair(ids.astype("<u4"), ends)
+        assert repeats(seq.tolist(), cut.tolist()) < 2
+        rules = np.concatenate(rounds).tolist() if rounds else []
+
+        def grow(x):
+            return [x] if x < base else grow(rules[x - base][0]) + grow(rules[x - base][1])
+
+        starts, old = [0, *cut.tolist()], [0, *ends.tolist()]
+        for a, b, c, d in zip(starts, starts[1:], old, old[1:]):
+            assert [y for x in seq[a:b].tolist() for y in grow(x)] == ids[c:d].tolist()
+
+
 # ------------------------------------------------------------------ op2
 
 PROSE = " ".join(["The cat is on the mat and it is in the house."] * 6)
@@ -667,3 +709,6 @@ def test_batches_equal_the_library():
     for _ in range(2):  # the second time from memory
         assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode_batch(pa.array(texts))] == [e.ids for e in whole]
     assert encoder.encode_batch(pa.array([], pa.string())) == []
+    for part in (pa.array(texts).slice(17, 400), pa.array(["", ""]), pa.array(["x"]).slice(1)):
+        want = encoder.tokenizer.encode_batch(part.to_pylist(), add_special_tokens=False)
+        assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode_batch(part)] == [e.ids for e in want]
