@@ -36,9 +36,25 @@ from pyspark.sql import functions as F
 
 from ._common import chunks, written
 
-#: Runs of letters: of what counts as a word character, numbers that are no digits go.
-NUMBERS = "".join(c for c in map(chr, range(0x20000)) if unicodedata.category(c) in ("Nl", "No"))
-WORD = re.compile(rf"[^\W\d_{NUMBERS}]+")
+#: Numbers that are no digits, which the standard classes count as word characters.
+NUMBERS = frozenset(c for c in map(chr, range(0x20000)) if unicodedata.category(c) in ("Nl", "No"))
+WORD = re.compile(r"[^\W\d_]+")
+#: The same for lower-case texts of Latin letters, by the shortest way.
+LATIN_WORD, OTHER = re.compile("[a-zªµºß-öø-ɏ]+"), re.compile("[^\x00-ɏ]")
+
+
+def words_of(text: str | None) -> list[str]:
+    """The runs of letters of a text, in lower case."""
+    if not text:
+        return []
+    text = text.lower()
+    if not OTHER.search(text):
+        return LATIN_WORD.findall(text)
+    if not NUMBERS.isdisjoint(text):
+        text = "".join(" " if c in NUMBERS else c for c in text)
+    return WORD.findall(text)
+
+
 UNKNOWN = "und"
 #: Words that a worker remembers the fallback scores of.
 CACHE_WORDS = 300_000
@@ -73,7 +89,7 @@ class LanguageModel:
         for order in self.orders:
             rows = [r for r in map(self.gram_row.get, _grams(word, order)) if r is not None]
             if rows:
-                return weight * self.gram_table[rows].mean(axis=0)
+                return weight / len(rows) * self.gram_table.take(rows, axis=0).sum(axis=0)
             weight *= self.discount
         return np.zeros(len(self.langs))
 
@@ -87,12 +103,12 @@ class Scorer:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         m = self.model
-        words = WORD.findall(text.lower()) if text else []
+        words = words_of(text)
         if not words or not m.langs:
             return UNKNOWN, 0.0
         rows = list(map(m.row.get, words))
         known = [r for r in rows if r is not None]
-        total = m.table[known].sum(axis=0, dtype=np.float64) if known else np.zeros(len(m.langs))
+        total = m.table.take(known, axis=0).sum(axis=0, dtype=np.float64) if known else np.zeros(len(m.langs))
         if len(known) < len(rows):
             for w, n in Counter(w for w, r in zip(words, rows, strict=True) if r is None).items():
                 s = self.unseen.get(w)
@@ -156,7 +172,7 @@ def train(df: DataFrame, label_col: str, text_col: str = "text", id_col: str = "
         for whole in batches:
             for b in chunks(whole, "text"):
                 for name, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    words[name].update(WORD.findall((text or "").lower()))
+                    words[name].update(words_of(text))
                 if sum(map(len, words.values())) > 400_000:
                     yield flush()
         yield flush()
