@@ -8,14 +8,16 @@ are cut into annuli, sorted by distance; a query starts with the annulus its own
 distance falls in and expands to both sides.  By the triangle inequality nothing in
 an annulus ``[lo, hi]`` is nearer than ``max(lo - d, d - hi)``, so the expansion stops
 once that exceeds the distance of the k-th best score.  The stopping radius starts
-from exact scores against a bounded sample of vectors and shrinks as results come.
+from exact scores against a bounded sample of vectors and shrinks as results come; with
+the first radius, blocks of queries are matched to the segments they can reach before any
+vector is sent.
 
 On vectors without cluster structure (the synthetic ones are uniform on a sphere) the
 bounds exclude little, and the cost approaches that of all queries against all rows;
 results are exact in any case.
 
-Cases: vectors null, of another length than most, or with null or non-finite
-components, and rows without an id, take no part; equal vectors are one candidate
+Cases: vectors null or with null or non-finite components, and rows without an id, take
+no part; a vector shorter than the longest is filled up with zeros; equal vectors are one candidate
 with their smallest ids; a query never finds its own id, rows that repeat an id are
 one candidate each; fewer candidates than ``k`` give them all; an empty table gives
 an empty result; extra columns are ignored.
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vector_search
-from .vector_search import Segment, best
+from .vector_search import Plan, Segment, best
 
 PIVOTS, SEEDS, ANNULUS = 32, 2048, 256
 
@@ -40,7 +42,7 @@ def quantized(scale: float):
     return as_key
 
 
-class PivotKernel:
+class PivotPlan(Plan):
     def __init__(self, pivots: np.ndarray, norm2: float, seeds: np.ndarray, seed_counts: np.ndarray, keep: int):
         self.pivots, self.norm2, self.seeds, self.seed_counts, self.keep = pivots, norm2, seeds, seed_counts, keep
 
@@ -54,16 +56,18 @@ class PivotKernel:
             own = np.full(len(x), self.norm2)
         return np.sqrt(np.maximum(own[:, None] + self.norm2 - 2 * dot, 0))
 
-    def place(self, lifted: bool):
-        def at(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            d = self.distances(x, lifted)
-            near = d.argmin(axis=1)
-            return near, d[np.arange(len(x)), near]
+    def _near(self, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        near = d.argmin(axis=1)
+        return near, d[np.arange(len(d)), near]
 
-        return at
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self._near(self.distances(x, lifted=True))
 
-    def __call__(self, q: np.ndarray, seg: Segment) -> list[tuple[np.ndarray, np.ndarray]]:
-        # a lower bound of the k-th best score: each seed stands for as many ids as it has
+    def place_query(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self._near(self.distances(x, lifted=False))
+
+    def floor(self, q: np.ndarray) -> np.ndarray:
+        """A lower bound of each query's k-th best score: a seed stands for as many ids as it has."""
         floor = np.full(len(q), -np.inf)
         if len(self.seeds):
             scores = q @ self.seeds.T
@@ -72,6 +76,20 @@ class PivotKernel:
             has = enough.any(axis=1)
             at = order[np.arange(len(q)), enough.argmax(axis=1)]
             floor[has] = scores[np.arange(len(q)), at][has]
+        return floor
+
+    def radius(self, q: np.ndarray, floor: np.ndarray) -> np.ndarray:
+        own = (q * q).sum(axis=1)
+        slack = 1e-9 * np.sqrt(self.norm2 + own.max(initial=0) + 1)
+        return np.sqrt(np.maximum(own + self.norm2 - 2 * floor, 0)) + slack
+
+    def reach(self, q: np.ndarray) -> list[tuple[int, float, float]]:
+        d, r = self.distances(q, lifted=False), self.radius(q, self.floor(q))[:, None]
+        low, high = (d - r).min(axis=0), (d + r).max(axis=0)
+        return [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(low, high, strict=True))]
+
+    def __call__(self, q: np.ndarray, seg: Segment) -> list[tuple[np.ndarray, np.ndarray]]:
+        floor = self.floor(q)
         reach = self.distances(q, lifted=False)
         own = (q * q).sum(axis=1)
         # annuli of this segment: runs of one pivot, cut by distance
@@ -112,13 +130,11 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", sca
     """``query_id``, ``rank``, ``vec_id``, ``score long``: each query's ``k`` largest integer
     inner products.  ``queries`` is an SQL condition on ``id``."""
 
-    def prepare(unique: DataFrame):
+    def prepare(rows: DataFrame, unique: DataFrame) -> Plan:
         drawn = unique.orderBy(F.xxhash64("key"), "key").limit(SEEDS).select("key", F.size("ids").alias("n")).collect()
         seeds = np.array([np.frombuffer(r["key"], "<f8") for r in drawn]) if drawn else np.zeros((0, 1))
         square = F.expr("aggregate(vec, 0D, (s, x) -> s + floor({0} * x) * floor({0} * x))".format(scale))
-        norm2 = vector_search.usable(df, id_col, vec_col).agg(F.max(square)).first()[0] or 0.0
-        kernel = PivotKernel(seeds[:PIVOTS], float(norm2), seeds, np.array([r["n"] for r in drawn], dtype=np.int64), k + 1)
-        ref = df.sparkSession.sparkContext.broadcast(kernel)
-        return (lambda x: ref.value.place(True)(x)), (lambda x: ref.value.place(False)(x)), (lambda: ref.value)
+        norm2 = rows.agg(F.max(square)).first()[0] or 0.0
+        return PivotPlan(seeds[:PIVOTS], float(norm2), seeds, np.array([r["n"] for r in drawn], dtype=np.int64), k + 1)
 
     return vector_search.run(df, id_col, vec_col, quantized(scale), True, prepare, k, queries, "bigint", segment, block)

@@ -5,12 +5,18 @@ with ties going to smaller ids no other id of it can be among a query's results,
 this is exact, and a vector that a third of all rows share is one candidate.  Partial
 lists are cut per Arrow batch before they are shuffled.
 
-Distinct vectors are range-partitioned into segments of about ``segment`` rows and
-distinct query vectors into blocks of about ``block`` rows.  Each (block, segment)
-pair is one task row: the stated query set runs against all rows in blocks, and what a
-task holds has a fixed size.  A kernel gives each query's best ids in the segment;
-the lists of a query are merged, and every query row gets its vector's list without
-itself.
+Distinct vectors are range-partitioned by two keys (``major``, ``minor``) into segments of
+about ``segment`` rows, which are written with their index, and distinct query vectors into
+blocks of about ``block`` rows.  A kernel says which ranges of the keys a block can find
+anything in; blocks and segments are matched on those ranges alone, and only the pairs
+that are left send their vectors.  A segment is read once for up to ``TOGETHER`` blocks,
+which stream past it, so what a task holds has a fixed size.  A kernel gives each query's
+best ids in the segment; the lists of a query are merged, and every query row gets its
+vector's list without itself.
+
+Cases: vectors that are null or hold null or non-finite components, and rows without an
+id, take no part; a vector shorter than the longest counts as filled up with zeros; rows
+that repeat an id are one candidate each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,13 +33,15 @@ from ._common import written
 
 #: A kernel gets a block of query rows and a segment, and returns per query ``(ids, scores)``.
 Kernel = Callable[[np.ndarray, "Segment"], list[tuple[np.ndarray, np.ndarray]]]
+#: Blocks that share one reading of a segment.
+TOGETHER = 64
 
 
 class Segment:
-    """Vectors (rows of ``data``), the ids of each, and the two sort columns."""
+    """Vectors (rows of ``data``), the ids of each, the two sort columns and the index."""
 
-    def __init__(self, data: np.ndarray, ids: np.ndarray, starts: np.ndarray, major: np.ndarray, minor: np.ndarray):
-        self.data, self.ids, self.starts, self.major, self.minor = data, ids, starts, major, minor
+    def __init__(self, data: np.ndarray, ids: np.ndarray, starts: np.ndarray, major: np.ndarray, minor: np.ndarray, index: bytes):
+        self.data, self.ids, self.starts, self.major, self.minor, self.index = data, ids, starts, major, minor, index
 
     def expand(self, rows: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some rows with their scores."""
@@ -54,13 +62,15 @@ def best(ids: np.ndarray, scores: np.ndarray, keep: int) -> tuple[np.ndarray, np
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``id``, ``vec array<double>`` of the rows that take part: an id, and a vector without
-    null or non-finite components, of the length that most such vectors have."""
+    """``id``, ``vec array<double>`` of the rows that take part, all of one length."""
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    rows = rows.where("id IS NOT NULL AND vec IS NOT NULL AND size(vec) > 0").where(~bad)
-    sizes = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return rows.where(F.size("vec") == (sizes[0]["d"] if sizes else 0))
+    rows = rows.where("id IS NOT NULL AND vec IS NOT NULL").where(~bad)
+    sizes = rows.agg(F.min(F.size("vec")).alias("least"), F.max(F.size("vec")).alias("most")).first()
+    most = max(sizes["most"] or 1, 1)
+    if sizes["least"] != most:
+        rows = rows.withColumn("vec", F.concat("vec", F.array_repeat(F.lit(0.0), F.lit(most) - F.size("vec"))))
+    return rows
 
 
 def distinct(rows: DataFrame, as_key: Callable[[np.ndarray], np.ndarray], keep: int, queries: str) -> DataFrame:
@@ -93,9 +103,10 @@ def distinct(rows: DataFrame, as_key: Callable[[np.ndarray], np.ndarray], keep:
     return parts.groupBy("key").agg(merged.alias("ids"), F.max("query").alias("query"))
 
 
-def packed(rows: DataFrame, place: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], size: int, name: str) -> DataFrame:
+def packed(rows: DataFrame, place: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], index: Callable[[np.ndarray], bytes], size: int, name: str) -> DataFrame:
     """Range-partition ``rows`` (``key``, ``ids``) by ``place`` of their vectors into groups of
-    about ``size``, one row each: ``part``, ``data``, ``ids``, ``sizes``, ``major``, ``minor``."""
+    about ``size``, one row each: ``part``, ``data``, ``ids``, ``sizes``, ``major``, ``minor``, its
+    ``index``, and ``spans`` of its keys."""
     parts = max(1, math.ceil(rows.count() / size))
 
     def located(batches):
@@ -124,52 +135,89 @@ def packed(rows: DataFrame, place: Callable[[np.ndarray], tuple[np.ndarray, np.n
                     pa.array([TaskContext.get().partitionId() * 1024 + at // (2 * size)], pa.int32()),
                     pa.array([b"".join(keys[cut])], pa.binary()),
                     *(pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in (one.flatten().to_numpy().astype("<i8"), sizes[cut].astype("<i4"), cols[0].astype("<i4"), cols[1].astype("<f8"))),
+                    pa.array([index(np.frombuffer(b"".join(keys[cut]), "<f8").reshape(n, -1))], pa.binary()),
+                    pa.array([[{"major": int(m), "lo": float(cols[1][cols[0] == m].min()), "hi": float(cols[1][cols[0] == m].max())} for m in np.unique(cols[0])]], pa.list_(pa.struct([("major", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64())]))),
                 ],
-                names=["part", "data", "ids", "sizes", "major", "minor"],
+                names=["part", "data", "ids", "sizes", "major", "minor", "index", "spans"],
             )
 
     spots = rows.select("key", "ids").mapInArrow(located, "key binary, ids array<long>, major int, minor double")
     spots = written(spots, f"{name}-spots").repartitionByRange(parts, "major", "minor", "key").sortWithinPartitions("major", "minor", "key")
-    out = spots.mapInArrow(pack, "part int, data binary, ids binary, sizes binary, major binary, minor binary")
+    out = spots.mapInArrow(pack, "part int, data binary, ids binary, sizes binary, major binary, minor binary, index binary, spans array<struct<major:int,lo:double,hi:double>>")
     return written(out, name)
 
 
-def run(df: DataFrame, id_col: str, vec_col: str, as_key: Callable[[np.ndarray], np.ndarray], keep_zero: bool, prepare: Callable[[DataFrame], tuple[Callable, Callable, Callable[[], Kernel]]], k: int, queries: str, score_type: str, segment: int, block: int) -> DataFrame:
+class Plan:
+    """What a search is made of; the two searches fill it in."""
+
+    #: Where data and query vectors are placed: ``(major, minor)`` of each row.
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raise NotImplementedError
+
+    def place_query(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.place(x)
+
+    def index(self, x: np.ndarray) -> bytes:
+        """What is stored with a segment."""
+        return b""
+
+    def reach(self, q: np.ndarray) -> list[tuple[int, float, float]]:
+        """Ranges of ``minor`` per ``major`` outside of which the queries find nothing."""
+        raise NotImplementedError
+
+    def __call__(self, q: np.ndarray, seg: Segment) -> list[tuple[np.ndarray, np.ndarray]]:
+        raise NotImplementedError
+
+
+def run(df: DataFrame, id_col: str, vec_col: str, as_key: Callable[[np.ndarray], np.ndarray], keep_zero: bool, prepare: Callable[[DataFrame, DataFrame], Plan], k: int, queries: str, score_type: str, segment: int, block: int) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` for every query row.
 
-    ``prepare`` gets the distinct vectors and returns where data and query vectors are
-    placed and a maker of the kernel.
+    ``prepare`` gets the rows that take part and the distinct vectors, and returns the plan.
     """
     keep = k + 1  # one of them may be the query itself
+    spark = df.sparkSession
     rows = usable(df, id_col, vec_col)
     if not keep_zero:
         rows = rows.where(F.exists("vec", lambda x: x != 0.0))
     unique = written(distinct(rows, as_key, keep, queries), "vectors")
-    place_data, place_query, make = prepare(unique)
-    segments = packed(unique, place_data, segment, "segments")
-    blocks = packed(unique.where("query"), place_query, block, "blocks")
-    parts = [r["part"] for r in segments.select("part").collect()]  # one number per segment
-    asked = blocks.select(F.col("data").alias("q"))
-    pairs = asked.withColumn("part", F.explode(F.array(*map(F.lit, parts)) if parts else F.expr("CAST(array() AS array<int>)"))).join(segments, "part")
+    ref = spark.sparkContext.broadcast(prepare(rows, unique))  # of a size that does not follow the rows
+    segments = packed(unique, lambda x: ref.value.place(x), lambda x: ref.value.index(x), segment, "segments")
+    blocks = packed(unique.where("query"), lambda x: ref.value.place_query(x), lambda x: b"", block, "blocks")
+
+    def reach(batches):
+        for b in batches:
+            for part, data, sizes in zip(*(b.column(c).to_pylist() for c in ("part", "data", "sizes")), strict=True):
+                q = np.frombuffer(data, "<f8").reshape(len(sizes) // 4, -1)
+                got = ref.value.reach(q)
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(got), pa.int32()), *(pa.array([x[i] for x in got], t) for i, t in enumerate((pa.int32(), pa.float64(), pa.float64())))], names=["block", "major", "low", "high"])
+
+    wanted = blocks.select("part", "data", "sizes").mapInArrow(reach, "block int, major int, low double, high double")
+    spans = segments.select("part", F.inline("spans"))
+    pairs = wanted.join(spans, "major").where("lo <= high AND hi >= low").select("block", "part").distinct()
+    n_blocks, n_parts = blocks.count(), max(1, segments.count())
+    salts = max(1, -(-n_blocks // TOGETHER), -(-2 * spark.sparkContext.defaultParallelism // n_parts))
+    none = F.lit(None).cast("binary")
+    cols = ["data", "ids", "sizes", "major", "minor", "index"]
+    asked = pairs.join(blocks.select(F.col("part").alias("block"), "data"), "block").select("part", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), "data", *(none.alias(c) for c in cols[1:]))
+    held = segments.select("part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), *cols)
+    stream = held.unionByName(asked).repartition(min(n_parts * salts, 1 << 15), "part", "salt").sortWithinPartitions("part", "salt", "kind")
 
     def search(batches):
-        kernel = make()
-        held: tuple[bytes, Segment] | None = None
+        plan, seg = ref.value, None
+        kind = pa.float64() if score_type == "double" else pa.int64()
         for b in batches:
             for i in range(b.num_rows):
                 data = b.column("data")[i].as_py()
-                sizes = np.frombuffer(b.column("sizes")[i].as_py(), "<i4").astype(np.int64)
-                if held is None or held[0] != data:
-                    seg = Segment(np.frombuffer(data, "<f8").reshape(len(sizes), -1), np.frombuffer(b.column("ids")[i].as_py(), "<i8"), np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(b.column("major")[i].as_py(), "<i4"), np.frombuffer(b.column("minor")[i].as_py(), "<f8"))
-                    held = data, seg
-                q = np.frombuffer(b.column("q")[i].as_py(), "<f8").reshape(-1, held[1].data.shape[1])
-                found = kernel(q, held[1])
+                if b.column("kind")[i].as_py() == 0:
+                    sizes = np.frombuffer(b.column("sizes")[i].as_py(), "<i4").astype(np.int64)
+                    seg = Segment(np.frombuffer(data, "<f8").reshape(len(sizes), -1), np.frombuffer(b.column("ids")[i].as_py(), "<i8"), np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(b.column("major")[i].as_py(), "<i4"), np.frombuffer(b.column("minor")[i].as_py(), "<f8"), b.column("index")[i].as_py())
+                    continue
+                q = np.frombuffer(data, "<f8").reshape(-1, seg.data.shape[1])
+                found = plan(q, seg)
                 hits = [[(float(-s) if score_type == "double" else int(-s), int(v)) for v, s in zip(ids, scores, strict=True)] for ids, scores in found]
-                kind = pa.float64() if score_type == "double" else pa.int64()
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in q], pa.binary()), pa.array(hits, pa.list_(pa.struct([("minus", kind), ("id", pa.int64())])))], names=["key", "hits"])
 
-    hits = pairs.select("q", "data", "ids", "sizes", "major", "minor")
-    found = hits.mapInArrow(search, f"key binary, hits array<struct<minus:{score_type},id:bigint>>")
+    found = stream.select("part", "kind", *cols).mapInArrow(search, f"key binary, hits array<struct<minus:{score_type},id:bigint>>")
     merged = found.groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, keep).alias("hits"))
     merged = written(merged, "hits")
 
@@ -179,6 +227,6 @@ def run(df: DataFrame, id_col: str, vec_col: str, as_key: Callable[[np.ndarray],
                 flat = b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([r.tobytes() for r in as_key(flat)], pa.binary())], names=["query_id", "key"])
 
-    asking = rows.where(F.expr(queries)).mapInArrow(keys, "query_id long, key binary")
+    asking = rows.where(queries).mapInArrow(keys, "query_id long, key binary")
     own = asking.join(merged, "key").select("query_id", F.slice(F.filter("hits", lambda h: h["id"] != F.col("query_id")), 1, k).alias("hits"))
     return own.select("query_id", F.posexplode("hits").alias("at", "hit")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.id").alias("vec_id"), (-F.col("hit.minus")).alias("score"))
