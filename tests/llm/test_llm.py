@@ -303,8 +303,11 @@ def vectors(spark):
     x[50:120] = x[0]  # a hot vector
     x[120] = 0
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
-    rows += [(400, None), (401, [1.0, None] + [0.0] * 6), (402, [float("nan")] * 8), (403, [1.0]), (None, [1.0] * 8), (440, [float(v) for v in x[7]])]
-    return spark.createDataFrame([(i, v, 1, 0) for i, v in rows], "vec_id long, embedding array<float>, score int, rank int"), np.float32(np.vstack([x, x[7]])).astype(float), np.array([*range(400), 440])
+    rows += [(400, None), (401, [1.0, None] + [0.0] * 6), (402, [float("nan")] * 8), (403, [1.0]), (404, []), (None, [1.0] * 8), (440, [float(v) for v in x[7]])]
+    short = np.eye(1, 8)
+    every = np.float32(np.vstack([x, short, 0 * short, x[7]])).astype(float)
+    names = ("score", "rank", "id", "vec", "key", "part", "data", "major", "block", "kind", "salt", "hits")
+    return spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<float>").select("*", *(F.lit(i).alias(c) for i, c in enumerate(names))), every, np.array([*range(400), 403, 404, 440])
 
 
 def test_exact_top_k(spark):
@@ -334,7 +337,36 @@ def test_hash_forest_recall(spark):
         hits += len({r["vec_id"] for r in own} & set(want))
         total += 20
     assert hits / total >= 0.9
-    assert not any(r["query_id"] == 120 or r["vec_id"] == 120 for r in got)
+    assert not any(r["query_id"] == 120 or r["vec_id"] in (120, 404) for r in got)
+
+
+def test_hash_forest_on_clusters(spark):
+    """Where vectors have near neighbours a small share of each segment is enough."""
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(80, 32)), 50, axis=0) + 0.15 * rng.normal(size=(4000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in hash_forest.search(df, share=0.05, segment=2000).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = {q: set([i for i in np.lexsort((np.arange(4000), -(x @ x[q]))) if i != q][:20]) for q in range(0, 4000, 20)}
+    assert np.mean([len(got[q] & w) / 20 for q, w in want.items()]) >= 0.9
+
+
+def test_queries_over_vectors_by_brute_force(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    ids = np.array([r["vec_id"] for r in rows])
+    x = np.array([r["embedding"] for r in rows], dtype=float)
+    z = np.floor(64 * x).astype(np.int64)
+    exact, near = (sorted(map(tuple, f(spark, sf).select("query_id", "rank", "vec_id", "score").collect())) for f in (registry.op4_pivot_topk, registry.op5_hash_forest))
+    want, hits = [], 0
+    for q in np.sort(ids[ids % 20 == 0]):
+        at = int(np.flatnonzero(ids == q)[0])
+        s, t = z @ z[at], x @ x[at]
+        top = [i for i in np.lexsort((ids, -s)) if ids[i] != q][:20]
+        want += [(int(q), k + 1, int(ids[i]), int(s[i])) for k, i in enumerate(top)]
+        hits += len({int(ids[i]) for i in [i for i in np.lexsort((ids, -t)) if ids[i] != q][:20]} & {v for a, _, v, _ in near if a == q})
+    assert exact == want and hits >= 0.9 * len(want)
 
 
 # ------------------------------------------------------------------ op6
@@ -390,6 +422,19 @@ def test_language_id_edge_cases(spark):
     assert langid.Scorer(two).predict("x")[0] == "a" and langid.Scorer(two).predict("qzzq")[0] == "b" and langid.Scorer(two).predict("x y")[0] == "a"
 
 
+def test_words_are_runs_of_letters():
+    import unicodedata
+
+    draw = np.random.default_rng(6)
+    chars = [chr(c) for c in (*range(0x20, 0x250), *draw.integers(0x250, 0x20000, 600).tolist()) if not 0xD800 <= c < 0xE000]
+    for size in (0x230, len(chars)):
+        for _ in range(300):
+            text = "".join(draw.choice(chars[:size], 30))
+            level = text.lower()
+            want = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in level).split()
+            assert langid.words_of(text) == want
+
+
 def test_language_model_by_definition(spark):
     """Counts, smoothing and backoff written out for a small table."""
     rows = [(1, "a b b", "x"), (2, "b cd", "y"), (3, "ef", "y"), (4, None, "x"), (5, "zz", None)]
