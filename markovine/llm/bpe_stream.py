@@ -9,15 +9,20 @@ gives the longest chain, in symbols: the *sufficient lookahead*.  The encoder ke
 a window of ``chunk + lookahead`` symbols, merges inside it and emits the tokens
 that end at least ``lookahead`` symbols before the window's end; the rest starts
 the next window (merging restarts exactly at any token boundary, since no merge
-crossed it).  Memory is constant in the length of a word.
+crossed it).  Around it, normaliser, splitter and merger are iterators: a text is read in
+slices of about ``SLICE`` characters that end before a space, where neither normalisation
+nor the splitter looks back, and a slice's ids are emitted before the next is read.  So
+memory is constant in the length of a text and of a word, beside the text itself and the
+ids asked for (four bytes each); a slice without a space goes on to the next one.
 
 Decoder.  An incremental byte-to-text machine: token strings become bytes, and an
 incremental UTF-8 decoder turns bytes into text, with U+FFFD for each maximal
 invalid part.  It may be fed any split of the id sequence.
 
-Cases: null text is the empty text and gives no ids and an empty decoding; extra
-columns are ignored, repeated rows give repeated results, an empty table gives an
-empty result.
+Cases: null text is the empty text and gives no ids and an empty decoding; null and
+repeated ids are kept as they are, repeated rows give repeated results; merges that
+occur twice in the list count where they stand last; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +31,10 @@ import codecs
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -36,6 +43,8 @@ from ._common import chunks
 
 #: Most words that a worker remembers; beyond it the memory starts anew.
 CACHE_WORDS = 300_000
+#: Characters that are normalised and split in one go.
+SLICE = 1 << 16
 
 # The pre-tokenisation pattern of the word vocabulary.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -154,22 +163,42 @@ class StreamingBPE:
                 self.known[word] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
+    def slices(self, text: str, size: int = SLICE) -> Iterator[str]:
+        """``text`` in parts that begin with a space after an ASCII character."""
+        at = 0
+        while len(text) - at > size:
+            cut = text.find(" ", at + size)
+            while cut > 0 and not text[cut - 1].isascii():
+                cut = text.find(" ", cut + 1)
+            if cut < 0:
+                break
+            yield text[at:cut]
+            at = cut
+        yield text[at:] if at else text
+
+    def spans(self, text: str) -> Iterator[tuple[str, int | None]]:
+        """Stretches of plain text, and the ids of special tokens between them."""
         at = 0
-        pieces: list[tuple[str, str | None]] = []
         if self.special_split is not None:
             for m in self.special_split.finditer(text):
-                pieces.append((text[at : m.start()], m.group()))
+                yield text[at : m.start()], self.special[m.group()]
                 at = m.end()
-        pieces.append((text[at:], None))
+        yield text[at:] if at else text, None
+
+    def stream(self, text: str, size: int = SLICE) -> Iterator[list[int]]:
+        """The ids, slice by slice."""
         known, word_ids = self.known, self.word_ids
-        for piece, special in pieces:
-            for w in self.words.findall(self.normalize(piece)):
-                ids += known.get(w) or word_ids(w)
+        for plain, special in self.spans(text):
+            for part in self.slices(plain, size):
+                ids: list[int] = []
+                for w in self.words.findall(self.normalize(part)):
+                    ids += known.get(w) or word_ids(w)
+                yield ids
             if special is not None:
-                ids.append(self.special[special])
-        return ids
+                yield [special]
+
+    def encode(self, text: str) -> list[int]:
+        return [i for ids in self.stream(text) for i in ids]
 
 
 class TextDecoder:
@@ -233,9 +262,13 @@ def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
             for b in chunks(whole, "text"):
                 ids, decoded = [], []
                 for text in b.column("text").to_pylist():
-                    one = bpe.encode(text or "")
-                    ids.append(pa.array(one, pa.int32()))
-                    decoded.append("".join(decoder.feed(one[i : i + 4096]) for i in range(0, len(one), 4096)) + decoder.finish())
+                    held, said = array("i"), []
+                    for one in bpe.stream(text or ""):
+                        held.extend(one)
+                        said.append(decoder.feed(one))
+                    said.append(decoder.finish())
+                    ids.append(pa.array(np.frombuffer(held, np.int32)))
+                    decoded.append("".join(said))
                 sizes = [0]
                 for a in ids:
                     sizes.append(sizes[-1] + len(a))

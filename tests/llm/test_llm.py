@@ -387,6 +387,13 @@ def test_bpe_equals_the_library(spark):
     for word in ("th" * 900, "ing" * 500, "aaaaab" * 300, "".join(chr(97 + c) for c in rng.integers(0, 26, 3000)), "é" * 800):
         assert small.encode(word) == tk.encode(word, add_special_tokens=False).ids
     assert 1 < small.lookahead < 10_000
+    parts = ["a", "É", "e\u0301", "\u0301", " ", "  ", " \u0301", "\n", "'s", "don't", "12", "--", "Σ", "中", "<|endoftext|>", "fi"]
+    for _ in range(400):  # slices of any size give the ids of the whole text
+        text = "".join(rng.choice(parts, 60))
+        assert [i for ids in small.stream(text, int(rng.integers(1, 30))) for i in ids] == tk.encode(text, add_special_tokens=False).ids
+    assert max(map(len, small.slices("ab " * 1000, 50))) <= 53
+    odd = bpe_stream.encode_decode(docs(spark, [(None, "x y"), (None, "x y"), (1, None)]), path).collect()
+    assert sorted((r["doc_id"] or 0, len(r["ids"]), r["decoded"]) for r in odd)[0][1] == 2 and len(odd) == 3
     assert bpe_stream.encode_decode(docs(spark).limit(0), path).count() == 0
 
 
