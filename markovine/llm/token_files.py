@@ -205,9 +205,10 @@ class PieceEncoder:
         alone[some] |= np.logical_or.reduceat(joined, bounds[:-1][some])
         del kind, stop_mark, joined
         got = self._words(entries, words, np.bincount(place, minlength=len(words)).tolist())
-        bounds = bounds.tolist()
-        own = got.__getitem__
-        return [self.encode(texts[k].as_py()) if by_itself else b"".join(map(own, place[bounds[k] : bounds[k + 1]].tolist())) for k, by_itself in enumerate(alone.tolist())]
+        ids = pa.array(got, pa.large_binary()).take(coded.indices)
+        stops = np.frombuffer(ids.buffers()[1], "<i8")[ids.offset :][bounds].tolist()
+        flat = memoryview(ids.buffers()[2])
+        return [self.encode(texts[k].as_py()) if by_itself else bytes(flat[stops[k] : stops[k + 1]]) for k, by_itself in enumerate(alone.tolist())]
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
