@@ -9,9 +9,10 @@ bitmap shares a bit with the piece, the search goes on to the next bin until one
 compatible, and a new bin opens only if there is none.  So no sequence holds two pieces
 of one source or two documents of one cluster.
 
-Packing is sequential, so rows are dealt by hash into shards of about ``shard`` rows that
-are packed independently; a shard's last bins are its only loss.  A shard's full
-sequences stream through its task and only remainders are held.  The sequences are
+Packing is sequential, so rows are dealt by the hash of id and text into shards of about
+``shard`` rows that are packed independently; a shard's last bins are its only loss.
+Texts are shuffled once: the clusters of a shard's texts come to it as a small table, its
+full sequences stream through its task, and only remainders are held.  The sequences are
 written as Parquet files: ``shard``, ``bin``, ``tokens`` (little-endian, one or four bytes
 each) and the pieces in them.
 
@@ -22,7 +23,7 @@ already sits in.
 Cases: null text is the empty text; null sources and clusters conflict with nothing;
 empty texts get a piece of length 0; null ids are dealt like any other; ties are broken
 by id, then text; rows that repeat an id, or an id and its text, are packed as rows of
-their own and are dealt apart; an empty table gives no sequences and an empty result;
+their own (many of them are dealt apart); an empty table gives no sequences and an empty result;
 extra columns are ignored.
 """
 
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import chunks, new_path
+from .simhash import text_key
 
 
 class _Bins:
@@ -112,19 +114,17 @@ def pack_rows(ids: list, lengths: list[int], sources: list, clusters: list, capa
 
 
 def write_sequences(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None, tokenizer: str | None = None, capacity: int = 16_384, shard: int = 4096, path: str | None = None
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", clusters: DataFrame | None = None, tokenizer: str | None = None, capacity: int = 16_384, shard: int = 4096, path: str | None = None
 ) -> str:
     """Pack every row and write the sequences; returns the path.  Without ``tokenizer`` (a
-    tokenizer file) a text's tokens are its bytes."""
+    tokenizer file) a text's tokens are its bytes.  ``clusters`` are ``id``, ``key``, ``component``
+    and ``n`` as ``simhash.text_components`` gives them; without them none conflict."""
     spark = df.sparkSession
     path = path or new_path(spark, "sequences")
     kind = df.schema[id_col].dataType.simpleString()
     width = 4 if tokenizer else 1
-    cluster = F.col(cluster_col).cast("string") if cluster_col else F.lit(None).cast("string")
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(source_col).cast("string").alias("source"), cluster.alias("cluster"))
-    shards = max(1, -(-rows.count() // shard))
-    # rows that repeat each other are spread too
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "text", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(source_col).cast("string").alias("source"), F.monotonically_increasing_id().alias("row"))
+    shards = max(1, -(-df.count() // shard))
 
     def cut(batches):
         if tokenizer:
@@ -134,6 +134,7 @@ def write_sequences(
         for whole in batches:
             for b in chunks(whole, "text"):
                 texts = encode(b.column("text")) if tokenizer else [t.encode() for t in b.column("text").to_pylist()]
+                keys = [text_key(t) for t in b.column("text").to_pylist()]
                 own, piece, start, length, tokens = [], [], [], [], []
                 for r, t in enumerate(texts):
                     n = len(t) // width
@@ -143,11 +144,12 @@ def write_sequences(
                         start.append(p * capacity)
                         length.append(min(capacity, n - p * capacity))
                         tokens.append(t[p * capacity * width : (p + 1) * capacity * width])
-                cols = [b.column(c).take(pa.array(own, pa.int64())) for c in ("shard", "id", "source", "cluster")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(tokens, pa.binary())], names=["shard", "id", "source", "cluster", "piece", "start", "length", "tokens"])
+                cols = [b.column(c).take(pa.array(own, pa.int64())) for c in ("row", "id", "source")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([keys[r] for r in own], pa.binary()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(tokens, pa.binary())], names=["row", "id", "source", "key", "piece", "start", "length", "tokens"])
 
     def fill(batches):
         now, first, held = None, 0, []
+        group: dict = {}
         id_type = None
 
         def sequence(bins):
@@ -175,27 +177,49 @@ def write_sequences(
         for batch in batches:
             id_type = batch.schema.field("id").type
             full = []
-            for shard_, *x, source, c in zip(*(batch.column(c).to_pylist() for c in ("shard", "id", "piece", "start", "length", "tokens", "source", "cluster")), strict=True):
+            for shard_, key, cluster, *x, source in zip(*(batch.column(c).to_pylist() for c in ("shard", "key", "cluster", "id", "piece", "start", "length", "tokens", "source")), strict=True):
                 if shard_ != now:
                     if full:
                         yield sequence(full)
                         full = []
                     if held:
                         yield from pack()
-                    now, first, held = shard_, 0, []
-                if x[3] == capacity:
+                    now, first, held, group = shard_, 0, [], {}
+                if cluster is not None:
+                    group[x[0], key] = cluster
+                elif x[3] == capacity:
                     full.append((first, [x]))
                     first += 1
                 else:
-                    held.append((x, source, c))
+                    held.append((x, source, group.get((x[0], key))))
             if full:
                 yield sequence(full)
         if held:
             yield from pack()
 
-    pieces = rows.mapInArrow(cut, f"shard int, id {kind}, source string, cluster string, piece int, start long, length long, tokens binary")
-    pieces = pieces.repartition(min(shards, 1 << 15), "shard").sortWithinPartitions("shard", F.col("length") < capacity, F.col("id").asc_nulls_first(), "tokens")
-    pieces.mapInArrow(fill, f"shard int, bin int, tokens binary, pieces array<struct<id:{kind},piece:int,start:bigint,length:bigint,offset:bigint>>").write.parquet(path)
+    pieces = rows.mapInArrow(cut, f"row long, id {kind}, source string, key binary, piece int, start long, length long, tokens binary")
+    spot = ["id", "key"]
+    if clusters is None:
+        pieces = pieces.withColumn("parts", F.lit(1))
+        named = None
+    else:
+        # an id and text that more rows share than a shard should hold goes to several shards
+        many = clusters.where(F.col("n") > shard).select(*spot, F.ceil(F.col("n") / shard).cast("int").alias("parts"))
+        if many.isEmpty():
+            pieces = pieces.withColumn("parts", F.lit(1))
+            clusters = clusters.withColumn("parts", F.lit(1))
+        else:  # one in ``shard`` rows at most
+            same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in spot]
+            pieces, clusters = (d.alias("a").join(F.broadcast(many.alias("b")), same, "left").select("a.*", F.coalesce("b.parts", F.lit(1)).alias("parts")) for d in (pieces, clusters))
+        named = clusters.where("component IS NOT NULL").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    home = F.pmod(F.xxhash64("id", "key", "part"), F.lit(shards)).cast("int").alias("shard")
+    cols = ["source", "piece", "start", "length", "tokens"]
+    stream = pieces.withColumn("part", F.pmod("row", F.col("parts")).cast("int")).select(home, *spot, F.lit(None).cast("string").alias("cluster"), *cols)
+    if named is not None:
+        types = {f.name: f.dataType for f in pieces.schema.fields}
+        stream = named.select(home, *spot, F.col("component").cast("string").alias("cluster"), *(F.lit(None).cast(types[c]).alias(c) for c in cols)).unionByName(stream)
+    stream = stream.repartition(min(shards, 1 << 15), "shard").sortWithinPartitions("shard", F.col("cluster").isNull(), F.col("length") < capacity, F.col("id").asc_nulls_first(), "tokens")
+    stream.mapInArrow(fill, f"shard int, bin int, tokens binary, pieces array<struct<id:{kind},piece:int,start:bigint,length:bigint,offset:bigint>>").write.option("compression", "zstd").parquet(path)
     return path
 
 

@@ -59,8 +59,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = simhash.with_component(table(spark, sf_dir, "documents"), "cluster")
-    return packing.read_pieces(spark, packing.write_sequences(docs, cluster_col="cluster"))
+    docs = table(spark, sf_dir, "documents")
+    return packing.read_pieces(spark, packing.write_sequences(docs, clusters=simhash.text_components(docs)))
 
 
 def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -229,11 +229,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.select(F.col("id").alias(id_col), "fp", "component")
 
 
-def with_component(df: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3, hot: int = HOT) -> DataFrame:
-    """``df`` with the component of each row as a column ``name``."""
-    fps = written(fingerprints(df, id_col, text_col, width, keep=True), "simhash-rows")
-    found = spread_join(fps, groups(fps, distance, hot=hot).drop("root"), "fp", hot)
-    return found.select(*(F.col("row")[c].alias(c) for c in df.columns if c != name), F.col("component").alias(name))
+def text_key(text: str | None) -> bytes:
+    """Sixteen bytes that name a text; null is the empty text."""
+    return xxhash.xxh3_128_digest((text or "").encode())
+
+
+def text_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3, hot: int = HOT) -> DataFrame:
+    """``id``, ``key`` (``text_key``), ``component`` and ``n`` for each distinct id and text; ``n``
+    rows have them.  No text leaves its task."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for whole in batches:
+            for b in chunks(whole, "text"):
+                texts = b.column("text").to_pylist()
+                fps = np.array([fingerprint(t, width) for t in texts], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([text_key(t) for t in texts], pa.binary()), pa.array(fps)], names=["id", "key", "fp"])
+
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, key binary, fp bigint")
+    fps = written(rows.groupBy("id", "key").agg(F.first("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "simhash-texts")
+    return spread_join(fps.withColumnRenamed("n", "copies"), groups(fps.select("id", "fp"), distance, hot=hot).drop("root"), "fp", hot).select("id", "key", "component", F.col("copies").alias("n"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3, hot: int = HOT) -> DataFrame:

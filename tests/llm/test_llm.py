@@ -263,8 +263,8 @@ def test_names_inside_operators_do_not_clash(spark):
     for out in (simhash.keep_one(df), simhash.keep_dissimilar(df), langid.keep_identified(df, langid.train(df, "lang")), toxicity.keep_clean(df, toxicity.train(df, labels, "toxic"), below=1.1)):
         assert out.columns == df.columns and out.count() > 0 and out.agg(F.max("best")).first()[0] == CLASH.index("best")
     assert simhash.near_duplicates(df, hot=1).count() == langid.predict(df, langid.train(df, "lang")).count() == toxicity.predict(df, toxicity.train(df, labels, "toxic")).count() == len(TEXTS) + 2
-    marked = simhash.with_component(df, "cluster")
-    assert sorted(marked.columns) == sorted(df.columns) and marked.where("doc_id = 11").first()["cluster"] == 3
+    marked = {(r["id"], r["key"]): (r["component"], r["n"]) for r in simhash.text_components(df, hot=1).collect()}
+    assert marked[11, simhash.text_key("one")] == (3, 1) and marked[0, simhash.text_key("")] == (0, 2)
     assert ctw.score(df, "doc_id < 5").count() == bpe_stream.encode_decode(df, registry.tokenizer_path("word_bpe_49k.json")).count() == len(TEXTS) + 2
 
 
@@ -577,10 +577,11 @@ def test_packing_by_brute_force():
 def test_sequences_hold_every_text(spark, tokenizer):
     """Pieces put together are the texts; no sequence holds a source or a cluster twice."""
     rows = [(i, t) for i, t in enumerate(TEXTS) if t != LONG] + [(50, LONG[:9000]), (3, "one"), (3, "one"), (None, "x"), (None, "x")]
-    df = clashing(spark, rows).withColumn("source", F.when(F.col("doc_id") != 4, F.concat(F.lit("s"), F.pmod("doc_id", F.lit(5))))).withColumn("cluster", F.when(F.col("doc_id") < 3, 1))
+    df = clashing(spark, rows).withColumn("source", F.when(F.col("doc_id") != 4, F.concat(F.lit("s"), F.pmod("doc_id", F.lit(5)))))
+    clusters = simhash.text_components(df).withColumn("component", F.when(F.col("id") < 3, 1))
     path = registry.tokenizer_path(tokenizer) if tokenizer else None
     width, cap = (4, 700) if tokenizer else (1, 1000)
-    files = packing.write_sequences(df, cluster_col="cluster", tokenizer=path, capacity=cap, shard=8)
+    files = packing.write_sequences(df, clusters=clusters, tokenizer=path, capacity=cap, shard=8)
     if tokenizer:
         from tokenizers import Tokenizer
 
@@ -609,6 +610,10 @@ def test_sequences_hold_every_text(spark, tokenizer):
     assert set(docs_of) == {i for i, _ in rows}
     assert packing.read_pieces(spark, files, width).where("piece_length >= 0").count() == sum(map(len, docs_of.values()))
     assert packing.read_pieces(spark, packing.write_sequences(df.limit(0))).count() == 0
+    # an id and text of many rows
+    same = spark.range(40).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same text").alias("text"), F.lit("s").alias("source"))
+    got = packing.read_pieces(spark, packing.write_sequences(same, clusters=simhash.text_components(same), shard=10)).collect()
+    assert len(got) == 40 == len({(r["shard"], r["bin"]) for r in got}) and len({r["shard"] for r in got}) > 1
 
 
 def test_packing_query(spark, sf):
