@@ -37,8 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: token ids in packed sequences, no two documents of one source or of one
     group of alike fingerprints in a sequence; returns where each document's pieces lie."""
-    grouped = simhash.with_component(docs, "cluster")
-    path = packing.write_sequences(grouped, cluster_col="cluster", tokenizer=registry.tokenizer_path("byte_bpe_50k.json"))
+    path = packing.write_sequences(docs, clusters=simhash.text_components(docs), tokenizer=registry.tokenizer_path("byte_bpe_50k.json"))
     return packing.read_pieces(spark, path, width=4)
 
 
