@@ -1,11 +1,14 @@
-"""Command line: simulate, classify, classify-image, estimate, missingness-lr-test."""
+"""Command line: simulate, classify, classify-image, estimate, estimate-image,
+missingness-lr-test."""
 
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from .operators import estimate, image, series
 from .plans.model import Model
@@ -18,10 +21,22 @@ def _session():
     return SparkSession.builder.appName("markovine").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
+def _estimated(rows, model: Model, a) -> int:
+    run = estimate.ice if a.algorithm == "ice" else estimate.sem
+    est = run(rows, model, max_iter=a.max_iter, progress=lambda i, ll: print(f"{i}: {ll:.4f}"))
+    est.model.save(a.out or "estimated.toml")
+    if a.trace:
+        with open(a.trace, "w") as f:
+            json.dump({"converged": est.converged, "trace": estimate.trace_rows(est)}, f)
+    for what, key, value in estimate.degenerate_states(est.model):
+        print(f"degenerate {what} at {key}: {value:.4g}")
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="markovine")
     sub = parser.add_subparsers(dest="command", required=True)
-    for name in ("simulate", "classify", "classify-image", "estimate", "missingness-lr-test"):
+    for name in ("simulate", "classify", "classify-image", "estimate", "estimate-image", "missingness-lr-test"):
         p = sub.add_parser(name)
         p.add_argument("model")
         if name != "simulate":
@@ -34,7 +49,8 @@ def main(argv: list[str] | None = None) -> int:
             p.add_argument("--replicates", type=int, default=1)
         if name == "classify":
             p.add_argument("--ref", default=None, help="label column to score against")
-        if name == "estimate":
+        if name.startswith("estimate"):
+            p.add_argument("--trace", default=None, help="file for the trace as JSON")
             p.add_argument("--algorithm", choices=("ice", "sem"), default="ice")
             p.add_argument("--max-iter", type=int, default=50)
     a = parser.parse_args(argv)
@@ -43,9 +59,11 @@ def main(argv: list[str] | None = None) -> int:
         rows = series.simulate_series(spark, model, a.replicates, a.n or model.n_default, a.seed)
         tables.write_simulation(rows, a.out or "simulated")
         return 0
-    if a.command == "classify-image":
+    if a.command.endswith("-image"):
         px = image.read_images(spark, a.data)
-        h, w = (int(x) + 1 for x in px.agg({"row": "max", "col": "max"}).first())
+        h, w = (int(x) + 1 for x in px.agg(F.max("row"), F.max("col")).first())
+        if a.command == "estimate-image":
+            return _estimated(image.unfold(px, h, w), model, a)
         got = image.classify_image(px, model, h, w).select("row", "col", "x_hat").toPandas()
         labels = np.zeros((h, w), dtype=int)
         labels[got["row"], got["col"]] = got["x_hat"]
@@ -71,12 +89,7 @@ def main(argv: list[str] | None = None) -> int:
             print(f"error rate: {1 - best / m.sum():.4f}")
         return 0
     if a.command == "estimate":
-        run = estimate.ice if a.algorithm == "ice" else estimate.sem
-        est = run(rows, model, max_iter=a.max_iter, progress=lambda i, ll: print(f"{i}: {ll:.4f}"))
-        est.model.save(a.out or "estimated.toml")
-        for what, key, value in estimate.degenerate_states(est.model):
-            print(f"degenerate {what} at {key}: {value:.4g}")
-        return 0
+        return _estimated(rows, model, a)
     print(estimate.missingness_lr_test(rows, model))
     return 0
 

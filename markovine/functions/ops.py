@@ -153,6 +153,11 @@ def norm_logpdf(x):
     return -0.5 * x * x - 0.5 * math.log(2 * math.pi)
 
 
+def norm_crps(x):
+    """Continuous ranked probability score of a standard normal forecast."""
+    return x * (2.0 * norm_cdf(x) - 1.0) + 2.0 * exp(norm_logpdf(x)) - 1.0 / math.sqrt(math.pi)
+
+
 def norm_ppf(p):
     """The standard normal quantile."""
     q = p - 0.5

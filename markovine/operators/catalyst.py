@@ -2,8 +2,7 @@
 
 A series becomes an ordered array of structs of densities and probabilities, and one
 ``aggregate`` folds it: state ``(row, messages, log-likelihood)``, the message being
-normalised at the next step.  ``filter_sql`` writes the same recurrence as a recursive
-query for other engines.
+normalised at the next step.
 """
 
 from __future__ import annotations
@@ -84,37 +83,3 @@ def filtered(df: DataFrame, model: Model) -> DataFrame:
         return pd.DataFrame({"log_lik": [chain.log_lik], "last": [chain.filtered()[-1]]})
 
     return per_series(df, one, "log_lik double, last array<double>")
-
-
-def filter_sql(model: Model, source: str) -> str:
-    """CTEs ``rws`` and ``fwd(series_id, n, b.., ll)`` over a query with ``series_id, n, y``."""
-    K = model.K
-    cols = ", ".join(f"{sql} AS {name}" for name, sql in row_columns(model).items())
-    names = [*row_columns(model)]
-    c = "(" + " + ".join(f"s.b{i}" for i in range(K)) + ")"
-    start = ", ".join(f"{initial(model, i, 'r')} AS b{i}" for i in range(K))
-    step = ", ".join("(" + " + ".join(f"s.b{i} * {transition(model, i, j, 's', 'r')}" for i in range(K)) + f") / {c}" for j in range(K))
-    keep = ", ".join(f"r.{x}" for x in names)
-    return (
-        f"rws AS MATERIALIZED (SELECT series_id, n, y, {cols} FROM ({source}) q), "
-        f"fwd AS (SELECT r.series_id, r.n, {keep}, {start}, CAST(0 AS DOUBLE) AS ll FROM rws r WHERE r.n = 0 "
-        f"UNION ALL SELECT r.series_id, r.n, {keep}, {step}, s.ll + ln({c}) FROM fwd s JOIN rws r ON r.series_id = s.series_id AND r.n = s.n + 1)"
-    )
-
-
-def smooth_sql(model: Model, source: str) -> str:
-    """``filter_sql`` and CTEs ``bwd`` and ``post(series_id, n, g0..)``."""
-    K = model.K
-    names = [*row_columns(model)]
-    keep = ", ".join(f"r.{x}" for x in names)
-    c = "(" + " + ".join(f"s.e{i}" for i in range(K)) + ")"
-    step = ", ".join("(" + " + ".join(f"s.e{j} * {transition(model, i, j, 'r', 's')}" for j in range(K)) + f") / {c} AS e{i}" for i in range(K))
-    ones = ", ".join(f"CAST(1 AS DOUBLE) AS e{i}" for i in range(K))
-    total = "(" + " + ".join(f"f.b{i} * b.e{i}" for i in range(K)) + ")"
-    g = ", ".join(f"f.b{i} * b.e{i} / {total} AS g{i}" for i in range(K))
-    return (
-        filter_sql(model, source)
-        + f", bwd AS (SELECT r.series_id, r.n, {keep}, {ones} FROM rws r JOIN (SELECT series_id, max(n) AS n FROM rws GROUP BY series_id) m USING (series_id, n) "
-        f"UNION ALL SELECT r.series_id, r.n, {keep}, {step} FROM bwd s JOIN rws r ON r.series_id = s.series_id AND r.n = s.n - 1), "
-        f"post AS (SELECT f.series_id, f.n, {g} FROM fwd f JOIN bwd b ON f.series_id = b.series_id AND f.n = b.n)"
-    )

@@ -318,8 +318,10 @@ class Batch:
     probabilities underflow, are left to ``Chain``.  Rows of all series follow each other.
     """
 
-    def __init__(self, model: Model, y: np.ndarray, sizes: np.ndarray):
-        self.model, self.k = model, Kernels(model)
+    def __init__(self, model: Model, y: np.ndarray, sizes: np.ndarray, nodes: int = NODES, before: np.ndarray | None = None, after: np.ndarray | None = None):
+        """``before`` and ``after`` (series x K, NaN for none) are messages as in ``Chain``."""
+        self.model, self.k, self.nodes = model, Kernels(model), nodes
+        self.before, self.after = before, after
         self.y, self.sizes = np.asarray(y, float), np.asarray(sizes, dtype=np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.N = len(self.y)
@@ -340,7 +342,7 @@ class Batch:
         if model.missingness is not None:
             e = np.concatenate([model.missingness.log_evidence(self.miss[a : a + n]) for a, n in zip(self.starts, self.sizes, strict=True)])
             first, w = first + e[self.starts], w + e[1:, None, :]
-        self.first = first
+        self.first = first if before is None else np.where(np.isnan(before), first, before)
         with np.errstate(invalid="ignore"):
             self.scale = w.max(axis=(1, 2)) if len(w) else np.zeros(0)
             self.w = np.exp(w - self.scale[:, None, None])
@@ -374,6 +376,10 @@ class Batch:
     def backward(self) -> np.ndarray:
         if getattr(self, "_bwd", None) is None:
             beta = np.ones((self.N, self.model.K))
+            if self.after is not None:
+                given = np.flatnonzero(~np.isnan(self.after).any(axis=1))
+                z = self.after[given]
+                beta[self.starts[given] + self.sizes[given] - 1] = np.exp(z - z.max(axis=1, keepdims=True))
             with np.errstate(all="ignore"):
                 for t in range(int(self.sizes.max(initial=0)) - 2, -1, -1):
                     at = self._active(t + 1) - 1
@@ -387,7 +393,8 @@ class Batch:
         self.forward()
         for s in np.flatnonzero(~self.served).tolist():
             at = slice(int(self.starts[s]), int(self.starts[s] + self.sizes[s]))
-            yield at, Chain(self.model, self.y[at])
+            ends = (None if x is None or np.isnan(x[s]).any() else x[s] for x in (self.before, self.after))
+            yield at, Chain(self.model, self.y[at], self.nodes, None, True, *ends)
 
     def gamma(self) -> np.ndarray:
         with np.errstate(all="ignore"):
@@ -410,6 +417,23 @@ class Batch:
             z[at.start : at.stop - 1] = chain.xi()
         return z
 
+    def transfers(self) -> np.ndarray:
+        """Log weights ``(series, K, K)`` from the first row to the last, both observed."""
+        K = self.model.K
+        out = np.empty((len(self.sizes), K, K))
+        for i in range(K):
+            b = object.__new__(Batch)
+            b.__dict__.update(self.__dict__)
+            b._fwd = b._bwd = None
+            b.first = np.tile(np.where(np.arange(K) == i, 0.0, -np.inf), (len(self.sizes), 1))
+            alpha, logc = b.forward()
+            with np.errstate(divide="ignore"):
+                out[:, i] = np.log(alpha[self.starts + self.sizes - 1]) + np.add.reduceat(logc, self.starts)[:, None]
+            self.served = self.served & b.served
+        for s in np.flatnonzero(~self.served).tolist():
+            out[s] = Chain(self.model, self.y[self.starts[s] : self.starts[s] + self.sizes[s]], self.nodes).transfer()
+        return out
+
     def log_liks(self) -> np.ndarray:
         """Log-likelihood of each series."""
         out = np.add.reduceat(self.forward()[1], self.starts) if self.N else np.zeros(0)

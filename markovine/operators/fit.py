@@ -6,10 +6,13 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import numerics
 from ..functions.copulas import DEFAULT_CANDIDATES, EXTRA_BOUNDS, FAMILIES, CopulaNotAvailableError, Family
 from ..functions.margins import Margin, fit_moments
+from ..functions.ops import Sql, clamp
 from . import stats
 
 
@@ -270,6 +273,28 @@ class BivariateLaw:
         f, p = self._f()
         return f.h(self.right.cdf(y), self.left.cdf(x), p)
 
+    def conditional_pdf(self, y, x):
+        """Density of Y at y given X = x."""
+        return np.exp(self.log_pdf(x, y) - self.left.logpdf(x))
+
+    def conditional_ppf(self, q, x):
+        """Quantile of Y given X = x."""
+        f, p = self._f()
+        return self.right.ppf(f.inv_h(np.asarray(q, float), self.left.cdf(x), p))
+
+    def over(self, df: DataFrame, x: str, y: str) -> DataFrame:
+        """Adds ``log_pdf`` and ``conditional`` (P(Y <= y | X = x)) to rows, as expressions."""
+        f, p = self._f()
+        u, v = clamp(self.left.cdf(Sql(x))), clamp(self.right.cdf(Sql(y)))
+        d = df.withColumn("__u", F.expr(str(u))).withColumn("__v", F.expr(str(v)))
+        a, b = Sql("__u"), Sql("__v")
+        joint = f.shape.log_pdf(a, b, p) + self.left.logpdf(Sql(x)) + self.right.logpdf(Sql(y))
+        return d.withColumn("log_pdf", F.expr(str(joint))).withColumn("conditional", F.expr(str(f.shape.h(b, a, p)))).drop("__u", "__v")
+
+    def sample_conditional(self, x, seed: int = 0):
+        """One draw of Y for each given X."""
+        return self.conditional_ppf(np.random.default_rng(seed).random(len(x)), np.asarray(x, float))
+
     def sample(self, n: int, seed: int = 0):
         f, p = self._f()
         rng = np.random.default_rng(seed)

@@ -3,21 +3,25 @@
 A pattern protects the first ``ceil(N * offset)`` rows of a series and removes
 ``floor(N * rate)`` of the others; it marks rows in a column ``miss``.  Random patterns
 draw from a hash of the seed, the series and the row, so they do not depend on how the
-table is partitioned.  A series that is too short for the pattern keeps all its rows.
+table is partitioned.  A series that is too short for the pattern is an error.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ops import Sql, norm_crps
+
 TOL = 1e-9
 
 
 def parse_cell(cell: Column) -> Column:
     """A CSV cell: empty, ``nan`` and ``na`` (any case, trimmed) are missing."""
     c = F.lower(F.trim(cell))
-    return F.when(c.isin("", "nan", "na"), F.lit(None).cast("double")).otherwise(c.cast("double"))
+    return F.when(~c.isin("", "nan", "na"), c.try_cast("double"))
 
 
 def canonical(y: Column) -> Column:
@@ -37,7 +41,8 @@ def sized(df: DataFrame, rate: float, offset: float) -> DataFrame:
     out = df.withColumn("len", F.count(F.lit(1)).over(w))
     head = F.ceil(F.col("len") * offset - TOL) if offset < 1 else F.lit(int(offset)).cast("long")
     out = out.withColumn("head", head.cast("long")).withColumn("cut", F.floor(F.col("len") * rate + TOL).cast("long"))
-    return out.withColumn("cut", F.when(F.col("head") + F.col("cut") > F.col("len"), 0).otherwise(F.col("cut")))
+    short = F.raise_error(F.concat(F.lit("series "), F.col("series_id").cast("string"), F.lit(" is too short for the pattern")))
+    return out.withColumn("cut", F.when(F.col("head") + F.col("cut") > F.col("len"), short.cast("long")).otherwise(F.col("cut")))
 
 
 def _done(df: DataFrame, miss: Column) -> DataFrame:
@@ -104,13 +109,21 @@ def state_dependent(df: DataFrame, rates: list[float], state: str = "x", seed: i
 
 def state_markov(df: DataFrame, onset: list[float], persistence: list[float], state: str = "x", seed: int = 0) -> DataFrame:
     """A two-state mask chain per series: starts by ``onset``, lasts by ``persistence``."""
-    a, b = F.array(*map(F.lit, onset)), F.array(*map(F.lit, persistence))
-    at = F.col(state) + 1
-    row = F.struct("n", F.element_at(a, at).alias("a"), F.element_at(b, at).alias("b"), uniform(str(seed), F.col("series_id"), F.col("n")).alias("u"))
-    arrays = df.groupBy("series_id").agg(F.array_sort(F.collect_list(row)).alias("rs"))
-    fold = "aggregate(rs, CAST(array() AS array<boolean>), (s, r) -> array_append(s, r.u < CASE WHEN size(s) = 0 THEN r.a / (1 - r.b + r.a) WHEN s[size(s) - 1] THEN r.b ELSE r.a END))"
-    masks = arrays.select("series_id", F.explode(F.arrays_zip(F.col("rs.n").alias("n"), F.expr(fold).alias("miss"))).alias("z")).select("series_id", "z.n", "z.miss")
-    return df.join(masks, ["series_id", "n"])
+    a, b = (F.element_at(F.array(*map(F.lit, x)), F.col(state) + 1) for x in (onset, persistence))
+    u = uniform(str(seed), F.col("series_id"), F.col("n"))
+    w = Window.partitionBy("series_id").orderBy("n")
+    d = df.withColumn("__first", F.row_number().over(w) == 1)
+    # what a row does after an observed and after a missing one; where both are the same
+    # the chain starts anew, else it keeps its state or turns it
+    off = F.when(F.col("__first"), u < a / (1 - b + a)).otherwise(u < a)
+    on = F.when(F.col("__first"), u < a / (1 - b + a)).otherwise(u < b)
+    d = d.withColumn("__off", off).withColumn("__on", on)
+    turns = F.sum(F.when(F.col("__off") & ~F.col("__on"), 1).otherwise(0)).over(w)
+    d = d.withColumn("__turns", turns)
+    anew = F.when(F.col("__off") == F.col("__on"), F.struct(F.col("__off").alias("at"), F.col("__turns").alias("turns")))
+    d = d.withColumn("__anew", F.last(anew, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    miss = F.col("__anew.at") != ((F.col("__turns") - F.col("__anew.turns")) % 2 == 1)
+    return d.withColumn("miss", miss).drop("__first", "__off", "__on", "__turns", "__anew")
 
 
 def locf(df: DataFrame, y: str = "y") -> DataFrame:
@@ -160,11 +173,55 @@ def mutual_information(df: DataFrame, a: str, b: str, by: list[str], bins: int =
     return cells.withColumn("t", F.col("k") / k * F.log(F.col("k") * k / (ki * kj))).groupBy(*by).agg(F.sum("t").alias("mi"))
 
 
+def crps_gaussian(df: DataFrame, mean: float, sd: float, y: str = "y") -> DataFrame:
+    """Adds ``crps``, the continuous ranked probability score of a normal forecast."""
+    d = df.withColumn("__z", (F.col(y) - mean) / sd)
+    return d.withColumn("crps", sd * F.expr(str(norm_crps(Sql("__z"))))).drop("__z")
+
+
 def error_split(df: DataFrame, truth: str, guess: str, mask: str, by: list[str]) -> DataFrame:
-    """Error rates of two-state labels on missing, observed and all rows, under the
-    relabelling that is best on all rows."""
-    wrong = (F.col(truth) != F.col(guess)).cast("double")
-    parts = df.groupBy(*by).agg(F.avg(wrong).alias("e"), F.avg(F.when(F.col(mask), wrong)).alias("em"), F.avg(F.when(~F.col(mask), wrong)).alias("eo"))
-    flip = F.col("e") > 0.5
-    out = {"error": "e", "error_missing": "em", "error_observed": "eo"}
-    return parts.select(*by, *(F.when(flip, 1 - F.col(c)).otherwise(F.col(c)).alias(n) for n, c in out.items()))
+    """Error rates of labels 0 .. K - 1 on missing, observed and all rows, under the renaming
+    of the guesses that is best on all rows."""
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    table = df.groupBy(*by, F.col(truth).cast("int").alias("__t"), F.col(guess).cast("int").alias("__g"), F.col(mask).alias("__m")).agg(F.count(F.lit(1)).alias("__n"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        K = int(max(pdf["__t"].max(), pdf["__g"].max())) + 1
+        parts = np.zeros((2, K, K))
+        np.add.at(parts, (pdf["__m"].to_numpy(bool).astype(int), pdf["__t"].to_numpy(), pdf["__g"].to_numpy()), pdf["__n"].to_numpy())
+        name = assignment(-parts.sum(axis=0).T - 0.5 / K * np.eye(K))  # the true label of each guess; names stay on a tie
+        right = parts[:, name, np.arange(K)].sum(axis=1)
+        total = parts.sum(axis=(1, 2))
+        share = lambda a, b: 1 - a / b if b else None
+        row = {"error": share(right.sum(), total.sum()), "error_missing": share(right[1], total[1]), "error_observed": share(right[0], total[0])}
+        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in by}, **row}])
+
+    return table.groupBy(*by).applyInPandas(run, f"{kinds}, error double, error_missing double, error_observed double")
+
+
+def assignment(cost: np.ndarray) -> np.ndarray:
+    """The column of each row in the cheapest assignment of a square matrix: rows are added
+    one by one along shortest augmenting paths with dual prices."""
+    n = len(cost)
+    price_row, price_col = np.zeros(n + 1), np.zeros(n + 1)
+    owner = np.zeros(n + 1, dtype=int)  # row of each column, from 1; column 0 is the start
+    for row in range(1, n + 1):
+        owner[0], at = row, 0
+        best, came, done = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int), np.zeros(n + 1, dtype=bool)
+        while owner[at]:
+            done[at] = True
+            reduced = cost[owner[at] - 1] - price_row[owner[at]] - price_col[1:]
+            better = ~done[1:] & (reduced < best[1:])
+            best[1:][better], came[1:][better] = reduced[better], at
+            nxt = int(np.where(done[1:], np.inf, best[1:]).argmin()) + 1
+            step = best[nxt]
+            price_row[owner[done]] += step
+            price_col[done] -= step
+            best[~done] -= step
+            at = nxt
+        while at:
+            owner[at] = owner[came[at]]
+            at = came[at]
+    out = np.empty(n, dtype=int)
+    out[owner[1:] - 1] = np.arange(n)
+    return out

@@ -1,7 +1,8 @@
 """Sequence operators over a table ``series_id, n, y`` (vectors: ``y array<double>``).
 
 Series are the parallel dimension: a task gets whole series in order and steps through
-many of them at once.  A series that is too long for one task goes through ``classify_blocks``, which
+many of them at once.  ``nodes`` is the size of the grid that missing rows are integrated
+on where a model needs one; ``node_check`` tells whether it is large enough.  A series that is too long for one task goes through ``classify_blocks``, which
 cuts it into stretches at observed rows, reduces each to a K x K transfer matrix, scans
 the short list of matrices per series, and finishes the stretches in parallel.
 
@@ -10,6 +11,7 @@ A null, NaN or infinite ``y`` is a missing observation.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.model import Model
-from .engine import Batch, Chain, _logsumexp, flag_all, flag_outliers, mixture_summary, simulate
+from .engine import NODES, Batch, Chain, _logsumexp, flag_all, flag_outliers, mixture_summary, simulate
 
 
 def values(pdf: pd.DataFrame) -> np.ndarray:
@@ -47,39 +49,51 @@ def per_series(df: DataFrame, fn: Callable[[pd.DataFrame, np.ndarray], pd.DataFr
 ROWS = 1 << 16
 
 
-def in_batches(df: DataFrame, model: Model, fn: Callable[[pd.DataFrame, Batch], pd.DataFrame], schema: str) -> DataFrame:
+def _runs(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.zeros(len(pdf), bool)
+    new[0] = True
+    for c in keys:
+        names = pd.factorize(pdf[c], use_na_sentinel=False)[0]
+        new[1:] |= names[1:] != names[:-1]
+    return np.flatnonzero(new)
+
+
+def whole_runs(batches, keys: list[str], rows: int):
+    """Join batches of sorted rows into frames of about ``rows`` that end with a run of keys."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        if held and sum(map(len, held)) >= rows:
+            pair = pd.concat([held[-1].iloc[-1:], pdf.iloc[:1]], ignore_index=True)
+            same = len(_runs(pair, keys)) == 1
+            starts = _runs(pdf, keys)
+            if not same or len(starts) > 1:
+                # the first run of this piece may go on from what is held
+                end = int(starts[1]) if same else 0
+                yield pd.concat([*held, pdf.iloc[:end]], ignore_index=True)
+                held, pdf = [], pdf.iloc[end:]
+        held.append(pdf)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def in_batches(df: DataFrame, model: Model, fn: Callable[[pd.DataFrame, Batch], pd.DataFrame], schema: str, nodes: int = NODES) -> DataFrame:
     """Apply ``fn(rows of whole series in order, their batch)``; it returns ``series_id`` too."""
     kind = df.schema["series_id"].dataType.simpleString()
-
-    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = pd.factorize(pdf["series_id"], use_na_sentinel=False)[0]
-        starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
-        return fn(pdf, Batch(model, values(pdf), np.diff(np.append(starts, len(pdf)))))
+    size = ROWS
 
     def run(batches):
-        held: list[pd.DataFrame] = []
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            names = pd.factorize(pdf["series_id"], use_na_sentinel=False)[0]
-            cut = int(np.flatnonzero(names == names[-1])[0])  # where the last series begins
-            key = pdf["series_id"].iloc[0]
-            if held and sum(map(len, held)) >= ROWS:
-                same = held[-1]["series_id"].iloc[-1] == key or pd.isna(key) and pd.isna(held[-1]["series_id"].iloc[-1])
-                if not same or cut:
-                    # the first series of this piece may go on from what is held
-                    end = 0 if not same else int(np.flatnonzero(names != names[0])[0])
-                    yield apply(pd.concat([*held, pdf.iloc[:end]], ignore_index=True))
-                    held, pdf = [], pdf.iloc[end:]
-            held.append(pdf)
-        if held:
-            yield apply(pd.concat(held, ignore_index=True))
+        for pdf in whole_runs(batches, ["series_id"], size):
+            starts = _runs(pdf, ["series_id"])
+            yield fn(pdf, Batch(model, values(pdf), np.diff(np.append(starts, len(pdf))), nodes))
 
     rows = df.select("series_id", F.col("n").cast("long").alias("n"), "y").repartition("series_id").sortWithinPartitions("series_id", "n")
     return rows.mapInPandas(run, f"series_id {kind}, {schema}")
 
 
-def classify(df: DataFrame, model: Model) -> DataFrame:
+def classify(df: DataFrame, model: Model, nodes: int = NODES) -> DataFrame:
     """``n, x_hat, gamma``: posterior marginal and its most probable state (ties to the
     lowest)."""
 
@@ -87,14 +101,14 @@ def classify(df: DataFrame, model: Model) -> DataFrame:
         g = b.gamma()
         return pd.DataFrame({"series_id": pdf["series_id"], "n": pdf["n"], "x_hat": g.argmax(axis=1), "gamma": list(g)})
 
-    return in_batches(df, model, batch, "n long, x_hat int, gamma array<double>")
+    return in_batches(df, model, batch, "n long, x_hat int, gamma array<double>", nodes)
 
 
-def log_likelihood(df: DataFrame, model: Model) -> DataFrame:
-    return in_batches(df, model, lambda pdf, b: pd.DataFrame({"series_id": pdf["series_id"].iloc[b.starts].to_numpy(), "log_lik": b.log_liks()}), "log_lik double")
+def log_likelihood(df: DataFrame, model: Model, nodes: int = NODES) -> DataFrame:
+    return in_batches(df, model, lambda pdf, b: pd.DataFrame({"series_id": pdf["series_id"].iloc[b.starts].to_numpy(), "log_lik": b.log_liks()}), "log_lik double", nodes)
 
 
-def pair_posteriors(df: DataFrame, model: Model) -> DataFrame:
+def pair_posteriors(df: DataFrame, model: Model, nodes: int = NODES) -> DataFrame:
     """``n, xi``: row-major K x K posterior of the states at n and n+1."""
 
     def batch(pdf, b):
@@ -103,7 +117,45 @@ def pair_posteriors(df: DataFrame, model: Model) -> DataFrame:
         inner[b.starts + b.sizes - 1] = False
         return pd.DataFrame({"series_id": pdf["series_id"][inner], "n": pdf["n"][inner], "xi": list(xi[inner[:-1]])})
 
-    return in_batches(df, model, batch, "n long, xi array<double>")
+    return in_batches(df, model, batch, "n long, xi array<double>", nodes)
+
+
+def classify_pairs(df: DataFrame, model: Model) -> DataFrame:
+    """Rows 2k and 2k + 1 as pairs that do not depend on each other: ``pair``, the row-major
+    ``joint`` posterior of both states and ``log_lik``.  A last row without a partner and
+    pairs with a missing row have none."""
+
+    def batch(pdf, b):
+        m = b.model
+        n = pdf["n"].to_numpy()
+        last = np.zeros(len(n), bool)
+        last[b.starts + b.sizes - 1] = True
+        at = np.flatnonzero((n % 2 == 0) & ~last & ~b.miss)
+        at = at[~b.miss[at + 1]] if len(at) else at
+        w = np.log(np.maximum(m.p, 1e-300)) + b.logf[at] + np.swapaxes(b.logf[at + 1], 1, 2)
+        for (i, j), (fam, p) in b.k.cop.items():
+            if not fam.independent:
+                w[:, i, j] += fam.log_pdf(b.cdf[at, i, j], b.cdf[at + 1, j, i], p)
+        total = _logsumexp(w.reshape(len(at), -1), 1)
+        joint = np.exp(w.reshape(len(at), -1) - total[:, None])
+        return pd.DataFrame({"series_id": pdf["series_id"].to_numpy()[at], "pair": n[at] // 2, "joint": list(joint), "log_lik": total})
+
+    return in_batches(df, model, batch, "pair long, joint array<double>, log_lik double")
+
+
+def simulate_pairs(spark, model: Model, series: int, pairs: int, seed: int = 0) -> DataFrame:
+    """``series_id, n, x, y`` of independent pairs: rows 2k and 2k + 1 depend on each other
+    alone."""
+
+    def run(batches):
+        for pdf in batches:
+            for s in pdf["id"]:
+                rng = rng_of(seed, s)
+                drawn = [simulate(model, 2, rng) for _ in range(pairs)]
+                yield pd.DataFrame({"series_id": s, "n": np.arange(2 * pairs), "x": np.concatenate([x for x, _ in drawn]), "y": list(np.concatenate([y for _, y in drawn]))})
+
+    kind = "array<double>" if model.d > 1 else "double"
+    return spark.range(series).mapInPandas(run, f"series_id long, n long, x int, y {kind}")
 
 
 def sample_posterior(df: DataFrame, model: Model, seed: int = 0) -> DataFrame:
@@ -123,7 +175,7 @@ def rng_of(seed: int, key) -> np.random.Generator:
     return np.random.default_rng([seed, zlib.crc32(str(key).encode())])
 
 
-def impute(df: DataFrame, model: Model, quantiles: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
+def impute(df: DataFrame, model: Model, quantiles: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95), nodes: int = NODES) -> DataFrame:
     """``n, mean, sd, quantiles`` of each missing observation."""
 
     def batch(pdf, b):
@@ -135,7 +187,7 @@ def impute(df: DataFrame, model: Model, quantiles: tuple[float, ...] = (0.05, 0.
         else:
             for s in np.flatnonzero(np.add.reduceat(b.miss.astype(int), b.starts)).tolist():
                 first = int(b.starts[s])
-                for i, *r in Chain(model, b.y[first : first + b.sizes[s]]).impute(quantiles):
+                for i, *r in Chain(model, b.y[first : first + b.sizes[s]], nodes).impute(quantiles):
                     at.append([first + i])
                     mean.append([r[0]])
                     sd.append([r[1]])
@@ -143,15 +195,26 @@ def impute(df: DataFrame, model: Model, quantiles: tuple[float, ...] = (0.05, 0.
         rows = np.concatenate(at).astype(int)
         return pd.DataFrame({"series_id": pdf["series_id"].to_numpy()[rows], "n": pdf["n"].to_numpy()[rows], "mean": np.concatenate(mean), "sd": np.concatenate(sd), "quantiles": qs})
 
-    return in_batches(df, model, batch, "n long, mean double, sd double, quantiles array<double>")
+    return in_batches(df, model, batch, "n long, mean double, sd double, quantiles array<double>", nodes)
+
+
+def node_check(df: DataFrame, model: Model, nodes: int = NODES, limit: float = 1e-3) -> DataFrame:
+    """``log_lik`` with ``nodes`` and with twice as many, their ``gap`` and whether it is
+    ``fine``, for every series with missing rows."""
+    seen = F.max(F.col("y").isNull().cast("int")) == 1
+    if model.d == 1:
+        seen = F.max((F.col("y").isNull() | F.isnan("y") | (F.abs("y") == float("inf"))).cast("int")) == 1
+    some = df.join(df.groupBy("series_id").agg(seen.alias("gap")).where("gap").select("series_id"), "series_id")
+    few, many = log_likelihood(some, model, nodes), log_likelihood(some, model, 2 * nodes).withColumnRenamed("log_lik", "finer")
+    return few.join(many, "series_id").withColumn("gap", F.abs(F.col("finer") - F.col("log_lik"))).withColumn("fine", F.col("gap") <= limit)
 
 
-def forecast(df: DataFrame, model: Model, h: int, quantiles: tuple[float, ...] = (0.05, 0.5, 0.95)) -> DataFrame:
+def forecast(df: DataFrame, model: Model, h: int, quantiles: tuple[float, ...] = (0.05, 0.5, 0.95), nodes: int = NODES) -> DataFrame:
     """``step, state, mean, sd, quantiles`` of the next ``h`` observations."""
 
     def one(pdf, y):
         tail = np.full((h, y.shape[1]) if y.ndim == 2 else h, np.nan)
-        chain = Chain(model.with_missingness(None), np.concatenate([y, tail]))
+        chain = Chain(model.with_missingness(None), np.concatenate([y, tail]), nodes)
         rows = [r for r in chain.impute(quantiles) if r[0] >= len(y)]
         g = chain.gamma()[len(y) :]
         return pd.DataFrame({"step": range(1, h + 1), "state": list(g), "mean": [r[1] for r in rows], "sd": [r[2] for r in rows], "quantiles": [r[3] for r in rows]})
@@ -159,14 +222,14 @@ def forecast(df: DataFrame, model: Model, h: int, quantiles: tuple[float, ...] =
     return per_series(df, one, "step int, state array<double>, mean double, sd double, quantiles array<double>")
 
 
-def predictive_pit(df: DataFrame, model: Model) -> DataFrame:
+def predictive_pit(df: DataFrame, model: Model, nodes: int = NODES) -> DataFrame:
     """``n, pit, p_value, log_predictive``."""
 
     def batch(pdf, b):
         pit, log_predictive = b.pit()
         return pd.DataFrame({"series_id": pdf["series_id"], "n": pdf["n"], "pit": pit, "p_value": 2 * np.minimum(pit, 1 - pit), "log_predictive": log_predictive})
 
-    return in_batches(df, model, batch, "n long, pit double, p_value double, log_predictive double")
+    return in_batches(df, model, batch, "n long, pit double, p_value double, log_predictive double", nodes)
 
 
 def outliers(df: DataFrame, model: Model, alpha: float = 0.01, sequential: bool = True, correction: str | None = None) -> DataFrame:
@@ -205,10 +268,6 @@ def simulate_series(spark, model: Model, series: int, n: int, seed: int = 0) ->
 # ---------------------------------------------------------------- long series
 
 
-def _no_rows(*names: str) -> pd.DataFrame:
-    return pd.DataFrame({c: pd.Series([], dtype=object) for c in names})
-
-
 def blocks(df: DataFrame, block: int) -> DataFrame:
     """``series_id, n, y, block, last``: stretches of about ``block`` rows that begin at an
     observed row (the first one at row 0), each holding the next one's first row too.
@@ -233,7 +292,7 @@ def blocks(df: DataFrame, block: int) -> DataFrame:
     return rows.select("series_id", "n", "y", "block", (F.col("block") == F.col("final")).alias("last"))
 
 
-def classify_blocks(df: DataFrame, model: Model, block: int = 8192) -> DataFrame:
+def classify_blocks(df: DataFrame, model: Model, block: int = 8192, nodes: int = NODES) -> DataFrame:
     """``classify`` for series of any length; ``n`` must count from 0 without holes.
 
     Stretches meet at observed rows, where a message has K numbers whatever lies between,
@@ -242,20 +301,30 @@ def classify_blocks(df: DataFrame, model: Model, block: int = 8192) -> DataFrame
     kind = df.schema["series_id"].dataType.simpleString()
     rows = blocks(df, block)
 
-    def chain(pdf: pd.DataFrame, before=None, after=None) -> tuple[pd.DataFrame, Chain]:
-        pdf = pdf.sort_values("n", kind="stable")
-        return pdf, Chain(model, values(pdf), before=before, after=after)
-
-    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, c = chain(pdf)
-        first, last, none = int(pdf["block"].iloc[0]) == 0, bool(pdf["last"].iloc[0]), np.zeros(0)
-        # ends of a series may be missing, so they send a message, not a matrix
-        a = c.forward()[0][-1][0] if first and not last else none
-        b = _logsumexp((c.step(0) + c.backward()[1][None, None]).reshape(model.K, -1), 1) if last and not first and c.N > 1 else none
-        m = none if first or last else c.transfer().reshape(-1)
-        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "block": [int(pdf["block"].iloc[0])], "m": [m], "a": [a], "b": [b]})
-
-    mats = rows.groupBy("series_id", "block").applyInPandas(reduce, f"series_id {kind}, block long, m array<double>, a array<double>, b array<double>")
+    size, keys = ROWS, ["series_id", "block"]
+
+    def reduce(batches):
+        for pdf in whole_runs(batches, keys, size):
+            starts = _runs(pdf, keys)
+            b = Batch(model, values(pdf), np.diff(np.append(starts, len(pdf))), nodes)
+            first, last = (pdf["block"].to_numpy() == 0)[starts], pdf["last"].to_numpy(bool)[starts]
+            m, a, c = ([np.zeros(0)] * len(starts) for _ in range(3))
+            # ends of a series may be missing, so they send a message, not a matrix
+            for s in np.flatnonzero(first != last).tolist():
+                chain = Chain(model, b.y[starts[s] : starts[s] + b.sizes[s]], nodes)
+                if first[s]:
+                    a[s] = chain.forward()[0][-1][0]
+                elif chain.N > 1:
+                    c[s] = _logsumexp((chain.step(0) + chain.backward()[1][None, None]).reshape(model.K, -1), 1)
+            middle = np.flatnonzero(~first & ~last)
+            if len(middle):
+                own = np.concatenate([np.arange(starts[s], starts[s] + b.sizes[s]) for s in middle.tolist()])
+                for s, x in zip(middle.tolist(), Batch(model, b.y[own], b.sizes[middle], nodes).transfers(), strict=True):
+                    m[s] = x.reshape(-1)
+            yield pd.DataFrame({"series_id": pdf["series_id"].to_numpy()[starts], "block": pdf["block"].to_numpy()[starts], "m": m, "a": a, "b": c})
+
+    ordered = rows.repartition("series_id", "block").sortWithinPartitions("series_id", "block", "n")
+    mats = ordered.mapInPandas(reduce, f"series_id {kind}, block long, m array<double>, a array<double>, b array<double>")
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, K = pdf.sort_values("block"), model.K
@@ -275,14 +344,15 @@ def classify_blocks(df: DataFrame, model: Model, block: int = 8192) -> DataFrame
 
     ends = mats.groupBy("series_id").applyInPandas(scan, f"series_id {kind}, block long, a array<double>, b array<double>")
 
-    def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(right) or not len(left):
-            return _no_rows("series_id", "n", "x_hat", "gamma")
-        a, b = (np.asarray(right[c].iloc[0], float) for c in "ab")
-        pdf, c = chain(left, a if len(a) else None, b if len(b) else None)
-        g = c.gamma()
-        own = np.ones(len(pdf), bool)
-        own[-1] = bool(pdf["last"].iloc[0])  # else the next stretch's first row
-        return pd.DataFrame({"series_id": pdf["series_id"], "n": pdf["n"], "x_hat": g.argmax(axis=1), "gamma": list(g)})[own]
-
-    return rows.groupBy("series_id", "block").cogroup(ends.groupBy("series_id", "block")).applyInPandas(finish, f"series_id {kind}, n long, x_hat int, gamma array<double>")
+    def finish(batches):
+        for pdf in whole_runs(batches, keys, size):
+            starts = _runs(pdf, keys)
+            none = [math.nan] * model.K
+            before, after = (np.array([list(x) if x is not None and len(x) else none for x in pdf[c].iloc[starts]], float) for c in ("a", "b"))
+            g = Batch(model, values(pdf), np.diff(np.append(starts, len(pdf))), nodes, before, after).gamma()
+            own = np.ones(len(pdf), bool)
+            own[np.append(starts[1:], len(pdf)) - 1] = pdf["last"].to_numpy(bool)[starts]  # else the next stretch's first row
+            yield pd.DataFrame({"series_id": pdf["series_id"], "n": pdf["n"], "x_hat": g.argmax(axis=1), "gamma": list(g)})[own]
+
+    joined = rows.join(ends, keys).repartition("series_id", "block").sortWithinPartitions("series_id", "block", "n")
+    return joined.mapInPandas(finish, f"series_id {kind}, n long, x_hat int, gamma array<double>")
