@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.missing import canonical, parse_cell
 
@@ -19,8 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def read_observations(spark: SparkSession, path: str, ref: str | None = None, series: str | None = None) -> DataFrame:
     """CSV files with a header: column ``Y`` (or ``Y0, Y1, ..``), optionally ``n``, a label
     column and a series column.  Every cell is read as text and parsed; a cell that is
-    neither a number nor missing is an error."""
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    neither a number nor missing is an error, as is a line with too few or too many cells.
+
+    Without a column ``n`` rows count in the files' order, by one task per series."""
+    names = spark.read.option("header", True).csv(path).columns
+    shape = StructType([StructField(c, StringType()) for c in [*names, "__line"]])
+    raw = spark.read.schema(shape).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__line").csv(path)
+    torn = raw.where("__line IS NOT NULL").limit(1).collect()
+    if torn:
+        raise CSVLoadError(f"wrong number of cells: {torn[0]['__line']!r}")
+    raw = raw.drop("__line")
     vector = sorted((c for c in raw.columns if c[:1] == "Y" and c[1:].isdigit()), key=lambda c: int(c[1:]))
     if "Y" not in raw.columns and not vector:
         raise CSVLoadError("no column Y")

@@ -269,8 +269,10 @@ def test_csv(spark, tmp_path):
     got = read_observations(spark, str(tmp_path / "a.csv"), ref="X").orderBy("n").collect()
     assert [(r["n"], r["y"], r["x"]) for r in got] == [(0, 1.5, 0), (1, None, 1), (2, None, 0)]
     (tmp_path / "b.csv").write_text("Y\nx\n")
-    with pytest.raises(CSVLoadError):
-        read_observations(spark, str(tmp_path / "b.csv"))
+    (tmp_path / "c.csv").write_text("n,X,Y\n1,0,1.5\n2,1\n")
+    for name in "bc":
+        with pytest.raises(CSVLoadError):
+            read_observations(spark, str(tmp_path / f"{name}.csv"))
 
 
 @pytest.mark.parametrize("h,w", [(1, 7), (8, 8), (5, 11), (24, 37), (13, 6)])
