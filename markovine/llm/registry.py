@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, ctw, hash_forest, html_text, langid, packing, pivot_topk, simhash, token_files, toxicity
-from ._common import crc_of_id, table
+from . import bpe_stream, ctw, hash_forest, html_text, langid, merkle, packing, pivot_topk, simhash, token_files, toxicity
+from ._common import Scratch, crc_of_id, table, written
 
 
 def tokenizer_path(name: str) -> str:
@@ -78,6 +78,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op13_merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = merkle.leaf_digest(*(F.translate("text", _AZ, _AZ.lower()) if c == "text" else F.col(c) for c in _LEAF))
+    suspect = F.when(crc_of_id("doc_id") % 5 == 0, tampered)
+    with Scratch(spark, "manifest") as scratch:
+        return written(merkle.verify(docs, _LEAF, "source", "doc_id", {"doc_id": F.col("doc_id")}, suspect, scratch), "proofs")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
@@ -90,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_context_tree": op9_context_tree,
         "op10_toxicity": op10_toxicity,
+        "op13_merkle_proofs": op13_merkle_proofs,
     }
 
 
