@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, ctw, hash_forest, html_text, langid, merkle, packing, pivot_topk, simhash, token_files, toxicity
+from . import bpe_stream, compress_quality, ctw, hash_forest, html_text, langid, merkle, packing, pivot_topk, simhash, token_files, toxicity
 from ._common import Scratch, crc_of_id, table, written
 
 
@@ -78,6 +78,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_of_id("doc_id") % 4 == 2
+    model = compress_quality.train(docs, table(spark, sf_dir, "labels").where(~held_out), "quality")
+    scored = compress_quality.predict(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 _AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
 
@@ -102,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_context_tree": op9_context_tree,
         "op10_toxicity": op10_toxicity,
+        "op11_compression_quality": op11_compression_quality,
         "op13_merkle_proofs": op13_merkle_proofs,
     }
 
