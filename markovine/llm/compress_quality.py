@@ -4,15 +4,16 @@ A zstandard dictionary is trained on texts of each class.  A text is cut into pi
 ``PIECE`` bytes, which are compressed with either dictionary, so that a dictionary counts for
 all of a text and not only until the text has become its own dictionary.  The difference of
 the two compressed sizes, divided by the text's size, is one number: how many bytes a byte
-is cheaper as good text than as bad text.  A logistic curve, fitted on labelled rows that no
-dictionary has seen, turns it into a probability.
+is cheaper as good text than as bad text.  What goes into a dictionary is partly chance, so
+there are ``folds`` pairs of them, each trained without one part of the sample, and a text's number
+is their mean.  A logistic curve turns it into a probability; it is fitted on the numbers
+that each part of the sample gets from the pair that has not seen it.
 
 Training takes a bounded sample: ``max_per_class`` labelled ids of each class, those with the
-smallest hash, and of rows that repeat an id one.  Two thirds of the ids, again by hash, give the
-dictionaries their samples, at most ``max_pieces`` pieces of a text, evenly spread over it; the
-whole texts of the other third fit the curve, weighted back to the classes' true shares.  If
-one of these parts lacks a class, all of the sample serves for both.  A class with too few
-samples for training has their bytes as its dictionary.
+smallest hash, and of rows that repeat an id one.  A text gives a dictionary at most ``max_pieces``
+pieces, evenly spread over it; the curve is fitted on whole texts, weighted back to the
+classes' true shares.  If the other parts of a fold lack a class, all of the sample serves
+for its pair.  A class with too few samples for training has their bytes as its dictionary.
 
 Cases: null and empty text have the labelled rows' share of good ones as their score; a null label
 takes no part in training; if the labelled rows have one class or none the score is that class's
@@ -59,26 +60,28 @@ def dictionary(samples: list[bytes], size: int) -> tuple[bytes, bool]:
 
 
 class Compressor:
-    """Sizes of texts under the dictionaries of bad and good text; travels as their bytes."""
+    """Sizes of texts under pairs of dictionaries of bad and good text; travels as their bytes."""
 
-    def __init__(self, dictionaries: tuple[tuple[bytes, bool], tuple[bytes, bool]], level: int):
-        self.dictionaries, self.level = dictionaries, level
-        self.tools = None
+    def __init__(self, pairs: list[tuple[tuple[bytes, bool], tuple[bytes, bool]]], level: int):
+        self.pairs, self.level, self.tools = pairs, level, None
 
     def __getstate__(self):
         return {**self.__dict__, "tools": None}
 
-    def sizes(self, data: bytes) -> tuple[int, int]:
-        """Compressed bytes as bad and as good text."""
+    def tool(self, content: bytes, trained: bool):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_FULLDICT if trained else zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=self.level)
+        return zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+
+    def sizes(self, data: bytes, pairs: list[int] | None = None) -> tuple[int, int]:
+        """Compressed bytes as bad and as good text, summed over (some of the) pairs."""
         if self.tools is None:
-            self.tools = []
-            for content, trained in self.dictionaries:
-                d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_FULLDICT if trained else zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=self.level)
-                self.tools.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
-        bad, good = self.tools
-        own = pieces(data)
-        return sum([len(bad(x)) for x in own]), sum([len(good(x)) for x in own])
+            self.tools = [tuple(self.tool(*d) for d in pair) for pair in self.pairs]
+        own, bad, good = pieces(data), 0, 0
+        for as_bad, as_good in self.tools if pairs is None else [self.tools[k] for k in pairs]:
+            bad += sum([len(as_bad(x)) for x in own])
+            good += sum([len(as_good(x)) for x in own])
+        return bad, good
 
 
 class Quality:
@@ -88,7 +91,7 @@ class Quality:
         self.share, self.compressor, self.offset, self.slope = share, compressor, offset, slope
 
     def measure(self, text: str | None) -> tuple[int, int, int]:
-        """Bytes of a text, and its compressed sizes as bad and as good text."""
+        """Bytes of a text, and its compressed sizes as bad and as good text, summed over the pairs."""
         data = (text or "").encode("utf-8", "replace")
         return (len(data), *(self.compressor.sizes(data) if self.compressor and data else (0, 0)))
 
@@ -98,7 +101,7 @@ class Quality:
     def score_of(self, size: int, bad: int, good: int) -> float:
         if not size or self.compressor is None:
             return self.share
-        z = self.offset + self.slope * (bad - good) / size
+        z = self.offset + self.slope * (bad - good) / (size * len(self.compressor.pairs))
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -40, 40))))
 
 
@@ -127,7 +130,7 @@ def curve(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, flo
     return float(b[0]), float(b[1] / scale)
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", max_per_class: int = 3000, max_pieces: int = 16, dictionary_size: int = 1 << 15, level: int = 3) -> Quality:
+def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", max_per_class: int = 3000, max_pieces: int = 16, dictionary_size: int = 1 << 15, folds: int = 3, level: int = 3) -> Quality:
     """Fit on at most ``max_per_class`` labelled rows of each class."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(F.col(label_col).cast("int")).alias("y"))
     marked = marked.withColumn("y", (F.col("y") > 0).cast("int"))
@@ -141,33 +144,33 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
         sample = scratch.written(picked[0].union(picked[1]), "ids")  # at most 2 * max_per_class rows
         texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL AND text != ''")
         rows = texts.join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
-        rows = scratch.written(rows.withColumn("fold", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)).cast("int")), "rows")
-        cells = {(r["fold"] == 0, r["y"]) for r in rows.select("fold", "y").distinct().collect()}
-        if not {y for _, y in cells} == {0, 1}:
-            return Quality(share)
-        split = len(cells) == 4
+        rows = scratch.written(rows.withColumn("fold", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(folds)).cast("int")), "rows")
 
         def cut(batches):
             for whole in batches:
                 for b in chunks(whole, "text"):
                     parts = [spread(t.encode("utf-8", "replace"), max_pieces) for t in b.column("text").to_pylist()]
-                    yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(parts, pa.list_(pa.binary()))], names=["y", "parts"])
+                    yield pa.RecordBatch.from_arrays([b.column("y"), b.column("fold"), pa.array(parts, pa.list_(pa.binary()))], names=["y", "fold", "parts"])
 
-        fit = rows.where("fold != 0") if split else rows
-        got = sorted((r["y"], [bytes(x) for x in r["parts"]]) for r in fit.select("y", "text").mapInArrow(cut, "y int, parts array<binary>").collect())
-        # the order does not depend on the tasks, and neighbours are no copies
-        got.sort(key=lambda r: zlib.crc32(r[1][0]))
-        compressor = Compressor(tuple(dictionary([x for k, xs in got if k == y for x in xs], dictionary_size) for y in (0, 1)), level)
-        ref = docs.sparkSession.sparkContext.broadcast(Quality(share, compressor))
+        # the order does not depend on the tasks
+        got = sorted((zlib.crc32(r["parts"][0]), r["y"], r["fold"], [bytes(x) for x in r["parts"]]) for r in rows.select("y", "fold", "text").mapInArrow(cut, "y int, fold int, parts array<binary>").collect())
+        if {y for _, y, _, _ in got} != {0, 1}:
+            return Quality(share)
+        pairs = []
+        for k in range(folds):
+            own = [[x for _, c, fold, xs in got if c == y and fold != k for x in xs] or [x for _, c, _, xs in got if c == y for x in xs] for y in (0, 1)]
+            pairs.append(tuple(dictionary(xs, dictionary_size) for xs in own))
+        compressor = Compressor(pairs, level)
+        ref = docs.sparkSession.sparkContext.broadcast(compressor)
 
         def measure(batches):
             for whole in batches:
                 for b in chunks(whole, "text"):
-                    size, bad, good = zip(*(ref.value.measure(t) for t in b.column("text").to_pylist()), strict=True)
-                    yield pa.RecordBatch.from_arrays([b.column("y"), *(pa.array(x, pa.int64()) for x in (size, bad, good))], names=["y", "size", "bad", "good"])
+                    data = [t.encode("utf-8", "replace") for t in b.column("text").to_pylist()]
+                    bad, good = zip(*(ref.value.sizes(d, [k]) for d, k in zip(data, b.column("fold").to_pylist(), strict=True)), strict=True)
+                    yield pa.RecordBatch.from_arrays([b.column("y"), *(pa.array(x, pa.int64()) for x in ([len(d) for d in data], bad, good))], names=["y", "size", "bad", "good"])
 
-        seen = rows.where("fold = 0") if split else rows
-        found = sorted(tuple(r) for r in seen.select("y", "text").mapInArrow(measure, "y int, size long, bad long, good long").collect())
+        found = sorted(tuple(r) for r in rows.select("y", "fold", "text").mapInArrow(measure, "y int, size long, bad long, good long").collect())
     y, size, bad, good = np.array(found, dtype=np.float64).T
     weights = np.where(y > 0, n[1] / max((y > 0).sum(), 1), n[0] / max((y == 0).sum(), 1))
     offset, slope = curve((bad - good) / size, y, weights * len(y) / weights.sum())
@@ -175,8 +178,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
 
 
 def predict(df: DataFrame, model: Quality, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``score``, ``size`` in bytes, and compressed as ``bad`` and as ``good`` text, of each
-    row."""
+    """``id_col``, ``score``, ``size`` in bytes, and the sum of its compressed sizes as ``bad``
+    and as ``good`` text, of each row."""
     ref = df.sparkSession.sparkContext.broadcast(model)
     kind = df.schema[id_col].dataType.simpleString()
 
