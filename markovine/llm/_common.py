@@ -57,6 +57,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, new_path(spark, name)
+        self.held: dict[int, tuple[DataFrame, str]] = {}
 
     def __enter__(self) -> Scratch:
         return self
@@ -64,12 +65,21 @@ class Scratch:
     def written(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held[id(out)] = out, path
+        return out
 
-    def __exit__(self, *error) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+    def drop(self, table: DataFrame) -> None:
+        """Remove one of the tables before the job is done."""
+        self._remove(self.held.pop(id(table))[1])
+
+    def _remove(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def __exit__(self, *error) -> None:
+        self._remove(self.path)
+
 
 def chunks(batch: pa.RecordBatch, text_col: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` of about ``limit`` bytes of text, so that what a worker

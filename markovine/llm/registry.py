@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, compress_quality, ctw, hash_forest, html_text, langid, merkle, packing, pivot_topk, simhash, token_files, toxicity
+from . import bpe_stream, compress_quality, ctw, hash_forest, html_text, langid, merkle, packing, pivot_topk, simhash, token_files, toxicity, vector_codes
 from ._common import Scratch, crc_of_id, table, written
 
 
@@ -86,6 +86,20 @@ def op11_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark, "codes") as scratch:
+        coded, books, _ = vector_codes.quantise(scratch, table(spark, sf_dir, "embeddings"))
+        coded = scratch.written(coded, "coded")
+        rows = vector_codes.per_label(coded).select(
+            F.col("id").alias("vec_id"),
+            F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "").alias("code"),
+            "error",
+            "label_error",
+            F.lit(vector_codes.digest(books)).alias("codebooks_sha256"),
+        )
+        return written(rows, "codes")
+
+
 _AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
 
@@ -111,6 +125,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_context_tree": op9_context_tree,
         "op10_toxicity": op10_toxicity,
         "op11_compression_quality": op11_compression_quality,
+        "op12_vector_codes": op12_vector_codes,
         "op13_merkle_proofs": op13_merkle_proofs,
     }
 
