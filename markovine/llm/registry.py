@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, compress_quality, ctw, hash_forest, html_text, langid, merkle, packing, pivot_topk, simhash, token_files, toxicity, vector_codes
+from . import bpe_stream, compress_quality, ctw, hash_forest, html_text, langid, merkle, oracles, packing, pivot_topk, simhash, token_files, toxicity, vector_codes
 from ._common import Scratch, crc_of_id, table, written
 
 
@@ -131,6 +131,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of the operators can be written in SQL; tests hold them against brute
-    force, exact round trips or held-out accuracy."""
-    return {}
+    """The others cannot be written in SQL; tests hold them against brute force, exact round
+    trips or held-out accuracy."""
+    return {"op12_vector_codes": oracles.codes(), "op13_merkle_proofs": oracles.MERKLE}
