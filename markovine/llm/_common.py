@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +96,28 @@ def chunks(batch: pa.RecordBatch, text_col: str, limit: int = 4 << 20) -> Iterat
         yield batch.slice(start)
 
 
+def quoted(name: str):
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named by their positions, for calls that take names apart."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def keep_rows(df: DataFrame, text_col: str, decide: Callable[[str | None], bool]) -> DataFrame:
+    """The rows of ``df`` whose text ``decide`` keeps, with all their columns."""
+    rows, col = numbered(df), f"c{df.columns.index(text_col)}"
+
+    def run(batches):
+        for whole in batches:
+            for b in chunks(whole, col):
+                yield b.filter(pa.array([bool(decide(t)) for t in b.column(col).to_pylist()], pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema).toDF(*df.columns)
+
+
 def crc_of_id(id_col: str):
     """crc32 of an id written as text, as a Column; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))

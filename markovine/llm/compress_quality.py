@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, chunks
+from ._common import Scratch, chunks, keep_rows
 
 #: Bytes that are compressed at once.
 PIECE = 1024
@@ -197,11 +197,4 @@ def predict(df: DataFrame, model: Quality, id_col: str = "doc_id", text_col: str
 def keep_good(df: DataFrame, model: Quality, text_col: str = "text", least: float = 0.7) -> DataFrame:
     """The rows of ``df`` that score ``least`` or more, with all their columns."""
     ref = df.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        model = ref.value
-        for whole in batches:
-            for b in chunks(whole, text_col):
-                yield b.filter(pa.array([model.score(t) >= least for t in b.column(text_col).to_pylist()], pa.bool_()))
-
-    return df.mapInArrow(run, df.schema)
+    return keep_rows(df, text_col, lambda t: ref.value.score(t) >= least)

@@ -19,9 +19,10 @@ above 0.9 there, and on clustered vectors much less will do (the tests hold a sh
 
 Cases: vectors null, all zero, or with null or non-finite components, and rows without an
 id, take no part; a vector shorter than the longest is filled up with zeros; equal vectors are one
-candidate with their smallest ids; a query never finds its own id; fewer candidates
-than ``k`` give them all (small segments are scored whole); an empty table gives an
-empty result; extra columns are ignored.
+candidate with their smallest ids; rows that repeat an id are one candidate, with the best
+of their scores; a query never finds its own id; fewer candidates
+than ``k`` give them all (at least ``4 * (k + 1)`` vectors of a segment are candidates, or all of
+them); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from . import vector_search
 from .vector_search import Plan, Segment, best
 
-TREES, BITS, SHARE, SMALL = 56, 32, 0.7, 1024
+TREES, BITS, SHARE = 56, 32, 0.7
 
 
 class ForestPlan(Plan):
@@ -64,8 +65,6 @@ class ForestPlan(Plan):
 
     def __call__(self, q: np.ndarray, seg: Segment) -> list[tuple[np.ndarray, np.ndarray]]:
         n = len(seg.data)
-        if n <= SMALL:
-            return [best(*seg.expand(np.arange(n), s), self.keep) for s in _dot(q, seg.data)]
         cut = 8 * n * self.trees
         arrays = list(zip(np.frombuffer(seg.index[:cut], "<u8").reshape(self.trees, n), np.frombuffer(seg.index[cut:], "<i4").reshape(self.trees, n), strict=True))
         asked = self.strings(q, False)
@@ -99,9 +98,6 @@ class ForestPlan(Plan):
                 seen[order[lo[t, i] : hi[t, i]]] = True
             rows = np.flatnonzero(seen)
             scores = _dot(q[i : i + 1], seg.data[rows])[0]
-            if len(rows) > 4 * self.keep:
-                stay = scores >= np.partition(scores, len(scores) - self.keep)[len(scores) - self.keep]
-                rows, scores = rows[stay], scores[stay]
             out.append(best(*seg.expand(rows, scores), self.keep))
         return out
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import chunks, written
+from ._common import chunks, keep_rows, written
 
 #: Numbers that are no digits, which the standard classes count as word characters.
 NUMBERS = frozenset(c for c in map(chr, range(0x20000)) if unicodedata.category(c) in ("Nl", "No"))
@@ -222,13 +222,10 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
 def keep_identified(df: DataFrame, model: LanguageModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``df`` whose language is identified with a score of ``least`` or more, with
     all their columns; null texts and texts without a letter go."""
-    ref = df.sparkSession.sparkContext.broadcast(model)
+    apply = predictor(df.sparkSession.sparkContext.broadcast(model))
 
-    def run(batches):
-        apply = predictor(ref)
-        for whole in batches:
-            for b in chunks(whole, text_col):
-                keep = [x != UNKNOWN and s >= least for x, s in apply(b.column(text_col).to_pylist())]
-                yield b.filter(pa.array(keep, pa.bool_()))
+    def identified(text: str | None) -> bool:
+        lang, score = apply([text])[0]
+        return lang != UNKNOWN and score >= least
 
-    return df.mapInArrow(run, df.schema)
+    return keep_rows(df, text_col, identified)

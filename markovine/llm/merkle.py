@@ -113,7 +113,7 @@ def plant(scratch: Scratch, rows: DataFrame, order: list[str], fan: int, name: s
             break
         size = -(-size // fan)
     level, f = tree.leaves.select("tree", "i", "n", "digest"), fan
-    for k in range(0, max(len(tree.sizes) - 1, 1 if tree.sizes else 0), 2):
+    for k in range(0, max(len(tree.sizes) - 1, 1), 2):
         if k:
             level = tree.level(k).where("n > 1")
         blocks = level.groupBy("tree", F.expr(f"i DIV {f * f}").alias("b"), "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "digest"))), lambda x: x["digest"]).alias("digests"))

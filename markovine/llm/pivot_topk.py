@@ -19,12 +19,14 @@ results are exact in any case.
 Cases: vectors null or with null or non-finite components, and rows without an id, take
 no part; a vector shorter than the longest is filled up with zeros; equal vectors are one candidate
 with their smallest ids; a query never finds its own id, rows that repeat an id are
-one candidate each; fewer candidates than ``k`` give them all; an empty table gives
-an empty result; extra columns are ignored.
+one candidate, with the best of their scores; fewer candidates than ``k`` give them all; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -131,10 +133,13 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", sca
     inner products.  ``queries`` is an SQL condition on ``id``."""
 
     def prepare(rows: DataFrame, unique: DataFrame) -> Plan:
-        drawn = unique.orderBy(F.xxhash64("key"), "key").limit(SEEDS).select("key", F.size("ids").alias("n")).collect()
+        drawn = unique.orderBy(F.xxhash64("key"), "key").limit(SEEDS).select("key", "ids").collect()
         seeds = np.array([np.frombuffer(r["key"], "<f8") for r in drawn]) if drawn else np.zeros((0, 1))
+        # ids that only one of them has: no id may count twice towards a query's first bound
+        own = Counter(i for r in drawn for i in r["ids"])
+        counts = np.array([sum(own[i] == 1 for i in r["ids"]) for r in drawn], dtype=np.int64)
         square = F.expr("aggregate(vec, 0D, (s, x) -> s + floor({0} * x) * floor({0} * x))".format(scale))
         norm2 = rows.agg(F.max(square)).first()[0] or 0.0
-        return PivotPlan(seeds[:PIVOTS], float(norm2), seeds, np.array([r["n"] for r in drawn], dtype=np.int64), k + 1)
+        return PivotPlan(seeds[:PIVOTS], float(norm2), seeds, counts, k + 1)
 
     return vector_search.run(df, id_col, vec_col, quantized(scale), True, prepare, k, queries, "bigint", segment, block)

@@ -35,8 +35,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ._common import chunks, written
+from ._common import chunks, quoted, written
 
 BITS = 64
 #: Buckets of min-hashes per text, and min-hashes per bucket: a pair of similarity 0.8
@@ -80,7 +81,7 @@ def fingerprint_of(hashes: np.ndarray) -> int:
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, keep: bool = False) -> DataFrame:
     """``id`` and ``fp long`` for each row, and the whole row as ``row`` if ``keep``."""
     kind = df.schema[id_col].dataType.simpleString()
-    cols = [F.col(id_col).alias("id"), F.col(text_col).alias("text")] + ([F.struct(*df.columns).alias("row")] if keep else [])
+    cols = [F.col(id_col).alias("id"), F.col(text_col).alias("text")] + ([F.struct(*map(quoted, df.columns)).alias("row")] if keep else [])
 
     def run(batches):
         for whole in batches:
@@ -88,7 +89,9 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 fps = np.array([fingerprint(t, width, seed) for t in b.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps), *([b.column("row")] if keep else [])], names=["id", "fp", *(["row"] if keep else [])])
 
-    return df.select(*cols).mapInArrow(run, f"id {kind}, fp bigint" + (f", row {df.select(cols[2]).schema['row'].dataType.simpleString()}" if keep else ""))
+    given = df.select(*cols)
+    shape = StructType([given.schema["id"], StructField("fp", LongType())] + ([given.schema["row"]] if keep else []))
+    return given.mapInArrow(run, shape)
 
 
 def spread_join(rows: DataFrame, table: DataFrame, key: str, hot: int = HOT) -> DataFrame:
@@ -262,7 +265,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     kept = fps.join(best.select("root", F.col("id").alias("best_id"), F.col("fp").alias("best_fp")), F.expr("fp = best_fp AND id <=> best_id"))
     if not best.where("copies > 1").isEmpty():
         kept = kept.dropDuplicates(["root"])
-    return kept.select(*(F.col("row")[c].alias(c) for c in df.columns))
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in df.columns))
 
 
 _RNG = np.random.default_rng(11)
@@ -318,7 +321,7 @@ def keep_dissimilar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     never both stay: the later one is a leader that was compared with the earlier one, or
     is linked to an earlier leader.  Texts are joined by merging at every size.
     """
-    rows = written(df.select(F.struct(*df.columns).alias("row"), F.monotonically_increasing_id().alias("key")), "near-rows")
+    rows = written(df.select(F.struct(*map(quoted, df.columns)).alias("row"), F.monotonically_increasing_id().alias("key")), "near-rows")
 
     def features(batches):
         for whole in batches:
@@ -375,4 +378,4 @@ def keep_dissimilar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         later = linked.join(linked.groupBy("root").agg(F.min(rank).alias("best")).select("root", F.col("best.key").alias("best")), "root").where("key <> best")
         best = best.join(later.select("key"), "key", "left_anti")
     out = written(found.select("key").join(best, "key", "left_anti"), "near-dropped")
-    return rows.join(out.hint("merge"), "key", "left_anti").select(*(F.col("row")[c].alias(c) for c in df.columns))
+    return rows.join(out.hint("merge"), "key", "left_anti").select(*(F.col("row").getField(c).alias(c) for c in df.columns))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks
+from ._common import chunks, keep_rows
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters of a longer word that are a term of their own.
@@ -192,12 +192,4 @@ def keep_clean(df: DataFrame, model: FactorizationMachine, text_col: str = "text
     """The rows of ``df`` that score less than ``below``, with all their columns; a null or
     empty text has the score of the bias."""
     ref = df.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        model = ref.value
-        for whole in batches:
-            for b in chunks(whole, text_col):
-                keep = [model.score(t) < below for t in b.column(text_col).to_pylist()]
-                yield b.filter(pa.array(keep, pa.bool_()))
-
-    return df.mapInArrow(run, df.schema)
+    return keep_rows(df, text_col, lambda t: ref.value.score(t) < below)

@@ -3,7 +3,8 @@
 Equal vectors are searched once.  A distinct vector keeps its ``keep`` smallest ids:
 with ties going to smaller ids no other id of it can be among a query's results, so
 this is exact, and a vector that a third of all rows share is one candidate.  Partial
-lists are cut per Arrow batch before they are shuffled.
+lists are cut per Arrow batch before they are shuffled.  Lists hold an id once, with its
+best score, whatever rows repeat it.
 
 Distinct vectors are range-partitioned by two keys (``major``, ``minor``) into segments of
 about ``segment`` rows, which are written with their index, and distinct query vectors into
@@ -16,7 +17,8 @@ vector's list without itself.
 
 Cases: vectors that are null or hold null or non-finite components, and rows without an
 id, take no part; a vector shorter than the longest counts as filled up with zeros; rows
-that repeat an id are one candidate each; an empty table gives an empty result.
+that repeat an id are one candidate, with the best of their scores, and every such row that
+is a query gets its own results, never its own id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -52,13 +54,19 @@ class Segment:
 
 
 def best(ids: np.ndarray, scores: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``keep`` best pairs, largest score first, ties to smaller ids."""
-    if len(ids) > 4 * keep:
-        least = np.partition(scores, len(scores) - keep)[len(scores) - keep]
-        stay = scores >= least
-        ids, scores = ids[stay], scores[stay]
-    order = np.lexsort((ids, -scores))[:keep]
-    return ids[order], scores[order]
+    """The ``keep`` best pairs of different ids, largest score first, ties to smaller ids."""
+    wide = keep
+    while True:
+        some, best_of = ids, scores
+        if len(ids) > 4 * wide:
+            stay = scores >= np.partition(scores, len(scores) - wide)[len(scores) - wide]
+            some, best_of = ids[stay], scores[stay]
+        order = np.lexsort((some, -best_of))
+        # the first place of an id is its best
+        first = np.sort(np.unique(some[order], return_index=True)[1])[:keep]
+        if len(first) == keep or len(some) == len(ids):
+            return some[order][first], best_of[order][first]
+        wide *= 4
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -93,13 +101,13 @@ def distinct(rows: DataFrame, as_key: Callable[[np.ndarray], np.ndarray], keep:
             for i in order.tolist():
                 k = keys[i].tobytes()
                 own = lists.setdefault(k, [])
-                if len(own) < keep:
+                if len(own) < keep and (not own or own[-1] != ids[i]):
                     own.append(int(ids[i]))
                 asked[k] = asked.get(k, False) or bool(query[i])
             yield pa.RecordBatch.from_arrays([pa.array(list(lists), pa.binary()), pa.array(list(lists.values()), pa.list_(pa.int64())), pa.array(list(asked.values()), pa.bool_())], names=["key", "ids", "query"])
 
     parts = rows.select("id", "vec", F.expr(queries).alias("query")).mapInArrow(partial, "key binary, ids array<long>, query boolean")
-    merged = F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, keep)
+    merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep)
     return parts.groupBy("key").agg(merged.alias("ids"), F.max("query").alias("query"))
 
 
@@ -192,9 +200,11 @@ def run(df: DataFrame, id_col: str, vec_col: str, as_key: Callable[[np.ndarray],
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(got), pa.int32()), *(pa.array([x[i] for x in got], t) for i, t in enumerate((pa.int32(), pa.float64(), pa.float64())))], names=["block", "major", "low", "high"])
 
     wanted = blocks.select("part", "data", "sizes").mapInArrow(reach, "block int, major int, low double, high double")
-    spans = segments.select("part", F.inline("spans"))
-    pairs = wanted.join(spans, "major").where("lo <= high AND hi >= low").select("block", "part").distinct()
     n_blocks, n_parts = blocks.count(), max(1, segments.count())
+    deals = -(-n_parts // TOGETHER)  # a key of the join has a bounded number of segments
+    spans = segments.select("part", F.pmod(F.xxhash64("part"), F.lit(deals)).cast("int").alias("deal"), F.inline("spans"))
+    wanted = wanted.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    pairs = wanted.join(spans, ["major", "deal"]).where("lo <= high AND hi >= low").select("block", "part").distinct()
     salts = max(1, -(-n_blocks // TOGETHER), -(-2 * spark.sparkContext.defaultParallelism // n_parts))
     none = F.lit(None).cast("binary")
     cols = ["data", "ids", "sizes", "major", "minor", "index"]
@@ -218,7 +228,10 @@ def run(df: DataFrame, id_col: str, vec_col: str, as_key: Callable[[np.ndarray],
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in q], pa.binary()), pa.array(hits, pa.list_(pa.struct([("minus", kind), ("id", pa.int64())])))], names=["key", "hits"])
 
     found = stream.select("part", "kind", *cols).mapInArrow(search, f"key binary, hits array<struct<minus:{score_type},id:bigint>>")
-    merged = found.groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, keep).alias("hits"))
+    # from the best on, what is not in the list yet, until it is full
+    kind = f"array<struct<minus:{score_type},id:bigint>>"
+    once = f"aggregate(hits, CAST(array() AS {kind}), (own, x) -> IF(size(own) >= {keep} OR exists(own, y -> y.id = x.id), own, concat(own, array(x))))"
+    merged = found.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits")).select("key", F.expr(once).alias("hits"))
     merged = written(merged, "hits")
 
     def keys(batches):
