@@ -7,15 +7,13 @@ normalised at the next step.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ops
 from ..functions.ops import Sql
 from ..plans.model import Model
-from .engine import Chain
-from .series import per_series
+from . import series
 
 
 def row_columns(model: Model, y: str = "y") -> dict[str, str]:
@@ -55,8 +53,11 @@ def forward(df: DataFrame, model: Model) -> DataFrame:
     """``series_id, log_lik, last`` (the last filtered state probabilities).
 
     A missing row has density one where that integrates it out; series with missing rows
-    under other models, and series whose densities underflow, go through the numpy engine.
+    under other models, and series whose densities underflow, go through the numpy engine, as
+    do models of the mask.
     """
+    if model.missingness is not None:
+        return series.forward(df, model)
     cols = row_columns(model)
     seen = F.col("y").isNotNull() & ~F.isnan("y") & (F.abs("y") != float("inf"))
     parts = ((F.when(seen, F.expr(sql)).otherwise(1.0) if name[0] == "f" else F.expr(sql)).alias(name) for name, sql in cols.items())
@@ -72,14 +73,4 @@ def forward(df: DataFrame, model: Model) -> DataFrame:
     out = out.select("series_id", "rs", F.expr(f"s.ll + ln({c})").alias("log_lik"), F.array(*(F.expr(f"s.b{i} / {c}") for i in range(K))).alias("last"))
     fine = F.col("log_lik").isNotNull() & ~F.isnan("log_lik")
     rest = out.where(~fine).select("series_id", F.inline("rs")).select("series_id", "n", "y")
-    return out.where(fine).select("series_id", "log_lik", "last").unionByName(filtered(rest, model))
-
-
-def filtered(df: DataFrame, model: Model) -> DataFrame:
-    """``forward`` by the numpy engine."""
-
-    def one(pdf, y):
-        chain = Chain(model, y)
-        return pd.DataFrame({"log_lik": [chain.log_lik], "last": [chain.filtered()[-1]]})
-
-    return per_series(df, one, "log_lik double, last array<double>")
+    return out.where(fine).select("series_id", "log_lik", "last").unionByName(series.forward(rest, model))

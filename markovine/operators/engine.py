@@ -95,15 +95,18 @@ class Row:
 class Chain:
     """A model bound to one series."""
 
-    def __init__(self, model: Model, y: np.ndarray, nodes: int = NODES, miss: np.ndarray | None = None, evidence: bool = True, before: np.ndarray | None = None, after: np.ndarray | None = None):
+    def __init__(self, model: Model, y: np.ndarray, nodes: int = NODES, miss: np.ndarray | None = None, evidence: bool = True, before: np.ndarray | None = None, after: np.ndarray | None = None, blind: int = 0):
         """``before`` and ``after`` are log messages ``(K,)`` that a stretch of a longer series
-        gets at its first and last row, both observed, instead of a chain's own ends."""
+        gets at its first and last row, both observed, instead of a chain's own ends.  The last
+        ``blind`` rows are not observed yet, so that their mask tells nothing."""
         self.model, self.k = model, Kernels(model)
         self.before, self.after = before, after
         self.y = np.asarray(y, float)
         self.N = len(self.y)
         self.miss = missing_mask(self.y) if miss is None else miss
         self.log_e = model.missingness.log_evidence(self.miss) if model.missingness and evidence else None
+        if blind and self.log_e is not None:
+            self.log_e[self.N - blind :] = 0.0
         safe = np.where(self.miss[:, None] if self.y.ndim == 2 else self.miss, 0.0, self.y)
         logf = self.k.logf(safe)
         cdf = self.k.cdf(safe) if model.uses_copula else None

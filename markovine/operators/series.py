@@ -164,9 +164,9 @@ def sample_posterior(df: DataFrame, model: Model, seed: int = 0) -> DataFrame:
 
     def one(pdf, y):
         x, z = Chain(model, y).sample(rng_of(seed, pdf["series_id"].iloc[0]))
-        return pd.DataFrame({"n": pdf["n"].to_numpy(), "x": x, "y": z})
+        return pd.DataFrame({"n": pdf["n"].to_numpy(), "x": x, "y": list(z)})
 
-    return per_series(df, one, "n long, x int, y double")
+    return per_series(df, one, f"n long, x int, y {'array<double>' if model.d > 1 else 'double'}")
 
 
 def rng_of(seed: int, key) -> np.random.Generator:
@@ -209,17 +209,57 @@ def node_check(df: DataFrame, model: Model, nodes: int = NODES, limit: float = 1
     return few.join(many, "series_id").withColumn("gap", F.abs(F.col("finer") - F.col("log_lik"))).withColumn("fine", F.col("gap") <= limit)
 
 
+def forward(df: DataFrame, model: Model, nodes: int = NODES) -> DataFrame:
+    """``log_lik, last`` (the last filtered state probabilities) of each series."""
+
+    def batch(pdf, b):
+        alpha, _ = b.forward()
+        ends = b.starts + b.sizes - 1
+        last, total = alpha[ends], np.add.reduceat(b.forward()[1], b.starts)
+        for at, chain in b.rest():
+            s = np.searchsorted(b.starts, at.start)
+            last[s], total[s] = chain.filtered()[-1], chain.log_lik
+        return pd.DataFrame({"series_id": pdf["series_id"].iloc[b.starts].to_numpy(), "log_lik": total, "last": list(last)})
+
+    return in_batches(df, model, batch, "log_lik double, last array<double>", nodes)
+
+
 def forecast(df: DataFrame, model: Model, h: int, quantiles: tuple[float, ...] = (0.05, 0.5, 0.95), nodes: int = NODES) -> DataFrame:
-    """``step, state, mean, sd, quantiles`` of the next ``h`` observations."""
+    """``step, state, mean, sd, quantiles`` of the next ``h`` observations.
 
-    def one(pdf, y):
-        tail = np.full((h, y.shape[1]) if y.ndim == 2 else h, np.nan)
-        chain = Chain(model.with_missingness(None), np.concatenate([y, tail]), nodes)
-        rows = [r for r in chain.impute(quantiles) if r[0] >= len(y)]
-        g = chain.gamma()[len(y) :]
-        return pd.DataFrame({"step": range(1, h + 1), "state": list(g), "mean": [r[1] for r in rows], "sd": [r[2] for r in rows], "quantiles": [r[3] for r in rows]})
+    A mask model tells about the states of the rows that are there, not of those to come.
+    """
 
-    return per_series(df, one, "step int, state array<double>, mean double, sd double, quantiles array<double>")
+    def batch(pdf, b):
+        n, ends = len(b.starts), b.starts + b.sizes - 1
+        alpha, _ = b.forward()
+        own = pdf["series_id"].to_numpy()[b.starts]
+        state, mean, sd, qs = np.empty((n, h, model.K)), np.empty((n, h)), np.empty((n, h)), [[None] * h for _ in range(n)]
+        if model.d == 1 and not model.needs_grid:
+            now = alpha[ends].copy()
+            for at, chain in b.rest():
+                now[np.searchsorted(b.starts, at.start)] = chain.filtered()[-1]
+            for k in range(h):
+                now = now @ model.A
+                state[:, k] = now
+                mean[:, k], sd[:, k], q = mixture_summary(model, now, quantiles)
+                for s in range(n):
+                    qs[s][k] = q[s]
+        else:
+            tail = np.full((h, b.y.shape[1]) if b.y.ndim == 2 else h, np.nan)
+            for s in range(n):
+                end = int(ends[s])
+                if b.served[s] and not b.miss[end]:  # what is past is in the last row's message
+                    with np.errstate(divide="ignore"):
+                        chain = Chain(model.with_missingness(None), np.concatenate([b.y[end : end + 1], tail]), nodes, before=np.log(alpha[end]))
+                else:
+                    chain = Chain(model, np.concatenate([b.y[b.starts[s] : end + 1], tail]), nodes, blind=h)
+                state[s] = chain.gamma()[-h:]
+                for k, r in enumerate(chain.impute(quantiles)[-h:]):
+                    mean[s, k], sd[s, k], qs[s][k] = r[1], r[2], r[3]
+        return pd.DataFrame({"series_id": np.repeat(own, h), "step": np.tile(np.arange(1, h + 1), n), "state": list(state.reshape(-1, model.K)), "mean": mean.reshape(-1), "sd": sd.reshape(-1), "quantiles": [q for own_qs in qs for q in own_qs]})
+
+    return in_batches(df, model, batch, "step int, state array<double>, mean double, sd double, quantiles array<double>", nodes)
 
 
 def predictive_pit(df: DataFrame, model: Model, nodes: int = NODES) -> DataFrame:

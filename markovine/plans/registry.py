@@ -95,7 +95,7 @@ def _forward_query(name: str):
 
     @query(f"forward_{name}", sql)
     def run(spark, sf):
-        out = catalyst.forward(events_series(spark, sf).select("series_id", "n", "y"), m)
+        out = series.forward(events_series(spark, sf), m)
         return out.select("series_id", F.round("log_lik", 6).alias("log_lik"), F.round(F.col("last")[0], 6).alias("last_0"))
 
     return run
@@ -260,6 +260,24 @@ def classify_with_mask_evidence(spark, sf):
     return got.select("series_id", "n", F.round(F.col("gamma")[0], 5).alias("gamma_0"))
 
 
+def _last_sql(select: str) -> str:
+    last = "l AS (SELECT series_id, b0 / (b0 + b1) AS a0, b1 / (b0 + b1) AS a1, ll + ln(b0 + b1) AS ll FROM fwd JOIN (SELECT series_id, max(n) AS n FROM fwd GROUP BY series_id) z USING (series_id, n))"
+    return f"WITH RECURSIVE {oracle.filter_sql(_IN, _MASKED, _EVIDENCE)}, {last} {select}"
+
+
+@query("forward_with_mask_evidence", _last_sql("SELECT series_id, round(ll, 5) AS log_lik, round(a0, 6) AS last_0 FROM l"))
+def forward_with_mask_evidence(spark, sf):
+    got = catalyst.forward(_gapped(spark, sf), _IN.with_missingness(_MASK))
+    return got.select("series_id", F.round("log_lik", 5).alias("log_lik"), F.round(F.col("last")[0], 6).alias("last_0"))
+
+
+@query("forecast_with_mask_evidence", _last_sql(" UNION ALL ".join(f"SELECT series_id, {k} AS step, round(a0 * {float(A[0, 0])!r} + a1 * {float(A[1, 0])!r}, 6) AS state_0, round((a0 * {float(A[0, 0])!r} + a1 * {float(A[1, 0])!r}) * {_M0.loc!r} + (a0 * {float(A[0, 1])!r} + a1 * {float(A[1, 1])!r}) * {_M1.loc!r}, 6) AS mean FROM l" for k, A in ((1, _A1), (2, _A2)))))
+def forecast_with_mask_evidence(spark, sf):
+    """The mask tells about the rows that are there, not about those to come."""
+    f = series.forecast(_gapped(spark, sf), _IN.with_missingness(_MASK), 2)
+    return f.select("series_id", "step", F.round(F.col("state")[0], 6).alias("state_0"), F.round("mean", 6).alias("mean"))
+
+
 # A chain whose states have one and the same normal law and dependence is a Gaussian
 # autoregression, whatever the states, so gaps and forecasts have closed forms.
 _RHO, _MEAN, _SD = float(np.sin(np.pi * 0.4 / 2)), 3.2, 1.3

@@ -1,7 +1,7 @@
 """The forward filter and outlier gate over a stream.
 
-State per series: the filtered message and the last observation, so a micro-batch adds
-rows in O(K) memory per key.  Rows of a series must arrive in order of ``n``; a row that
+State per series: the filtered message and the last observation (which tells whether it
+was missing, as a Markov mask needs), so a micro-batch adds rows in O(K) memory per key.  Rows of a series must arrive in order of ``n``; a row that
 comes late (``n`` not above the last one) is reported with a null posterior, as
 re-filtering would need the whole past.  Only models without a quadrature grid.
 """
@@ -36,6 +36,9 @@ def filter_step(model: Model, state: tuple | None, y: float) -> tuple[tuple, flo
                 if not fam.independent:
                     w[i, j] += float(fam.log_pdf(u[i, j], v[j, i], p))
         a = _logsumexp(np.asarray(message)[:, None] + w, 0)
+    if model.missingness is not None:
+        past = [] if state is None else [not np.isfinite(state[0])]
+        a = a + model.missingness.log_evidence(np.array([*past, gap]))[-1]
     c = float(_logsumexp(a, 0))
     return (float(y), (a - c).tolist(), total + c), c
 
