@@ -3,7 +3,7 @@
 Each of ``trees`` trees gives every vector a long hash string of ``bits`` random
 hyperplane signs, and keeps a segment's strings in a sorted array, stored with it.  A query descends:
 a binary search in each array finds its longest-prefix matches.  Then all trees ascend
-together, one bit at a time, the matching ranges of the arrays growing, until they
+together, the matching ranges of the arrays growing bit by bit, until they
 hold ``share`` of the segment's vectors (counted with repeats); the union of the
 ranges are the candidates, which are scored exactly.  Prefix lengths thus vary with
 how crowded the data is around a query.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import vector_search
 from .vector_search import Plan, Segment, best
 
-TREES, BITS, SHARE = 56, 32, 0.7
+TREES, BITS, SHARE = 56, 32, 1.0
 
 
 class ForestPlan(Plan):
@@ -55,10 +55,14 @@ class ForestPlan(Plan):
         return np.zeros(len(x), dtype=np.int32), self.strings(x, True, 1)[0].astype(np.float64)
 
     def index(self, x: np.ndarray) -> bytes:
-        """The sorted strings of every tree, then the rows in their order."""
+        """The sorted strings of every tree, each after its tree's number so that they are one
+        sorted array, then the rows in their order."""
         strings = self.strings(x, True)
         order = np.argsort(strings, axis=1, kind="stable").astype("<i4")
-        return np.take_along_axis(strings, order, axis=1).astype("<u8").tobytes() + order.tobytes()
+        return (np.take_along_axis(strings, order, axis=1) | self.numbers()).astype("<u8").tobytes() + order.tobytes()
+
+    def numbers(self) -> np.ndarray:
+        return (np.arange(self.trees, dtype=np.uint64) << np.uint64(self.bits))[:, None]
 
     def reach(self, q: np.ndarray) -> list[tuple[int, float, float]]:
         return [(0, -np.inf, np.inf)]  # a neighbour may have any string in one tree
@@ -66,39 +70,39 @@ class ForestPlan(Plan):
     def __call__(self, q: np.ndarray, seg: Segment) -> list[tuple[np.ndarray, np.ndarray]]:
         n = len(seg.data)
         cut = 8 * n * self.trees
-        arrays = list(zip(np.frombuffer(seg.index[:cut], "<u8").reshape(self.trees, n), np.frombuffer(seg.index[cut:], "<i4").reshape(self.trees, n), strict=True))
-        asked = self.strings(q, False)
+        strings, order = np.frombuffer(seg.index[:cut], "<u8"), np.frombuffer(seg.index[cut:], "<i4").reshape(self.trees, n)
+        asked = self.strings(q, False) | self.numbers()
         need = max(self.share * n, 4.0 * self.keep)
-        lo = np.zeros((self.trees, len(q)), dtype=np.int64)
-        hi = np.full((self.trees, len(q)), n, dtype=np.int64)
-        waiting = np.ones(len(q), dtype=bool)
-        for level in range(self.bits, -1, -1):  # ascend together
-            mask = np.uint64(((1 << level) - 1) << (self.bits - level))
-            rest = np.uint64((1 << (self.bits - level)) - 1)
-            who = np.flatnonzero(waiting)
-            if not len(who):
-                break
-            held = np.zeros(len(who), dtype=np.int64)
-            lows, highs = [], []
-            for t, (s, _) in enumerate(arrays):
-                low = np.searchsorted(s, asked[t, who] & mask, "left")
-                high = np.searchsorted(s, (asked[t, who] & mask) | rest, "right")
-                held += high - low
-                lows.append(low)
-                highs.append(high)
-            done = (held >= need) | (level == 0)
-            lo[:, who[done]] = np.stack(lows)[:, done]
-            hi[:, who[done]] = np.stack(highs)[:, done]
-            waiting[who[done]] = False
+
+        def ranges(level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Where the strings lie that share ``level`` bits with each query's, per tree."""
+            rest = (np.uint64(1) << (self.bits - level).astype(np.uint64)) - np.uint64(1)
+            return np.searchsorted(strings, asked & ~rest, "left"), np.searchsorted(strings, asked | rest, "right")
+
+        # all trees ascend together: ranges only grow, so the level where a query stops is found by halving
+        deep, top = np.zeros(len(q), dtype=np.int64), np.full(len(q), self.bits)
+        while (deep < top).any():
+            level = (deep + top + 1) // 2
+            low, high = ranges(level)
+            enough = (high - low).sum(axis=0) >= need
+            deep, top = np.where(enough, level, deep), np.where(enough, top, level - 1)
+        low, high = ranges(deep)
+        start = n * np.arange(self.trees)[:, None]
+        low, high = low - start, high - start
+        whole = (high - low == n).any(axis=0)
+        scores = _dot(q, seg.data) if (high - low).sum() >= n * len(q) / 8 else None
         out = []
         seen = np.zeros(n, dtype=bool)
         for i in range(len(q)):
-            seen[:] = False
-            for t, (_, order) in enumerate(arrays):
-                seen[order[lo[t, i] : hi[t, i]]] = True
-            rows = np.flatnonzero(seen)
-            scores = _dot(q[i : i + 1], seg.data[rows])[0]
-            out.append(best(*seg.expand(rows, scores), self.keep))
+            if whole[i]:
+                rows = np.arange(n)
+            else:
+                seen[:] = False
+                for t in range(self.trees):
+                    seen[order[t, low[t, i] : high[t, i]]] = True
+                rows = np.flatnonzero(seen)
+            own = _dot(q[i : i + 1], seg.data[rows])[0] if scores is None else scores[i, rows]
+            out.append(best(*seg.expand(rows, own), self.keep))
         return out
 
 

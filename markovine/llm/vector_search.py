@@ -62,6 +62,9 @@ def best(ids: np.ndarray, scores: np.ndarray, keep: int) -> tuple[np.ndarray, np
             stay = scores >= np.partition(scores, len(scores) - wide)[len(scores) - wide]
             some, best_of = ids[stay], scores[stay]
         order = np.lexsort((some, -best_of))
+        top = some[order[:keep]]
+        if len(set(top.tolist())) == len(top) and (len(top) == keep or len(some) == len(ids)):
+            return top, best_of[order[:keep]]
         # the first place of an id is its best
         first = np.sort(np.unique(some[order], return_index=True)[1])[:keep]
         if len(first) == keep or len(some) == len(ids):
