@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import vector_search
 from .vector_search import Plan, Segment, best
 
-TREES, BITS, SHARE = 56, 32, 1.0
+TREES, BITS, SHARE = 56, 32, 1.1
 
 
 class ForestPlan(Plan):
