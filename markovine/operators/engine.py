@@ -18,8 +18,11 @@ from ..functions import numerics
 from ..functions.margins import mvn_logpdf
 from ..functions.ops import EPS
 from ..plans.model import Model, VectorMargin
+from .local_grids import LocalGrids, runs
 
 NODES = 64
+#: Grids of the models used last, for one series after another.
+_GRIDS: dict = {}
 
 
 def missing_mask(y: np.ndarray) -> np.ndarray:
@@ -95,10 +98,11 @@ class Row:
 class Chain:
     """A model bound to one series."""
 
-    def __init__(self, model: Model, y: np.ndarray, nodes: int = NODES, miss: np.ndarray | None = None, evidence: bool = True, before: np.ndarray | None = None, after: np.ndarray | None = None, blind: int = 0):
+    def __init__(self, model: Model, y: np.ndarray, nodes: int = NODES, miss: np.ndarray | None = None, evidence: bool = True, before: np.ndarray | None = None, after: np.ndarray | None = None, blind: int = 0, local: bool = True):
         """``before`` and ``after`` are log messages ``(K,)`` that a stretch of a longer series
         gets at its first and last row, both observed, instead of a chain's own ends.  The last
-        ``blind`` rows are not observed yet, so that their mask tells nothing."""
+        ``blind`` rows are not observed yet, so that their mask tells nothing.  Missing rows have
+        the nodes of their gap if neighbours are dependent; with ``local`` off all have the same."""
         self.model, self.k = model, Kernels(model)
         self.before, self.after = before, after
         self.y = np.asarray(y, float)
@@ -110,11 +114,30 @@ class Chain:
         safe = np.where(self.miss[:, None] if self.y.ndim == 2 else self.miss, 0.0, self.y)
         logf = self.k.logf(safe)
         cdf = self.k.cdf(safe) if model.uses_copula else None
-        self._grid = self._make_grid(nodes) if self.miss.any() and model.needs_grid else None
+        gaps = self.miss.any() and model.needs_grid
+        local = local and any(not fam.independent for fam, _ in self.k.cop.values())
+        self._grid = self._make_grid(nodes) if gaps and not local else None
         blank = Row(np.zeros(1), np.zeros((1, model.K, model.K)), None, np.zeros(1)) if not model.needs_grid else self._grid
         self.rows = [blank if self.miss[n] else Row(self.y[n : n + 1], logf[n : n + 1], None if cdf is None else cdf[n : n + 1], None) for n in range(self.N)]
+        if gaps and local:
+            self._lay(nodes)
         self._pairs = self._observed_pairs(logf, cdf)
 
+    def _lay(self, nodes: int) -> None:
+        """Nodes of each gap."""
+        m = self.model
+        key = (m.p.tobytes(), repr(m.margins), repr(m.copulas), m.variant, nodes)
+        if key not in _GRIDS:
+            if len(_GRIDS) >= 8:
+                _GRIDS.clear()
+            _GRIDS[key] = LocalGrids(m, self.k, nodes)
+        grids = _GRIDS[key]
+        for first, n in runs(self.miss):
+            left = float(self.y[first - 1]) if first else None
+            right = float(self.y[first + n]) if first + n < self.N else None
+            for k, (y, logw) in enumerate(grids.gap(left, right, n)):
+                self.rows[first + k] = Row(y, self.k.logf(y), self.k.cdf(y), logw)
+
     def _make_grid(self, nodes: int) -> Row:
         m = self.model
         s, w = numerics.gauss_legendre(nodes)
@@ -508,14 +531,14 @@ def flag_outliers(model: Model, y: np.ndarray, alpha: float = 0.01, sequential:
     cut = alpha / max((~miss).sum(), 1) if correction == "bonferroni" else alpha
     gated, a = y.copy(), None
     for n in range(len(y)):
-        part = Chain(model, gated[max(n - 1, 0) : n + 1], evidence=False)
+        part = Chain(model, gated[max(n - 1, 0) : n + 1], evidence=False, local=False)
         if not miss[n]:
             pit = part.predictive_cdf(len(part.rows) - 1, a)
             p[n] = 2 * min(pit, 1 - pit)
             if p[n] < cut:
                 flags[n] = True
                 gated[n] = np.nan
-                part = Chain(model, gated[max(n - 1, 0) : n + 1], evidence=False)
+                part = Chain(model, gated[max(n - 1, 0) : n + 1], evidence=False, local=False)
         if n:
             w = part.step(0)
             new = _logsumexp((a[:, :, None, None] + w).reshape(-1, w.shape[2], w.shape[3]), 0)
@@ -554,3 +577,46 @@ def simulate(model: Model, n: int, rng: np.random.Generator) -> tuple[np.ndarray
             u = np.clip(model.margin(i, j).cdf(np.array([y[t - 1]])), EPS, 1 - EPS)
             y[t] = draw(j, i, float(fam.inv_h(np.array([rng.random()]), u, p)[0]))
     return x, y
+
+
+def simulate_many(model: Model, sizes: np.ndarray, rngs: list[np.random.Generator]) -> tuple[np.ndarray, np.ndarray]:
+    """Draws of states and observations of several series, which follow each other; a step serves
+    all series, and each takes its numbers from its own generator."""
+    K, ker, sizes = model.K, Kernels(model), np.asarray(sizes, dtype=np.int64)
+    starts = np.cumsum(sizes) - sizes
+    total = int(sizes.sum())
+    u = np.concatenate([r.random((int(n), 2)) for r, n in zip(rngs, sizes, strict=True)]) if total else np.zeros((0, 2))
+    normal = np.concatenate([r.standard_normal((int(n), model.d)) for r, n in zip(rngs, sizes, strict=True)]) if model.d > 1 and total else None
+    x = np.empty(total, dtype=int)
+    y = np.empty((total, model.d)) if model.d > 1 else np.empty(total)
+
+    def observe(rows: np.ndarray, i: np.ndarray, j: np.ndarray, v: np.ndarray) -> None:
+        """Rows get a value of margin (i, j) at probability ``v``."""
+        for a in range(K):
+            for b in range(K if model.is_pair else 1):
+                own = (i == a) & ((j == b) if model.is_pair else True)
+                if own.any():
+                    f = model.margin(a, b)
+                    y[rows[own]] = np.asarray(f.mean) + normal[rows[own]] @ np.linalg.cholesky(np.asarray(f.cov)).T if isinstance(f, VectorMargin) else f.ppf(v[own])
+
+    order = np.argsort(-sizes, kind="stable")
+    for t in range(int(sizes.max(initial=0))):
+        at = starts[order[: np.searchsorted(-sizes[order], -t, "left")]] + t
+        if not t:
+            first = np.cumsum(model.p.reshape(-1))
+            pair = np.minimum(np.searchsorted(first, u[at, 0] * first[-1], "right"), K * K - 1)
+            x[at] = pair // K
+            observe(at, pair // K, pair % K, u[at, 1])
+            continue
+        i = x[at - 1]
+        q = np.exp(ker.state(ker.logf(y[at - 1]))[np.arange(len(at)), i])
+        cum = np.cumsum(q, axis=1)
+        j = np.minimum((u[at, :1] * cum[:, -1:] >= cum).sum(axis=1), K - 1)
+        x[at] = j
+        v = u[at, 1].copy()
+        for (a, b), (fam, p) in ker.cop.items():
+            own = (i == a) & (j == b)
+            if own.any() and not fam.independent:
+                v[own] = fam.inv_h(v[own], np.clip(model.margin(a, b).cdf(y[at[own] - 1]), EPS, 1 - EPS), p)
+        observe(at, j, i, v)
+    return x, y

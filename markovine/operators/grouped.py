@@ -13,7 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import numerics
 from ..functions.copulas import DEFAULT_CANDIDATES, FAMILIES
+from ..functions.ops import norm_cdf
 from . import fit as fitting
 from . import stats
 
@@ -153,3 +155,61 @@ def vuong(df: DataFrame, a: str, b: str) -> DataFrame:
         return {"statistic": r["statistic"], "p_value": r["p_value"], "clarke": c["statistic"], "clarke_p": c["p_value"]}
 
     return per_group(df, one, "statistic double, p_value double, clarke double, clarke_p double")
+
+
+def kernel_means(points: DataFrame, families: list[tuple[str, dict[str, float]]]) -> DataFrame:
+    """``family, part, n, pdf, h, cdf``: means of density, conditional and joint distribution of
+    families with given parameters over points ``part, u, v``; tasks send sums."""
+
+    def run(batches):
+        for pdf in batches:
+            for part, rows in pdf.groupby("part"):
+                u, v = rows["u"].to_numpy(), rows["v"].to_numpy()
+                out = [(name, part, len(u), float(np.exp(f.log_pdf(u, v, p)).sum()), float(f.h(v, u, p).sum()), float(f.cdf(u, v, p).sum())) for name, p in families for f in [FAMILIES[name]]]
+                yield pd.DataFrame(out, columns=["family", "part", "n", "pdf", "h", "cdf"])
+
+    sums = points.mapInPandas(run, f"family string, part {points.schema['part'].dataType.simpleString()}, n long, pdf double, h double, cdf double")
+    n = F.sum("n")
+    return sums.groupBy("family", "part").agg(n.alias("n"), *((F.sum(k) / n).alias(k) for k in ("pdf", "h", "cdf")))
+
+
+def tau_reached(taus: DataFrame, families: list[tuple[str, float]], extras: dict, close: float = 0.01) -> DataFrame:
+    """``g, family, tau, reached``: every family at a group's ``tau`` (times the family's sign, clipped
+    into its range), and whether its density has that tau by quadrature."""
+
+    def run(batches):
+        x, w = numerics.gauss_legendre(160)
+        t = np.clip(x**3 / (x**3 + (1 - x) ** 3), 1e-5, 1 - 1e-5)  # denser towards the corners
+        w = w * 3 * x**2 * (1 - x) ** 2 / (x**3 + (1 - x) ** 3) ** 2
+        u, v = (z.reshape(-1) for z in np.meshgrid(t, t))
+        mass, e = np.outer(w, w).reshape(-1), 1e-6
+        up, down = np.minimum(v + e, 1 - 1e-12), np.maximum(v - e, 1e-12)
+        for pdf in batches:
+            got = []
+            for name, sign, tau in zip(pdf["family"], pdf["sign"], pdf["tau"], strict=True):
+                f = FAMILIES[name]
+                c = f.clip_tau(sign * tau)
+                p = f.params(c, extras.get(name))
+                other = (f.cdf(u, up, p) - f.cdf(u, down, p)) / (up - down)
+                got.append((c, bool(abs(1 - 4 * float((f.h(v, u, p) * other * mass).sum()) - c) < close)))
+            yield pd.DataFrame({"g": pdf["g"], "family": pdf["family"], "tau": [c for c, _ in got], "reached": [r for _, r in got]})
+
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("family"), F.lit(s).alias("sign")) for n, s in families)))
+    rows = taus.select("g", "tau", each.alias("f")).select("g", "tau", "f.family", "f.sign").repartition("g", "family")
+    return rows.mapInPandas(run, f"g {taus.schema['g'].dataType.simpleString()}, family string, tau double, reached boolean")
+
+
+def elliptical_means(pairs: DataFrame, tau: float, df: float) -> DataFrame:
+    """``family, part, n, log_pdf``: mean log densities of the Gauss and the Student copula where
+    their own margins have the quantiles ``x, y``."""
+
+    def run(batches):
+        for pdf in batches:
+            for part, rows in pdf.groupby("part"):
+                x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
+                gauss = FAMILIES["Gauss"].log_pdf(norm_cdf(x), norm_cdf(y), FAMILIES["Gauss"].params(tau))
+                student = FAMILIES["Student"].log_pdf(numerics.t_cdf(x, df), numerics.t_cdf(y, df), FAMILIES["Student"].params(tau, {"df": df}))
+                yield pd.DataFrame({"family": ["Gauss", "Student"], "part": part, "n": len(x), "log_pdf": [float(gauss.sum()), float(student.sum())]})
+
+    sums = pairs.mapInPandas(run, f"family string, part {pairs.schema['part'].dataType.simpleString()}, n long, log_pdf double")
+    return sums.groupBy("family", "part").agg(F.sum("n").alias("n"), (F.sum("log_pdf") / F.sum("n")).alias("log_pdf"))

@@ -6,7 +6,9 @@ each.  A block much longer than wide is two blocks one after the other; any othe
 is three: across its near part, along its far part, and back across the rest of the near
 part.  Where a cell comes in the order follows from the sizes of the blocks it does not
 lie in, so cells and positions are translated one by one, many at a time, without a
-table of the whole curve.
+table of the whole curve.  How blocks are split is the rule of the generalised Hilbert curve
+for rectangles (Jakub Cerveny, BSD 2-clause licence), which fixes the order; on squares whose
+side is a power of two it is Hilbert's curve.
 """
 
 from __future__ import annotations

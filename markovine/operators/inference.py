@@ -21,7 +21,7 @@ from ..functions.margins import Margin
 from ..plans.model import Model
 from . import fit as fitting
 from . import stats
-from .engine import Batch, simulate
+from .engine import Batch, simulate, simulate_many
 from .grouped import _xy, per_group
 from .series import in_batches, rng_of
 
@@ -134,6 +134,33 @@ def parametric_bootstrap(spark, model: Model, statistic: Callable[[np.ndarray, n
     return spark.range(B).mapInPandas(run, "b long, value double")
 
 
+#: Rows of simulated series that a task holds.
+DRAWN = 1 << 20
+
+
+def bootstrap_series(df: DataFrame, model: Model, statistic: Callable[[np.ndarray], float], B: int = 199, seed: int = 0) -> DataFrame:
+    """``observed, p_value`` of a statistic of each series, two-sided against ``B`` simulated
+    series of the same length; the draws depend on the seed and the series alone."""
+
+    def batch(pdf: pd.DataFrame, b: Batch) -> pd.DataFrame:
+        own = pdf["series_id"].to_numpy()[b.starts]
+        observed = np.array([float(statistic(b.y[i : i + n])) for i, n in zip(b.starts, b.sizes, strict=True)])
+        above, below = np.zeros(len(own), int), np.zeros(len(own), int)
+        together = max(1, DRAWN // max(b.N, 1))  # replicates that are drawn at once
+        for first in range(0, B, together):
+            some = range(first, min(first + together, B))
+            sizes = np.tile(b.sizes, len(some))
+            y = simulate_many(model, sizes, [rng_of(seed, f"{s}:{r}") for r in some for s in own])[1]
+            stops = np.cumsum(sizes)
+            t = np.array([statistic(y[c - n : c]) for c, n in zip(stops, sizes, strict=True)]).reshape(len(some), -1)
+            above += (t >= observed).sum(axis=0)
+            below += (t <= observed).sum(axis=0)
+        p = np.minimum(1.0, 2 * (1 + np.minimum(above, below)) / (1 + B))
+        return pd.DataFrame({"series_id": own, "observed": observed, "p_value": p})
+
+    return in_batches(df, model, batch, "observed double, p_value double")
+
+
 def bootstrap_interval(draws: DataFrame, level: float = 0.95) -> tuple[float, float]:
     """Percentile interval of ``value``; replicates without a number do not count."""
     ok = draws.where("value IS NOT NULL AND NOT isnan(value)")

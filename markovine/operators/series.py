@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.model import Model
-from .engine import NODES, Batch, Chain, _logsumexp, flag_all, flag_outliers, mixture_summary, simulate
+from .engine import NODES, Batch, Chain, _logsumexp, flag_all, flag_outliers, mixture_summary, simulate, simulate_many
 
 
 def values(pdf: pd.DataFrame) -> np.ndarray:
@@ -305,6 +305,31 @@ def simulate_series(spark, model: Model, series: int, n: int, seed: int = 0) ->
     return spark.range(series).mapInPandas(run, f"series_id long, n long, x int, y {kind}")
 
 
+def simulate_like(df: DataFrame, model: Model, seed: int = 0) -> DataFrame:
+    """``series_id, n, x, y``: an independent draw for every series of ``df``, of its length."""
+    kind = df.schema["series_id"].dataType.simpleString()
+
+    def draw(some):
+        keys, sizes = zip(*some, strict=True)
+        x, y = simulate_many(model, np.array(sizes), [rng_of(seed, k) for k in keys])
+        return pd.DataFrame({"series_id": np.repeat(np.array(keys), sizes), "n": np.concatenate([np.arange(n) for n in sizes]), "x": x, "y": list(y)})
+
+    def run(batches):
+        for pdf in batches:
+            some, held = [], 0
+            for s, n in zip(pdf["series_id"], pdf["len"], strict=True):
+                some.append((s, int(n)))
+                held += int(n)
+                if held >= ROWS:
+                    yield draw(some)
+                    some, held = [], 0
+            if some:
+                yield draw(some)
+
+    sizes = df.groupBy("series_id").agg(F.count(F.lit(1)).alias("len"))
+    return sizes.mapInPandas(run, f"series_id {kind}, n long, x int, y {'array<double>' if model.d > 1 else 'double'}")
+
+
 # ---------------------------------------------------------------- long series
 
 

@@ -56,16 +56,29 @@ _OFFSETS = "(VALUES (-2, 1 / 12.0), (-1, -8 / 12.0), (0, 0.0), (1, 8 / 12.0), (2
 _STEP = 3e-4
 
 
-def kernel_sql(families: list[tuple[str, dict[str, float]]], lattice: str) -> str:
-    """``family, u, v, pdf, h, cdf`` on a lattice of points, from the distribution functions."""
+def kernel_sql(families: list[tuple[str, dict[str, float]]], points: str) -> str:
+    """``family, part, n, pdf, h, cdf``: means over the points ``part, u, v``, from the
+    distribution functions."""
     step = number(_STEP)
-    parts = " UNION ALL ".join(f"SELECT '{f}' AS family, u0, v0, a, b, wa, wb, {cdf(f, p, 'u', 'v')} AS c FROM g" for f, p in families)
+    parts = " UNION ALL ".join(f"SELECT '{f}' AS family, id, a, b, wa, wb, {cdf(f, p, 'u', 'v')} AS c FROM g" for f, p in families)
     return (
-        f"WITH g AS (SELECT q.u AS u0, q.v AS v0, q.u + a * {step} AS u, q.v + b * {step} AS v, a, b, CAST(wa AS DOUBLE) AS wa, CAST(wb AS DOUBLE) AS wb FROM ({lattice}) q CROSS JOIN {_OFFSETS} x(a, wa) CROSS JOIN {_OFFSETS} y(b, wb)), "
-        f"c AS ({parts}) SELECT family, round(u0, 6) AS u, round(v0, 6) AS v, round(sum(wa * wb * c) / ({step} * {step}), 3) AS pdf, round(sum(CASE WHEN b = 0 THEN wa * c ELSE 0 END) / {step}, 4) AS h, round(max(CASE WHEN a = 0 AND b = 0 THEN c END), 6) AS cdf FROM c GROUP BY family, u0, v0"
+        f"WITH q AS MATERIALIZED (SELECT row_number() OVER () AS id, part, u, v FROM ({points}) p0), g AS MATERIALIZED (SELECT id, q.u + a * {step} AS u, q.v + b * {step} AS v, a, b, CAST(wa AS DOUBLE) AS wa, CAST(wb AS DOUBLE) AS wb FROM q CROSS JOIN {_OFFSETS} x(a, wa) CROSS JOIN {_OFFSETS} y(b, wb)), "
+        f"c AS ({parts}), k AS (SELECT family, id, sum(wa * wb * c) / ({step} * {step}) AS pdf, sum(CASE WHEN b = 0 THEN wa * c ELSE 0 END) / {step} AS h, max(CASE WHEN a = 0 AND b = 0 THEN c END) AS cdf FROM c GROUP BY family, id) "
+        "SELECT family, part, count(*) AS n, round(avg(pdf), 3) AS pdf, round(avg(h), 4) AS h, round(avg(cdf), 6) AS cdf FROM k JOIN q USING (id) GROUP BY family, part"
     )
 
 
+def hilbert(side: int, row: str, col: str) -> tuple[str, str]:
+    """CTE steps and the place of a cell on Hilbert's curve of a square of a power of two, from
+    quadrant to quadrant: which one the cell is in, then the cell turned as that quadrant is."""
+    text, s = f"SELECT *, {col} AS hx, {row} AS hy, CAST(0 AS BIGINT) AS hd FROM ({{0}}) h0", side // 2
+    while s:
+        rx, ry = f"CAST(hx & {s} > 0 AS INTEGER)", f"CAST(hy & {s} > 0 AS INTEGER)"
+        text = f"SELECT * EXCLUDE (rx, ry, hx, hy, hd), CASE WHEN ry = 1 THEN hx WHEN rx = 1 THEN {side - 1} - hy ELSE hy END AS hx, CASE WHEN ry = 1 THEN hy WHEN rx = 1 THEN {side - 1} - hx ELSE hx END AS hy, hd + {s * s} * xor(3 * rx, ry) AS hd FROM (SELECT *, {rx} AS rx, {ry} AS ry FROM ({text}) h{s}) k{s}"
+        s //= 2
+    return text, "hd"
+
+
 def frank_theta(tau: float) -> float:
     """By bisection on tau = 1 - 4 (1 - D(theta)) / theta, the integral by Simpson's rule."""
 

@@ -283,27 +283,46 @@ def forecast_with_mask_evidence(spark, sf):
 _RHO, _MEAN, _SD = float(np.sin(np.pi * 0.4 / 2)), 3.2, 1.3
 
 
-def _autoregression() -> Model:
+def _autoregression(tau: float = 0.4) -> Model:
     same = Margin("norm", {"loc": _MEAN, "scale": _SD})
     p = np.array([[0.5, 0.1], [0.1, 0.3]])
-    return Model("HMC-DN", p, {(0,): same, (1,): same}, {(i, j): Copula("Gauss", 0.4) for i in range(2) for j in range(2)})
+    return Model("HMC-DN", p, {(0,): same, (1,): same}, {(i, j): Copula("Gauss", tau) for i in range(2) for j in range(2)})
 
 
 _Z = f"SELECT series_id, n, miss, CASE WHEN NOT miss THEN (y - {_MEAN!r}) / {_SD!r} END AS z FROM ({GAPPED}) g"
 _LAST = f"SELECT *, last_value(z IGNORE NULLS) OVER w AS zl, last_value(CASE WHEN z IS NOT NULL THEN n END IGNORE NULLS) OVER w AS nl, first_value(z IGNORE NULLS) OVER f AS zr, first_value(CASE WHEN z IS NOT NULL THEN n END IGNORE NULLS) OVER f AS nr FROM ({_Z}) z0 WINDOW w AS (PARTITION BY series_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY series_id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
-_POW = f"power({_RHO!r}, n - nl)", f"power({_RHO!r}, nr - n)", f"power({_RHO!r}, nr - nl)"
+def _powers(rho: float) -> tuple[str, str, str]:
+    return f"power({rho!r}, n - nl)", f"power({rho!r}, nr - n)", f"power({rho!r}, nr - nl)"
 
 
-@query(
-    "impute_autoregression",
-    f"SELECT series_id, n, round({_MEAN!r} + {_SD!r} * ({_POW[0]} * (1 - power({_POW[1]}, 2)) * zl + {_POW[1]} * (1 - power({_POW[0]}, 2)) * zr) / (1 - power({_POW[2]}, 2)), 3) AS mean, round({_SD!r} * sqrt((1 - power({_POW[0]}, 2)) * (1 - power({_POW[1]}, 2)) / (1 - power({_POW[2]}, 2))), 3) AS sd FROM ({_LAST}) q WHERE z IS NULL AND zl IS NOT NULL AND zr IS NOT NULL",
-)
+_POW = _powers(_RHO)
+
+
+def _bridge_sql(_POW: tuple[str, str, str], digits: int = 3) -> str:
+    return f"SELECT series_id, n, round({_MEAN!r} + {_SD!r} * ({_POW[0]} * (1 - power({_POW[1]}, 2)) * zl + {_POW[1]} * (1 - power({_POW[0]}, 2)) * zr) / (1 - power({_POW[2]}, 2)), {digits}) AS mean, round({_SD!r} * sqrt((1 - power({_POW[0]}, 2)) * (1 - power({_POW[1]}, 2)) / (1 - power({_POW[2]}, 2))), {digits}) AS sd FROM ({_LAST}) q WHERE z IS NULL AND zl IS NOT NULL AND zr IS NOT NULL"
+
+
+@query("impute_autoregression", _bridge_sql(_POW))
 def impute_autoregression(spark, sf):
     """Gaps integrated on the quadrature grid, against the bridge of an autoregression."""
+    return _bridged(spark, sf, _autoregression())
+
+
+#: Almost deterministic dependence: a neighbour leaves a twentieth of the spread.
+_STRONG = 0.97
+
+
+@query("impute_strong_autoregression", _bridge_sql(_powers(float(np.sin(np.pi * _STRONG / 2))), 2))
+def impute_strong_autoregression(spark, sf):
+    """The same where nodes have to be laid per gap."""
+    return _bridged(spark, sf, _autoregression(_STRONG), 2)
+
+
+def _bridged(spark, sf, model: Model, digits: int = 3) -> DataFrame:
     rows = _gapped(spark, sf)
     inner = rows.withColumn("first", F.min(F.when(F.col("y").isNotNull(), F.col("n"))).over(Window.partitionBy("series_id"))).withColumn("end", F.max(F.when(F.col("y").isNotNull(), F.col("n"))).over(Window.partitionBy("series_id")))
-    got = series.impute(rows, _autoregression(), nodes=160).join(inner.where("n > first AND n < end").select("series_id", "n"), ["series_id", "n"])
-    return _rounded(got.drop("quantiles"), 3, "mean", "sd")
+    got = series.impute(rows, model).join(inner.where("n > first AND n < end").select("series_id", "n"), ["series_id", "n"])
+    return _rounded(got.drop("quantiles"), digits, "mean", "sd")
 
 
 @query(
@@ -508,8 +527,8 @@ def neyman_components(spark, sf):
 
 _GRID = [("Prod", 0.0), ("FGM", 0.15), ("CubSec", 0.1), ("Clayton", 0.5), ("GH", 0.5), ("Frank", 0.4), ("Joe", 0.5), ("A12", 0.6), ("A14", 0.6), ("AMH", 0.2), ("Plackett", 0.4), ("Galambos", 0.5), ("Tawn1", 0.3), ("Tawn2", 0.3), ("Tawn3", 0.3), ("BB1", 0.6), ("BB6", 0.6), ("BB7", 0.6), ("BB8", 0.5), ("SClayton", 0.5), ("SGH", 0.5), ("SJoe", 0.5), ("SBB1", 0.6), ("Clayton90", -0.5), ("Clayton270", -0.5), ("GH90", -0.5), ("GH270", -0.5), ("Joe90", -0.5), ("Joe270", -0.5), ("BB190", -0.6), ("BB1270", -0.6), ("A1290", -0.6), ("A12270", -0.6), ("A1490", -0.6), ("A14270", -0.6), ("SBB190", -0.6), ("SBB1270", -0.6)]
 _EXTRA = {"Tawn1": {"psi": 0.7}, "Tawn2": {"psi": 0.7}, "Tawn3": {"psi_u": 0.8, "psi_v": 0.6}}
-#: Points off the simple fractions, where values would sit on rounding ties.
-_LATTICE = "SELECT (CAST(a.{0} AS DOUBLE) + CAST(0.77 AS DOUBLE)) / CAST(11.83 AS DOUBLE) AS u, (CAST(b.{0} AS DOUBLE) + CAST(0.77 AS DOUBLE)) / CAST(11.83 AS DOUBLE) AS v FROM range(11) a CROSS JOIN range(11) b"
+#: Where kernels are evaluated: the pseudo-observations of all pairs, in five parts.
+_POINTS = f"SELECT g % 5 AS part, u, v FROM ({RANKED}) r0"
 
 
 #: Families whose kernels are short enough to be compiled next to each other.
@@ -521,64 +540,57 @@ def _grid_params(name: str, tau: float) -> dict[str, float]:
 
 
 def _kernel_oracle(names) -> str:
-    return oracle.kernel_sql([(f, _grid_params(f, t)) for f, t in _GRID if f in names], _LATTICE.format("range"))
+    return oracle.kernel_sql([(f, _grid_params(f, t)) for f, t in _GRID if f in names], _POINTS)
+
+
+def _points(spark, sf) -> DataFrame:
+    return grouped.pseudo_observations(lag_pairs(spark, sf)).select((F.col("g") % 5).alias("part"), "u", "v")
+
+
+def _kernel_means(df: DataFrame) -> DataFrame:
+    return df.select("family", "part", "n", F.round("pdf", 3).alias("pdf"), F.round("h", 4).alias("h"), F.round("cdf", 6).alias("cdf"))
 
 
 @query("copula_kernels", _kernel_oracle(_SHORT))
 def copula_kernels(spark, sf):
-    """Density, conditional and joint distribution as Catalyst expressions."""
+    """Density, conditional and joint distribution as Catalyst expressions, averaged over the
+    pairs."""
     u, v = Sql("u"), Sql("v")
-    parts = []
+    means = [F.count(F.lit(1)).alias("n")]
     for name, tau in _GRID:
         if name in _SHORT:
             f, p = FAMILIES[name].shape, _grid_params(name, tau)
-            parts.append(f"SELECT '{name}' AS family, round(u, 6) AS u, round(v, 6) AS v, round(exp({f.log_pdf(u, v, p)}), 3) AS pdf, round({f.h(v, u, p)}, 4) AS h, round({f.cdf(u, v, p)}, 6) AS cdf FROM ({_LATTICE.format('id')}) q")
-    return spark.sql(" UNION ALL ".join(parts))
+            means += [F.avg(F.expr(str(x))).alias(f"{k}_{name}") for k, x in (("pdf", ops.exp(f.log_pdf(u, v, p))), ("h", f.h(v, u, p)), ("cdf", f.cdf(u, v, p)))]
+    wide = _points(spark, sf).groupBy("part").agg(*means)
+    each = F.array(*(F.struct(F.lit(f).alias("family"), *(F.col(f"{k}_{f}").alias(k) for k in ("pdf", "h", "cdf"))) for f in _SHORT))
+    return _kernel_means(wide.select("part", "n", F.inline(each)))
 
 
 @query("copula_kernels_numpy", _kernel_oracle({n for n, _ in _GRID}))
 def copula_kernels_numpy(spark, sf):
     """All families with an elementary form, from the numpy form of the kernels."""
-    import pandas as pd
+    return _kernel_means(grouped.kernel_means(_points(spark, sf), [(n, _grid_params(n, t)) for n, t in _GRID]))
 
-    def run(batches):
-        for pdf in batches:
-            for name, tau in zip(pdf["family"], pdf["tau"], strict=True):
-                f, p = FAMILIES[name], _grid_params(name, tau)
-                u, v = (z.reshape(-1) for z in np.meshgrid((np.arange(11) + 0.77) / 11.83, (np.arange(11) + 0.77) / 11.83))
-                yield pd.DataFrame({"family": name, "u": np.round(u, 6), "v": np.round(v, 6), "pdf": np.round(np.exp(f.log_pdf(u, v, p)), 3), "h": np.round(f.h(v, u, p), 4), "cdf": np.round(f.cdf(u, v, p), 6)})
 
-    return spark.createDataFrame(_GRID, "family string, tau double").repartition(8, "family").mapInPandas(run, "family string, u double, v double, pdf double, h double, cdf double")
+#: Two dependent values of a pair, so that every family has a tau within its range.
+_TAU_PAIRS = f"SELECT g % 3 AS g, x, x + y AS y FROM ({PAIRS}) p1"
+_CLIPS = [(n, -1.0 if FAMILIES[n].tau_range[1] <= 0 else 1.0, FAMILIES[n].clip_tau(-9), FAMILIES[n].clip_tau(9)) for n, _ in _GRID if n != "Prod"]
 
 
-@query("copula_tau", " UNION ALL ".join(f"SELECT '{n}' AS family, CAST({t!r} AS DOUBLE) AS tau" for n, t in _GRID))
+@query(
+    "copula_tau",
+    f"WITH p AS MATERIALIZED ({_TAU_PAIRS}), t AS MATERIALIZED (SELECT a.g, sum(sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(sum(abs(sign(a.x - b.x))) * sum(abs(sign(a.y - b.y)))) AS tau FROM p a JOIN p b ON a.g = b.g GROUP BY a.g) "
+    + " UNION ALL ".join(f"SELECT g, '{n}' AS family, round(least(greatest({s!r} * tau, {lo!r}), {hi!r}), 6) AS tau, true AS reached FROM t" for n, s, lo, hi in _CLIPS),
+)
 def copula_tau(spark, sf):
-    """Kendall's tau of every family at its parameter: one less four times the integral of
-    both conditionals."""
-    import pandas as pd
-
-    from ..functions.numerics import gauss_legendre
-
-    def run(batches):
-        x, w = gauss_legendre(160)
-        t = np.clip(x**3 / (x**3 + (1 - x) ** 3), 1e-5, 1 - 1e-5)  # denser towards the corners
-        w = w * 3 * x**2 * (1 - x) ** 2 / (x**3 + (1 - x) ** 3) ** 2
-        u, v = (z.reshape(-1) for z in np.meshgrid(t, t))
-        mass = np.outer(w, w).reshape(-1)
-        e = 1e-6
-        for pdf in batches:
-            taus = []
-            for name, tau in zip(pdf["family"], pdf["tau"], strict=True):
-                f, p = FAMILIES[name], _grid_params(name, tau)
-                other = (f.cdf(u, np.minimum(v + e, 1 - 1e-12), p) - f.cdf(u, np.maximum(v - e, 1e-12), p)) / (np.minimum(v + e, 1 - 1e-12) - np.maximum(v - e, 1e-12))
-                taus.append(round(1 - 4 * float((f.h(v, u, p) * other * mass).sum()), 2) + 0.0)
-            yield pd.DataFrame({"family": pdf["family"], "tau": taus})
-
-    return spark.createDataFrame(_GRID, "family string, tau double").repartition(8, "family").mapInPandas(run, "family string, tau double")
+    """Every family fitted to the tau of a third of the pairs, and whether its density has that
+    tau: one less four times the integral of both conditionals."""
+    pairs = lag_pairs(spark, sf).select((F.col("g") % 3).alias("g"), "x", (F.col("x") + F.col("y")).alias("y"))
+    return _rounded(grouped.tau_reached(grouped.kendall(pairs), [c[:2] for c in _CLIPS], _EXTRA), 6, "tau")
 
 
 _NU, _TAU = 4.0, 0.4
-_ELL = "(VALUES (-1.9), (-1.1), (-0.35), (0.2), (0.83), (1.6)) {0}({0})"
+_ELL_Z = f"SELECT part, (l - {3.2!r}) / {1.3!r} AS x, (r - {3.2!r}) / {1.3!r} AS y FROM (SELECT series_id % 5 AS part, y AS l, lead(y) OVER (PARTITION BY series_id ORDER BY n) AS r FROM ({EV}) e0) q0 WHERE l IS NOT NULL AND r IS NOT NULL"
 
 
 def _elliptical_sql() -> str:
@@ -587,26 +599,16 @@ def _elliptical_sql() -> str:
     gauss = f"-0.5 * ln({k!r}) - ({r * r!r} * (x * x + y * y) - {2 * r!r} * x * y) / {2 * k!r}"
     # gamma(3) gamma(2) / gamma(5/2)^2 = 32 / (9 pi)
     student = f"ln(32 / (9 * pi())) - 0.5 * ln({k!r}) - 3 * ln(1 + (x * x + y * y - {2 * r!r} * x * y) / {4 * k!r}) + 2.5 * (ln(1 + x * x / 4) + ln(1 + y * y / 4))"
-    grid = f"SELECT CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM {_ELL.format('x')} CROSS JOIN {_ELL.format('y')}"
-    return f"SELECT 'Gauss' AS family, x, y, round({gauss}, 6) AS log_pdf FROM ({grid}) g UNION ALL SELECT 'Student', x, y, round({student}, 6) FROM ({grid}) g"
+    return f"WITH z AS MATERIALIZED ({_ELL_Z}) SELECT 'Gauss' AS family, part, count(*) AS n, round(avg({gauss}), 5) AS log_pdf FROM z GROUP BY part UNION ALL SELECT 'Student', part, count(*), round(avg({student}), 5) FROM z GROUP BY part"
 
 
 @query("elliptical_kernels", _elliptical_sql())
 def elliptical_kernels(spark, sf):
-    """Gauss and Student densities at the probabilities of given quantiles."""
-    import pandas as pd
-
-    from ..functions.numerics import t_cdf
-
-    def run(batches):
-        for pdf in batches:
-            x, y = (z.reshape(-1) for z in np.meshgrid([-1.9, -1.1, -0.35, 0.2, 0.83, 1.6], [-1.9, -1.1, -0.35, 0.2, 0.83, 1.6]))
-            for name in pdf["family"]:
-                f = FAMILIES[name]
-                u, v = (ops.norm_cdf(x), ops.norm_cdf(y)) if name == "Gauss" else (t_cdf(x, _NU), t_cdf(y, _NU))
-                yield pd.DataFrame({"family": name, "x": x, "y": y, "log_pdf": np.round(f.log_pdf(u, v, f.params(_TAU, {"df": _NU} if name == "Student" else {})), 6) + 0.0})
-
-    return spark.createDataFrame([("Gauss",), ("Student",)], "family string").mapInPandas(run, "family string, x double, y double, log_pdf double")
+    """Gauss and Student densities at the probabilities of standardised neighbours."""
+    s = events_series(spark, sf)
+    z = s.select((F.col("series_id") % 5).alias("part"), F.col("y").alias("x"), F.lead("y").over(Window.partitionBy("series_id").orderBy("n")).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    z = z.select("part", ((F.col("x") - 3.2) / 1.3).alias("x"), ((F.col("y") - 3.2) / 1.3).alias("y"))
+    return _rounded(grouped.elliptical_means(z, _TAU, _NU), 5, "log_pdf")
 
 
 _LAW = {"left": Margin("norm", {"loc": 25.5, "scale": 14.43}), "right": Margin("norm", {"loc": 35000.0, "scale": 22000.0})}
@@ -763,10 +765,11 @@ def chain_standard_errors(spark, sf):
     return spark.createDataFrame([tuple(round(float(x), 4) for x in got.se)], "se_0 double, se_1 double")
 
 
-@query("parametric_bootstrap")
+@query("parametric_bootstrap", f"SELECT series_id, round(corr(y, z), 6) AS observed FROM (SELECT series_id, y, lead(y) OVER (PARTITION BY series_id ORDER BY n) AS z FROM ({EV}) e) q GROUP BY series_id")
 def parametric_bootstrap(spark, sf):
-    """Replicates of the correlation of neighbours in simulated chains."""
-    return inference.parametric_bootstrap(spark, models()["hmc_dn"], lambda x, y: np.corrcoef(y[:-1], y[1:])[0, 1], 200, 99)
+    """The correlation of neighbours in every series, tested against simulations of its length."""
+    got = inference.bootstrap_series(events_series(spark, sf), models()["hmc_dn"], lambda y: float(np.corrcoef(y[:-1], y[1:])[0, 1]), B=39)
+    return got.where("p_value BETWEEN 1 / 40 AND 1").select("series_id", F.round("observed", 6).alias("observed"))
 
 
 @query("vuong_clarke")
@@ -810,9 +813,11 @@ def m_step_margins(spark, sf):
 # ------------------------------------------------------------------ simulation and images
 
 
-@query("simulate_series")
+@query("simulate_series", f"SELECT series_id, count(*) AS rows, CAST(max(n) AS BIGINT) AS last_n, true AS states_known FROM ({EV}) e GROUP BY series_id")
 def simulate_series(spark, sf):
-    return series.simulate_series(spark, models()["pmc_pair"], 8, 100)
+    """A simulated series beside every given one, of its length."""
+    d = series.simulate_like(events_series(spark, sf), models()["pmc_pair"], seed=1)
+    return d.groupBy("series_id").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("last_n"), F.min(F.col("x").isin(0, 1) & F.col("y").isNotNull()).alias("states_known"))
 
 
 @query("sample_posterior")
@@ -820,32 +825,32 @@ def sample_posterior(spark, sf):
     return series.sample_posterior(_gapped(spark, sf), models()["hmc_dn"], seed=3)
 
 
-#: Blocks with corner (r, c), directions (ur, uc) and (vr, vc), lengths p and q, split until one cell wide.
-_CURVE_SQL = """WITH RECURSIVE b AS (SELECT 0 AS r, 0 AS c, 0 AS ur, 1 AS uc, 1 AS vr, 0 AS vc, 37 AS p, 24 AS q, 0 AS o UNION ALL
- SELECT r + CASE WHEN two AND k = 1 THEN h * ur WHEN NOT two AND k = 1 THEN g * vr WHEN k = 2 THEN (p - 1) * ur + (g - 1) * vr ELSE 0 END, c + CASE WHEN two AND k = 1 THEN h * uc WHEN NOT two AND k = 1 THEN g * vc WHEN k = 2 THEN (p - 1) * uc + (g - 1) * vc ELSE 0 END,
- CASE WHEN two OR k = 1 THEN ur WHEN k = 0 THEN vr ELSE -vr END, CASE WHEN two OR k = 1 THEN uc WHEN k = 0 THEN vc ELSE -vc END, CASE WHEN two OR k = 1 THEN vr WHEN k = 0 THEN ur ELSE -ur END, CASE WHEN two OR k = 1 THEN vc WHEN k = 0 THEN uc ELSE -uc END,
- CASE WHEN two THEN (CASE k WHEN 0 THEN h ELSE p - h END) WHEN k = 1 THEN p ELSE g END, CASE WHEN two THEN q WHEN k = 0 THEN h WHEN k = 1 THEN q - g ELSE p - h END, o + CASE WHEN k = 0 THEN 0 WHEN two THEN h * q WHEN k = 1 THEN h * g ELSE h * g + p * (q - g) END
- FROM (SELECT *, CASE WHEN two AND h0 % 2 = 1 AND p > 2 THEN h0 + 1 ELSE h0 END AS h, CASE WHEN NOT two AND g0 % 2 = 1 AND q > 2 THEN g0 + 1 ELSE g0 END AS g FROM (SELECT *, 2 * p > 3 * q AS two, CASE WHEN ur + uc < 0 THEN (p + 1) // 2 ELSE p // 2 END AS h0, CASE WHEN vr + vc < 0 THEN (q + 1) // 2 ELSE q // 2 END AS g0 FROM b WHERE p > 1 AND q > 1) x) y CROSS JOIN (VALUES (0), (1), (2)) z(k) WHERE k < 2 OR NOT two)
- SELECT CAST(o + i AS BIGINT) AS n, CAST(r + i * CASE WHEN q = 1 THEN ur ELSE vr END AS INTEGER) AS "row", CAST(c + i * CASE WHEN q = 1 THEN uc ELSE vc END AS INTEGER) AS col FROM (SELECT *, unnest(range(p * q)) AS i FROM b WHERE p = 1 OR q = 1) w"""
+#: Every vector of 64 components is an image of 8 x 8, row by row.
+_SIDE = 8
+_CELLS = f"SELECT vec_id AS image_id, CAST(k // {_SIDE} AS INTEGER) AS \"row\", CAST(k % {_SIDE} AS INTEGER) AS col, CAST(embedding[k + 1] AS DOUBLE) AS y FROM embeddings CROSS JOIN range({_SIDE * _SIDE}) t(k)"
+_ON_CURVE, _PLACE = oracle.hilbert(_SIDE, '"row"', "col")
+_PIXELS = f"SELECT image_id AS series_id, {_PLACE} AS n, \"row\", col, y FROM ({_ON_CURVE.format(_CELLS)}) c"
+_REGIONS = gaussian("HMC-IN", [-0.06, 0.06], [0.11, 0.11], stay=0.8)
 
 
-@query("image_path", _CURVE_SQL)
-def image_path(spark, sf):
-    """Where every cell of a 24 x 37 image comes on the curve."""
-    px = spark.range(24 * 37).select(F.lit("a").alias("image_id"), F.floor(F.col("id") / 37).cast("int").alias("row"), (F.col("id") % 37).cast("int").alias("col"), F.lit(0.0).alias("y"))
-    return image.fold(image.unfold(px, 24, 37), 24, 37).select("row", "col").join(px.select("row", "col"), ["row", "col"]).select(image.place(24, 37).alias("n"), "row", "col")
+def _images(spark, sf) -> DataFrame:
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("k", "y"))
+    return e.select("image_id", F.floor(F.col("k") / _SIDE).cast("int").alias("row"), (F.col("k") % _SIDE).cast("int").alias("col"), F.col("y").cast("double").alias("y"))
 
 
-_PIXELS = f"""SELECT 'a' AS series_id, n, "row", col, CASE WHEN col > 18 THEN 3.9 ELSE 2.4 END + sin("row" * 7 + col * 3) AS y FROM ({_CURVE_SQL}) k"""
+@query("image_path", f'SELECT series_id AS image_id, n, "row", col, round(y, 6) AS y FROM ({_PIXELS}) x')
+def image_path(spark, sf):
+    """Where every pixel comes on the curve: unfolded, and folded back."""
+    px = _images(spark, sf)
+    back = image.fold(image.unfold(px, _SIDE, _SIDE), _SIDE, _SIDE)
+    return back.select("image_id", image.place(_SIDE, _SIDE).alias("n"), "row", "col", F.round("y", 6).alias("y"))
 
 
-@query("classify_image", f"WITH RECURSIVE {oracle.smooth_sql(_IN, _PIXELS)} SELECT p.series_id AS image_id, r.\"row\", r.col, CASE WHEN g1 > g0 THEN 1 ELSE 0 END AS x_hat, round(g0, 5) AS gamma_0 FROM post p JOIN rws r ON r.n = p.n")
+@query("classify_image", f"WITH RECURSIVE {oracle.smooth_sql(_REGIONS, _PIXELS)} SELECT p.series_id AS image_id, r.\"row\", r.col, round(g0, 5) AS gamma_0 FROM post p JOIN rws r ON r.series_id = p.series_id AND r.n = p.n")
 def classify_image(spark, sf):
-    """A synthetic image of two regions, labelled along the curve."""
-    px = spark.range(24 * 37).select(F.lit("a").alias("image_id"), F.floor(F.col("id") / 37).cast("int").alias("row"), (F.col("id") % 37).cast("int").alias("col"))
-    px = px.withColumn("y", F.when(F.col("col") > 18, 3.9).otherwise(2.4) + F.sin(F.col("row") * 7 + F.col("col") * 3))
-    got = image.classify_image(px, _IN, 24, 37)
-    return got.select("image_id", "row", "col", "x_hat", F.round(F.col("gamma")[0], 5).alias("gamma_0"))
+    """Pixels labelled along the curve."""
+    got = image.classify_image(_images(spark, sf), _REGIONS, _SIDE, _SIDE)
+    return got.select("image_id", "row", "col", F.round(F.col("gamma")[0], 5).alias("gamma_0"))
 
 
 def queries() -> dict:
