@@ -102,7 +102,7 @@ class Chain:
         """``before`` and ``after`` are log messages ``(K,)`` that a stretch of a longer series
         gets at its first and last row, both observed, instead of a chain's own ends.  The last
         ``blind`` rows are not observed yet, so that their mask tells nothing.  Missing rows have
-        the nodes of their gap if neighbours are dependent; with ``local`` off all have the same."""
+        the nodes of their gap if dependence is strong; with ``local`` off all have the same."""
         self.model, self.k = model, Kernels(model)
         self.before, self.after = before, after
         self.y = np.asarray(y, float)
@@ -115,23 +115,26 @@ class Chain:
         logf = self.k.logf(safe)
         cdf = self.k.cdf(safe) if model.uses_copula else None
         gaps = self.miss.any() and model.needs_grid
-        local = local and any(not fam.independent for fam, _ in self.k.cop.values())
+        grids = self._grids(nodes) if gaps and local and any(not fam.independent for fam, _ in self.k.cop.values()) else None
+        local = grids is not None and grids.strong
         self._grid = self._make_grid(nodes) if gaps and not local else None
         blank = Row(np.zeros(1), np.zeros((1, model.K, model.K)), None, np.zeros(1)) if not model.needs_grid else self._grid
         self.rows = [blank if self.miss[n] else Row(self.y[n : n + 1], logf[n : n + 1], None if cdf is None else cdf[n : n + 1], None) for n in range(self.N)]
-        if gaps and local:
-            self._lay(nodes)
+        if local:
+            self._lay(grids)
         self._pairs = self._observed_pairs(logf, cdf)
 
-    def _lay(self, nodes: int) -> None:
-        """Nodes of each gap."""
+    def _grids(self, nodes: int) -> LocalGrids:
         m = self.model
         key = (m.p.tobytes(), repr(m.margins), repr(m.copulas), m.variant, nodes)
         if key not in _GRIDS:
             if len(_GRIDS) >= 8:
                 _GRIDS.clear()
             _GRIDS[key] = LocalGrids(m, self.k, nodes)
-        grids = _GRIDS[key]
+        return _GRIDS[key]
+
+    def _lay(self, grids: LocalGrids) -> None:
+        """Nodes of each gap."""
         for first, n in runs(self.miss):
             left = float(self.y[first - 1]) if first else None
             right = float(self.y[first + n]) if first + n < self.N else None
@@ -265,6 +268,11 @@ class Chain:
 
     def sample(self, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
         """A draw of the hidden path, and of the missing observations, given the data."""
+        return self.sample_at(rng.random((self.N, 2)), rng)
+
+    def sample_at(self, u: np.ndarray, rng: np.random.Generator | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """``sample`` from two uniform numbers a row, of the state (and node) and of the observation;
+        ``rng`` is for vectors."""
         alphas, _ = self.forward()
         x, y = np.empty(self.N, dtype=int), self.y.copy()
         picked = (0, 0)
@@ -273,7 +281,7 @@ class Chain:
             if n < self.N - 1:
                 z = z + self.step(n)[:, :, picked[0], picked[1]]
             w = np.exp(z - z.max()).reshape(-1)
-            k = int(np.searchsorted(np.cumsum(w), rng.random() * w.sum()))
+            k = int(np.searchsorted(np.cumsum(w), u[n, 0] * w.sum(), "right"))
             k = min(k, len(w) - 1)
             picked = divmod(k, self.model.K)
             x[n] = picked[1]
@@ -282,10 +290,10 @@ class Chain:
                 if len(self.rows[n].y) > 1:
                     y[n] = self.rows[n].y[picked[0]]
                 elif self.y.ndim == 1:
-                    y[n] = self.model.margin(i, 0).ppf(rng.random())
+                    y[n] = self.model.margin(i, 0).ppf(u[n, 1])
                 else:
                     f = self.model.margin(i, 0)
-                    y[n] = rng.multivariate_normal(f.mean, f.cov)
+                    y[n] = (rng or np.random.default_rng((u[n] * 2**32).astype(np.uint64).tolist())).multivariate_normal(f.mean, f.cov)
         return x, y
 
     def impute(self, quantiles=(0.05, 0.25, 0.5, 0.75, 0.95)) -> list[tuple[int, float, float, list[float]]]:

@@ -30,6 +30,9 @@ REACH, MESH = 6.5, 2601
 STEP, WINDOW, GROWTH = 0.8, 5.0, 0.2
 #: Share of a value's density below which a pair of states does not count at that value.
 RARE = 1e-4
+#: Conditional widths of a copula, in scores of its own margins and within two of them, from which on
+#: the reference grid is as good.
+STRONG = 0.11
 #: Up to this many times the given nodes all rows have fine nodes everywhere.
 FULL = 4
 
@@ -51,6 +54,9 @@ class LocalGrids:
     def _cdf(self, y):
         return sum(a * f.cdf(y) for a, f in zip(self.mass, self.laws, strict=True))
 
+    def _pdf(self, y):
+        return sum(a * f.pdf(y) for a, f in zip(self.mass, self.laws, strict=True))
+
     def score(self, y) -> np.ndarray:
         """Normal scores of observations."""
         return norm_ppf(np.clip(self._cdf(np.asarray(y, float)), 1e-11, 1 - 1e-11))
@@ -61,7 +67,7 @@ class LocalGrids:
         at = np.linspace(-REACH, REACH, 261)
         y = np.interp(at, self.z, self.y)
         self.pairs, least = {}, np.full(len(at), 1.0)
-        whole = np.maximum(sum(a * f.pdf(y) for a, f in zip(self.mass, self.laws, strict=True)), 1e-300)
+        whole = np.maximum(self._pdf(y), 1e-300)
         for (i, j), (fam, p) in self.k.cop.items():
             if fam.independent:
                 continue
@@ -73,9 +79,14 @@ class LocalGrids:
             # a state that hardly ever has such values needs no nodes there
             share = self.model.p[i, j] * self.model.margin(i, j).pdf(y) / whole
             least = np.where(share > RARE, np.minimum(least, spread), least)
-        # smooth over neighbours, so that the density of nodes is
-        kernel = np.hanning(17) / np.hanning(17).sum()
-        least = np.exp(np.convolve(np.pad(np.log(least), 8, mode="edge"), kernel, mode="valid"))
+        # the least of the neighbourhood, then smooth over neighbours, so that the density of nodes is
+        near = np.lib.stride_tricks.sliding_window_view(np.pad(np.log(least), 6, mode="edge"), 13).min(axis=1)
+        kernel = np.hanning(35)[1:-1] / np.hanning(35).sum()
+        least = np.exp(np.convolve(np.pad(near, 16, mode="edge"), kernel, mode="valid"))
+        #: Whether the reference grid, whose nodes are the same for all rows, is too coarse.
+        v = norm_cdf(np.linspace(-2, 2, 61))
+        own = [(norm_ppf(fam.inv_h(np.full(61, 0.841345), v, p)) - norm_ppf(fam.inv_h(np.full(61, 0.158655), v, p))).min() / 2 for fam, p in self.k.cop.values() if not fam.independent]
+        self.strong = min(own, default=1.0) < STRONG
         self.at = at
         self.fine = 1 / (STEP * 64 / self.nodes * np.interp(self.z, at, least))
         self.coarse = self.nodes / (2 * REACH)
@@ -109,20 +120,31 @@ class LocalGrids:
     def _nodes(self, windows: list[tuple[float, float]]) -> tuple[np.ndarray, np.ndarray]:
         z = self.z
         if self.whole:
-            density = np.maximum(self.fine, self.coarse)
+            density = (self.fine**4 + self.coarse**4) ** 0.25
         else:
             power = np.full(MESH, self.coarse**4)
             for m, s in windows:  # steps grow with the distance from a window
                 out = np.sqrt((z - m) ** 2 + (WINDOW * s) ** 2) - WINDOW * s
                 power += (1 / self.fine + GROWTH * out) ** -4.0
             density = power**0.25
-        place = np.concatenate([[0.0], np.cumsum((density[1:] + density[:-1]) / 2 * np.diff(z))])
+        d = z[1] - z[0]
+        bend = np.gradient(density, d)
+        place = np.concatenate([[0.0], np.cumsum((density[1:] + density[:-1]) / 2 * d - d * d / 12 * np.diff(bend))])
         count = int(np.ceil(place[-1]))
-        # equal steps of a place in which the whole range has a whole number of nodes
-        at = np.interp((np.arange(count) + 0.5) * place[-1] / count, place, z)
+        # equal steps of a place in which the whole range has a whole number of nodes, each found between
+        # two points of the mesh by a cubic with the right slopes
+        step = place[-1] / count
+        want = (np.arange(count) + 0.5) * step
+        i = np.clip(np.searchsorted(place, want, "right") - 1, 0, MESH - 2)
+        wide = place[i + 1] - place[i]
+        t, s0, s1 = (want - place[i]) / wide, wide / density[i] / d, wide / density[i + 1] / d
+        at = z[i] + d * (t * t * (3 - 2 * t) + s0 * t * (1 - t) ** 2 - s1 * t * t * (1 - t))
+        rate = d / wide * (6 * t * (1 - t) + s0 * (1 - t) * (1 - 3 * t) + s1 * t * (3 * t - 2))
         y = np.interp(at, z, self.y)
-        slope = np.interp(at, z, np.gradient(self.y, z))
-        return y, np.log(np.maximum(slope * place[-1] / count / np.interp(at, z, density), 1e-300))
+        g = np.maximum(self._pdf(y), 1e-300)
+        y = np.clip(y - (self._cdf(y) - norm_cdf(at)) / g, self.y[np.maximum(i - 1, 0)], self.y[np.minimum(i + 2, MESH - 1)])
+        slope = np.exp(-0.5 * at * at) / np.sqrt(2 * np.pi) / np.maximum(self._pdf(y), 1e-300)
+        return y, np.log(np.maximum(slope * rate * step, 1e-300))
 
 
 def runs(miss: np.ndarray) -> list[tuple[int, int]]:

@@ -132,17 +132,23 @@ def normal_pdf(y: str, m: float, s: float) -> str:
     return f"(exp(-0.5 * power(({y} - {number(m)}) / {number(s)}, 2)) / {number(s * math.sqrt(2 * math.pi))})"
 
 
+def logistic_pdf(y: str, m: float, s: float) -> str:
+    z = f"(-abs({y} - {number(m)}) / {number(s)})"
+    return f"(exp({z}) / ({number(s)} * power(1 + exp({z}), 2)))"
+
+
 # ------------------------------------------------------------------ chains
 
 
 def columns(model: Model, y: str = "y") -> dict[str, str]:
     """Densities ``f`` and probabilities ``u`` of an observation per state pair, for normal
-    margins; a missing observation has density one."""
+    margins (densities for logistic ones too); a missing observation has density one."""
     out = {}
     for i in range(model.K):
         for j in range(model.K):
             m = model.margin(i, j)
-            out[f"f{i}{j}"] = f"CASE WHEN {y} IS NULL THEN 1.0 ELSE {normal_pdf(y, m.loc, m.scale)} END"
+            pdf = (normal_pdf if m.dist == "norm" else logistic_pdf)(y, m.loc, m.scale)
+            out[f"f{i}{j}"] = f"CASE WHEN {y} IS NULL THEN 1.0 ELSE {pdf} END"
             if model.uses_copula:
                 z = f"(({y} - {number(m.loc)}) / {number(m.scale)})"
                 out[f"u{i}{j}"] = normal_cdf(z)
