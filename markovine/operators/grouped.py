@@ -56,23 +56,32 @@ def weighted_ecdf(df: DataFrame, value: str = "x", weight: str = "w") -> DataFra
 
 
 def kendall(df: DataFrame, weight: str | None = None) -> DataFrame:
+    return kendalls(df, {"tau": weight})
+
+
+def kendalls(df: DataFrame, weights: dict[str, str | None]) -> DataFrame:
+    """Several taus of each group in one pass: names of columns and the weights they take."""
+
     def one(pdf):
         x, y = _xy(pdf)
-        return {"tau": stats.kendall_tau(x, y, pdf[weight].to_numpy(float) if weight else None)}
+        return {name: stats.kendall_tau(x, y, pdf[w].to_numpy(float) if w else None) for name, w in weights.items()}
 
-    return per_group(df, one, "tau double")
+    return per_group(df, one, ", ".join(f"{name} double" for name in weights))
 
 
-def copula_statistics(df: DataFrame) -> DataFrame:
-    """Cramer-von Mises distance to independence, exchangeability and radial symmetry."""
+def copula_statistics(df: DataFrame, family: str = "FGM") -> DataFrame:
+    """Cramer-von Mises distance to independence, exchangeability and radial symmetry, and the distance
+    to independence of what the ``family``, fitted by tau, leaves of the dependence."""
+    f = FAMILIES[family]
 
     def one(pdf):
-        u, v = stats.pseudo_observations(*_xy(pdf))
+        x, y = _xy(pdf)
+        u, v = stats.pseudo_observations(x, y)
         return {
             "cvm": stats.cvm_statistic(u, v, lambda a, b: a * b),
             "exchangeability": stats.exchangeability_statistic(u, v),
             "radial_symmetry": stats.radial_symmetry_statistic(u, v),
-            "rosenblatt": stats.rosenblatt_statistic(u, v),
+            "rosenblatt": stats.rosenblatt_statistic(u, f.h(v, u, f.params(f.clip_tau(stats.kendall_tau(x, y))))),
         }
 
     return per_group(df, one, "cvm double, exchangeability double, radial_symmetry double, rosenblatt double")

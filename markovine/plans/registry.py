@@ -482,14 +482,22 @@ def _tau_sql(w: str) -> str:
 @query("kendall_tau", f"SELECT g, round(t.tau, 9) AS tau, round(tw.tau, 9) AS weighted_tau FROM ({_tau_sql('1.0')}) t JOIN ({_tau_sql('a.w * b.w')}) tw USING (g)")
 def kendall_tau(spark, sf):
     p = lag_pairs(spark, sf)
-    both = grouped.kendall(p).join(grouped.kendall(p, "w").withColumnRenamed("tau", "weighted_tau"), "g")
-    return _rounded(both, 9, "tau", "weighted_tau")
+    return _rounded(grouped.kendalls(p, {"tau": None, "weighted_tau": "w"}), 9, "tau", "weighted_tau")
+
+
+def _theta(family: str) -> str:
+    """The parameter from ``tau``, clipped into the family's range."""
+    lo, hi = {"FGM": (-2 / 9, 2 / 9), "Clayton": (0.0, 1.0), "GH": (0.0, 1.0)}[family]
+    pad = 1e-6 * (hi - lo)
+    t = f"least(greatest(tau, {lo + pad!r}), {hi - pad!r})"
+    return {"FGM": f"4.5 * {t}", "Clayton": f"2 * {t} / (1 - {t})", "GH": f"1 / (1 - {t})"}[family]
 
 
 @query(
     "copula_statistics",
-    f"""WITH r AS MATERIALIZED ({RANKED}), c AS (SELECT a.g, a.n, a.m, a.u, a.v, avg(CASE WHEN b.u <= a.u AND b.v <= a.v THEN 1.0 ELSE 0 END) AS c1, avg(CASE WHEN b.u <= a.v AND b.v <= a.u THEN 1.0 ELSE 0 END) AS c2, avg(CASE WHEN b.u <= 1 - a.u + 1e-12 AND b.v <= 1 - a.v + 1e-12 THEN 1.0 ELSE 0 END) AS c3 FROM r a JOIN r b ON a.g = b.g GROUP BY ALL)
-    SELECT g, round(sum(power(c1 - u * v, 2)), 4) AS cvm, round(sum(power(c1 - c2, 2)), 4) AS exchangeability, round(sum(power(c1 - (u + v - 1 + c3), 2)), 4) AS radial_symmetry, round(sum(power(c1 - u * v, 2)), 4) AS rosenblatt FROM c GROUP BY g""",
+    f"""WITH r AS MATERIALIZED (SELECT q.*, v * (1 + t * (1 - 2 * u) * (1 - v)) AS e FROM (SELECT r.*, {_theta('FGM')} AS t FROM ({RANKED}) r JOIN ({_tau_sql('1.0')}) t ON r.g = t.g) q),
+    c AS (SELECT a.g, a.n, a.m, a.u, a.v, a.e, avg(CASE WHEN b.u <= a.u AND b.v <= a.v THEN 1.0 ELSE 0 END) AS c1, avg(CASE WHEN b.u <= a.v AND b.v <= a.u THEN 1.0 ELSE 0 END) AS c2, avg(CASE WHEN b.u <= 1 - a.u + 1e-12 AND b.v <= 1 - a.v + 1e-12 THEN 1.0 ELSE 0 END) AS c3, avg(CASE WHEN b.u <= a.u AND b.e <= a.e THEN 1.0 ELSE 0 END) AS c4 FROM r a JOIN r b ON a.g = b.g GROUP BY ALL)
+    SELECT g, round(sum(power(c1 - u * v, 2)), 4) AS cvm, round(sum(power(c1 - c2, 2)), 4) AS exchangeability, round(sum(power(c1 - (u + v - 1 + c3), 2)), 4) AS radial_symmetry, round(sum(power(c4 - u * e, 2)), 4) AS rosenblatt FROM c GROUP BY g""",
 )
 def copula_statistics(spark, sf):
     return _rounded(grouped.copula_statistics(lag_pairs(spark, sf)), 4, "cvm", "exchangeability", "radial_symmetry", "rosenblatt")
@@ -663,14 +671,6 @@ def fit_best(spark, sf):
     return grouped.fit_best(lag_pairs(spark, sf))
 
 
-def _theta(family: str) -> str:
-    """The parameter from ``tau``, clipped into the family's range."""
-    lo, hi = {"FGM": (-2 / 9, 2 / 9), "Clayton": (0.0, 1.0), "GH": (0.0, 1.0)}[family]
-    pad = 1e-6 * (hi - lo)
-    t = f"least(greatest(tau, {lo + pad!r}), {hi - pad!r})"
-    return {"FGM": f"4.5 * {t}", "Clayton": f"2 * {t} / (1 - {t})", "GH": f"1 / (1 - {t})"}[family]
-
-
 #: Log densities of three families at the rank-transformed pairs, written out.
 _S = "(power(-ln(u), gh) + power(-ln(v), gh))"
 _LOGS = f"""SELECT g, ln(1 + fgm * (1 - 2 * u) * (1 - 2 * v)) AS fgm, ln(1 + cl) - (1 + cl) * ln(u * v) - (2 + 1 / cl) * ln(power(u, -cl) + power(v, -cl) - 1) AS cl,
