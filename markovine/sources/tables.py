@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def read_observations(spark: SparkSession, path: str, ref: str | None = None, series: str | None = None) -> DataFrame:
     """CSV files with a header: column ``Y`` (or ``Y0, Y1, ..``), optionally ``n``, a label
     column and a series column.  Every cell is read as text and parsed; a cell that is
-    neither a number nor missing is an error, as is a line with too few or too many cells.
+    neither a finite number nor missing is an error, as is a line with too few or too many cells.
 
     Without a column ``n`` rows count in the files' order, by one task per series."""
     names = spark.read.option("header", True).csv(path).columns
@@ -36,7 +36,7 @@ def read_observations(spark: SparkSession, path: str, ref: str | None = None, se
     cols = ["Y"] if "Y" in raw.columns else vector
     bad = None
     for c in cols:
-        wrong = F.expr(f"try_cast(`{c}` AS double) IS NULL") & ~F.lower(F.trim(F.coalesce(c, F.lit("")))).isin("", "nan", "na")
+        wrong = F.expr(f"coalesce(abs(try_cast(`{c}` AS double)) = double('inf'), true)") & ~F.lower(F.trim(F.coalesce(c, F.lit("")))).isin("", "nan", "na")
         bad = wrong if bad is None else bad | wrong
     first = raw.where(bad).limit(1).collect()
     if first:

@@ -123,3 +123,17 @@ def test_many_simulated_series():
     x, y = x[:3000].reshape(60, 50), y[:3000].reshape(60, 50)
     stay = (x[:, :-1] == 1) & (x[:, 1:] == 1)
     assert np.corrcoef(y[:, :-1][stay], y[:, 1:][stay])[0, 1] == pytest.approx(np.sin(np.pi * 0.3), abs=0.08)
+
+
+def test_reader_refuses_what_is_no_finite_number(spark, tmp_path):
+    from markovine.sources.tables import CSVLoadError, read_observations
+
+    good = tmp_path / "good.csv"
+    good.write_text("Y\n1.5\n\nNaN\nna\n-2e3\n")
+    got = sorted((r["n"], r["y"]) for r in read_observations(spark, str(good)).collect() if r["y"] is not None)
+    assert [y for _, y in got] == [1.5, -2000.0]
+    for cell in ("inf", "-Infinity", "1e999", "x"):
+        bad = tmp_path / f"{cell}.csv"
+        bad.write_text(f"Y\n1.5\n{cell}\n")
+        with pytest.raises(CSVLoadError):
+            read_observations(spark, str(bad))
