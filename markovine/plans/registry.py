@@ -373,16 +373,37 @@ def pattern_state_dependent(spark, sf):
 
 
 def _patterns_sql() -> str:
+    """Which rows every pattern takes, from the same hash draws."""
     u = _U.format("'0', CAST(series_id AS VARCHAR), CAST(n AS VARCHAR)")
+    one = _U.format("'0', CAST(series_id AS VARCHAR)")
+    slot = _U.format("'0', CAST(series_id AS VARCHAR), CAST(slot AS VARCHAR)")
+    rows = f"rws AS MATERIALIZED (SELECT series_id, n, {u} AS u, {one} AS u1, len, CAST(ceil(len * 0.1 - 1e-9) AS BIGINT) AS head, CASE WHEN y > 3.3 THEN 0.2 ELSE 0.05 END AS a, CASE WHEN y > 3.3 THEN 0.8 ELSE 0.5 END AS b FROM ({_LEN}) e1)"
     cut = "CAST(floor(len * {0} + 1e-9) AS BIGINT)"
-    rows = f"SELECT series_id, n, {u} AS u, CASE WHEN y > 3.3 THEN 0.2 ELSE 0.05 END AS a, CASE WHEN y > 3.3 THEN 0.8 ELSE 0.5 END AS b FROM ({EV}) e"
-    fixed = " UNION ALL ".join(f"SELECT series_id, '{name}' AS pattern, {k} AS removed FROM (SELECT series_id, count(*) AS len FROM ({EV}) e GROUP BY series_id) l" for name, k in (("scattered", cut.format(0.2)), ("mcar_blocks", f"5 * ({cut.format(0.3)} // 5)"), ("gaussian", cut.format(0.2)), ("uniform", cut.format(0.2))))
-    return f"WITH RECURSIVE rws AS MATERIALIZED ({rows}), run AS (SELECT series_id, n, u < a / (1 - b + a) AS m FROM rws WHERE n = 0 UNION ALL SELECT r.series_id, r.n, r.u < CASE WHEN s.m THEN r.b ELSE r.a END FROM run s JOIN rws r ON r.series_id = s.series_id AND r.n = s.n + 1) {fixed} UNION ALL SELECT series_id, 'state_markov', CAST(sum(CASE WHEN m THEN 1 ELSE 0 END) AS BIGINT) FROM run GROUP BY series_id"
+    start = f"head + CAST(floor(u1 * (len - {cut.format(0.2)} - head + 1)) AS BIGINT)"
+
+    def drawn(weight: str) -> str:
+        keys = f"SELECT *, CASE WHEN n >= head THEN -ln(u + 1e-300) / ({weight}) END AS k FROM rws"
+        return f"SELECT series_id, n FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY k NULLS LAST, n) AS r FROM ({keys}) k0) r0 WHERE r <= {cut.format(0.2)}"
+
+    m = f"({cut.format(0.3)} // 5)"
+    heads = f"SELECT DISTINCT series_id, len, head FROM rws"
+    chosen = f"SELECT series_id, head, slot, row_number() OVER (PARTITION BY series_id ORDER BY slot) - 1 AS i FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY {slot}, slot) AS r FROM (SELECT *, unnest(range(1, len - head - {m} * 5 + {m} + 1)) AS slot FROM ({heads}) h0) h1) h2 WHERE r <= {m}"
+    parts = {
+        "scattered": f"SELECT series_id, n FROM rws WHERE n >= {start} AND n < {start} + {cut.format(0.2)}",
+        "mcar_blocks": f"SELECT series_id, head + slot - 1 + i * 4 + j AS n FROM ({chosen}) c0 CROSS JOIN range(5) g(j)",
+        "gaussian": drawn("exp(-0.5 * power(((n - head) / greatest(len - head, 1) - 0.5) / 0.2, 2))"),
+        "uniform": drawn("1.0"),
+        "state_markov": "SELECT series_id, n FROM run WHERE m",
+    }
+    every = " UNION ALL ".join(f"SELECT series_id, '{name}' AS pattern, n FROM ({q}) p_{name}" for name, q in parts.items())
+    run = "run AS (SELECT series_id, n, u < a / (1 - b + a) AS m FROM rws WHERE n = 0 UNION ALL SELECT r.series_id, r.n, r.u < CASE WHEN s.m THEN r.b ELSE r.a END FROM run s JOIN rws r ON r.series_id = s.series_id AND r.n = s.n + 1)"
+    return f"WITH RECURSIVE {rows}, {run} SELECT series_id, pattern, CAST(count(*) AS BIGINT) AS removed, CAST(sum(n) AS BIGINT) AS places, CAST(sum(n * n) AS BIGINT) AS squares FROM ({every}) z GROUP BY series_id, pattern"
 
 
 @query("patterns_random", _patterns_sql())
 def patterns_random(spark, sf):
-    """Scattered, block, position-weighted and Markov masks: rows removed per series."""
+    """Scattered, block, position-weighted and Markov masks: how many rows are removed per series, and
+    where (sums of their places and of the squares)."""
     s = events_series(spark, sf)
     out = None
     for name, d in (
@@ -392,7 +413,7 @@ def patterns_random(spark, sf):
         ("uniform", missing.weighted_draw(s, 0.2)),
         ("state_markov", missing.state_markov(s.withColumn("x", (F.col("y") > 3.3).cast("int")), [0.05, 0.2], [0.5, 0.8])),
     ):
-        part = d.groupBy("series_id").agg(F.sum(F.col("miss").cast("long")).alias("removed")).withColumn("pattern", F.lit(name))
+        part = d.where("miss").groupBy("series_id").agg(F.count(F.lit(1)).alias("removed"), F.sum("n").alias("places"), F.sum(F.col("n") * F.col("n")).alias("squares")).withColumn("pattern", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
