@@ -120,7 +120,7 @@ class Scorer:
                 total = total + n * s
         best = int(np.argmax(m.prior + total))
         level = (m.prior + total - m.prior[best] - total[best]) / math.sqrt(len(words))
-        return m.langs[best], float(1.0 / np.exp(level).sum())
+        return m.langs[best], min(1.0, float(1.0 / np.exp(level).sum()))  # rounding may leave the best level below 0
 
 
 def _table(parts: DataFrame, langs: list[str]) -> tuple[list[str], np.ndarray]:
