@@ -107,8 +107,8 @@ def fit_best(df: DataFrame, families=DEFAULT_CANDIDATES, method: str = "tau", cr
     return per_group(df, one, "place int, family string, tau double, log_lik double, aic double, bic double")
 
 
-def gof_bootstrap(df: DataFrame, family: str, B: int = 99, seed: int = 0) -> DataFrame:
-    """Parametric bootstrap of the CvM statistic: replicates are rows of their own."""
+def gof_replicates(df: DataFrame, family: str, B: int = 99, seed: int = 0) -> DataFrame:
+    """``g, statistic, tau, t``: a group's CvM statistic beside that of every replicate, a row each."""
     from .series import rng_of
 
     def observed(pdf):
@@ -117,7 +117,9 @@ def gof_bootstrap(df: DataFrame, family: str, B: int = 99, seed: int = 0) -> Dat
         return {"statistic": stats.cvm_statistic(u, v, lambda a, b: FAMILIES[family].cdf(a, b, r.params)), "tau": r.tau, "size": len(u)}
 
     base = per_group(df, observed, "statistic double, tau double, size int")
-    tasks = base.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(B))))
+    # there are few groups and many replicates: each is dealt by itself
+    parts = max(df.sparkSession.sparkContext.defaultParallelism * 4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = base.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(B)))).repartition(parts, "g", "b")
 
     def replicate(batches):
         for pdf in batches:
@@ -128,7 +130,12 @@ def gof_bootstrap(df: DataFrame, family: str, B: int = 99, seed: int = 0) -> Dat
             yield pdf.assign(t=hits)[["g", "statistic", "tau", "t"]]
 
     kind = df.schema["g"].dataType.simpleString()
-    runs = tasks.mapInPandas(replicate, f"g {kind}, statistic double, tau double, t double")
+    return tasks.mapInPandas(replicate, f"g {kind}, statistic double, tau double, t double")
+
+
+def gof_bootstrap(df: DataFrame, family: str, B: int = 99, seed: int = 0) -> DataFrame:
+    """Parametric bootstrap of the CvM statistic."""
+    runs = gof_replicates(df, family, B, seed)
     ok = F.sum(F.when(~F.isnan("t"), 1).otherwise(0))
     over = F.sum(F.when(~F.isnan("t") & (F.col("t") >= F.col("statistic")), 1).otherwise(0))
     return runs.groupBy("g", "statistic", "tau").agg(((1 + over) / (1 + ok)).alias("p_value"))

@@ -75,14 +75,32 @@ def kendall_tau(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> fl
     return score / scale if scale > 0 else math.nan
 
 
+def _below(rank: np.ndarray, w: np.ndarray, ends: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """Weight of the ranks under each limit among as many first ones as each end says: ranks are
+    parted by one bit after the other, the highest first."""
+    low, high, out = np.zeros_like(ends), ends, np.zeros(len(ends))
+    for bit in range(len(rank).bit_length() - 1, -1, -1):
+        one = (rank >> bit) & 1
+        zeros = np.concatenate([[0], np.cumsum(1 - one)])
+        weight = np.concatenate([[0.0], np.cumsum(np.where(one, 0.0, w))])
+        up = (limits >> bit) & 1 == 1
+        out += np.where(up, weight[high] - weight[low], 0.0)
+        low, high = (np.where(up, zeros[-1] + at - zeros[at], zeros[at]) for at in (low, high))
+        order = np.argsort(one, kind="stable")
+        rank, w = rank[order], w[order]
+    return out
+
+
 def empirical_copula(u, v, at_u, at_v, w=None) -> np.ndarray:
-    """Weighted share of points at or below each query point, in blocks."""
-    w = np.ones(len(u)) if w is None else w
-    out = np.empty(len(at_u))
-    for i in range(0, len(at_u), 1024):
-        s = slice(i, i + 1024)
-        out[s] = ((u[None] <= at_u[s, None]) & (v[None] <= at_v[s, None])) @ w
-    return out / w.sum()
+    """Weighted share of points at or below each query point: few points are compared, many
+    are counted by bits of their ranks in O(n log n)."""
+    u, v, at_u, at_v = (np.asarray(x, float) for x in (u, v, at_u, at_v))
+    w = np.ones(len(u)) if w is None else np.asarray(w, float)
+    if len(u) * len(at_u) <= 1 << 18:
+        return ((u[None] <= at_u[:, None]) & (v[None] <= at_v[:, None])) @ w / w.sum()
+    order, ordered = np.argsort(u, kind="stable"), np.sort(v)
+    rank = np.searchsorted(ordered, v[order], "left")
+    return _below(rank, w[order], np.searchsorted(u[order], at_u, "right"), np.searchsorted(ordered, at_v, "right")) / w.sum()
 
 
 def cvm_statistic(u, v, cdf) -> float:
