@@ -472,7 +472,8 @@ def metrics_crps_gaussian(spark, sf):
     f"SELECT series_id, round(CASE WHEN e > 0.5 THEN 1 - e ELSE e END, 6) AS error, round(CASE WHEN e > 0.5 THEN 1 - em ELSE em END, 6) AS error_missing, round(CASE WHEN e > 0.5 THEN 1 - eo ELSE eo END, 6) AS error_observed FROM (SELECT series_id, avg(w) AS e, avg(CASE WHEN miss THEN w END) AS em, avg(CASE WHEN NOT miss THEN w END) AS eo FROM (SELECT series_id, miss, CASE WHEN (y > 3.3) <> (n % 2 = 0) THEN 1.0 ELSE 0.0 END AS w FROM ({GAPPED}) g) q GROUP BY series_id) z",
 )
 def metrics_error_split(spark, sf):
-    d = missing.aligned(events_series(spark, sf), 0.2).withColumn("t", (F.col("y") > 3.3).cast("int")).withColumn("h", (F.col("n") % 2 == 0).cast("int"))
+    d = missing.aligned(events_series(spark, sf), 0.2).withColumn("h", (F.col("n") % 2 == 0).cast("int"))
+    d = d.withColumn("t", F.coalesce((F.col("y") > 3.3).cast("int"), "h"))  # a label that is not known is not known to be wrong
     return _rounded(missing.error_split(d, "t", "h", "miss", ["series_id"]), 6, "error", "error_missing", "error_observed")
 
 

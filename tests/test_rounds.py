@@ -37,3 +37,29 @@ def test_bootstrap_replicates_of_one_group_are_dealt_to_several_tasks(spark):
     runs = grouped.gof_replicates(rows, "Gauss", B=20)
     assert runs.select(F.spark_partition_id()).distinct().count() > 3
     assert runs.count() == 20
+
+
+def _zero_events(spark, tmp_path):
+    """Two users of 20 events each; one value of the first is zero, outside of the planned gap."""
+    rows = [(40 * g + k, 60.0 * k, g, 0.0 if (g, k) == (0, 12) else 5.0 + (7 * k + g) % 11) for g in range(2) for k in range(20)]
+    df = spark.createDataFrame(rows, "event_id long, t double, user_id long, value double")
+    df.select("event_id", F.timestamp_seconds("t").alias("ts"), "user_id", F.lit("view").alias("event_type"), "value").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+def _same_as_sql(spark, sf, name, tolerance):
+    duckdb = pytest.importorskip("duckdb")
+    from markovine.plans import registry
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{sf}/events.parquet/*.parquet')")
+    want = con.execute(registry.oracle_sql()[name]).df()
+    got = registry.queries()[name](spark, sf).toPandas()[list(want.columns)]
+    keys = [c for c in want.columns if c in ("series_id", "n", "step")]
+    a, b = (d.sort_values(keys).to_numpy(float) for d in (got, want))
+    assert a.shape == b.shape and np.allclose(a, b, rtol=0, atol=tolerance)
+
+
+@pytest.mark.parametrize("name", ["metrics_error_split"])
+def test_a_value_of_zero_is_as_in_sql(spark, tmp_path, name):
+    _same_as_sql(spark, _zero_events(spark, tmp_path), name, 1e-9)
