@@ -104,7 +104,7 @@ def chain_standard_errors(df: DataFrame, model: Model, names: list[Parameter] |
     models = [at_shift(s) for s in shifts]
 
     def batch(pdf: pd.DataFrame, b: Batch) -> pd.DataFrame:
-        ll = np.array([Batch(m, b.y, b.sizes).log_liks() for m in models])  # models x series
+        ll = np.array([Batch(m, b.y, b.sizes, masked=b.masked).log_liks() for m in models])  # models x series
         # a series' score is what its two shifts differ by
         score = (ll[1 : 2 * k + 1 : 2] - ll[2 : 2 * k + 1 : 2]) / (2 * h[:, None])
         rows = [(-1 - m, float(x)) for m, x in enumerate(ll.sum(axis=1))]

@@ -60,6 +60,6 @@ def _same_as_sql(spark, sf, name, tolerance):
     assert a.shape == b.shape and np.allclose(a, b, rtol=0, atol=tolerance)
 
 
-@pytest.mark.parametrize("name", ["metrics_error_split"])
+@pytest.mark.parametrize("name", ["metrics_error_split", "classify_with_mask_evidence", "forward_with_mask_evidence", "forecast_with_mask_evidence"])
 def test_a_value_of_zero_is_as_in_sql(spark, tmp_path, name):
     _same_as_sql(spark, _zero_events(spark, tmp_path), name, 1e-9)
