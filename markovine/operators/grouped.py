@@ -18,6 +18,7 @@ from ..functions.copulas import DEFAULT_CANDIDATES, FAMILIES
 from ..functions.ops import norm_cdf
 from . import fit as fitting
 from . import stats
+from .series import rng_of, tasks
 
 
 def per_group(df: DataFrame, fn: Callable[[pd.DataFrame], dict | list[dict]], schema: str) -> DataFrame:
@@ -30,7 +31,7 @@ def per_group(df: DataFrame, fn: Callable[[pd.DataFrame], dict | list[dict]], sc
         rows = got if isinstance(got, list) else [got]
         return pd.DataFrame([{"g": pdf["g"].iloc[0], **r} for r in rows], columns=["g", *names])
 
-    return df.groupBy("g").applyInPandas(run, f"g {kind}, {schema}")
+    return df.repartition(tasks(df), "g").groupBy("g").applyInPandas(run, f"g {kind}, {schema}")
 
 
 def _xy(pdf):
@@ -109,8 +110,6 @@ def fit_best(df: DataFrame, families=DEFAULT_CANDIDATES, method: str = "tau", cr
 
 def gof_replicates(df: DataFrame, family: str, B: int = 99, seed: int = 0) -> DataFrame:
     """``g, statistic, tau, t``: a group's CvM statistic beside that of every replicate, a row each."""
-    from .series import rng_of
-
     def observed(pdf):
         u, v = stats.pseudo_observations(*_xy(pdf))
         r = fitting.fit(family, u, v)
@@ -118,8 +117,7 @@ def gof_replicates(df: DataFrame, family: str, B: int = 99, seed: int = 0) -> Da
 
     base = per_group(df, observed, "statistic double, tau double, size int")
     # there are few groups and many replicates: each is dealt by itself
-    parts = max(df.sparkSession.sparkContext.defaultParallelism * 4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    tasks = base.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(B)))).repartition(parts, "g", "b")
+    each = base.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(B)))).repartition(4 * tasks(df), "g", "b")
 
     def replicate(batches):
         for pdf in batches:
@@ -130,7 +128,7 @@ def gof_replicates(df: DataFrame, family: str, B: int = 99, seed: int = 0) -> Da
             yield pdf.assign(t=hits)[["g", "statistic", "tau", "t"]]
 
     kind = df.schema["g"].dataType.simpleString()
-    return tasks.mapInPandas(replicate, f"g {kind}, statistic double, tau double, t double")
+    return each.mapInPandas(replicate, f"g {kind}, statistic double, tau double, t double")
 
 
 def gof_bootstrap(df: DataFrame, family: str, B: int = 99, seed: int = 0) -> DataFrame:

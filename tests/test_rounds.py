@@ -76,3 +76,20 @@ def test_what_follows_a_value_far_out_is_exact(tau):
         for k, (_, mean, sd, _) in enumerate(chain.impute(), 1):
             assert mean == pytest.approx(_MEAN + rho**k * (y - _MEAN), abs=2e-6) and sd == pytest.approx(_SD * np.sqrt(1 - rho ** (2 * k)), abs=2e-6)
         assert chain.rows[1] is chain.rows[2]  # weights between them are worked out once
+
+
+@pytest.mark.parametrize("tau", [0.4, 0.97])
+def test_gaps_served_by_messages_are_those_of_whole_series(tau):
+    from markovine.operators.engine import Batch, Chain
+    from markovine.plans.registry import _autoregression, models
+
+    rng = np.random.default_rng(4)
+    for model in (_autoregression(tau), models()["pmc_pair"]):
+        sizes = np.array([12, 9, 7])
+        y = rng.normal(3.0, 1.0, 28)
+        y[[0, 1, 5, 14, 15, 18, 20, 27]] = np.nan
+        b = Batch(model, y, sizes)
+        got = {first + r[0]: r[1:3] for first, chain in b.around_gaps() for r in chain.impute()}
+        want = {int(a) + r[0]: r[1:3] for a, n in zip(b.starts, sizes) for r in Chain(model, y[a : a + n]).impute()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=0, atol=1e-9) for k in want)
+        assert min(chain.N for _, chain in b.around_gaps()) < 7
