@@ -71,14 +71,14 @@ class Fit:
         return 2 * self.k * math.log(max(math.log(max(self.n_eff, 3)), 1e-9)) - 2 * self.log_lik
 
 
-def fit(family: str, u, v, method: str = "tau", w=None) -> Fit:
-    """``tau``: inversion of the sample tau (extras profiled by likelihood);
+def fit(family: str, u, v, method: str = "tau", w=None, tau: float | None = None) -> Fit:
+    """``tau``: inversion of the sample tau (extras profiled by likelihood), which may be given;
     ``mle``: maximum pseudo-likelihood in all parameters."""
     f, w = FAMILIES[family], weights_of(w, len(u))
     if f.independent:
         return Fit(family, 0.0, {}, 0.0, float(w.sum()), method)
     lo, hi = f.tau_range
-    tau = f.clip_tau(stats.kendall_tau(u, v, w))
+    tau = f.clip_tau(stats.kendall_tau(u, v, w) if tau is None else tau)
 
     def loss(t, e) -> float:
         try:
@@ -149,10 +149,10 @@ def score(c: str, f: Fit, u, v, w=None) -> float:
 
 def fit_best(u, v, families=DEFAULT_CANDIDATES, method: str = "tau", w=None, criterion: str = "aic") -> list[Fit]:
     """All families fitted, best first; failures are left out."""
-    found = []
+    found, tau = [], stats.kendall_tau(u, v, weights_of(w, len(u)))
     for name in families:
         try:
-            g = fit(name, u, v, method, w)
+            g = fit(name, u, v, method, w, tau)
             found.append((score(criterion, g, u, v, w), g))
         except (ValueError, CopulaNotAvailableError):
             continue

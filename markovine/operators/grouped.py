@@ -18,20 +18,24 @@ from ..functions.copulas import DEFAULT_CANDIDATES, FAMILIES
 from ..functions.ops import norm_cdf
 from . import fit as fitting
 from . import stats
-from .series import rng_of, tasks
+from .series import ROWS, _runs, rng_of, tasks, whole_runs
 
 
 def per_group(df: DataFrame, fn: Callable[[pd.DataFrame], dict | list[dict]], schema: str) -> DataFrame:
     kind = df.schema["g"].dataType.simpleString()
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([c for c in ("n", "x", "y") if c in pdf], kind="stable")
-        got = fn(pdf)
-        rows = got if isinstance(got, list) else [got]
-        return pd.DataFrame([{"g": pdf["g"].iloc[0], **r} for r in rows], columns=["g", *names])
+    def run(batches):
+        for pdf in whole_runs(batches, ["g"], ROWS):
+            starts, out = _runs(pdf, ["g"]), []
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(pdf)], strict=True):
+                got = fn(pdf.iloc[a:b])
+                out += [{"g": pdf["g"].iat[a], **r} for r in (got if isinstance(got, list) else [got])]
+            yield pd.DataFrame(out, columns=["g", *names])
 
-    return df.repartition(tasks(df), "g").groupBy("g").applyInPandas(run, f"g {kind}, {schema}")
+    # many small groups go through Python together
+    order = [F.col(c).asc_nulls_last() for c in ("n", "x", "y") if c in df.columns]
+    return df.repartition(tasks(df), "g").sortWithinPartitions("g", *order).mapInPandas(run, f"g {kind}, {schema}")
 
 
 def _xy(pdf):
@@ -164,7 +168,8 @@ def vuong(df: DataFrame, a: str, b: str) -> DataFrame:
 
     def one(pdf):
         u, v = stats.pseudo_observations(*_xy(pdf))
-        la, lb = (FAMILIES[f].log_pdf(u, v, fitting.fit(f, u, v).params) for f in (a, b))
+        tau = stats.kendall_tau(u, v)
+        la, lb = (FAMILIES[f].log_pdf(u, v, fitting.fit(f, u, v, tau=tau).params) for f in (a, b))
         r, c = stats.vuong_test(la, lb), stats.clarke_test(la, lb)
         return {"statistic": r["statistic"], "p_value": r["p_value"], "clarke": c["statistic"], "clarke_p": c["p_value"]}
 

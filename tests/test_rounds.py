@@ -93,3 +93,32 @@ def test_gaps_served_by_messages_are_those_of_whole_series(tau):
         want = {int(a) + r[0]: r[1:3] for a, n in zip(b.starts, sizes) for r in Chain(model, y[a : a + n]).impute()}
         assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=0, atol=1e-9) for k in want)
         assert min(chain.N for _, chain in b.around_gaps()) < 7
+
+
+def test_small_groups_go_through_python_together(spark):
+    rows = spark.range(3000).select((F.col("id") % 600).alias("g"), F.rand(1).alias("x"), F.rand(2).alias("y"))
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counted:
+        def __call__(self, pdf):
+            calls.add(1)
+            return {"m": len(pdf), "first": float(pdf["x"].iloc[0]), "least": float(pdf["x"].min())}
+
+    plan = grouped.per_group(rows, Counted(), "m int, first double, least double")
+    assert "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().toString()
+    got = plan.collect()
+    assert len(got) == 600 and all(r["m"] == 5 and r["first"] == r["least"] for r in got) and calls.value == 600
+
+
+def test_a_given_tau_is_that_of_the_sample():
+    from markovine.operators import fit as fitting
+
+    u, v = stats.pseudo_observations(*np.random.default_rng(6).random((2, 40)))
+    for name in ("Gauss", "Frank"):
+        assert fitting.fit(name, u, v, tau=stats.kendall_tau(u, v)) == fitting.fit(name, u, v)
+
+
+def test_parameters_are_found_without_new_quadrature_nodes():
+    f, began = FAMILIES["Frank"], time.time()
+    thetas = [f.params(t)["theta"] for t in np.linspace(0.011, 0.61, 100)]
+    assert time.time() - began < 5 and (np.diff(thetas) > 0).all()  # 38 seconds with nodes worked out for every step
