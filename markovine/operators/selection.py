@@ -34,14 +34,40 @@ def kmeans(df: DataFrame, K: int, max_iter: int = 50, tol: float = 1e-9) -> list
         raise ValueError("no observations")
     centres = first["m"] + first["s"] * norm_ppf((np.arange(K) + 0.5) / K)
     groups: list[tuple[float, float, float]] = []
-    for _ in range(max_iter):
-        near = F.array_min(F.array(*(F.struct(F.abs(F.col("y") - float(c)).alias("d"), F.lit(k).alias("k")) for k, c in enumerate(centres))))["k"]
-        got = {r["k"]: r for r in rows.groupBy(near.alias("k")).agg(F.avg("y").alias("m"), F.stddev_pop("y").alias("s"), F.count(F.lit(1)).alias("n")).collect()}  # K rows
-        groups = [(got[k]["m"], got[k]["s"], got[k]["n"] / first["n"]) if k in got else (float(centres[k]), 0.0, 0.0) for k in range(K)]
-        new = np.array([g[0] for g in groups])
-        moved, centres = float(np.abs(new - centres).max()), new
-        if moved <= tol:
-            break
+
+    def packed(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"y": [pdf["y"].to_numpy(float).tobytes()]})
+
+    def sums(at: np.ndarray):
+        """Per task and group: rows, and sums of their distances from the centre and of the squares."""
+
+        def run(parts):
+            total = np.zeros((K, 3))
+            for part in parts:
+                y = np.frombuffer(part, float)
+                near = np.abs(y[:, None] - at).argmin(axis=1)
+                d = y - at[near]
+                total += np.stack([np.bincount(near, weights=w, minlength=K) for w in (None, d, d * d)], axis=1)
+            return [total]
+
+        return run
+
+    # many short rounds: packed once, they are spared a plan each
+    held = rows.mapInPandas(packed, "y binary").rdd.map(lambda r: bytes(r["y"])).persist()
+    try:
+        for _ in range(max_iter):
+            total = sum(held.mapPartitions(sums(centres)).collect())  # K x 3 numbers a task
+            n = np.maximum(total[:, 0], 1.0)
+            shift = total[:, 1] / n
+            new = centres + shift
+            sd = np.sqrt(np.maximum(total[:, 2] / n - shift**2, 0.0))
+            groups = list(zip(new.tolist(), sd.tolist(), (total[:, 0] / first["n"]).tolist(), strict=True))
+            moved, centres = float(np.abs(shift).max()), new
+            if moved <= tol:
+                break
+    finally:
+        held.unpersist()
     return sorted(groups)
 
 
