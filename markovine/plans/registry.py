@@ -363,12 +363,17 @@ def pattern_staircase(spark, sf):
     return missing.staircase(d, 0.15, 2, shift=0.05).select("series_id", "n", "disjoint_1", F.col("miss").alias("overlap_2"))
 
 
+def _above(s: DataFrame) -> DataFrame:
+    """Adds the state ``x``: one above 3.3, else zero (a value that is not there is not above)."""
+    return s.withColumn("x", F.coalesce(F.col("y") > 3.3, F.lit(False)).cast("int"))
+
+
 _U = "(('0x' || substr(md5(concat_ws(':', {0})), 1, 13))::BIGINT / 4503599627370496.0)"
 
 
 @query("pattern_state_dependent", f"SELECT series_id, n, {_U.format("'5', CAST(series_id AS VARCHAR), CAST(n AS VARCHAR)")} < CASE WHEN y > 3.3 THEN 0.4 ELSE 0.1 END AS miss FROM ({EV}) e")
 def pattern_state_dependent(spark, sf):
-    s = events_series(spark, sf).withColumn("x", (F.col("y") > 3.3).cast("int"))
+    s = _above(events_series(spark, sf))
     return missing.state_dependent(s, [0.1, 0.4], seed=5).select("series_id", "n", "miss")
 
 
@@ -411,7 +416,7 @@ def patterns_random(spark, sf):
         ("mcar_blocks", missing.mcar_blocks(s, 0.3, 5)),
         ("gaussian", missing.weighted_draw(s, 0.2, missing.gaussian_position())),
         ("uniform", missing.weighted_draw(s, 0.2)),
-        ("state_markov", missing.state_markov(s.withColumn("x", (F.col("y") > 3.3).cast("int")), [0.05, 0.2], [0.5, 0.8])),
+        ("state_markov", missing.state_markov(_above(s), [0.05, 0.2], [0.5, 0.8])),
     ):
         part = d.where("miss").groupBy("series_id").agg(F.count(F.lit(1)).alias("removed"), F.sum("n").alias("places"), F.sum(F.col("n") * F.col("n")).alias("squares")).withColumn("pattern", F.lit(name))
         out = part if out is None else out.unionByName(part)
