@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from markovine.operators import missing
+from markovine.operators.engine import Chain, simulate
+from markovine.plans.model import gaussian
 from tests.test_rounds import _same_as_sql
 
 
@@ -35,3 +37,16 @@ def test_masks_of_rows_without_a_state(spark, tmp_path):
     assert got.values.tolist() == want.values.tolist()
     rows = spark.createDataFrame([(0, k, None if k else 1) for k in range(40)], "series_id long, n long, x int")
     assert missing.state_dependent(rows, [0.5, 1.0]).where("miss IS NULL").count() == 39
+
+
+def test_nodes_of_a_gap_do_not_depend_on_the_other_gaps():
+    """The first gap lies beside a value far out, the second does not: cut between them or not, the
+    posteriors are the same."""
+    m = gaussian("PMC", [-1, 1], [1, 1], tau=0.6, family="GH")
+    _, y = simulate(m, 30, np.random.default_rng(5))
+    y[3], y[4], y[14:17], y[17] = 3.9, np.nan, np.nan, 0.2
+    whole = Chain(m, y)
+    after = Chain(m, y[9:], before=whole.forward()[0][9][0])
+    assert np.allclose(after.gamma(), whole.gamma()[9:], rtol=0, atol=1e-12)
+    before = Chain(m, y[:10], after=whole.backward()[9][0])
+    assert np.allclose(before.gamma(), whole.gamma()[:10], rtol=0, atol=1e-12)
