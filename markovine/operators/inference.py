@@ -140,22 +140,25 @@ DRAWN = 1 << 20
 
 def bootstrap_series(df: DataFrame, model: Model, statistic: Callable[[np.ndarray], float], B: int = 199, seed: int = 0) -> DataFrame:
     """``observed, p_value`` of a statistic of each series, two-sided against ``B`` simulated
-    series of the same length; the draws depend on the seed and the series alone."""
+    series of the same length, of which the same rows are missing (NaN); the draws depend on the seed and
+    the series alone.  The p-value of a series without a number is none, replicates without one do not count."""
 
     def batch(pdf: pd.DataFrame, b: Batch) -> pd.DataFrame:
         own = pdf["series_id"].to_numpy()[b.starts]
         observed = np.array([float(statistic(b.y[i : i + n])) for i, n in zip(b.starts, b.sizes, strict=True)])
-        above, below = np.zeros(len(own), int), np.zeros(len(own), int)
+        above, below, counted = np.zeros((3, len(own)), int)
         together = max(1, DRAWN // max(b.N, 1))  # replicates that are drawn at once
         for first in range(0, B, together):
             some = range(first, min(first + together, B))
             sizes = np.tile(b.sizes, len(some))
             y = simulate_many(model, sizes, [rng_of(seed, f"{s}:{r}") for r in some for s in own])[1]
+            y[np.tile(b.miss, len(some))] = np.nan
             stops = np.cumsum(sizes)
             t = np.array([statistic(y[c - n : c]) for c, n in zip(stops, sizes, strict=True)]).reshape(len(some), -1)
             above += (t >= observed).sum(axis=0)
             below += (t <= observed).sum(axis=0)
-        p = np.minimum(1.0, 2 * (1 + np.minimum(above, below)) / (1 + B))
+            counted += np.isfinite(t).sum(axis=0)
+        p = np.where(np.isfinite(observed), np.minimum(1.0, 2 * (1 + np.minimum(above, below)) / (1 + counted)), np.nan)
         return pd.DataFrame({"series_id": own, "observed": observed, "p_value": p})
 
     return in_batches(df, model, batch, "observed double, p_value double")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from markovine.operators import missing
+from markovine.operators import inference, missing
 from markovine.operators.engine import Chain, simulate
 from markovine.plans.model import gaussian
 from tests.test_rounds import _same_as_sql
@@ -50,3 +50,12 @@ def test_nodes_of_a_gap_do_not_depend_on_the_other_gaps():
     assert np.allclose(after.gamma(), whole.gamma()[9:], rtol=0, atol=1e-12)
     before = Chain(m, y[:10], after=whole.backward()[9][0])
     assert np.allclose(before.gamma(), whole.gamma()[:10], rtol=0, atol=1e-12)
+
+
+def test_bootstrap_of_series_with_missing_values(spark, tmp_path):
+    _same_as_sql(spark, _with_zeros(spark, tmp_path), "parametric_bootstrap", 1e-6)
+    rows = spark.createDataFrame([(g, k, None if (g, k) in ((0, 3), (2, 0), (2, 1)) else float((7 * k + g) % 11)) for g, size in ((0, 30), (2, 3)) for k in range(size)], "series_id long, n long, y double")
+    seen = lambda y: float(np.isfinite(y).sum()) if len(y) > 3 else float("nan")
+    got = {r["series_id"]: r for r in inference.bootstrap_series(rows, gaussian("HMC-IN", [-1, 1], [1, 1]), seen, B=9).collect()}
+    assert (got[0]["observed"], got[0]["p_value"]) == (29.0, 1.0)  # replicates have the same rows
+    assert got[2]["observed"] is None and got[2]["p_value"] is None
