@@ -8,6 +8,7 @@ from markovine.functions.copulas import FAMILIES
 from markovine.functions.ops import EPS
 from markovine.operators import inference, missing
 from markovine.operators.engine import Chain, simulate
+from markovine.plans import registry
 from markovine.plans.model import gaussian
 from tests.test_rounds import _same_as_sql
 
@@ -29,7 +30,6 @@ def _with_zeros(spark, path):
 def test_masks_of_rows_without_a_state(spark, tmp_path):
     sf = _with_zeros(spark, tmp_path)
     _same_as_sql(spark, sf, "pattern_state_dependent", 0)
-    from markovine.plans import registry
 
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
@@ -79,3 +79,15 @@ def test_values_eight_deviations_out_are_as_in_sql(spark, tmp_path, name):
     """The value 0.07 between two small ones, as in series 309 of sf0.1."""
     y = np.array([20.0, 55, 31, 3.62, 0.07, 3.15, 44, 80, 12, 61])
     _same_as_sql(spark, _events(spark, tmp_path, {0: y, 1: y[::-1], 2: np.roll(y, 1)}), name, 1.1e-6 if name[0] == "f" else 1.1e-5)  # a unit of the last digit
+
+
+@pytest.mark.parametrize("left, right, size", [(-6.0, 1.0, 13), (-6.0, 2.3, 9)])
+def test_gaps_between_values_far_apart_are_bridged(left, right, size):
+    """Ends of a gap which hardly any path joins: its probability is below what plain numbers hold."""
+    at = np.arange(1, size + 1)
+    m, r = registry._autoregression(registry._STRONG), float(np.sin(np.pi * registry._STRONG / 2))
+    a, b, whole = r**at, r ** (size + 1 - at), r ** (size + 1)
+    mean = (a * (1 - b**2) * left + b * (1 - a**2) * right) / (1 - whole**2)
+    got = Chain(m, registry._MEAN + registry._SD * np.r_[left, [np.nan] * size, right]).impute()
+    assert np.allclose([g[1] for g in got], registry._MEAN + registry._SD * mean, rtol=0, atol=1e-6)
+    assert np.allclose([g[2] for g in got], registry._SD * np.sqrt((1 - a**2) * (1 - b**2) / (1 - whole**2)), rtol=0, atol=1e-6)
